@@ -36,7 +36,7 @@ REACH = SPAN - GRAM  # most bytes of a string on one side of its trigger
 WIDE = SPAN + REACH  # longest phrase
 BLOCK_BYTES = 16 << 20
 CHUNK_BYTES = 2 << 20
-HOT = 1000
+HOT = 20_000
 LAST = (1 << 63) - 1
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15
