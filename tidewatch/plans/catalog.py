@@ -1,4 +1,6 @@
 """All queries of the engine by name, with their DuckDB twins."""
 
-QUERIES = {}
-ORACLE_SQL = {}
+from . import dashboard, learning
+
+QUERIES = dashboard.QUERIES | learning.QUERIES
+ORACLE_SQL = dashboard.ORACLE_SQL | learning.ORACLE_SQL
