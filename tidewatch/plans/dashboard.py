@@ -22,7 +22,7 @@ def weights(spark: SparkSession) -> DataFrame:
 
 
 def r6(c):
-    return F.round(c, 6)
+    return F.round(c + 1e-9, 6)
 
 
 def source_averages(rows: DataFrame) -> DataFrame:
@@ -54,9 +54,9 @@ _AVG_SQL = """averages AS (SELECT source, avg(final_score) AS a, count(*) AS n,
     avg(CASE WHEN euphoria_index > 0 THEN 1.0 ELSE 0.0 END) AS ep, avg(euphoria_index) FILTER (euphoria_index > 0) AS ei, avg(activity_level) AS act
     FROM scores WHERE ts >= (SELECT max(ts) FROM scores) - 604800 GROUP BY source)"""
 S4_1 = f"""WITH {SCORES_SQL}, {_AVG_SQL}, {_WEIGHTS_SQL}
-SELECT round(sum((CASE WHEN coalesce(contrarian, false) THEN -1 ELSE 1 END) * a * coalesce(weight, 0.01) * n) / nullif(sum(coalesce(weight, 0.01) * n), 0), 6) AS score,
-    round(avg(fp), 6) AS fear_pct, round(avg(fp * coalesce(fi, 0.5)), 6) AS fear_weighted, round(avg(ep), 6) AS euphoria_pct, round(avg(ep * coalesce(ei, 0.5)), 6) AS euphoria_weighted,
-    round(avg(act), 6) AS activity, sum(n)::BIGINT AS total_posts FROM averages LEFT JOIN weights USING (source)"""
+SELECT round(sum((CASE WHEN coalesce(contrarian, false) THEN -1 ELSE 1 END) * a * coalesce(weight, 0.01) * n) / nullif(sum(coalesce(weight, 0.01) * n), 0) + 1e-9, 6) AS score,
+    round(avg(fp) + 1e-9, 6) AS fear_pct, round(avg(fp * coalesce(fi, 0.5)) + 1e-9, 6) AS fear_weighted, round(avg(ep) + 1e-9, 6) AS euphoria_pct, round(avg(ep * coalesce(ei, 0.5)) + 1e-9, 6) AS euphoria_weighted,
+    round(avg(act) + 1e-9, 6) AS activity, sum(n)::BIGINT AS total_posts FROM averages LEFT JOIN weights USING (source)"""
 
 
 def o4_2_window_fallback(spark, sf_dir):
@@ -69,7 +69,7 @@ def o4_2_window_fallback(spark, sf_dir):
 
 
 S4_2 = f"""WITH {SCORES_SQL}, w AS (SELECT h AS hours, avg(final_score) AS s, count(*) AS n FROM scores, (VALUES (4), (24), (168)) v(h) WHERE ts >= (SELECT max(ts) FROM scores) - h * 3600 GROUP BY h)
-SELECT hours, round(s, 6) AS score, n AS posts FROM w ORDER BY hours LIMIT 1"""
+SELECT hours, round(s + 1e-9, 6) AS score, n AS posts FROM w ORDER BY hours LIMIT 1"""
 
 
 def hourly(rows: DataFrame, *keys: str) -> DataFrame:
@@ -80,21 +80,21 @@ def o4_3_hourly(spark, sf_dir):
     return hourly(scores(spark, sf_dir)).select("hour", r6("score").alias("score"), r6("activity").alias("activity"), "n")
 
 
-S4_3 = f"WITH {SCORES_SQL} SELECT ts // 3600 * 3600 AS hour, round(avg(final_score), 6) AS score, round(sum(activity_level), 6) AS activity, count(*) AS n FROM scores GROUP BY 1"
+S4_3 = f"WITH {SCORES_SQL} SELECT ts // 3600 * 3600 AS hour, round(avg(final_score) + 1e-9, 6) AS score, round(sum(activity_level) + 1e-9, 6) AS activity, count(*) AS n FROM scores GROUP BY 1"
 
 
 def o4_4_hourly_one_source(spark, sf_dir):
     return hourly(scores(spark, sf_dir).where(F.col("source") == "click")).select("hour", r6("score").alias("score"), "n")
 
 
-S4_4 = f"WITH {SCORES_SQL} SELECT ts // 3600 * 3600 AS hour, round(avg(final_score), 6) AS score, count(*) AS n FROM scores WHERE source = 'click' GROUP BY 1"
+S4_4 = f"WITH {SCORES_SQL} SELECT ts // 3600 * 3600 AS hour, round(avg(final_score) + 1e-9, 6) AS score, count(*) AS n FROM scores WHERE source = 'click' GROUP BY 1"
 
 
 def o4_5_daily_prices(spark, sf_dir):
     return coin_prices(spark, sf_dir).groupBy("coin", bucket("ts", DAY).alias("day")).agg(r6(F.avg("price")).alias("price"), F.avg("price").cast("long").alias("price_int"))
 
 
-S4_5 = f"WITH {COINS_SQL} SELECT coin, ts // 86400 * 86400 AS day, round(avg(price), 6) AS price, trunc(avg(price))::BIGINT AS price_int FROM coin_prices GROUP BY 1, 2"
+S4_5 = f"WITH {COINS_SQL} SELECT coin, ts // 86400 * 86400 AS day, round(avg(price) + 1e-9, 6) AS price, trunc(avg(price))::BIGINT AS price_int FROM coin_prices GROUP BY 1, 2"
 
 
 def o4_6_daily_moods(spark, sf_dir):
@@ -138,7 +138,7 @@ S4_11 = f"""WITH {SCORES_SQL}, x AS (SELECT *, (SELECT max(ts) FROM scores) - ts
     avg(final_score) FILTER (age <= 86400) AS mean, avg(final_score) FILTER (age <= 86400 AND final_score < 0) AS neg, avg(final_score) FILTER (age > 86400 AND age <= 691200) AS base FROM x),
 p AS (SELECT 25.0 * bearish / total AS a, CASE WHEN base IS NULL THEN least(25.0, greatest(0.0, -50 * mean)) ELSE least(25.0, greatest(0.0, (base - mean) / 0.1 * 25)) END AS b,
     20 * least(1.0, abs(coalesce(neg, 0.0)) / 0.3) AS c, least(5.0, 20.0 * fear / total) AS e FROM g)
-SELECT round(a, 6) AS a, round(b, 6) AS b, round(c, 6) AS c, round(e, 6) AS e, round(least(100.0, a + b + c + e), 6) AS panic,
+SELECT round(a + 1e-9, 6) AS a, round(b + 1e-9, 6) AS b, round(c + 1e-9, 6) AS c, round(e + 1e-9, 6) AS e, round(least(100.0, a + b + c + e) + 1e-9, 6) AS panic,
     CASE WHEN a + b + c + e >= 60 THEN 'extreme' WHEN a + b + c + e >= 40 THEN 'high' WHEN a + b + c + e >= 20 THEN 'elevated' ELSE 'low' END AS label FROM p"""
 
 
@@ -157,8 +157,8 @@ def o6_3_rolling_by_source(spark, sf_dir):
 
 
 _H = "h AS (SELECT {k} ts // 3600 * 3600 AS hour, avg(final_score) AS score, count(*) AS n FROM scores GROUP BY ALL)"
-S6_1 = f"WITH {SCORES_SQL}, {_H.format(k='')} SELECT hour, round(sum(score * n) OVER w / sum(n) OVER w, 6) AS rolling, (sum(n) OVER w)::BIGINT AS n FROM h WINDOW w AS (ORDER BY hour ROWS BETWEEN 3 PRECEDING AND CURRENT ROW)"
-S6_3 = f"WITH {SCORES_SQL}, {_H.format(k='source,')} SELECT source, hour, round(sum(score * n) OVER w / sum(n) OVER w, 6) AS rolling, (sum(n) OVER w)::BIGINT AS n FROM h WINDOW w AS (PARTITION BY source ORDER BY hour ROWS BETWEEN 3 PRECEDING AND CURRENT ROW)"
+S6_1 = f"WITH {SCORES_SQL}, {_H.format(k='')} SELECT hour, round(sum(score * n) OVER w / sum(n) OVER w + 1e-9, 6) AS rolling, (sum(n) OVER w)::BIGINT AS n FROM h WINDOW w AS (ORDER BY hour ROWS BETWEEN 3 PRECEDING AND CURRENT ROW)"
+S6_3 = f"WITH {SCORES_SQL}, {_H.format(k='source,')} SELECT source, hour, round(sum(score * n) OVER w / sum(n) OVER w + 1e-9, 6) AS rolling, (sum(n) OVER w)::BIGINT AS n FROM h WINDOW w AS (PARTITION BY source ORDER BY hour ROWS BETWEEN 3 PRECEDING AND CURRENT ROW)"
 
 
 def o7_1_latest_price(spark, sf_dir):
@@ -167,7 +167,7 @@ def o7_1_latest_price(spark, sf_dir):
     return coin_prices(spark, sf_dir).groupBy("coin").agg(r6(F.max_by("price", at)).alias("price"), F.max("ts").alias("ts"))
 
 
-S7_1 = f"WITH {COINS_SQL} SELECT coin, round(arg_max(price, (ts, id)), 6) AS price, max(ts) AS ts FROM coin_prices GROUP BY coin"
+S7_1 = f"WITH {COINS_SQL} SELECT coin, round(arg_max(price, (ts, id)) + 1e-9, 6) AS price, max(ts) AS ts FROM coin_prices GROUP BY coin"
 
 
 def o7_3_recent_posts(spark, sf_dir):
@@ -178,8 +178,8 @@ def o7_3_recent_posts(spark, sf_dir):
     return top.join(users, "user_id", "left").select("raw_id", "user_id", "ts", "source", r6("final_score").alias("final_score"), "user_mean")
 
 
-S7_3 = f"""WITH {SCORES_SQL}, u AS (SELECT user_id, round(avg(final_score), 6) AS user_mean FROM scores GROUP BY 1)
-SELECT raw_id, user_id, ts, source, round(final_score, 6) AS final_score, user_mean FROM (SELECT * FROM scores ORDER BY ts DESC, raw_id DESC LIMIT 50) LEFT JOIN u USING (user_id)"""
+S7_3 = f"""WITH {SCORES_SQL}, u AS (SELECT user_id, round(avg(final_score) + 1e-9, 6) AS user_mean FROM scores GROUP BY 1)
+SELECT raw_id, user_id, ts, source, round(final_score + 1e-9, 6) AS final_score, user_mean FROM (SELECT * FROM scores ORDER BY ts DESC, raw_id DESC LIMIT 50) LEFT JOIN u USING (user_id)"""
 
 
 def o3_11_price_change(spark, sf_dir):
@@ -197,7 +197,7 @@ def o3_11_price_change(spark, sf_dir):
 S3_11 = f"""WITH {PRICES_SQL}, h AS (SELECT ts // 3600 * 3600 AS hour, avg(price) AS price FROM prices GROUP BY 1),
 a AS (SELECT h.hour, h.price, d.price AS p24 FROM (SELECT *, hour - 86400 AS b FROM h) h ASOF LEFT JOIN h d ON h.b >= d.hour),
 w AS (SELECT a.hour, a.price, a.p24, d.price AS p7 FROM (SELECT *, hour - 604800 AS b FROM a) a ASOF LEFT JOIN h d ON a.b >= d.hour)
-SELECT hour, round(coalesce(100 * (price - p24) / p24, 0.0), 6) AS change_24h, round(coalesce(100 * (price - p7) / p7, 0.0), 6) AS change_7d FROM w"""
+SELECT hour, round(coalesce(100 * (price - p24) / p24, 0.0) + 1e-9, 6) AS change_24h, round(coalesce(100 * (price - p7) / p7, 0.0) + 1e-9, 6) AS change_7d FROM w"""
 
 
 def o3_16_daily_on_hourly(spark, sf_dir):
@@ -208,7 +208,7 @@ def o3_16_daily_on_hourly(spark, sf_dir):
 
 
 S3_16 = f"""WITH {SCORES_SQL}, {COINS_SQL}, d AS (SELECT ts // 86400 * 86400 % 2592000 AS d, avg(price) AS price FROM coin_prices WHERE coin = '1-URGENT' GROUP BY 1),
-h AS (SELECT ts // 3600 * 3600 AS hour, avg(final_score) AS score FROM scores GROUP BY 1) SELECT hour, round(score, 6) AS score, round(price, 6) AS price FROM h LEFT JOIN d ON hour // 86400 * 86400 % 2592000 = d"""
+h AS (SELECT ts // 3600 * 3600 AS hour, avg(final_score) AS score FROM scores GROUP BY 1) SELECT hour, round(score + 1e-9, 6) AS score, round(price + 1e-9, 6) AS price FROM h LEFT JOIN d ON hour // 86400 * 86400 % 2592000 = d"""
 
 
 def o2_8_labels(spark, sf_dir):
@@ -239,7 +239,7 @@ def o4_29_pivot(spark, sf_dir):
     return out.select("hour", *(r6(k).alias(k) for k in kinds))
 
 
-S4_29 = f"WITH {SCORES_SQL} SELECT ts // 3600 * 3600 AS hour, round(avg(final_score) FILTER (source = 'click'), 6) AS click, round(avg(final_score) FILTER (source = 'purchase'), 6) AS purchase, round(avg(final_score) FILTER (source = 'view'), 6) AS view FROM scores GROUP BY 1"
+S4_29 = f"WITH {SCORES_SQL} SELECT ts // 3600 * 3600 AS hour, round(avg(final_score) FILTER (source = 'click') + 1e-9, 6) AS click, round(avg(final_score) FILTER (source = 'purchase') + 1e-9, 6) AS purchase, round(avg(final_score) FILTER (source = 'view') + 1e-9, 6) AS view FROM scores GROUP BY 1"
 
 
 def o4_34_spread(spark, sf_dir):
@@ -251,7 +251,7 @@ def o4_34_spread(spark, sf_dir):
 
 
 S4_34 = f"""WITH {SCORES_SQL}, x AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY final_score, raw_id) AS i, count(*) OVER (PARTITION BY source) AS n FROM scores)
-SELECT source, round(avg(final_score), 6) AS mean, round(min(final_score), 6) AS low, round(max(final_score), 6) AS high, round(max(final_score) FILTER (i = n // 2 + 1), 6) AS median, round(stddev_pop(final_score), 6) AS deviation FROM x GROUP BY 1"""
+SELECT source, round(avg(final_score) + 1e-9, 6) AS mean, round(min(final_score) + 1e-9, 6) AS low, round(max(final_score) + 1e-9, 6) AS high, round(max(final_score) FILTER (i = n // 2 + 1) + 1e-9, 6) AS median, round(stddev_pop(final_score) + 1e-9, 6) AS deviation FROM x GROUP BY 1"""
 
 
 def o4_35_histogram(spark, sf_dir):

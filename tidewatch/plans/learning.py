@@ -39,7 +39,7 @@ def o4_14_source_accuracy(spark, sf_dir):
 _HOURS_SQL = f"""{SCORES_SQL}, {PRICES_SQL}, x AS (SELECT source, ts // 3600 * 3600 AS hour, avg(final_score) AS x FROM scores GROUP BY ALL), p AS (SELECT ts // 3600 * 3600 AS hour, avg(price) AS p FROM prices GROUP BY 1),
 sh AS (SELECT x.source, x.hour, x.x, (b.p - a.p) / a.p AS r FROM x JOIN p a ON a.hour = x.hour JOIN p b ON b.hour = x.hour + 14400),
 acc AS (SELECT source, count(*) AS total, count(*) FILTER (abs(x) >= 0.05 AND sign(x) = sign(r) AND r <> 0) AS correct, count(*) FILTER (abs(x) >= 0.05 AND NOT (sign(x) = sign(r) AND r <> 0)) AS incorrect, corr(x, r) AS corr FROM sh GROUP BY 1)"""
-S4_14 = f"""WITH {_HOURS_SQL} SELECT source, total, correct, incorrect, correct + incorrect AS effective_n, round(correct / (correct + incorrect), 6) AS accuracy, round((correct + incorrect) / total, 6) AS coverage, round(coalesce(corr, 0.0), 5) AS correlation FROM acc WHERE correct + incorrect >= 20"""
+S4_14 = f"""WITH {_HOURS_SQL} SELECT source, total, correct, incorrect, correct + incorrect AS effective_n, round(correct / (correct + incorrect) + 1e-9, 6) AS accuracy, round((correct + incorrect) / total + 1e-9, 6) AS coverage, round(coalesce(corr, 0.0), 5) AS correlation FROM acc WHERE correct + incorrect >= 20"""
 
 
 def o9_1_beliefs(spark, sf_dir):
@@ -51,7 +51,7 @@ def o9_1_beliefs(spark, sf_dir):
 
 
 S9_1 = f"""WITH {_HOURS_SQL}, b AS (SELECT source, correct + 1.0::DOUBLE AS alpha, incorrect + 1.0::DOUBLE AS beta FROM acc WHERE correct + incorrect >= 20)
-SELECT source, alpha, beta, round(alpha / (alpha + beta), 6) AS mean, round(alpha * beta / ((alpha + beta) * (alpha + beta) * (alpha + beta + 1)), 9) AS variance, round(sqrt(alpha * beta / ((alpha + beta) * (alpha + beta) * (alpha + beta + 1))), 6) AS deviation, rank() OVER (ORDER BY alpha / (alpha + beta) DESC) AS place FROM b"""
+SELECT source, alpha, beta, round(alpha / (alpha + beta) + 1e-9, 6) AS mean, round(alpha * beta / ((alpha + beta) * (alpha + beta) * (alpha + beta + 1)), 9) AS variance, round(sqrt(alpha * beta / ((alpha + beta) * (alpha + beta) * (alpha + beta + 1))) + 1e-9, 6) AS deviation, rank() OVER (ORDER BY alpha / (alpha + beta) DESC) AS place FROM b"""
 
 
 def o9_5_source_weights(spark, sf_dir):
@@ -73,7 +73,7 @@ def o4_19_user_profiles(spark, sf_dir):
 
 
 S4_19 = f"""WITH {SCORES_SQL}, g AS (SELECT user_id, source, count(*) AS n, avg(final_score) AS m, stddev_pop(final_score) AS d, avg(CASE WHEN final_score > 0.1 THEN 1.0 ELSE 0.0 END) AS bull, avg(CASE WHEN final_score < -0.1 THEN 1.0 ELSE 0.0 END) AS bear, min(ts) AS first_seen, max(ts) AS last_seen FROM scores GROUP BY 1, 2)
-SELECT user_id, source, n, round(m, 6) AS mean, round(d, 6) AS deviation, round(bull, 6) AS bull, round(bear, 6) AS bear, CASE WHEN bull > 0.6 THEN 'bullish' WHEN bear > 0.6 THEN 'bearish' WHEN round(d, 9) > 0.4 THEN 'volatile' ELSE 'neutral' END AS tendency, first_seen, last_seen FROM g"""
+SELECT user_id, source, n, round(m + 1e-9, 6) AS mean, round(d + 1e-9, 6) AS deviation, round(bull + 1e-9, 6) AS bull, round(bear + 1e-9, 6) AS bear, CASE WHEN bull > 0.6 THEN 'bullish' WHEN bear > 0.6 THEN 'bearish' WHEN round(d, 9) > 0.4 THEN 'volatile' ELSE 'neutral' END AS tendency, first_seen, last_seen FROM g"""
 
 _FEATURES = ["m", "d", "act", "fear", "eu", "pol", "logn"]
 
