@@ -11,7 +11,6 @@ as computed here, so ORACLE_SQL is None and tests compare each stage with brute
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from tidewatch.llm import op6_mix, op7_pii, op8_quality, op9_pack, op10_near
 from tidewatch.llm.common import new_folder, stored, table
@@ -30,11 +29,7 @@ def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    rows = stored(op6_mix.sized(docs), new_folder(spark, "mix"))
-    uses, _ = op6_mix.mix(rows)
-    times = uses.groupBy("row").agg(F.count("*").cast("int").alias("_times"))
-    numbered = docs.withColumn("_row", F.monotonically_increasing_id())
-    return numbered.join(times, F.col("_row") == F.col("row")).withColumn("_times", F.explode(F.array_repeat(F.lit(1), F.col("_times")))).select(*docs.columns)
+    return op6_mix.mix_documents(docs, new_folder(spark, "mix"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

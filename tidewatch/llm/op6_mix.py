@@ -144,6 +144,14 @@ def sized(docs: DataFrame) -> DataFrame:
     ).withColumn("members", F.array("source"))
 
 
+def mix_documents(docs: DataFrame, folder: str) -> DataFrame:
+    """docs as the mix takes them, all columns: a document used twice is two rows, one not used is none."""
+    uses, _ = mix(stored(sized(docs), folder))
+    times = uses.groupBy(F.col("row").alias("_use_row")).agg(F.count("*").cast("int").alias("_use_times"))
+    packed = docs.select(F.struct(*docs.columns).alias("_use_doc"), F.monotonically_increasing_id().alias("_use_row"))
+    return packed.join(times, "_use_row").select("_use_doc", F.explode(F.sequence(F.lit(1), "_use_times"))).select("_use_doc.*")
+
+
 def op6_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = stored(sized(table(spark, sf_dir, "documents")), new_folder(spark, "mix"))
     uses, sources = mix(rows)
