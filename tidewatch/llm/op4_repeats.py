@@ -208,8 +208,8 @@ def _dictionary(docs: pa.Table, replies: pa.Table) -> pa.Table:
         [
             pa.array(np.full(len(bodies), block, np.int32)),
             pa.array(np.r_[key[cold], string_key].view(np.int64)),
-            pa.array(np.r_[trigger[cold], trigger[one]].view(np.int64)),
-            pa.array(np.r_[name[cold], name[one]].view(np.int64)),
+            pa.array(np.r_[np.zeros(cold.sum(), _U), trigger[one]].view(np.int64)),  # a whole phrase tells its trigger and name itself
+            pa.array(np.r_[np.zeros(cold.sum(), _U), name[one]].view(np.int64)),
             pa.array(np.r_[count[cold], -1 - place].astype(np.int32)),  # a single string: minus its place, less one
             pa.array(bodies, pa.binary()),
             pa.array(np.r_[low[cold], low[one]]),
@@ -229,6 +229,9 @@ def _sources(table_: pa.Table) -> pa.Table:
         r[: len(b)] = np.frombuffer(b, np.uint8)
     low, high = table_.column("low").to_numpy(), table_.column("high").to_numpy()
     key = table_.column("key").to_numpy().view(_U)
+    whole = number > 0
+    trigger = np.where(whole, key, table_.column("trigger").to_numpy().view(_U)).view(np.int64)
+    names = np.where(whole, phrase_ids(rows, count), table_.column("id").to_numpy().view(_U)).view(np.int64)
     row, at = np.nonzero(np.arange(REACH + 1) < count[:, None])
     name = mixed(string_hashes(rows)[row, at] ^ key[row])
     order = np.argsort(name)
@@ -242,7 +245,7 @@ def _sources(table_: pa.Table) -> pa.Table:
     end = np.r_[new[1:], len(row)] - 1 if len(new) else new
     take = pa.array(row[new])
     return pa.Table.from_arrays(
-        [table_.column("block").take(take), table_.column("trigger").take(take), table_.column("id").take(take), pa.array((at[new] + place[row[new]]).astype(np.int32)), pa.array((at[end] + place[row[new]]).astype(np.int32)), pa.array(source[new])],
+        [table_.column("block").take(take), pa.array(trigger[row[new]]), pa.array(names[row[new]]), pa.array((at[new] + place[row[new]]).astype(np.int32)), pa.array((at[end] + place[row[new]]).astype(np.int32)), pa.array(source[new])],
         schema=RUNS,
     )
 
