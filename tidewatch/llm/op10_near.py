@@ -10,7 +10,9 @@ linked if its exact probability Jaccard, or the plain Jaccard of its shingle set
 Copies of a text are one node throughout. In a bucket every node is first compared with one pivot; after the
 classes of these links are known, the pairs of a bucket that are still in different classes are compared too
 (minority classes against the rest) unless their signatures' bits rule out the threshold, so that candidate links
-that would join two classes are not lost.
+that would join two classes are not lost. Shingles that no other node of these buckets has bound both similarities
+from above (see ``bound``); pairs whose bound is below the threshold are never made, which keeps a large group of
+loosely similar texts from giving all its pairs.
 
 Edge cases: texts without words (and nulls) are alone in their class; repeated rows share a class; a class is
 named by its smallest doc_id; null doc_ids get rows, with their class; an empty table gives an empty result.
@@ -181,6 +183,37 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return full.select("a", "b", "ta", "tb").mapInArrow(check, "a long, b long")
 
 
+def own_shares(nodes: DataFrame, texts: DataFrame) -> DataFrame:
+    """node, s, u, w, uw for each of the nodes: its distinct shingles, those that no other of the nodes has, and
+    the weights of both."""
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 256):
+            of, keys, counts = shingles(batch.column("text").to_pylist())
+            names = batch.column("node").to_numpy()[of]
+            for at in range(0, len(keys), 50_000):
+                yield pa.RecordBatch.from_arrays([pa.array(names[at : at + 50_000]), pa.array(keys[at : at + 50_000].astype(np.int64)), pa.array(counts[at : at + 50_000].astype(np.int32))], ["node", "key", "n"])
+
+    rows = texts.join(nodes, "node").select("node", "text").mapInArrow(spread, "node long, key long, n int")
+    single = rows.groupBy("key").agg(F.count("*").alias("nodes"), F.max("node").alias("node"), F.max("n").alias("n")).where("nodes = 1")
+    own = single.groupBy("node").agg(F.count("*").alias("u"), F.sum("n").alias("uw"))
+    all_ = rows.groupBy("node").agg(F.count("*").alias("s"), F.sum("n").alias("w"))
+    return all_.join(own, "node", "left").select("node", "s", F.coalesce("u", F.lit(0)).alias("u"), "w", F.coalesce("uw", F.lit(0)).alias("uw"))
+
+
+def bound(x: str, y: str):
+    """Upper bound of both similarities of nodes x and y from own_shares. At most min(s - u) shingles are common, which
+    bounds the Jaccard of the sets; with unmatched mass a and b the probability Jaccard is at most
+    (1 - a)(1 - b) / (1 - ab), and equals the plain one where no shingle repeats."""
+    c = lambda side, name: F.col(f"{side}.{name}")
+    common = F.least(c(x, "s") - c(x, "u"), c(y, "s") - c(y, "u"))
+    plain = common / (c(x, "s") + c(y, "s") - common)
+    a, b = c(x, "uw") / c(x, "w"), c(y, "uw") / c(y, "w")
+    weighted = F.coalesce(F.try_divide((1 - a) * (1 - b), 1 - a * b), F.lit(0.0))
+    once = (c(x, "s") == c(x, "w")) & (c(y, "s") == c(y, "w"))
+    return F.when(once, plain).otherwise(F.greatest(plain, weighted))
+
+
 def components(edges: DataFrame, folder: str) -> DataFrame:
     """node, label (the smallest node of its component) for every node of the stored edges (a, b)."""
     both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -223,10 +256,12 @@ def classes(docs: DataFrame, folder: str) -> DataFrame:
     sizes = placed.groupBy("bucket", "label").agg(F.count("*").alias("n"))
     main = sizes.groupBy("bucket").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.count("*").alias("kinds")).where("kinds > 1").select("bucket", "main")
     words = nodes.select("node", *(F.element_at("bits", i + 1).alias(f"b{i}") for i in range(3)))
-    mixed_ = stored(placed.join(main, "bucket").join(words, "node"), f"{folder}/mixed")
+    between = stored(placed.join(main, "bucket"), f"{folder}/between")
+    shares = own_shares(between.select("node").distinct(), texts)
+    mixed_ = stored(between.join(words, "node").join(shares, "node"), f"{folder}/mixed")
     one, two = mixed_.where("label <> main").alias("x"), mixed_.alias("y")
     apart = sum(F.bit_count(F.col(f"x.b{i}").bitwiseXOR(F.col(f"y.b{i}"))) for i in range(3))  # signatures too far apart
-    again = one.join(two, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.label") != F.col("y.label")) & (apart <= MOST_BITS))
+    again = one.join(two, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.label") != F.col("y.label")) & (apart <= MOST_BITS) & (bound("x", "y") >= THRESHOLD - 1e-9))
     again = again.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct().join(star, ["a", "b"], "left_anti")
     more = stored(verified(again, texts), f"{folder}/edges-2")
     if not more.isEmpty():
