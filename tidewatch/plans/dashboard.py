@@ -22,6 +22,7 @@ def weights(spark: SparkSession) -> DataFrame:
 
 
 def r6(c):
+    c = F.col(c) if isinstance(c, str) else c
     return F.round(c + 1e-9, 6)
 
 
