@@ -110,12 +110,12 @@ def o4_20_credibility(spark, sf_dir):
 
 
 @query(f"""WITH {SCORES_SQL}, h AS (SELECT ts // 3600 * 3600 AS hour, source, avg(final_score) AS m FROM scores GROUP BY 1, 2), g AS (SELECT hour, avg(m) AS s, count(*) AS n, coalesce(stddev_pop(m), 0) AS d FROM h GROUP BY 1)
-SELECT hour, n, round(s + 1e-9, 6) AS composite, round(CASE WHEN n = 1 THEN 0.5 ELSE 1 - least(d, 1.0) END, 5) AS agreement, round(least(1.0, n / 5 * 0.5 + 0.5 * CASE WHEN n = 1 THEN 0.5 ELSE 1 - least(d, 1.0) END), 5) AS confidence FROM g""")
+SELECT hour, n, round(s + 1e-9, 6) AS composite, round(CASE WHEN n = 1 THEN 0.5 ELSE 1 - least(d, 1.0) END + 1e-9, 6) AS agreement, round(least(1.0, n / 5 * 0.5 + 0.5 * CASE WHEN n = 1 THEN 0.5 ELSE 1 - least(d, 1.0) END) + 1e-9, 6) AS confidence FROM g""")
 def o4_25_composite(spark, sf_dir):
     """Composite of source means each hour, with agreement and confidence (O4.25)."""
     g = scores(spark, sf_dir).groupBy(bucket("ts", HOUR).alias("hour"), "source").agg(F.avg("final_score").alias("m")).groupBy("hour").agg(F.avg("m").alias("s"), F.count("*").alias("n"), F.stddev_pop("m").alias("d"))
     agree = F.when(F.col("n") == 1, 0.5).otherwise(1 - F.least(F.col("d"), F.lit(1.0)))
-    return g.select("hour", "n", r6(F.col("s")).alias("composite"), F.round(agree, 5).alias("agreement"), F.round(F.least(F.lit(1.0), F.col("n") / 5 * 0.5 + 0.5 * agree), 5).alias("confidence"))
+    return g.select("hour", "n", r6(F.col("s")).alias("composite"), r6(agree).alias("agreement"), r6(F.least(F.lit(1.0), F.col("n") / 5 * 0.5 + 0.5 * agree)).alias("confidence"))
 
 
 @query(f"WITH {_HOURS_SQL} SELECT CASE WHEN x <= -0.3 THEN 'a' WHEN x <= -0.1 THEN 'b' WHEN x <= 0.1 THEN 'c' WHEN x <= 0.3 THEN 'd' ELSE 'e' END AS bin, count(*) AS n, round(avg(r), 5) AS mean, round(stddev_samp(r), 5) AS deviation, round(avg(CASE WHEN (x > 0.1 AND r > 0) OR (x < -0.1 AND r < 0) THEN 1.0 WHEN abs(x) > 0.1 THEN 0.0 END), 5) AS hit_rate FROM sh GROUP BY 1")
