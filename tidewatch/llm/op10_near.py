@@ -7,12 +7,13 @@ once its next arrival is later than all kept ones. Two signatures agree in a com
 to the probability Jaccard of the weighted sets. BANDS bands of ROWS components give candidates; a pair is
 linked if its exact probability Jaccard, or the plain Jaccard of its shingle sets, reaches THRESHOLD.
 
-Copies of a text are one node throughout. In a bucket every node is first compared with one pivot; after the
-classes of these links are known, the pairs of a bucket that are still in different classes are compared too
-(minority classes against the rest) unless their signatures' bits rule out the threshold, so that candidate links
-that would join two classes are not lost. Shingles that no other node of these buckets has bound both similarities
-from above (see ``bound``); pairs whose bound is below the threshold are never made, which keeps a large group of
-loosely similar texts from giving all its pairs.
+Copies of a text are one node throughout. In a bucket every node is first compared with one pivot, the node whose
+signature bits are nearest to the bucket's majority: in a group of edited copies that is the text they come from, if
+it is there, which most of them are similar to even where they are too far from each other. After the classes
+of these links are known, the nodes of a bucket outside its largest class are compared with all nodes of the bucket
+that are in another class, exactly, by counting common shingles in blocks of bounded size inside tasks: only links
+leave a task, so that a large group of loosely similar texts does not give all its pairs, and no link that would join
+two classes is lost.
 
 Edge cases: texts without words (and nulls) are alone in their class; repeated rows share a class; a class is
 named by its smallest doc_id; null doc_ids get rows, with their class; an empty table gives an empty result.
@@ -133,22 +134,17 @@ def release(spark: SparkSession) -> None:
         time.sleep(0.5)
 
 
-SIGNED = "doc_id long, digest binary, buckets array<long>, bits array<long>"
-#: Signature bits (one a component) in which a candidate pair of different classes may differ. At similarity 0.8 a
-#: component's bit differs with chance 0.1: 14.4 of 144 on average, with a deviation of 3.6; 32 is 4.8 deviations up.
-MOST_BITS = 32
+SIGNED = "doc_id long, digest binary, buckets array<long>, first_bits long"
 
 
 def bits_of(signatures: np.ndarray) -> np.ndarray:
-    """One bit of every component, packed into three 64-bit words."""
-    bits = np.zeros((len(signatures), 192), np.uint8)
-    bits[:, : signatures.shape[1]] = (mixed(signatures) & _U(1)).astype(np.uint8)
-    return np.packbits(bits, axis=1).view(">i8").astype(np.int64)
+    """One bit of each of the first 64 components."""
+    return np.packbits((mixed(signatures[:, :64]) & _U(1)).astype(np.uint8), axis=1).view(">i8").astype(np.int64)[:, 0]
 
 
 def signed(docs: DataFrame) -> DataFrame:
-    """doc_id, digest of the text and bucket numbers (none for texts without words)."""
-    schema = pa.schema([("doc_id", pa.int64()), ("digest", pa.binary()), ("buckets", pa.list_(pa.int64())), ("bits", pa.list_(pa.int64()))])
+    """doc_id, digest of the text, bucket numbers (none for texts without words) and signature bits."""
+    schema = pa.schema([("doc_id", pa.int64()), ("digest", pa.binary()), ("buckets", pa.list_(pa.int64())), ("first_bits", pa.int64())])
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 1024):
@@ -159,7 +155,7 @@ def signed(docs: DataFrame) -> DataFrame:
             numbers, bits = bands_of(signatures), dict(zip(texts, bits_of(signatures), strict=True))
             filled = np.bincount(of, minlength=len(texts)) > 0
             by = {d: (row if f else row[:0]) for d, row, f in zip(texts, numbers, filled, strict=True)}
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(digests, pa.binary()), pa.array([by[d] for d in digests], pa.list_(pa.int64())), pa.array([bits[d] for d in digests], pa.list_(pa.int64()))], schema=schema)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(digests, pa.binary()), pa.array([by[d] for d in digests], pa.list_(pa.int64())), pa.array([bits[d] for d in digests], pa.int64())], schema=schema)
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(sign, SIGNED)
 
@@ -183,35 +179,109 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return full.select("a", "b", "ta", "tb").mapInArrow(check, "a long, b long")
 
 
-def own_shares(nodes: DataFrame, texts: DataFrame) -> DataFrame:
-    """node, s, u, w, uw for each of the nodes: its distinct shingles, those that no other of the nodes has, and
-    the weights of both."""
+SETS = "node long, keys array<long>, counts array<int>, size int"
+#: Distinct shingles in a block of minority nodes and in a block of all nodes of a bucket.
+LEFT_BLOCK, RIGHT_BLOCK = 100_000, 400_000
+
+
+def shingle_sets(texts: DataFrame) -> DataFrame:
+    """node, its distinct shingles in order, their counts (null where all are 1) and their number."""
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 256):
+        for batch in slices(batches, 128):
             of, keys, counts = shingles(batch.column("text").to_pylist())
-            names = batch.column("node").to_numpy()[of]
-            for at in range(0, len(keys), 50_000):
-                yield pa.RecordBatch.from_arrays([pa.array(names[at : at + 50_000]), pa.array(keys[at : at + 50_000].astype(np.int64)), pa.array(counts[at : at + 50_000].astype(np.int32))], ["node", "key", "n"])
-
-    rows = texts.join(nodes, "node").select("node", "text").mapInArrow(spread, "node long, key long, n int")
-    single = rows.groupBy("key").agg(F.count("*").alias("nodes"), F.max("node").alias("node"), F.max("n").alias("n")).where("nodes = 1")
-    own = single.groupBy("node").agg(F.count("*").alias("u"), F.sum("n").alias("uw"))
-    all_ = rows.groupBy("node").agg(F.count("*").alias("s"), F.sum("n").alias("w"))
-    return all_.join(own, "node", "left").select("node", "s", F.coalesce("u", F.lit(0)).alias("u"), "w", F.coalesce("uw", F.lit(0)).alias("uw"))
-
-
-def bound(x: str, y: str):
-    """Upper bound of both similarities of nodes x and y from own_shares. At most min(s - u) shingles are common, which
-    bounds the Jaccard of the sets; with unmatched mass a and b the probability Jaccard is at most
-    (1 - a)(1 - b) / (1 - ab), and equals the plain one where no shingle repeats."""
-    c = lambda side, name: F.col(f"{side}.{name}")
-    common = F.least(c(x, "s") - c(x, "u"), c(y, "s") - c(y, "u"))
-    plain = common / (c(x, "s") + c(y, "s") - common)
-    a, b = c(x, "uw") / c(x, "w"), c(y, "uw") / c(y, "w")
-    weighted = F.coalesce(F.try_divide((1 - a) * (1 - b), 1 - a * b), F.lit(0.0))
-    once = (c(x, "s") == c(x, "w")) & (c(y, "s") == c(y, "w"))
-    return F.when(once, plain).otherwise(F.greatest(plain, weighted))
+            at = np.searchsorted(of, np.arange(batch.num_rows + 1))
+            rows = [slice(*pair) for pair in zip(at[:-1], at[1:], strict=True)]
+            keys = keys.astype(np.int64)
+            repeats = [counts[r] if (counts[r] > 1).any() else None for r in rows]
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array([keys[r] for r in rows], pa.list_(pa.int64())), pa.array(repeats, pa.list_(pa.int32())), pa.array(np.diff(at).astype(np.int32))], ["node", "keys", "counts", "size"])
+
+    return texts.select("node", "text").mapInArrow(spread, SETS)
+
+
+def linked(left: list[dict], right: list[dict]) -> list[tuple[int, int]]:
+    """Similar pairs of a left node and a right node with different labels; two minority nodes meet in one order."""
+    if not left or not right:
+        return []
+    weights = lambda r: np.asarray(r["counts"], float) if r["counts"] is not None else np.ones(len(r["keys"]))
+    keys = np.concatenate([np.asarray(r["keys"], np.int64) for r in right])
+    sizes = np.array([len(r["keys"]) for r in right])
+    mass = [weights(r) for r in right]
+    owner, share = np.repeat(np.arange(len(right)), sizes), np.concatenate([m / m.sum() for m in mass])
+    order = np.argsort(keys, kind="stable")
+    keys, owner, share = keys[order], owner[order], share[order]
+    names, labels = np.array([r["node"] for r in right]), np.array([r["label"] for r in right])
+    minor, even = np.array([r["minor"] for r in right]), np.array([r["counts"] is None for r in right])
+    found = []
+    for x in left:
+        own, w = np.asarray(x["keys"], np.int64), weights(x)
+        lo, hi = np.searchsorted(keys, own, "left"), np.searchsorted(keys, own, "right")
+        n = hi - lo
+        at = np.repeat(hi - np.cumsum(n), n) + np.arange(n.sum())
+        common = np.bincount(owner[at], minlength=len(right))
+        plain = common / (len(own) + sizes - common)
+        mine = np.bincount(owner[at], np.repeat(w / w.sum(), n), minlength=len(right))
+        theirs = np.bincount(owner[at], share[at], minlength=len(right))
+        # with matched mass m and t the probability Jaccard is at most m t / (1 - (1 - m)(1 - t))
+        most = mine * theirs / np.maximum(1 - (1 - mine) * (1 - theirs), 1e-300)
+        wanted = (labels != x["label"]) & (~minor | (names > x["node"]))
+        good = wanted & (plain >= THRESHOLD - 1e-12)
+        open_ = wanted & ~good & (most >= THRESHOLD - 1e-9) & ~(even & (x["counts"] is None))
+        for i in np.flatnonzero(open_):
+            one, two = (dict(zip(r["keys"], weights(r), strict=True)) for r in (x, right[i]))
+            good[i] = max(similarities(one, two)) >= THRESHOLD - 1e-12
+        found += [(x["node"], y) for y in names[good].tolist()]
+    return found
+
+
+def linked_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links of every block (bucket, i, j), whose rows come one after the other."""
+    last, left, right = None, [], []
+
+    def links() -> pa.RecordBatch:
+        pairs = linked(left, right)
+        a, b = [min(p) for p in pairs], [max(p) for p in pairs]
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    for batch in slices(batches, 256):
+        for row in batch.to_pylist():
+            if (now := (row["bucket"], row["i"], row["j"])) != last:
+                yield links()
+                last, left, right = now, [], []
+            row["keys"] = np.array(row["keys"], np.int64)
+            (left if row["is_left"] else right).append(row)
+    yield links()
+
+
+def between_classes(placed: DataFrame, texts: DataFrame, folder: str) -> DataFrame:
+    """Links (a, b) of nodes in one bucket but in different classes: exact, in blocks of bounded numbers of shingles.
+
+    ``placed`` has bucket, node, label and main (the bucket's most frequent label). Nodes of the other labels are
+    compared with all nodes of the bucket. Both sides are dealt over blocks by hash, a task holds one block of each,
+    and only links leave it.
+    """
+    sets = stored(shingle_sets(texts.join(placed.select("node").distinct(), "node", "left_semi")), f"{folder}/sets")
+    rows = placed.withColumn("minor", F.col("label") != F.col("main")).join(sets.select("node", "size"), "node")
+    amount = lambda c, block: F.ceil(F.coalesce(F.sum(c), F.lit(0)) / block)
+    blocks = rows.groupBy("bucket").agg(amount(F.when(F.col("minor"), F.col("size")), LEFT_BLOCK).alias("ni"), amount("size", RIGHT_BLOCK).alias("nj"))
+    rows = rows.join(blocks, "bucket").select("bucket", "node", "label", "minor", "ni", "nj", F.xxhash64("node").alias("h"))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    left = rows.where("minor").withColumn("i", F.pmod("h", "ni")).withColumn("j", every("nj")).withColumn("is_left", F.lit(True))
+    right = rows.withColumn("j", F.pmod("h", "nj")).withColumn("i", every("ni")).withColumn("is_left", F.lit(False))
+    dealt = left.unionByName(right).select("bucket", "i", "j", "is_left", "node", "label", "minor").join(sets.drop("size"), "node")
+    parts = int(placed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return dealt.repartition(parts, "bucket", "i", "j").sortWithinPartitions("bucket", "i", "j").mapInArrow(linked_blocks, "a long, b long").distinct()
+
+
+def majority(members: DataFrame) -> DataFrame:
+    """bucket, most: the word whose bits most nodes of the bucket have in b0."""
+    ones = [F.sum(F.shiftrightunsigned("b0", i).bitwiseAND(1)).alias(f"c{i}") for i in range(64)]
+    found = members.groupBy("bucket").agg(F.count("*").alias("n"), *ones)
+    bits = [F.when(2 * F.col(f"c{i}") > F.col("n"), F.lit(1 << i if i < 63 else -(1 << 63)).cast("long")).otherwise(F.lit(0).cast("long")) for i in range(64)]
+    most = bits[0]
+    for bit in bits[1:]:
+        most = most.bitwiseOR(bit)
+    return found.select("bucket", most.alias("most"))
 
 
 def components(edges: DataFrame, folder: str) -> DataFrame:
@@ -235,11 +305,14 @@ def classes(docs: DataFrame, folder: str) -> DataFrame:
     """A row for each document: doc_id, digest of its text, class_id (smallest doc_id of its class)."""
     spark = docs.sparkSession
     sigs = stored(signed(docs), f"{folder}/signed")
-    nodes = stored(sigs.groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.first("buckets").alias("buckets"), F.first("bits").alias("bits")).withColumn("node", F.monotonically_increasing_id()), f"{folder}/nodes")
+    nodes = stored(sigs.groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.first("buckets").alias("buckets"), F.first("first_bits").alias("first_bits")).withColumn("node", F.monotonically_increasing_id()), f"{folder}/nodes")
     alone = F.size("buckets") == 0
-    members = nodes.where(~alone).select("node", F.explode("buckets").alias("bucket"))
-    pivots = members.groupBy("bucket").agg(F.min(F.struct(F.xxhash64("bucket", "node").alias("h"), "node")).alias("p"), F.count("*").alias("n")).where("n > 1").select("bucket", F.col("p.node").alias("pivot"))
-    shared = stored(members.join(pivots, "bucket"), f"{folder}/buckets")  # buckets of two nodes or more
+    members = nodes.where(~alone).select("node", F.explode("buckets").alias("bucket"), F.col("first_bits").alias("b0"))
+    several = members.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
+    shared = stored(members.join(several, "bucket"), f"{folder}/members")  # buckets of two nodes or more
+    shared = shared.join(majority(shared), "bucket")
+    pivots = shared.groupBy("bucket").agg(F.min(F.struct(F.bit_count(F.col("b0").bitwiseXOR(F.col("most"))).alias("apart"), F.xxhash64("node").alias("h"), "node")).alias("p")).select("bucket", F.col("p.node").alias("pivot"))
+    shared = stored(shared.select("bucket", "node").join(pivots, "bucket"), f"{folder}/buckets")
     star = shared.where("node <> pivot").select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
     star = stored(star, f"{folder}/star")
     release(spark)
@@ -255,15 +328,8 @@ def classes(docs: DataFrame, folder: str) -> DataFrame:
     placed = shared.select("bucket", "node").join(labels, "node", "left").select("bucket", "node", F.coalesce("label", "node").alias("label"))
     sizes = placed.groupBy("bucket", "label").agg(F.count("*").alias("n"))
     main = sizes.groupBy("bucket").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.count("*").alias("kinds")).where("kinds > 1").select("bucket", "main")
-    words = nodes.select("node", *(F.element_at("bits", i + 1).alias(f"b{i}") for i in range(3)))
     between = stored(placed.join(main, "bucket"), f"{folder}/between")
-    shares = own_shares(between.select("node").distinct(), texts)
-    mixed_ = stored(between.join(words, "node").join(shares, "node"), f"{folder}/mixed")
-    one, two = mixed_.where("label <> main").alias("x"), mixed_.alias("y")
-    apart = sum(F.bit_count(F.col(f"x.b{i}").bitwiseXOR(F.col(f"y.b{i}"))) for i in range(3))  # signatures too far apart
-    again = one.join(two, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.label") != F.col("y.label")) & (apart <= MOST_BITS) & (bound("x", "y") >= THRESHOLD - 1e-9))
-    again = again.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct().join(star, ["a", "b"], "left_anti")
-    more = stored(verified(again, texts), f"{folder}/edges-2")
+    more = stored(between_classes(between, texts, folder), f"{folder}/edges-2")
     if not more.isEmpty():
         labels = components(stored(edges.unionByName(more), f"{folder}/edges"), f"{folder}/second")
     named = nodes.select("node", "digest", "doc_id", alone.alias("alone")).join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
