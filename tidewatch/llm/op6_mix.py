@@ -27,6 +27,8 @@ MOST = 3
 SEED = 20240607
 BINS = 4096
 MAX_PATTERNS = 200_000
+#: Characters in the pattern tables up to which they are broadcast; larger ones are joined by shuffle.
+BROADCAST_CHARS = 4_000_000
 
 
 def targets(sizes: list[int], weights: list[float], most: int = MOST) -> list[float]:
@@ -117,6 +119,9 @@ def mix(docs: DataFrame, weight_of=None, most: int = MOST, seed: int = SEED) ->
         plan.append((r["pattern"], upto, r["size"]))
     plan_df = spark.createDataFrame(plan, "pattern string, share double, pattern_size long")
     edge_df = spark.createDataFrame(edges, "pattern string, low double, high double, for_source string")
+    # tables of patterns up to a checked size are sent to all tasks, so that a common pattern is not one task's
+    if sum(len(r["pattern"]) for r in sums) + sum(len(e[0]) + len(e[3] or "") for e in edges) <= BROADCAST_CHARS:
+        plan_df, edge_df = F.broadcast(plan_df), F.broadcast(edge_df)
     sources = spark.createDataFrame(list(zip(names, sizes, wanted, strict=True)), "source string, source_size long, target double")
 
     place = F.xxhash64(F.lit(seed), "doc_id").alias("place")
