@@ -1,7 +1,7 @@
 """All queries of the engine by name, with their DuckDB twins."""
 
 from ..streaming import hourly
-from . import audit, dashboard, learning
+from . import audit, dashboard, decisions, learning
 
-QUERIES = dashboard.QUERIES | learning.QUERIES | audit.QUERIES | hourly.QUERIES
-ORACLE_SQL = dashboard.ORACLE_SQL | learning.ORACLE_SQL | audit.ORACLE_SQL | hourly.ORACLE_SQL
+QUERIES = dashboard.QUERIES | learning.QUERIES | audit.QUERIES | decisions.QUERIES | hourly.QUERIES
+ORACLE_SQL = dashboard.ORACLE_SQL | learning.ORACLE_SQL | audit.ORACLE_SQL | decisions.ORACLE_SQL | hourly.ORACLE_SQL
