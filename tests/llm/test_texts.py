@@ -199,6 +199,20 @@ def test_near(spark, make, documents, odd, folder):
     assert op10_near.classes(make([]), folder + "-e").count() == 0
 
 
+def test_near_ids(spark, make, folder):
+    """Different texts under null and repeated doc_ids all stay; a text without any doc_id is linked to its near copy."""
+    text = lambda k: " ".join(f"{k}w{i}" for i in range(100))
+    rows = [(None, text("a")), (None, text("a")), (None, text("b")), (None, text("c")), (7, text("d")), (7, text("e")), (7, text("e"))]
+    rows += [(None, text("f")), (9, text("f").replace("fw50 ", "other ")), (3, text("g")), (3, text("h")), (4, text("h"))]
+    rows += [(None, None), (None, None), (None, ""), (5, " "), (5, None), (5, "")]
+    df = make(rows, extra=True)
+    kept = [(r["doc_id"], r["text"]) for r in op10_near.keep_one(df, folder).collect()]
+    want = [(None, text("a")), (None, text("b")), (None, text("c")), (7, text("d")), (7, text("e")), (9, rows[8][1]), (3, text("g")), (3, text("h")), *rows[12:]]
+    assert sorted(kept, key=str) == sorted(want, key=str)
+    found = [(r["doc_id"], r["class_id"]) for r in op10_near.classes(df, folder + "-c").collect()]
+    assert found.count((9, 9)) == 1 and found.count((None, 9)) == 1 and found.count((4, 3)) == 1 and len(found) == len(rows)
+
+
 def test_prob_minhash_estimates():
     rng = np.random.default_rng(5)
     a = {int(k): int(w) for k, w in zip(range(60), rng.integers(1, 6, 60), strict=True)}

@@ -16,7 +16,8 @@ leave a task, so that a large group of loosely similar texts does not give all i
 two classes is lost.
 
 Edge cases: texts without words (and nulls) are alone in their class; repeated rows share a class; a class is
-named by its smallest doc_id; null doc_ids get rows, with their class; an empty table gives an empty result.
+named by its smallest doc_id; null doc_ids get rows, with their class (its name is null where no row has an id); rows
+that share a doc_id, or have none, but not their text are of different classes; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -28,10 +29,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import new_folder, slices, stored, table
+from .common import WORD, new_folder, slices, stored, table
 
 SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 24, 6
@@ -301,8 +302,18 @@ def components(edges: DataFrame, folder: str) -> DataFrame:
         labels = new.select("node", "label")
 
 
+def digest_of(text: str) -> Column:
+    return F.unhex(F.sha2(F.coalesce(F.col(text).cast("string"), F.lit("")).cast("binary"), 256))
+
+
+def row_key(doc_id: str, digest: str | Column) -> Column:
+    """One value, never null, for a doc_id (or none) and the digest of a text: joins and grouping by it share a shuffle."""
+    return F.concat(F.col(digest) if isinstance(digest, str) else digest, F.coalesce(F.col(doc_id).cast("long").cast("string"), F.lit("")).cast("binary"))
+
+
 def classes(docs: DataFrame, folder: str) -> DataFrame:
-    """A row for each document: doc_id, digest of its text, class_id (smallest doc_id of its class)."""
+    """A row for each document: doc_id, digest of its text, label of its class (doc_ids can be null or repeated, labels
+    cannot), whether it is alone for want of words, class_id (smallest doc_id of its class)."""
     spark = docs.sparkSession
     sigs = stored(signed(docs), f"{folder}/signed")
     nodes = stored(sigs.groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.first("buckets").alias("buckets"), F.first("first_bits").alias("first_bits")).withColumn("node", F.monotonically_increasing_id()), f"{folder}/nodes")
@@ -317,10 +328,9 @@ def classes(docs: DataFrame, folder: str) -> DataFrame:
     star = stored(star, f"{folder}/star")
     release(spark)
     # whole texts of the nodes that share a bucket, once each
-    wanted = shared.select("node").distinct().join(nodes.select("node", "doc_id", "digest"), "node")
-    rows = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    named = rows.join(wanted, "doc_id").where(F.unhex(F.sha2(F.col("text").cast("binary"), 256)) == F.col("digest"))
-    texts = stored(named.select("node", "text"), f"{folder}/texts")
+    wanted = shared.select("node").distinct().join(nodes.select("node", "doc_id", "digest"), "node").select("node", row_key("doc_id", "digest").alias("_row_key"))
+    rows = docs.select(row_key("doc_id", digest_of("text")).alias("_row_key"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    texts = stored(rows.join(wanted, "_row_key").dropDuplicates(["_row_key"]).select("node", "text"), f"{folder}/texts")
     release(spark)
     edges = stored(verified(star, texts), f"{folder}/edges-1")
     labels = components(edges, f"{folder}/first")
@@ -334,20 +344,23 @@ def classes(docs: DataFrame, folder: str) -> DataFrame:
         labels = components(stored(edges.unionByName(more), f"{folder}/edges"), f"{folder}/second")
     named = nodes.select("node", "digest", "doc_id", alone.alias("alone")).join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     class_ids = named.groupBy("label").agg(F.min("doc_id").alias("class_id"))
-    by_text = named.join(class_ids, "label").select("digest", "alone", "class_id")
-    return sigs.select("doc_id", "digest").join(by_text, "digest").select("doc_id", "digest", F.when(F.col("alone"), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"))
+    by_text = named.join(class_ids, "label").select("digest", "label", "alone", "class_id")
+    return sigs.select("doc_id", "digest").join(by_text, "digest").select("doc_id", "digest", "label", "alone", F.when(F.col("alone"), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"))
 
 
 def keep_one(docs: DataFrame, folder: str) -> DataFrame:
-    """One row of docs, all columns, for each class: that of its smallest doc_id. Documents without words all stay."""
+    """One row of docs, all columns, for each class: that of its smallest doc_id, then digest; a null doc_id only where
+    the class has no other. Rows without words all stay."""
     spark = docs.sparkSession
-    found = classes(docs, folder)
-    kept = stored(found.where(F.col("doc_id").eqNullSafe(F.col("class_id"))).groupBy("doc_id").agg(F.min("digest").alias("_digest")), f"{folder}/kept")
+    found = classes(docs, folder).where(~F.col("alone"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "digest")).alias("first")
+    kept = found.groupBy("label").agg(first).select(row_key("first.doc_id", "first.digest").alias("_row_key"))
+    kept = stored(kept, f"{folder}/kept")
     release(spark)
-    digest = F.unhex(F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary"), 256))
-    rows = docs.withColumn("_digest", digest).withColumn("_key", F.col("doc_id").cast("long")).alias("d")
-    same = F.col("d._key").eqNullSafe(F.col("k.doc_id")) & (F.col("d._digest") == F.col("k._digest"))
-    return rows.join(kept.alias("k"), same, "left_semi").dropDuplicates(["_key", "_digest"]).select(*docs.columns)
+    words = F.coalesce(F.col("text").cast("string"), F.lit("")).rlike(WORD)
+    rows = docs.where(words).withColumn("_row_key", row_key("doc_id", digest_of("text")))
+    chosen = rows.join(kept, "_row_key", "left_semi").dropDuplicates(["_row_key"]).select(*docs.columns)
+    return chosen.unionByName(docs.where(~words))
 
 
 def op10_near(spark: SparkSession, sf_dir: str) -> DataFrame:
