@@ -213,6 +213,18 @@ def test_near_ids(spark, make, folder):
     assert found.count((9, 9)) == 1 and found.count((None, 9)) == 1 and found.count((4, 3)) == 1 and len(found) == len(rows)
 
 
+def test_near_with_repeated_passage(make, folder):
+    """Copies with a passage repeated 50 times: plain Jaccard above 0.8, probability Jaccard far below."""
+    rows = []
+    for k in range(12):
+        words = [f"{k}w{i}" for i in range(300)]
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(words + words[100:114] * 50))]
+    weighted, plain = op10_near.similarities(*(op10_near.shingle_counts(t) for _, t in rows[:2]))
+    assert weighted < 0.5 and plain > 0.9
+    found = op10_near.classes(make(rows), folder).collect()
+    assert {r["doc_id"]: r["class_id"] for r in found} == {d: d - d % 2 for d, _ in rows}
+
+
 def test_prob_minhash_estimates():
     rng = np.random.default_rng(5)
     a = {int(k): int(w) for k, w in zip(range(60), rng.integers(1, 6, 60), strict=True)}

@@ -5,15 +5,18 @@ have one shingle, all their words). Every shingle has a Poisson process of arriv
 arrivals hit random signature components, a component keeps the first shingle that hits it, and a shingle stops
 once its next arrival is later than all kept ones. Two signatures agree in a component with a chance equal
 to the probability Jaccard of the weighted sets. BANDS bands of ROWS components give candidates; a pair is
-linked if its exact probability Jaccard, or the plain Jaccard of its shingle sets, reaches THRESHOLD.
+linked if its exact probability Jaccard, or the plain Jaccard of its shingle sets, reaches THRESHOLD. A text that
+repeats shingles has a second signature, with all weights 1, whose components agree with a chance equal to the plain
+Jaccard; its bands give buckets of the same numbers, as the signature of a text without repeats is both at once.
 
 Copies of a text are one node throughout. In a bucket every node is first compared with one pivot, the node whose
 signature bits are nearest to the bucket's majority: in a group of edited copies that is the text they come from, if
 it is there, which most of them are similar to even where they are too far from each other. After the classes
 of these links are known, the nodes of a bucket outside its largest class are compared with all nodes of the bucket
 that are in another class, exactly, by counting common shingles in blocks of bounded size inside tasks: only links
-leave a task, so that a large group of loosely similar texts does not give all its pairs, and no link that would join
-two classes is lost.
+leave a task, so that a large group of loosely similar texts does not give all its pairs, and no link of a bucket
+that would join two classes is lost. Pairs that share no bucket are not found: chance (1 - s ** ROWS) ** BANDS at
+most, at similarity s by the better of both measures.
 
 Edge cases: texts without words (and nulls) are alone in their class; repeated rows share a class; a class is
 named by its smallest doc_id; null doc_ids get rows, with their class (its name is null where no row has an id); rows
@@ -108,6 +111,19 @@ def bands_of(signatures: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> np
     return h.view(np.int64)
 
 
+def all_bands(signatures: np.ndarray, of: np.ndarray, keys: np.ndarray, counts: np.ndarray) -> list[np.ndarray]:
+    """Bucket numbers of every text: of its weighted signature and, where shingles repeat, of the unweighted one."""
+    numbers = list(bands_of(signatures))
+    repeats = np.zeros(len(numbers), bool)
+    repeats[of[counts > 1]] = True
+    if repeats.any():
+        inside, at = repeats[of], np.cumsum(repeats) - 1
+        plain = bands_of(prob_minhash(at[of[inside]], keys[inside], np.ones(inside.sum()), int(repeats.sum())))
+        for i, row in zip(np.flatnonzero(repeats), plain, strict=True):
+            numbers[i] = np.union1d(numbers[i], row)
+    return numbers
+
+
 def similarities(x: dict[int, int], y: dict[int, int]) -> tuple[float, float]:
     """(probability Jaccard, Jaccard of the sets) of two weighted shingle sets."""
     if not x or not y:
@@ -153,7 +169,7 @@ def signed(docs: DataFrame) -> DataFrame:
             texts = dict(zip(digests, batch.column("text").to_pylist(), strict=True))
             of, keys, counts = shingles(list(texts.values()))
             signatures = prob_minhash(of, keys, counts.astype(float), len(texts))
-            numbers, bits = bands_of(signatures), dict(zip(texts, bits_of(signatures), strict=True))
+            numbers, bits = all_bands(signatures, of, keys, counts), dict(zip(texts, bits_of(signatures), strict=True))
             filled = np.bincount(of, minlength=len(texts)) > 0
             by = {d: (row if f else row[:0]) for d, row, f in zip(texts, numbers, filled, strict=True)}
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(digests, pa.binary()), pa.array([by[d] for d in digests], pa.list_(pa.int64())), pa.array([bits[d] for d in digests], pa.int64())], schema=schema)
