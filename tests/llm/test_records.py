@@ -98,6 +98,27 @@ def test_chat_tree(spark, folder):
         assert op3_chat.unescape(op3_chat.escape(text)) == text and (text == "plain" or text not in op3_chat.escape(text) or "\\" in text)
 
 
+def test_deep_chat_tree(spark, folder):
+    """Conversations of 700 turns that part at turns 100, 300 and 301: one tree, against plain computation."""
+    rows = [(c, i, "assistant" if i % 2 else "user", f"turn {i}" + (f" of {c}" if i >= part else "")) for c, part in ((1, 900), (2, 300), (3, 100), (4, 301), (5, 300)) for i in range(700)]
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    member, tree = op3_chat.format_tree(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), folder, path)
+    at = {bytes(r["node"]): r for r in tree.collect()}
+    assert len(at) == 700 + 400 + 600 + 399 + 400 and len({bytes(r["tree"]) for r in at.values()}) == 1
+    filled = sorted((r["start"], r["start"] + len(r["ids"])) for r in at.values())
+    assert filled[0][0] == 0 and all(x[1] == y[0] for x, y in zip(filled, filled[1:]))  # noqa: B905
+    above: dict = {}
+    for r in sorted(member.collect(), key=lambda r: (r["conv_id"], r["idx"])):
+        if r["idx"] == 0:
+            want: list = []
+        node = at[bytes(r["node"])]
+        assert [(s["a"], s["b"]) for s in node["ancestors"] or []] == want and node["position"] == sum(b - a for a, b in want)
+        a, b = node["start"], node["start"] + len(node["ids"])
+        want = [*want[:-1], (want[-1][0], b)] if want and want[-1][1] == a else [*want, (a, b)]
+        above.setdefault(bytes(r["node"]), []).append(r["conv_id"])
+    assert sorted(map(len, above.values()))[-1] == 5
+
+
 def test_packing(spark, make, documents, odd, folder):
     rows = [(i, t) for i, (_, t) in enumerate(documents + odd)]
     encode = library("word_bpe_49k.json")

@@ -12,9 +12,10 @@ one more), which reading back takes off again.
 
 Scale: no tree, conversation group or hot first turn is held whole. Turns are scanned in order with a
 running hash; nodes are deduplicated with map-side combining, range-partitioned by path and numbered by
-prefix sums over partitions; intervals come from a join on ancestors. Only the running hash of one
-conversation needs its turns in sequence, and it streams. Paths hold 8 bytes a turn: beyond MAX_DEPTH turns
-a new tree starts, with positions from 0.
+prefix sums over partitions; intervals come from a join on ancestors. Only the running hash and path of one
+conversation need its turns in sequence, and they stream. Conversations may be of any depth: a path names the
+chains it passes, not the turns. A chain starts at a root or below a node with several children and goes on
+while there is one child, so its tokens are one interval and a path grows only where conversations part.
 
 Edge cases: null texts and roles are empty; repeated rows and equal turn numbers stay, ordered by role and
 text; a null conv_id is a conversation of its own; an empty table gives an empty result.
@@ -38,7 +39,8 @@ CONTROL = [TURN, TEXT, END, "<|im_start|>", "<|im_end|>", "<|endoftext|>", "<s>"
 _ANY = "|".join(re.escape(c[1:]) for c in CONTROL)
 _ESCAPE = re.compile(rf"([<\[])(\\*)({_ANY})")
 _UNESCAPE = re.compile(rf"([<\[])\\(\\*)({_ANY})")
-MAX_DEPTH = 256
+#: Digests in the paths of a batch.
+PATHS = 65_536
 
 
 def escape(text: str) -> str:
@@ -59,26 +61,54 @@ def parse_turn(header: str, body: str) -> tuple[str, str]:
 
 
 def chained(turns: DataFrame) -> DataFrame:
-    """One row a turn: conv_id, idx, node (chained digest), path (digest heads of the tree), role, text."""
-    schema = pa.schema([("conv_id", pa.int64()), ("idx", pa.int64()), ("node", pa.binary()), ("path", pa.list_(pa.binary())), ("role", pa.string()), ("text", pa.string())])
+    """One row a turn: conv_id, idx, node (chained digest), parent (null for a first turn), role, text."""
+    schema = pa.schema([("conv_id", pa.int64()), ("idx", pa.int64()), ("node", pa.binary()), ("parent", pa.binary()), ("role", pa.string()), ("text", pa.string())])
 
     def chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, first, idx, node, path = None, True, 0, b"", []
+        last, first, idx, node = None, True, 0, b""
         for batch in slices(batches):
             rows = []
             for conv, role, text in zip(*(batch.column(c).to_pylist() for c in ("conv_id", "role", "text")), strict=True):
                 if first or conv != last:
-                    last, first, idx, node, path = conv, False, 0, b"", []
+                    last, first, idx, node = conv, False, 0, b""
                 a, b = role.encode(), text.encode()
-                node = hashlib.sha256(node + len(a).to_bytes(8, "big") + a + b).digest()
-                path = [*(path if len(path) < MAX_DEPTH else []), node]
-                rows.append({"conv_id": conv, "idx": idx, "node": node, "path": path, "role": role, "text": text})
+                parent, node = node or None, hashlib.sha256(node + len(a).to_bytes(8, "big") + a + b).digest()
+                rows.append({"conv_id": conv, "idx": idx, "node": node, "parent": parent, "role": role, "text": text})
                 idx += 1
             yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
     rows = turns.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     ordered = rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
-    return ordered.mapInArrow(chain, "conv_id long, idx long, node binary, path array<binary>, role string, text string")
+    return ordered.mapInArrow(chain, "conv_id long, idx long, node binary, parent binary, role string, text string")
+
+
+def paths(rows: DataFrame) -> DataFrame:
+    """node and path: the digests of the nodes that start the chains from the root to the node; the last is its own chain's."""
+    schema = pa.schema([("node", pa.binary()), ("path", pa.list_(pa.binary()))])
+
+    def follow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        path: list[bytes] = []
+        for batch in slices(batches):
+            nodes, found, held = [], [], 0
+            for idx, node, starts in zip(*(batch.column(c).to_pylist() for c in ("idx", "node", "starts")), strict=True):
+                if idx == 0:
+                    path = [node]
+                elif starts:
+                    path = [*path, node]
+                nodes.append(node)
+                found.append(path)
+                held += len(path)
+                if held >= PATHS:
+                    yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.binary()), pa.array(found, pa.list_(pa.binary()))], schema=schema)
+                    nodes, found, held = [], [], 0
+            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.binary()), pa.array(found, pa.list_(pa.binary()))], schema=schema)
+
+    links = rows.where("parent is not null").select("parent", "node").distinct()
+    several = links.groupBy("parent").agg(F.count("*").alias("n")).where("n > 1")
+    starts = links.join(several, "parent", "left_semi").select("node", F.lit(True).alias("starts"))
+    marked = rows.select("conv_id", "idx", "node").join(starts, "node", "left").select("conv_id", "idx", "node", "starts")
+    followed = marked.repartition("conv_id").sortWithinPartitions("conv_id", "idx").mapInArrow(follow, "node binary, path array<binary>")
+    return followed.groupBy("node").agg(F.first("path").alias("path"))
 
 
 def tokenized(nodes: DataFrame, tokenizer: str) -> DataFrame:
@@ -110,11 +140,11 @@ def format_tree(turns: DataFrame, folder: str, tokenizer: str) -> tuple[DataFram
     """(membership, tree): conversations' nodes in order, and the laid-out nodes; both stored in ``folder``."""
     rows = stored(chained(turns), f"{folder}/turns")
     member = rows.select("conv_id", "idx", "node")
-    nodes = rows.groupBy("node").agg(*(F.first(c).alias(c) for c in ("path", "idx", "role", "text")))
-    # depth first: a node's path is a prefix of its descendants' paths
+    nodes = rows.groupBy("node").agg(*(F.first(c).alias(c) for c in ("idx", "role", "text"))).join(paths(rows), "node")
+    # depth first: a chain's path is a prefix of the paths below it, and its nodes come before those
     sort_key = F.concat_ws("", F.transform("path", lambda p: F.hex(F.substring(p, 1, 8)))).alias("sort_key")
     # ordered before tokenizing: the range partitioning samples its input, which would tokenize every node twice
-    ordered = nodes.withColumn("sort_key", sort_key).repartitionByRange("sort_key").sortWithinPartitions("sort_key").drop("sort_key")
+    ordered = nodes.withColumn("sort_key", sort_key).repartitionByRange("sort_key", "idx").sortWithinPartitions("sort_key", "idx").drop("sort_key")
     cells = tokenized(ordered, tokenizer).select("*", sort_key, F.element_at("path", 1).alias("tree"), F.size("ids").cast("long").alias("n"))
     local = stored(cells.select("*", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("rank")), f"{folder}/cells")
     # running sums inside a partition, then over partitions
@@ -122,24 +152,33 @@ def format_tree(turns: DataFrame, folder: str, tokenizer: str) -> tuple[DataFram
 
     inside = Window.partitionBy("part").orderBy("rank").rowsBetween(Window.unboundedPreceding, -1)
     bases = part_bases(local.groupBy("part").agg(F.sum("n").alias("total")), "part", "total").select("part", "base")
-    global_at = local.select("node", "path", "tree", "n", "part", F.coalesce(F.sum("n").over(inside), F.lit(0)).alias("at")).join(bases, "part").select("node", "path", "tree", "n", (F.col("at") + F.col("base")).alias("at"))
+    global_at = local.select("node", "path", "prior", "tree", "n", "part", F.coalesce(F.sum("n").over(inside), F.lit(0)).alias("at")).join(bases, "part").select("node", "path", "prior", "tree", "n", (F.col("at") + F.col("base")).alias("at"))
     starts = stored(global_at, f"{folder}/starts")
-    roots = starts.where(F.size("path") == 1).select("tree", F.col("at").alias("tree_at"))
-    placed = starts.join(roots, "tree").select("node", "path", "n", (F.col("at") - F.col("tree_at")).alias("start"))
-    above = placed.select("node", F.explode(F.slice("path", 1, F.size("path") - 1)).alias("up"))
-    spans = above.join(placed.select(F.col("node").alias("up"), F.col("start").alias("a"), (F.col("start") + F.col("n")).alias("b")), "up")
+    roots = starts.where("prior = 0").select("tree", F.col("at").alias("tree_at"))
+    placed = starts.join(roots, "tree").select("node", F.element_at("path", -1).alias("chain"), "path", "n", (F.col("at") - F.col("tree_at")).alias("start"))
+    # a chain is one interval; a node's ancestors are the chains above its own and its own chain's tokens before it
+    chains = stored(placed.groupBy("chain").agg(F.min("start").alias("a"), F.max(F.col("start") + F.col("n")).alias("b"), F.first("path").alias("path")), f"{folder}/chains")
+    above = chains.select("chain", F.explode(F.slice("path", 1, F.size("path") - 1)).alias("up"))
+    spans = above.join(chains.select(F.col("chain").alias("up"), "a", "b"), "up")
+    listed = spans.groupBy("chain").agg(F.array_sort(F.collect_list(F.struct("a", "b"))).alias("x"), F.sum(F.col("b") - F.col("a")).alias("before"))
     merged = F.expr(
-        "aggregate(array_sort(collect_list(struct(a, b))), cast(array() as array<struct<a:bigint,b:bigint>>), (acc, x) -> "
-        "if(size(acc) > 0 and element_at(acc, -1).b = x.a, concat(slice(acc, 1, size(acc) - 1), array(struct(element_at(acc, -1).a as a, x.b as b))), concat(acc, array(x))))"
+        "zip_with(filter(x, (s, i) -> i = 0 or x[greatest(i - 1, 0)].b <> s.a), filter(x, (s, i) -> i = size(x) - 1 or x[least(i + 1, size(x) - 1)].a <> s.b), "
+        "(s, e) -> struct(s.a as a, e.b as b))"
+    )
+    upper = chains.select("chain", F.col("a").alias("chain_at")).join(listed.select("chain", "before", merged.alias("upper")), "chain", "left")
+    own = F.expr(
+        "case when start = chain_at then upper when upper is null then array(struct(chain_at as a, start as b)) "
+        "when element_at(upper, -1).b = chain_at then concat(slice(upper, 1, size(upper) - 1), array(struct(element_at(upper, -1).a as a, start as b))) "
+        "else concat(upper, array(struct(chain_at as a, start as b))) end"
     )
-    ancestors = spans.groupBy("node").agg(merged.alias("ancestors"), F.sum(F.col("b") - F.col("a")).alias("position"))
+    position = F.coalesce("before", F.lit(0)) + F.col("start") - F.col("chain_at")
+    ancestors = placed.select("node", "chain", "start").join(upper, "chain").select("node", "start", own.alias("ancestors"), position.alias("position"))
     tree = (
-        local.select("node", "tree", "sort_key", "ids", "n", "cut1", "cut2", "chars", "loss")
-        .join(placed.select("node", "start"), "node")
-        .join(ancestors, "node", "left")
-        .select("node", "tree", "start", F.coalesce("position", F.lit(0)).alias("position"), "ancestors", "ids", F.col("cut1").alias("body_start"), F.col("cut2").alias("body_end"), F.when(F.col("loss"), F.col("cut1")).alias("loss_start"), F.when(F.col("loss"), F.col("cut2")).alias("loss_end"), "chars", "sort_key")
+        local.select("node", "tree", "sort_key", "prior", "ids", "n", "cut1", "cut2", "chars", "loss")
+        .join(ancestors, "node")
+        .select("node", "tree", "start", "position", "ancestors", "ids", F.col("cut1").alias("body_start"), F.col("cut2").alias("body_end"), F.when(F.col("loss"), F.col("cut1")).alias("loss_start"), F.when(F.col("loss"), F.col("cut2")).alias("loss_end"), "chars", "sort_key", "prior")
     )
-    laid = tree.repartitionByRange("sort_key").sortWithinPartitions("sort_key").drop("sort_key")
+    laid = tree.repartitionByRange("sort_key", "prior").sortWithinPartitions("sort_key", "prior").drop("sort_key", "prior")
     return member, stored(laid, f"{folder}/tree")
 
 
