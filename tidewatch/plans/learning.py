@@ -278,6 +278,38 @@ def o5_11_links(spark, sf_dir):
 S5_11 = """SELECT page_id, unnest(list_distinct(regexp_extract_all(html, 'href="(https?://[^"#]+)', 1))) AS link FROM pages"""
 
 
+#: What is no markup of its own, links, and the start of a page's address.
+_HIDDEN, _HREF = r"(?is)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>", r"""(?is)<a\s(?:[^>]*?\s)?href\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)"""
+_SCHEME, _HOST = r"^([A-Za-z][A-Za-z0-9+.-]*:)//", r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)"
+
+
+def o5_11_page_links(spark, sf_dir):
+    """Distinct http links of every page's anchors, those from "/" on put after the page's scheme and host (O5.11).
+
+    Single and double quotes and none; the five basic entities are read. "#", "javascript:" and "mailto:" are no http
+    links, nor are relative ones without a leading "/". Dot segments stay as they are written.
+    """
+    raw = F.transform(F.regexp_extract_all(F.regexp_replace("html", _HIDDEN, ""), F.lit(_HREF), F.lit(1)), lambda x: F.regexp_replace(x, "^[\"']|[\"']$", ""))
+
+    def read_entities(x):
+        for name, sign in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
+            x = F.replace(x, F.lit(name), F.lit(sign))
+        return x
+
+    def resolved(x):
+        scheme, host = (F.regexp_extract(F.coalesce("url", F.lit("")), p, 1) for p in (_SCHEME, _HOST))
+        return F.when(x.startswith("//"), F.concat(scheme, x)).when(x.startswith("/"), F.concat(host, x)).otherwise(x)
+
+    links = F.filter(F.transform(F.transform(raw, read_entities), resolved), lambda x: x.startswith("http"))
+    return read(spark, sf_dir, "pages").select("page_id", F.explode(F.array_distinct(links)).alias("link"))
+
+
+S5_11_PAGE = r"""WITH p AS (SELECT page_id, coalesce(url, '') AS url, unnest(regexp_extract_all(regexp_replace(html, '(?is)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>', '', 'g'), '(?is)<a\s(?:[^>]*?\s)?href\s*=\s*("[^"]*"|''[^'']*''|[^\s"''>]+)', 1)) AS h FROM pages),
+x AS (SELECT page_id, url, replace(replace(replace(replace(replace(regexp_replace(h, '^["'']|["'']$', '', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', chr(39)), '&amp;', '&') AS h FROM p),
+r AS (SELECT page_id, CASE WHEN starts_with(h, '//') THEN regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*:)//', 1) || h WHEN starts_with(h, '/') THEN regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)', 1) || h ELSE h END AS link FROM x)
+SELECT DISTINCT page_id, link FROM r WHERE starts_with(link, 'http')"""
+
+
 def o10_2_centroids(spark, sf_dir):
     """Class centroids of normalised vectors, renormalised, and each vector's best class (O10.1 to O10.3)."""
     v = F.transform("embedding", lambda x: x.cast("double"))
@@ -294,5 +326,5 @@ S10_2 = """WITH n AS (SELECT vec_id, label, list_transform(embedding, lambda x:
 m AS (SELECT label, i, avg(v[i]) AS x FROM u, (SELECT unnest(range(1, 65)) AS i) GROUP BY 1, 2), c AS (SELECT label, list(x ORDER BY i) AS c FROM m GROUP BY 1), k AS (SELECT label AS class, list_transform(c, lambda x: x / sqrt(list_dot_product(c, c))) AS c FROM c),
 s AS (SELECT vec_id, class, list_dot_product(v, c) AS cosine FROM u, k) SELECT vec_id, arg_max(class, (round(cosine, 9), -class)) AS class, round(max(cosine), 5) AS cosine FROM s GROUP BY 1"""
 
-QUERIES = {f.__name__: f for f in (o4_14_source_accuracy, o9_1_beliefs, o9_5_source_weights, o4_19_user_profiles, o4_22_source_features, o3_24_similarity, o6_5_zscores, o11_3_signals, o11_4_cooldown, o4_40_backtest, o6_17_lead_lag, o6_16_drawdown, o8_3_granger, o5_3_segments, o5_16_dedup, o5_11_links, o10_2_centroids)}
-ORACLE_SQL = {"o4_14_source_accuracy": S4_14, "o9_1_beliefs": S9_1, "o4_19_user_profiles": S4_19, "o4_22_source_features": S4_22, "o3_24_similarity": S3_24, "o6_5_zscores": S6_5, "o11_3_signals": S11_3, "o11_4_cooldown": S11_4, "o4_40_backtest": S4_40, "o6_17_lead_lag": S6_17, "o6_16_drawdown": S6_16, "o5_3_segments": S5_3, "o5_16_dedup": S5_16, "o5_11_links": S5_11, "o10_2_centroids": S10_2}
+QUERIES = {f.__name__: f for f in (o4_14_source_accuracy, o9_1_beliefs, o9_5_source_weights, o4_19_user_profiles, o4_22_source_features, o3_24_similarity, o6_5_zscores, o11_3_signals, o11_4_cooldown, o4_40_backtest, o6_17_lead_lag, o6_16_drawdown, o8_3_granger, o5_3_segments, o5_16_dedup, o5_11_links, o5_11_page_links, o10_2_centroids)}
+ORACLE_SQL = {"o4_14_source_accuracy": S4_14, "o9_1_beliefs": S9_1, "o4_19_user_profiles": S4_19, "o4_22_source_features": S4_22, "o3_24_similarity": S3_24, "o6_5_zscores": S6_5, "o11_3_signals": S11_3, "o11_4_cooldown": S11_4, "o4_40_backtest": S4_40, "o6_17_lead_lag": S6_17, "o6_16_drawdown": S6_16, "o5_3_segments": S5_3, "o5_16_dedup": S5_16, "o5_11_links": S5_11, "o5_11_page_links": S5_11_PAGE, "o10_2_centroids": S10_2}
