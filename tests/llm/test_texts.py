@@ -151,6 +151,15 @@ def test_personal_data(spark, make, documents, odd, folder):
     assert op7_pii.detect(make([]), folder + "-e").count() == 0
 
 
+def test_long_secrets(make, folder):
+    """No part of a secret stays behind, however long it is."""
+    secret = lambda k, n: hashlib.sha256(str(k).encode()).hexdigest().translate(str.maketrans("0123456789", "g1hijklmno")) * (n // 64 + 1)
+    lengths = [40, 64, 199, 200, 201, 400, 6000]
+    rows = [(i, f"some words, then api_key = '{secret(i, n)[:n]}' and more words") for i, n in enumerate(lengths * 4)]
+    out = {r["doc_id"]: r["text"] for r in op7_pii.redact(make(rows), folder).collect()}
+    assert set(out.values()) == {"some words, then <secret> and more words"}
+
+
 def test_quality(spark, make, documents, odd, folder):
     rows = documents + [(10**6 + i, t) for i, (_, t) in enumerate(odd)]
     labels = spark.createDataFrame([(d, int(d % 3 > 0), 0) for d, _ in documents] + [(None, None, None)], "doc_id long, quality int, toxic int")

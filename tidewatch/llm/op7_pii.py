@@ -36,7 +36,7 @@ BASE = {
 HINTS = {"email": "%@%", "ip": "%.%", "card": "%", "phone": "%+%"}
 #: Wider candidates that are no base kind.
 WIDE = {
-    "secret": r"(?i)\b(?:token|secret|password|passwd|api_?key)\b\s{0,3}[=:]\s{0,3}[\"']?[A-Za-z0-9_/+.-]{8,200}+[\"']?",
+    "secret": r"(?i)\b(?:token|secret|password|passwd|api_?key)\b\s{0,3}[=:]\s{0,3}[\"']?[A-Za-z0-9_/+.-]{8,}+[\"']?",
     "handle": r"(?i)\b[a-z0-9_.-]{1,64}+ ?[\[(] ?at ?[\])] ?[a-z0-9-]{1,63}+ ?[\[(] ?dot ?[\])] ?[a-z]{2,24}\b",
     "number": r"(?<![0-9.+-])[0-9]{3}[-. ][0-9]{2,4}[-. ][0-9]{4}(?![0-9-])",
 }
