@@ -1,21 +1,31 @@
 """Removal of repeated passages by prefix-free parsing of the corpus.
 
-A document is parsed at rolling-hash triggers: the GRAM-byte strings whose hash is least among those of some
-SPAN-byte string. So every SPAN-byte string holds a trigger, equal strings hold the same one at the same place,
-and a phrase (a trigger with the text that the strings assigned to it cover) is at most 2 * SPAN - GRAM bytes long.
-Distinct phrases are the dictionary; triggers of a single document drop out first. The suffixes of a
-trigger's phrases that are SPAN bytes or longer are sorted (by fingerprint: only runs of equal SPAN-byte prefixes
-matter, not their order), and every run yields the smallest document it starts in. Back in the parse, a document
-loses the bytes of every string whose run has a smaller document.
-
-Scale: documents are dealt into blocks of about BLOCK_BYTES. A block sends each distinct trigger and each
-distinct phrase once, with its smallest and largest document, so copies collapse before any shuffle. Triggers in
-more than HOT documents send single SPAN-byte strings, keyed by content, instead of phrases keyed by trigger, so
-that no task gets all surroundings of a very common line. Nothing is broadcast or collected.
+Rolling-hash triggers cut documents into phrases: a trigger is the GRAM-byte string whose hash is least among those of
+some SPAN-byte string, so every SPAN-byte string holds a trigger, and equal strings hold the same one at the same
+place. A dictionary phrase is the text before a trigger with the trigger at its end; the parse goes on from there.
+Both reach as far as the strings assigned to the trigger do, REACH bytes at most on either side.
+
+Three sorted structures decide, each in pieces of whole triggers, so that Spark partitions them:
+
+* suffix array of the dictionary: phrases of a trigger sorted from their ends, with the lengths of common suffixes; its
+  entries are the suffixes (phrase, bytes before the trigger), and those of one length that are equal are neighbours;
+* suffix array of the parse: what follows from a trigger on, in lexicographic order, with the lengths of common prefixes;
+* corpus order: a position of the corpus is a suffix of a phrase and the parse after it. Sorted by the ranks in the two
+  arrays, positions whose next SPAN bytes are equal are runs (the suffixes are equal, the common prefix reaches
+  over the rest). A run yields the smallest document it starts in.
+
+Ranks come from bytes alone, hashes only bring equal things together, and a phrase found again in its document is compared
+byte by byte before anything is removed.
+
+Scale: documents are dealt into blocks of about BLOCK_BYTES, several to a partition. A block sends each distinct trigger
+and each distinct pair of phrase and continuation once, with its smallest and largest document, so copies collapse
+before any shuffle. Triggers at more than HOT places send their SPAN-byte strings one by one, keyed and sorted by
+content, smallest document first, so that no task holds the surroundings of a very common line: those rows are
+answered as they stream. Nothing is broadcast or collected.
 
 Edge cases: null and empty texts keep nothing and lose nothing; texts shorter than SPAN bytes stay whole;
-rows with equal doc_id never remove from each other; a null doc_id counts as larger than all others; an empty table
-gives an empty result; extra columns are ignored.
+rows with equal doc_id never remove from each other; a null doc_id counts as larger than all others; very long texts
+are parsed in pieces; an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -33,15 +43,17 @@ from .op10_near import mixed, release
 
 SPAN, GRAM = 50, 16
 REACH = SPAN - GRAM  # most bytes of a string on one side of its trigger
-WIDE = SPAN + REACH  # longest phrase
-BLOCK_BYTES = 16 << 20
-CHUNK_BYTES = 2 << 20
+WIDE = SPAN + REACH  # a phrase with its continuation
+BLOCK_BYTES, PART_BYTES = 8 << 20, 64 << 20
+PIECE_BYTES = 1 << 20
 HOT = 20_000
+GROUP_ROWS = 40_000
 LAST = (1 << 63) - 1
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15
-_POWERS = np.cumprod(np.r_[_U(1), np.full(WIDE, _BASE, _U)])
-_INVERSES = np.cumprod(np.r_[_U(1), np.full(WIDE, pow(_BASE, -1, 1 << 64), _U)])
+_PIECE = PIECE_BYTES + WIDE
+_POWERS = np.cumprod(np.r_[_U(1), np.full(_PIECE, _BASE, _U)])
+_INVERSES = np.cumprod(np.r_[_U(1), np.full(_PIECE, pow(_BASE, -1, 1 << 64), _U)])
 
 
 def gram_hashes(data: np.ndarray) -> np.ndarray:
@@ -53,12 +65,13 @@ def gram_hashes(data: np.ndarray) -> np.ndarray:
     return mixed(h)
 
 
-def parse(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Phrases of concatenated texts (``ends``: where each ends): (text number, trigger hash, first string start,
-    number of strings). Strings that cross texts are none."""
+def parse(data: np.ndarray, whole: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Phrases of a piece (``whole``: where a SPAN-byte string of one text starts): (trigger hash, bytes before the trigger,
+    first string start, number of strings)."""
     none = np.zeros(0, np.int64)
-    if len(data) < SPAN:
-        return none, none.astype(_U), none, none
+    at = np.flatnonzero(whole)
+    if not len(at):
+        return none.astype(_U), none, none, none
     h = gram_hashes(data)
     key = ((h >> _U(32)) << _U(32)) | np.arange(len(h), dtype=_U)  # ties: the leftmost
     least, k, width = key, 1, REACH + 1
@@ -67,81 +80,10 @@ def parse(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...]:
         k *= 2
     n = len(data) - SPAN + 1
     least = np.minimum(least[:n], least[width - k : width - k + n])
-    starts = np.r_[0, ends[:-1]]
-    whole = np.zeros(n + 1, np.int64)
-    long_ = ends - starts >= SPAN
-    np.add.at(whole, starts[long_], 1)
-    np.add.at(whole, ends[long_] - SPAN + 1, -1)
-    at = np.flatnonzero(np.cumsum(whole[:-1]) > 0)
     trigger = (least[at] & _U(0xFFFFFFFF)).astype(np.int64)
-    cut = np.flatnonzero(np.r_[True, np.diff(trigger) != 0]) if len(at) else none
+    cut = np.flatnonzero(np.r_[True, np.diff(trigger) != 0])
     first = at[cut]
-    count = np.diff(np.r_[cut, len(at)])
-    return np.searchsorted(ends, first, side="right"), h[trigger[cut]], first, count
-
-
-def phrase_rows(data: np.ndarray, first: np.ndarray, count: np.ndarray) -> np.ndarray:
-    """[n, WIDE] bytes of the phrases, zeros behind their ends."""
-    padded = np.r_[data, np.zeros(WIDE, np.uint8)]
-    rows = padded[first[:, None] + np.arange(WIDE)]
-    rows[np.arange(WIDE) >= (count + SPAN - 1)[:, None]] = 0
-    return rows
-
-
-def string_hashes(rows: np.ndarray) -> np.ndarray:
-    """[n, REACH + 1] hashes of the SPAN bytes from each offset of the phrases on."""
-    sums = np.zeros((len(rows), WIDE + 1), _U)
-    np.cumsum((rows.astype(_U) + _U(1)) * _POWERS[:WIDE], axis=1, out=sums[:, 1:])
-    return mixed((sums[:, SPAN:] - sums[:, : WIDE - SPAN + 1]) * _INVERSES[: REACH + 1])
-
-
-def phrase_ids(rows: np.ndarray, count: np.ndarray) -> np.ndarray:
-    """64-bit name of a phrase."""
-    return mixed(((rows.astype(_U) + _U(1)) * _POWERS[:WIDE]).sum(axis=1, dtype=_U) ^ mixed(count.astype(_U)))
-
-
-def chunks(texts: list[bytes]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(number of the first text, bytes, ends) of runs of whole texts."""
-    at = 0
-    while at < len(texts):
-        size, upto = 0, at
-        while upto < len(texts) and (size == 0 or size + len(texts[upto]) <= CHUNK_BYTES):
-            size += len(texts[upto])
-            upto += 1
-        yield at, np.frombuffer(b"".join(texts[at:upto]), np.uint8), np.cumsum([len(t) for t in texts[at:upto]])
-        at = upto
-
-
-def raw_texts(column) -> list[bytes]:
-    return [(t or "").encode() for t in column.to_pylist()]
-
-
-def _triggers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """block, trigger, docs (1, or 2 for more): the distinct triggers of each block of a sorted partition."""
-    schema = pa.schema([("block", pa.int32()), ("trigger", pa.int64()), ("docs", pa.int64())])
-
-    def close(block, found):
-        t, n = np.unique(np.concatenate(found), return_counts=True) if found else (np.zeros(0, _U), np.zeros(0, np.int64))
-        for at in range(0, len(t), 100_000):
-            some = t[at : at + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), block, np.int32)), pa.array(some.view(np.int64)), pa.array(n[at : at + 100_000])], schema=schema)
-
-    block, found = None, []
-    for batch in slices(batches, 512):
-        blocks = np.asarray(batch.column("block"))
-        for b in dict.fromkeys(blocks.tolist()):
-            if b != block:
-                if block is not None:
-                    yield from close(block, found)
-                block, found = b, []
-            texts = raw_texts(batch.column("text").take(pa.array(np.flatnonzero(blocks == b))))
-            for _, data, ends in chunks(texts):
-                of, trigger, _, _ = parse(data, ends)
-                order = np.lexsort((trigger, of))
-                of, trigger = of[order], trigger[order]
-                found.append(trigger[np.r_[True, (np.diff(of) != 0) | (trigger[1:] != trigger[:-1])]] if len(of) else trigger)
-    if block is not None:
-        yield from close(block, found)
+    return h[trigger[cut]], trigger[cut] - first, first, np.diff(np.r_[cut, len(at)])
 
 
 def _in(values: np.ndarray, sorted_: np.ndarray) -> np.ndarray:
@@ -150,17 +92,91 @@ def _in(values: np.ndarray, sorted_: np.ndarray) -> np.ndarray:
     return sorted_[np.minimum(np.searchsorted(sorted_, values), len(sorted_) - 1)] == values
 
 
-def _phrases(texts: list[bytes], wanted: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """(first text, text numbers, triggers, first starts, counts, phrase rows) of the phrases with a wanted trigger."""
-    for base, data, ends in chunks(texts):
-        of, trigger, first, count = parse(data, ends)
-        hit = _in(trigger, wanted)
-        of, trigger, first, count = of[hit], trigger[hit], first[hit], count[hit]
-        yield base, of, trigger, first, count, phrase_rows(data, first, count)
-
-
-PHRASES = pa.schema([("block", pa.int32()), ("key", pa.int64()), ("trigger", pa.int64()), ("id", pa.int64()), ("count", pa.int32()), ("body", pa.binary()), ("low", pa.int64()), ("high", pa.int64())])
-RUNS = pa.schema([("block", pa.int32()), ("trigger", pa.int64()), ("id", pa.int64()), ("first", pa.int32()), ("last", pa.int32()), ("source", pa.int64())])
+class Block:
+    """The texts of a block in a fixed order, and their phrases."""
+
+    def __init__(self, docs: pa.Table) -> None:
+        docs = docs.sort_by([("doc_id", "ascending"), ("text", "ascending")])
+        self.doc_id = docs.column("doc_id")
+        self.ids = np.asarray(self.doc_id.fill_null(LAST))
+        raw = [(t or "").encode() for t in docs.column("text").to_pylist()]
+        self.ends = np.cumsum([len(t) for t in raw], dtype=np.int64)
+        self.data = np.frombuffer(b"".join(raw), np.uint8)
+        starts = np.r_[0, self.ends[:-1]][: len(raw)]
+        edge = np.zeros(len(self.data) + 1, np.int8)
+        long_ = self.ends - starts >= SPAN
+        edge[starts[long_]] += 1
+        edge[self.ends[long_] - SPAN + 1] -= 1
+        self.whole = np.cumsum(edge[:-1], dtype=np.int8)
+
+    def phrases(self, wanted: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
+        """(text number, trigger, bytes before it, first string start, number of strings, name) of the phrases whose
+        trigger is wanted (None: all, without names)."""
+        found = []
+        for a in range(0, max(1, len(self.data)), PIECE_BYTES):
+            data = self.data[a : a + PIECE_BYTES + SPAN - 1]
+            trigger, lead, first, count = parse(data, self.whole[a : a + max(0, len(data) - SPAN + 1)])
+            name = trigger
+            if wanted is not None:
+                hit = _in(trigger, wanted)
+                trigger, lead, first, count = trigger[hit], lead[hit], first[hit], count[hit]
+                sums = np.zeros(len(data) + 1, _U)
+                np.cumsum((data.astype(_U) + _U(1)) * _POWERS[: len(data)], out=sums[1:])
+                name = mixed((sums[first + count + SPAN - 1] - sums[first]) * _INVERSES[first] ^ mixed((lead * 64 + count).astype(_U)))
+            found.append((trigger, lead.astype(np.int32), first + a, count.astype(np.int32), name))
+        trigger, lead, first, count, name = (np.concatenate(x) for x in zip(*found, strict=True))
+        return np.searchsorted(self.ends, first, side="right"), trigger, lead, first, count, name
+
+    def rows(self, first: np.ndarray, size: np.ndarray, width: int = WIDE) -> np.ndarray:
+        """[n, width] bytes from each place on, zeros behind ``size``."""
+        at = np.arange(width)
+        out = self.data[np.minimum(first[:, None] + at, len(self.data) - 1)]
+        out[at >= size[:, None]] = 0
+        return out
+
+    def same(self, one: np.ndarray, two: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """Whether the bytes at two places are equal."""
+        out = np.zeros(len(one), bool)
+        for s in range(0, len(one), 20_000):
+            k = slice(s, s + 20_000)
+            out[k] = (self.rows(one[k], size[k]) == self.rows(two[k], size[k])).all(axis=1)
+        return out
+
+
+def _bodies(rows: np.ndarray, size: np.ndarray) -> pa.Array:
+    """Rows cut to their sizes, as a binary array."""
+    offsets = np.r_[0, np.cumsum(size)].astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(offsets), pa.py_buffer(rows[np.arange(rows.shape[1]) < size[:, None]])])
+
+
+def _matrix(bodies: pa.Array, width: int = WIDE) -> tuple[np.ndarray, np.ndarray]:
+    """[n, width + 1] bytes of a binary array, zeros behind the ends, and the sizes."""
+    bodies = bodies.combine_chunks() if isinstance(bodies, pa.ChunkedArray) else bodies
+    offsets = np.frombuffer(bodies.buffers()[1], np.int32)[bodies.offset : bodies.offset + len(bodies) + 1].astype(np.int64)
+    values = np.frombuffer(bodies.buffers()[2], np.uint8)
+    size, at = np.diff(offsets), np.arange(width + 1)
+    out = values[np.minimum(offsets[:-1, None] + at, max(0, len(values) - 1))]
+    out[at >= size[:, None]] = 0
+    return out, size
+
+
+TRIGGERS = pa.schema([("block", pa.int32()), ("trigger", pa.int64()), ("places", pa.int32())])
+
+
+def _triggers(docs: pa.Table) -> pa.Table:
+    """block, trigger, places (negative: all in one document): the distinct triggers of a block."""
+    of, trigger, *_ = Block(docs).phrases()
+    order = np.argsort(trigger, kind="stable")  # texts stay in order inside a trigger
+    of, trigger = of[order], trigger[order]
+    cut = np.flatnonzero(np.r_[True, trigger[1:] != trigger[:-1]]) if len(trigger) else np.zeros(0, np.int64)
+    end = np.r_[cut[1:], len(trigger)][: len(cut)]
+    places = np.where(of[end - 1] != of[cut], end - cut, cut - end) if len(cut) else cut
+    block = np.full(len(cut), docs.column("block")[0].as_py() if docs.num_rows else 0, np.int32)
+    return pa.Table.from_arrays([pa.array(block), pa.array(trigger[cut].view(np.int64)), pa.array(places.astype(np.int32))], schema=TRIGGERS)
+
+
+PHRASES = pa.schema([("block", pa.int32()), ("key", pa.int64()), ("at", pa.int32()), ("lead", pa.int32()), ("count", pa.int32()), ("body", pa.binary()), ("low", pa.int64()), ("high", pa.int64())])
+RUNS = pa.schema([("block", pa.int32()), ("at", pa.int32()), ("lead", pa.int32()), ("begin", pa.int32()), ("end", pa.int32()), ("source", pa.int64())])
 
 
 def _ddl(schema: pa.Schema) -> str:
@@ -168,94 +184,133 @@ def _ddl(schema: pa.Schema) -> str:
     return ", ".join(f"`{f.name}` {names[str(f.type)]}" for f in schema)
 
 
-def _distinct(rows: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """First index of each distinct row, its least ``low`` and greatest ``high``."""
-    if not len(rows):
-        return np.zeros(0, np.int64), low, high
-    flat = np.ascontiguousarray(rows).view(f"V{rows.shape[1]}").ravel()
-    order = np.argsort(flat, kind="stable")
-    new = np.r_[True, flat[order][1:] != flat[order][:-1]]
-    cut = np.flatnonzero(new)
-    return order[cut], np.minimum.reduceat(low[order], cut), np.maximum.reduceat(high[order], cut)
-
-
 def _dictionary(docs: pa.Table, replies: pa.Table) -> pa.Table:
-    """Distinct phrases of a block whose trigger other documents have too."""
+    """Distinct phrases of a block with their continuations, whose trigger other documents have too. ``at``: a place in the
+    block where the phrase stands. A single string of a hot trigger has minus its place in the phrase, less one, as count."""
     if not docs.num_rows or not replies.num_rows:
         return PHRASES.empty_table()
-    block = docs.column("block")[0].as_py()
-    ids = np.asarray(docs.column("doc_id").fill_null(LAST))
+    block = Block(docs)
     trig = replies.column("trigger").to_numpy().view(_U)
     order = np.argsort(trig)
     wanted, hot = trig[order], replies.column("hot").to_numpy(zero_copy_only=False)[order]
-    kept: list[tuple[np.ndarray, ...]] = []
-    for base, of, trigger, _, count, rows in _phrases(raw_texts(docs.column("text")), wanted):
-        doc = ids[base + of]
-        at, low, high = _distinct(np.concatenate([rows, count[:, None].astype(np.uint8), trigger[:, None].view(np.uint8)], axis=1), doc, doc)
-        kept.append((trigger[at], count[at], rows[at], low, high))
-    trigger, count, rows, low, high = (np.concatenate(x) for x in zip(*kept, strict=True))
-    at, low, high = _distinct(np.concatenate([rows, count[:, None].astype(np.uint8), trigger[:, None].view(np.uint8)], axis=1), low, high)
-    trigger, count, rows = trigger[at], count[at], rows[at]
-    name, key = phrase_ids(rows, count), trigger.copy()
-    is_hot = hot[np.searchsorted(wanted, trigger)] if len(trigger) else np.zeros(0, bool)
-    # hot triggers: one row for each string; its phrase's name and the string's place come back with the reply
-    one, place = np.nonzero(is_hot[:, None] & (np.arange(REACH + 1) < count[:, None]))
-    strings = rows[one][np.arange(len(one))[:, None], place[:, None] + np.arange(SPAN)] if len(one) else np.zeros((0, SPAN), np.uint8)
-    string_key = mixed(string_hashes(np.pad(strings, ((0, 0), (0, WIDE - SPAN))))[:, 0] ^ trigger[one]) if len(one) else np.zeros(0, _U)
-    cold = ~is_hot
-    bodies = [r[: c + SPAN - 1].tobytes() for r, c in zip(rows[cold], count[cold], strict=True)] + [s.tobytes() for s in strings]
-    return pa.Table.from_arrays(
-        [
-            pa.array(np.full(len(bodies), block, np.int32)),
-            pa.array(np.r_[key[cold], string_key].view(np.int64)),
-            pa.array(np.r_[np.zeros(cold.sum(), _U), trigger[one]].view(np.int64)),  # a whole phrase tells its trigger and name itself
-            pa.array(np.r_[np.zeros(cold.sum(), _U), name[one]].view(np.int64)),
-            pa.array(np.r_[count[cold], -1 - place].astype(np.int32)),  # a single string: minus its place, less one
-            pa.array(bodies, pa.binary()),
-            pa.array(np.r_[low[cold], low[one]]),
-            pa.array(np.r_[high[cold], high[one]]),
-        ],
-        schema=PHRASES,
-    )
-
-
-def _sources(table_: pa.Table) -> pa.Table:
-    """Runs of equal strings of whole keys: every phrase's strings that a smaller document has."""
-    bodies = table_.column("body").to_pylist()
-    number = table_.column("count").to_numpy()
-    count, place = np.where(number > 0, number, 1), np.where(number > 0, 0, -1 - number)
-    rows = np.zeros((len(bodies), WIDE), np.uint8)
-    for r, b in zip(rows, bodies, strict=True):
-        r[: len(b)] = np.frombuffer(b, np.uint8)
-    low, high = table_.column("low").to_numpy(), table_.column("high").to_numpy()
-    key = table_.column("key").to_numpy().view(_U)
-    whole = number > 0
-    trigger = np.where(whole, key, table_.column("trigger").to_numpy().view(_U)).view(np.int64)
-    names = np.where(whole, phrase_ids(rows, count), table_.column("id").to_numpy().view(_U)).view(np.int64)
-    row, at = np.nonzero(np.arange(REACH + 1) < count[:, None])
-    name = mixed(string_hashes(rows)[row, at] ^ key[row])
-    order = np.argsort(name)
-    cut = np.flatnonzero(np.r_[True, name[order][1:] != name[order][:-1]])
-    least = np.minimum.reduceat(low[row[order]], cut)
-    source = np.empty(len(name), np.int64)
-    source[order] = np.repeat(least, np.diff(np.r_[cut, len(order)]))
-    hit = source < high[row]
-    row, at, source = row[hit], at[hit], source[hit]
-    new = np.flatnonzero(np.r_[True, (np.diff(row) != 0) | (np.diff(at) != 1) | (np.diff(source) != 0)]) if len(row) else np.zeros(0, np.int64)
-    end = np.r_[new[1:], len(row)] - 1 if len(new) else new
+    of, trigger, lead, first, count, name = block.phrases(wanted)
+    if not len(of):
+        return PHRASES.empty_table()
+    order = np.argsort(name, kind="stable")
+    run = np.flatnonzero(np.r_[True, np.diff(name[order]) != 0])
+    example = order[np.repeat(run, np.diff(np.r_[run, len(order)]))]
+    alike = (count[order] == count[example]) & (lead[order] == lead[example])
+    alike[alike] = block.same(first[order[alike]], first[example[alike]], count[order[alike]] + SPAN - 1)
+    odd = order[~alike]  # another phrase of the same name goes by itself
+    order, example = order[alike], example[alike]
+    cut = np.flatnonzero(np.r_[True, np.diff(example) != 0])
+    doc = block.ids[of]
+    low = np.r_[np.minimum.reduceat(doc[order], cut), doc[odd]]
+    high = np.r_[np.maximum.reduceat(doc[order], cut), doc[odd]]
+    k = np.r_[example[cut], odd]
+    is_hot = hot[np.searchsorted(wanted, trigger[k])]
+    tables = []
+    for s in range(0, len(k), 50_000):
+        cold = np.flatnonzero(~is_hot[s : s + 50_000]) + s
+        at, size = k[cold], count[k[cold]] + SPAN - 1
+        tables.append(_phrase_rows(docs, trigger[at], first[at], lead[at], count[at], _bodies(block.rows(first[at], size), size), low[cold], high[cold]))
+    for s in range(0, len(k), 5_000):
+        warm = np.flatnonzero(is_hot[s : s + 5_000]) + s
+        one, place = np.nonzero(np.arange(REACH + 1) < count[k[warm]][:, None])
+        if len(one):
+            at = k[warm][one]
+            size = np.full(len(at), SPAN)
+            strings = block.rows(first[at] + place, size, SPAN)
+            key = mixed(((strings.astype(_U) + _U(1)) * _POWERS[:SPAN]).sum(axis=1, dtype=_U))
+            tables.append(_phrase_rows(docs, key, first[at], lead[at], -1 - place, _bodies(strings, size), low[warm][one], high[warm][one]))
+    return pa.concat_tables(tables)
+
+
+def _phrase_rows(docs: pa.Table, key, first, lead, count, bodies, low, high) -> pa.Table:
+    block = np.full(len(key), docs.column("block")[0].as_py(), np.int32)
+    return pa.Table.from_arrays([pa.array(block), pa.array(key.view(np.int64)), pa.array(first.astype(np.int32)), pa.array(lead.astype(np.int32)), pa.array(count.astype(np.int32)), bodies, pa.array(low), pa.array(high)], schema=PHRASES)
+
+
+def sorted_rows(key: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Order of rows of bytes inside their keys, and for each the length it shares with the one before (-1: new key)."""
+    n, width = rows.shape
+    words = np.zeros((n, -(-width // 8) * 8), np.uint8)
+    words[:, :width] = rows
+    words = words.view(">u8").astype(_U)
+    order = np.lexsort((*words.T[::-1], key))
+    ranked = rows[order]
+    differ = np.ones((n, width + 1), bool)
+    differ[1:, :width] = ranked[1:] != ranked[:-1]
+    common = differ.argmax(axis=1)
+    common[np.r_[True, key[order][1:] != key[order][:-1]]] = -1
+    return order, common
+
+
+def _sources(held: pa.Table) -> pa.Table:
+    """Suffix arrays of the dictionary and the parse of whole keys, combined: every phrase's strings that a smaller
+    document has."""
+    body, size = _matrix(held.column("body"))
+    n, key = len(body), held.column("key").to_numpy()
+    lead, count = held.column("lead").to_numpy().astype(np.int64), held.column("count").to_numpy().astype(np.int64)
+    low, high = held.column("low").to_numpy(), held.column("high").to_numpy()
+    back = lead[:, None] - 1 - np.arange(REACH)
+    phrase = np.where(back >= 0, np.take_along_axis(body, np.maximum(back, 0), axis=1), 0)  # from the trigger backwards
+    after = np.take_along_axis(body, np.minimum(lead[:, None] + np.arange(SPAN), WIDE), axis=1)
+    by_suffix, common_suffix = sorted_rows(key, phrase)
+    by_parse, common_prefix = sorted_rows(key, after)
+    rank, follow = np.empty(n, np.int64), np.empty(n, np.int64)
+    found = []
+    for l in range(REACH + 1):  # noqa: E741  bytes of a string before its trigger
+        k = np.flatnonzero((l <= lead) & (l > lead - count))
+        if not len(k):
+            continue
+        rank[by_suffix] = np.cumsum(common_suffix < l)
+        follow[by_parse] = np.cumsum(common_prefix < SPAN - l)
+        position = (rank[k] << 32) | follow[k]
+        order = np.argsort(position)
+        cut = np.flatnonzero(np.r_[True, np.diff(position[order]) != 0])
+        k = k[order]
+        source = np.repeat(np.minimum.reduceat(low[k], cut), np.diff(np.r_[cut, len(k)]))
+        hit = source < high[k]
+        found.append((k[hit], lead[k[hit]] - l, source[hit]))
+    row, at, source = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 3
+    order = np.lexsort((at, row))
+    row, at, source = row[order], at[order], source[order]
+    new = np.flatnonzero(np.r_[True, (np.diff(row) != 0) | (np.diff(at) != 1) | (np.diff(source) != 0)]) if len(row) else row
+    end = at[np.r_[new[1:], len(row)] - 1] if len(new) else new
     take = pa.array(row[new])
-    return pa.Table.from_arrays(
-        [table_.column("block").take(take), pa.array(trigger[row[new]]), pa.array(names[row[new]]), pa.array((at[new] + place[row[new]]).astype(np.int32)), pa.array((at[end] + place[row[new]]).astype(np.int32)), pa.array(source[new])],
-        schema=RUNS,
-    )
+    names = [held.column(c).take(take).combine_chunks() for c in ("block", "at", "lead")]
+    return pa.Table.from_arrays([*names, pa.array(at[new].astype(np.int32)), pa.array(end.astype(np.int32)), pa.array(source[new])], schema=RUNS)
+
+
+def _single(held: pa.RecordBatch, last: tuple | None) -> tuple[pa.RecordBatch, tuple]:
+    """Replies to single strings, sorted by key, content and smallest document; ``last``: the run that may go on."""
+    body, _ = _matrix(held.column("body"), SPAN)
+    key, low, high = (held.column(c).to_numpy() for c in ("key", "low", "high"))
+    new = np.r_[True, (key[1:] != key[:-1]) | (body[1:] != body[:-1]).any(axis=1)]
+    source = low[np.flatnonzero(new)[np.cumsum(new) - 1]]
+    if last is not None and last[:2] == (key[0], body[0].tobytes()):
+        upto = int(np.flatnonzero(np.r_[new[1:], True])[0]) + 1
+        source[:upto] = last[2]
+    hit = np.flatnonzero(source < high)
+    place = (-1 - held.column("count").to_numpy()[hit]).astype(np.int32)
+    names = [held.column(c).take(pa.array(hit)) for c in ("block", "at", "lead")]
+    return pa.RecordBatch.from_arrays([*names, pa.array(place), pa.array(place), pa.array(source[hit])], schema=RUNS), (key[-1], body[-1].tobytes(), source[-1])
 
 
 def _resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """_sources over a partition sorted by key, some whole keys at a time."""
+    """Replies to a partition sorted by key: some whole keys of phrases at a time, single strings as they come."""
     held: list[pa.RecordBatch] = []
-    for batch in slices(batches, 20_000):
-        held.append(batch)
-        if sum(b.num_rows for b in held) >= 60_000:
+    last = None
+    for batch in slices(batches, 10_000):
+        one = pa.array(batch.column("count").to_numpy() < 0)
+        singles, phrases = batch.filter(one), batch.filter(pa.array(~np.asarray(one)))
+        if singles.num_rows:
+            out, last = _single(singles, last)
+            yield out
+        if phrases.num_rows:
+            held.append(phrases)
+        if sum(b.num_rows for b in held) >= GROUP_ROWS:
             full = pa.Table.from_batches(held)
             key = full.column("key").to_numpy()
             cut = int(np.searchsorted(key, key[-1]))
@@ -274,54 +329,72 @@ def _cleaner(with_text: bool):
 
     def clean(docs: pa.Table, runs: pa.Table) -> pa.Table:
         """Texts of a block without the bytes of the strings that smaller documents have."""
-        raw, ids = raw_texts(docs.column("text")), np.asarray(docs.column("doc_id").fill_null(LAST))
-        name = runs.column("id").to_numpy().view(_U)
-        order = np.argsort(name, kind="stable")
-        name = name[order]
-        begin, end, source = (runs.column(c).to_numpy()[order] for c in ("first", "last", "source"))
-        wanted = np.unique(runs.column("trigger").to_numpy().view(_U))
-        out = []
-        for base, data, ends in chunks(raw):
-            of, trigger, first, count = parse(data, ends)
-            hit = _in(trigger, wanted)
-            of, first, count = of[hit], first[hit], count[hit]
-            mine = phrase_ids(phrase_rows(data, first, count), count)
-            left, right = np.searchsorted(name, mine, "left"), np.searchsorted(name, mine, "right")
-            k = np.repeat(np.arange(len(mine)), right - left)
-            r = np.arange(len(k)) - np.repeat(np.cumsum(right - left) - (right - left), right - left) + np.repeat(left, right - left)
-            smaller = source[r] < ids[base + of[k]]
+        if not docs.num_rows:
+            return schema.empty_table()
+        block = Block(docs)
+        edge = np.zeros(len(block.data) + 1, np.int32)
+        if runs.num_rows:
+            at, lead, begin, end, source = (runs.column(c).to_numpy().astype(np.int64) for c in ("at", "lead", "begin", "end", "source"))
+            place, which = np.unique(at, return_index=True)
+            grams = block.rows(place + lead[which], np.full(len(place), GRAM), GRAM)
+            wanted = np.unique(gram_hashes(grams.ravel())[::GRAM])
+            of, _, _, first, count, name = block.phrases(wanted)
+            example = np.searchsorted(first, place)  # a phrase that was sent, where it stands in this block
+            order = np.argsort(name[example], kind="stable")
+            place, names = place[order], name[example][order]
+            size = count[example][order]
+            k = np.flatnonzero(_in(name, names))
+            left, right = np.searchsorted(names, name[k], "left"), np.searchsorted(names, name[k], "right")
+            e = _spread(left, right)
+            k = np.repeat(k, right - left)
+            same = count[k] == size[e]
+            k, e = k[same], e[same]
+            same = block.same(first[k], place[e], count[k] + SPAN - 1)
+            k, e = k[same], e[same]
+            order = np.argsort(at, kind="stable")
+            begin, end, source = begin[order], end[order], source[order]
+            left, right = np.searchsorted(at[order], place[e], "left"), np.searchsorted(at[order], place[e], "right")
+            r = _spread(left, right)
+            k = np.repeat(k, right - left)
+            smaller = source[r] < block.ids[of[k]]
             k, r = k[smaller], r[smaller]
-            edge = np.zeros(len(data) + 1, np.int32)
             np.add.at(edge, first[k] + begin[r], 1)
             np.add.at(edge, first[k] + end[r] + SPAN, -1)
-            gone = np.cumsum(edge[:-1]) > 0
-            for i, (a, b) in enumerate(zip(np.r_[0, ends[:-1]], ends, strict=True)):
-                g = gone[a:b]
-                rest = data[a:b][~g].tobytes()
-                row = (docs.column("doc_id")[base + i].as_py(), int(b - a), int(g.sum()), int(g[:1].sum() + (g[1:] & ~g[:-1]).sum()), hashlib.sha256(rest).hexdigest())
-                out.append((*row, rest) if with_text else row)
-        if not out:
-            return schema.empty_table()
+        gone = np.cumsum(edge[:-1], dtype=np.int32) > 0
+        out = []
+        for i, (a, b) in enumerate(zip(np.r_[0, block.ends[:-1]], block.ends, strict=True)):
+            g = gone[a:b]
+            rest = block.data[a:b][~g].tobytes()
+            row = (block.doc_id[i].as_py(), int(b - a), int(g.sum()), int(g[:1].sum() + (g[1:] & ~g[:-1]).sum()), hashlib.sha256(rest).hexdigest())
+            out.append((*row, rest) if with_text else row)
         return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
 
     return clean
 
 
+def _spread(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """The numbers of all ranges [left, right), one range after the other."""
+    n = right - left
+    return np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(left, n)
+
+
 def remove_repeats(docs: DataFrame, folder: str, block_bytes: int = BLOCK_BYTES, with_text: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every document; with_text adds the bytes kept."""
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-size // block_bytes))
-    dealt = rows.select("doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int").alias("block")).repartition(blocks, "block")
+    parts = min(blocks, max(-(-size // PART_BYTES), 16 * spark.sparkContext.defaultParallelism))
+    dealt = rows.select("doc_id", "text", F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(blocks)).cast("int").alias("block")).repartition(parts, "block")
+    by_block = lambda df: df.groupBy("block")
 
-    seen = dealt.sortWithinPartitions("block").mapInArrow(_triggers, "block int, trigger long, docs long")
-    total = seen.withColumn("all", F.sum("docs").over(Window.partitionBy("trigger")))
-    shared = stored(total.where(F.col("all") > 1).select("block", "trigger", (F.col("all") > HOT).alias("hot")), f"{folder}/triggers")
+    seen = by_block(dealt).applyInArrow(_triggers, _ddl(TRIGGERS))
+    alike = Window.partitionBy("trigger")
+    total = seen.withColumns({"blocks": F.count("*").over(alike), "most": F.max("places").over(alike), "all": F.sum(F.abs("places")).over(alike)})
+    shared = stored(total.where("blocks > 1 or most > 0").select("block", "trigger", (F.col("all") > HOT).alias("hot")), f"{folder}/triggers")
     release(spark)
-    by_block = lambda df: df.groupBy("block")
     phrases = by_block(dealt).cogroup(by_block(shared)).applyInArrow(_dictionary, _ddl(PHRASES))
-    runs = stored(phrases.repartition("key").sortWithinPartitions("key").mapInArrow(_resolve, _ddl(RUNS)), f"{folder}/runs")
+    runs = stored(phrases.repartition("key").sortWithinPartitions("key", "body", "low").mapInArrow(_resolve, _ddl(RUNS)), f"{folder}/runs")
     release(spark)
     ddl = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text
     return by_block(dealt).cogroup(by_block(runs)).applyInArrow(_cleaner(with_text), ddl)
