@@ -175,18 +175,28 @@ def _triggers(docs: pa.Table) -> pa.Table:
     return pa.Table.from_arrays([pa.array(block), pa.array(trigger[cut].view(np.int64)), pa.array(places.astype(np.int32))], schema=TRIGGERS)
 
 
-PHRASES = pa.schema([("block", pa.int32()), ("key", pa.int64()), ("at", pa.int32()), ("lead", pa.int32()), ("count", pa.int32()), ("body", pa.binary()), ("low", pa.int64()), ("high", pa.int64())])
+PHRASES = pa.schema([("block", pa.int32()), ("key", pa.int64()), ("place", pa.int64()), ("body", pa.binary()), ("low", pa.int64())])
 RUNS = pa.schema([("block", pa.int32()), ("at", pa.int32()), ("lead", pa.int32()), ("begin", pa.int32()), ("end", pa.int32()), ("source", pa.int64())])
 
 
+def _packed(at: np.ndarray, lead: np.ndarray, count: np.ndarray, many: np.ndarray) -> np.ndarray:
+    """Where a phrase stands, bytes before its trigger, strings, whether several documents have it: one number a row, since
+    these rows are what is shuffled most."""
+    return ((at.astype(np.int64) * 64 + lead) * 128 + count + 64) * 2 + many
+
+
+def _unpacked(place: np.ndarray) -> tuple[np.ndarray, ...]:
+    return place >> 14, (place >> 8) & 63, ((place >> 1) & 127) - 64, (place & 1).astype(bool)
+
+
 def _ddl(schema: pa.Schema) -> str:
     names = {"int32": "int", "int64": "long", "binary": "binary"}
     return ", ".join(f"`{f.name}` {names[str(f.type)]}" for f in schema)
 
 
 def _dictionary(docs: pa.Table, replies: pa.Table) -> pa.Table:
-    """Distinct phrases of a block with their continuations, whose trigger other documents have too. ``at``: a place in the
-    block where the phrase stands. A single string of a hot trigger has minus its place in the phrase, less one, as count."""
+    """Distinct phrases of a block with their continuations, whose trigger other documents have too. A single
+    string of a hot trigger has minus its place in the phrase, less one, as count."""
     if not docs.num_rows or not replies.num_rows:
         return PHRASES.empty_table()
     block = Block(docs)
@@ -206,14 +216,14 @@ def _dictionary(docs: pa.Table, replies: pa.Table) -> pa.Table:
     cut = np.flatnonzero(np.r_[True, np.diff(example) != 0])
     doc = block.ids[of]
     low = np.r_[np.minimum.reduceat(doc[order], cut), doc[odd]]
-    high = np.r_[np.maximum.reduceat(doc[order], cut), doc[odd]]
+    many = np.r_[np.maximum.reduceat(doc[order], cut), doc[odd]] > low
     k = np.r_[example[cut], odd]
     is_hot = hot[np.searchsorted(wanted, trigger[k])]
     tables = []
     for s in range(0, len(k), 50_000):
         cold = np.flatnonzero(~is_hot[s : s + 50_000]) + s
         at, size = k[cold], count[k[cold]] + SPAN - 1
-        tables.append(_phrase_rows(docs, trigger[at], first[at], lead[at], count[at], _bodies(block.rows(first[at], size), size), low[cold], high[cold]))
+        tables.append(_phrase_rows(docs, trigger[at], first[at], lead[at], count[at], _bodies(block.rows(first[at], size), size), low[cold], many[cold]))
     for s in range(0, len(k), 5_000):
         warm = np.flatnonzero(is_hot[s : s + 5_000]) + s
         one, place = np.nonzero(np.arange(REACH + 1) < count[k[warm]][:, None])
@@ -222,13 +232,13 @@ def _dictionary(docs: pa.Table, replies: pa.Table) -> pa.Table:
             size = np.full(len(at), SPAN)
             strings = block.rows(first[at] + place, size, SPAN)
             key = mixed(((strings.astype(_U) + _U(1)) * _POWERS[:SPAN]).sum(axis=1, dtype=_U))
-            tables.append(_phrase_rows(docs, key, first[at], lead[at], -1 - place, _bodies(strings, size), low[warm][one], high[warm][one]))
+            tables.append(_phrase_rows(docs, key, first[at], lead[at], -1 - place, _bodies(strings, size), low[warm][one], many[warm][one]))
     return pa.concat_tables(tables)
 
 
-def _phrase_rows(docs: pa.Table, key, first, lead, count, bodies, low, high) -> pa.Table:
+def _phrase_rows(docs: pa.Table, key, first, lead, count, bodies, low, many) -> pa.Table:
     block = np.full(len(key), docs.column("block")[0].as_py(), np.int32)
-    return pa.Table.from_arrays([pa.array(block), pa.array(key.view(np.int64)), pa.array(first.astype(np.int32)), pa.array(lead.astype(np.int32)), pa.array(count.astype(np.int32)), bodies, pa.array(low), pa.array(high)], schema=PHRASES)
+    return pa.Table.from_arrays([pa.array(block), pa.array(key.view(np.int64)), pa.array(_packed(first, lead, count, many)), bodies, pa.array(low)], schema=PHRASES)
 
 
 def sorted_rows(key: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -251,8 +261,8 @@ def _sources(held: pa.Table) -> pa.Table:
     document has."""
     body, size = _matrix(held.column("body"))
     n, key = len(body), held.column("key").to_numpy()
-    lead, count = held.column("lead").to_numpy().astype(np.int64), held.column("count").to_numpy().astype(np.int64)
-    low, high = held.column("low").to_numpy(), held.column("high").to_numpy()
+    places, lead, count, many = _unpacked(held.column("place").to_numpy())
+    low = held.column("low").to_numpy()
     back = lead[:, None] - 1 - np.arange(REACH)
     phrase = np.where(back >= 0, np.take_along_axis(body, np.maximum(back, 0), axis=1), 0)  # from the trigger backwards
     after = np.take_along_axis(body, np.minimum(lead[:, None] + np.arange(SPAN), WIDE), axis=1)
@@ -271,7 +281,7 @@ def _sources(held: pa.Table) -> pa.Table:
         cut = np.flatnonzero(np.r_[True, np.diff(position[order]) != 0])
         k = k[order]
         source = np.repeat(np.minimum.reduceat(low[k], cut), np.diff(np.r_[cut, len(k)]))
-        hit = source < high[k]
+        hit = (source < low[k]) | many[k]
         found.append((k[hit], lead[k[hit]] - l, source[hit]))
     row, at, source = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 3
     order = np.lexsort((at, row))
@@ -279,22 +289,23 @@ def _sources(held: pa.Table) -> pa.Table:
     new = np.flatnonzero(np.r_[True, (np.diff(row) != 0) | (np.diff(at) != 1) | (np.diff(source) != 0)]) if len(row) else row
     end = at[np.r_[new[1:], len(row)] - 1] if len(new) else new
     take = pa.array(row[new])
-    names = [held.column(c).take(take).combine_chunks() for c in ("block", "at", "lead")]
+    names = [held.column("block").take(take).combine_chunks(), *(pa.array(x[row[new]].astype(np.int32)) for x in (places, lead))]
     return pa.Table.from_arrays([*names, pa.array(at[new].astype(np.int32)), pa.array(end.astype(np.int32)), pa.array(source[new])], schema=RUNS)
 
 
 def _single(held: pa.RecordBatch, last: tuple | None) -> tuple[pa.RecordBatch, tuple]:
     """Replies to single strings, sorted by key, content and smallest document; ``last``: the run that may go on."""
     body, _ = _matrix(held.column("body"), SPAN)
-    key, low, high = (held.column(c).to_numpy() for c in ("key", "low", "high"))
+    key, low = held.column("key").to_numpy(), held.column("low").to_numpy()
+    places, lead, count, many = _unpacked(held.column("place").to_numpy())
     new = np.r_[True, (key[1:] != key[:-1]) | (body[1:] != body[:-1]).any(axis=1)]
     source = low[np.flatnonzero(new)[np.cumsum(new) - 1]]
     if last is not None and last[:2] == (key[0], body[0].tobytes()):
         upto = int(np.flatnonzero(np.r_[new[1:], True])[0]) + 1
         source[:upto] = last[2]
-    hit = np.flatnonzero(source < high)
-    place = (-1 - held.column("count").to_numpy()[hit]).astype(np.int32)
-    names = [held.column(c).take(pa.array(hit)) for c in ("block", "at", "lead")]
+    hit = np.flatnonzero((source < low) | many)
+    place = (-1 - count[hit]).astype(np.int32)
+    names = [held.column("block").take(pa.array(hit)), *(pa.array(x[hit].astype(np.int32)) for x in (places, lead))]
     return pa.RecordBatch.from_arrays([*names, pa.array(place), pa.array(place), pa.array(source[hit])], schema=RUNS), (key[-1], body[-1].tobytes(), source[-1])
 
 
@@ -303,7 +314,7 @@ def _resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held: list[pa.RecordBatch] = []
     last = None
     for batch in slices(batches, 10_000):
-        one = pa.array(batch.column("count").to_numpy() < 0)
+        one = pa.array(_unpacked(batch.column("place").to_numpy())[2] < 0)
         singles, phrases = batch.filter(one), batch.filter(pa.array(~np.asarray(one)))
         if singles.num_rows:
             out, last = _single(singles, last)
