@@ -14,7 +14,6 @@ from tidewatch.llm import op1_media, op2_records, op3_chat, op9_pack
 
 def library(name):
     t = Tokenizer.from_file(public_tokenizers.path(name))
-    t.encode_special_tokens = True
     return lambda text: t.encode(text or "", add_special_tokens=False).ids
 
 
@@ -54,6 +53,11 @@ def test_token_records(spark, make, documents, odd, folder):
         assert (got[d]["start"], got[d]["n_tokens"], got[d]["ids_crc32"]) == (start, len(ids), crc(ids))
         start += len(ids)
     assert index.count() == len(rows)
+    mixed = op2_records.read_shuffled(index, folder, 5, 4).collect()
+    assert {r["doc_id"]: r["ids"] for r in mixed} == {d: [*encode(t), 0] for d, t in rows} and len(mixed) == len(rows)
+    order = [r["doc_id"] for r in mixed]
+    assert order == [r["doc_id"] for r in op2_records.read_shuffled(index, folder, 5, 4).collect()]
+    assert order != [r["doc_id"] for r in op2_records.read_shuffled(index, folder, 6, 4).collect()]
     assert op2_records.read_records(op2_records.write_records(make([]), folder + "-e", public_tokenizers.path("byte_bpe_50k.json")), folder + "-e").count() == 0
 
 
@@ -148,11 +152,56 @@ def test_packing(spark, make, documents, odd, folder):
     assert op9_pack.pack_documents(make([]), folder + "-e", public_tokenizers.path("word_bpe_49k.json")).count() == 0
 
 
+def best_fit_decreasing(sizes):
+    return int(op9_pack._refill(sizes, np.zeros(len(sizes), np.int64), np.ones(len(sizes), bool), 2048).max()) + 1
+
+
 def test_genetic_steps():
     rng = np.random.default_rng(3)
     sizes = rng.integers(1, 2000, 300)
-    a = op9_pack.evolve(sizes, [], 1, 2048)
-    b = op9_pack.evolve(sizes, [a], 2, 2048)
+    a, _ = op9_pack.evolve(sizes, [], 1, 2048)
+    b, _ = op9_pack.evolve(sizes, [a], 2, 2048)
     for bins in (a, b, op9_pack.crossover(sizes, a, b, rng, 2048), op9_pack.mutate(sizes, a, rng, 2048)):
         assert len(bins) == 300 and np.bincount(bins, sizes).max() <= 2048 and (np.bincount(bins) > 0).all()
     assert b.max() <= a.max()
+
+
+def test_genetic_algorithm_where_best_fit_loses():
+    """Triplets that fill a bin exactly: crossovers make fewer bins than best fit, decreasing or in random order."""
+    rng = np.random.default_rng(4)
+    first = rng.integers(780, 1000, 100)
+    second = np.array([rng.integers(520, 1528 - a) for a in first])
+    sizes = rng.permutation(np.r_[first, second, 2048 - first - second])
+    elite, done = op9_pack.evolve(sizes, [], 1, 2048, 300)
+    starts = [int(op9_pack.random_packing(sizes, np.random.default_rng(k), 2048).max()) + 1 for k in range(6)]
+    assert done > 0 and op9_pack.lower_bound(sizes, 2048) == 100 <= int(elite.max()) + 1 < min(best_fit_decreasing(sizes), *starts)
+
+
+def test_lower_bound_and_optimum():
+    """Small cases against the best of all packings."""
+    def least(sizes, room):
+        if not sizes:
+            return len(room)
+        n, *rest = sizes
+        options = {r for r in room if r >= n}
+        best = min((least(rest, [*room[: room.index(r)], r - n, *room[room.index(r) + 1 :]]) for r in options), default=99)
+        return min(best, least(rest, [*room, 2048 - n]))
+
+    rng = np.random.default_rng(9)
+    for _ in range(25):
+        sizes = rng.integers(200, 1500, 7)
+        optimum = least(sorted(sizes.tolist(), reverse=True), [])
+        elite, _ = op9_pack.evolve(sizes, [], 2, 2048)
+        assert op9_pack.lower_bound(sizes, 2048) <= optimum == int(elite.max()) + 1
+
+
+def test_residual_bins_are_packed_again(spark, folder):
+    sizes = np.random.default_rng(2).integers(300, 1900, 600)
+    items = spark.createDataFrame([(i, int(n)) for i, n in enumerate(sizes)], "uid long, length long").repartition(3)
+    items.write.parquet(f"{folder}-items")
+    out = op9_pack.pack(spark.read.parquet(f"{folder}-items"), folder, group=50).collect()
+    loads: dict = {}
+    for r in out:
+        loads[r["sequence_id"]] = loads.get(r["sequence_id"], 0) + r["length"]
+    first = spark.read.parquet(f"{folder}/first-places").select("sequence_id").distinct().count()
+    assert len(out) == 600 and max(loads.values()) <= 2048 and op9_pack.lower_bound(sizes, 2048) <= len(loads) <= first

@@ -3,7 +3,8 @@
 A record is: length (8 bytes, little-endian), masked CRC-32C of the length, the sequence, masked CRC-32C of
 the sequence (4 bytes each), the framing of TFRecord files. A sequence is the document id (8 bytes, signed)
 and the token ids, 2 bytes each where the vocabulary allows, else 4. Files hold ascending id ranges;
-the index table (file, doc_id, offset, length, n_tokens) lets shuffled readers seek single records.
+the index table (file, doc_id, offset, length, n_tokens) lets ``read_shuffled`` seek single records in a seeded random
+order, without scanning files.
 
 Edge cases: null and empty texts hold only the end id; repeated doc_ids are kept, ordered by text;
 null doc_ids sort first and come back null; an empty table writes no file; extra columns are ignored.
@@ -12,6 +13,7 @@ null doc_ids sort first and come back null; an empty table writes no file; extra
 from __future__ import annotations
 
 from collections.abc import Iterator
+from io import BytesIO
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +28,8 @@ NULL_ID = -(1 << 63)
 #: CRC-32C polynomial (reflected) and the mask constant of the record framing: fixed values.
 _POLY, _MASK = 0x82F63B78, 0xA282EAD8
 _LANE = 64
+#: Tasks that scan files, and files a shuffled reader keeps open.
+MOST_TASKS, OPEN_FILES = 20_000, 64
 
 
 def _crc_tables() -> tuple[np.ndarray, dict[int, np.ndarray]]:
@@ -164,7 +168,36 @@ def read_records(index: DataFrame, folder: str) -> DataFrame:
                 yield pa.RecordBatch.from_pylist([dict(zip(out.names, r, strict=True)) for r in rows], schema=out)
 
     out = pa.schema([(c, pa.int64()) for c in ("doc_id", "start", "n_tokens", "ids_crc32")])
-    return files.repartition("file").mapInArrow(scan, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    # a count of its own: a row is a file, and tasks would be merged by the size of the rows otherwise
+    tasks = max(1, min(totals.count(), MOST_TASKS))
+    return files.repartition(tasks, "file").mapInArrow(scan, "doc_id long, start long, n_tokens long, ids_crc32 long")
+
+
+def read_shuffled(index: DataFrame, folder: str, seed: int, tasks: int | None = None) -> DataFrame:
+    """doc_id and ids of all records in a random order that the seed fixes: every task seeks its own records through the
+    index, a range of the order each."""
+    out = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int64()))])
+
+    def seek(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, path = open_fs(f"{folder}/records")
+        held: dict = {}
+        for batch in slices(batches, 512):
+            blobs, kinds = [], []
+            for name, offset, length in zip(*(batch.column(c).to_pylist() for c in ("file", "offset", "length")), strict=True):
+                if name not in held:
+                    if len(held) >= OPEN_FILES:
+                        held.pop(next(iter(held))).close()
+                    held[name] = fs.open_input_file(f"{path}/{name}")
+                blobs += unframe(BytesIO(held[name].read_at(length, offset)).read)
+                kinds.append(np.dtype(f"<u{int(name.rsplit('tok', 1)[1]) // 8}"))
+            docs = [int.from_bytes(b[:8], "little", signed=True) for b in blobs]
+            ids = [np.frombuffer(b, kind, offset=8).astype(np.int64) for b, kind in zip(blobs, kinds, strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array([None if d == NULL_ID else d for d in docs], pa.int64()), pa.array(ids, pa.list_(pa.int64()))], schema=out)
+
+    order = F.xxhash64(F.lit(seed), "file", "offset")
+    tasks = tasks or int(index.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = index.select("file", "offset", "length", order.alias("order")).repartitionByRange(tasks, "order").sortWithinPartitions("order", "file", "offset")
+    return rows.mapInArrow(seek, "doc_id long, ids array<long>")
 
 
 def op2_records(spark: SparkSession, sf_dir: str) -> DataFrame:

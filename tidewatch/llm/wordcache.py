@@ -1,14 +1,16 @@
 """Tokenizer front end that encodes each distinct white-space-delimited chunk once a worker.
 
 Pre-tokenizers of both vocabularies used here never join text across a single space or a lone
-newline, so a text is the concatenation of its chunks' ids. Texts with other white-space runs, or
-with the chunk mark itself, are encoded whole by the library. ``tests/llm`` compares both ways.
+newline, so a text is the concatenation of its chunks' ids. Texts with other white-space runs,
+with the chunk mark itself or with a special token of the vocabulary are encoded whole by the library, called
+as it is, with add_special_tokens=False. ``tests/llm`` compares both ways.
 """
 
 from __future__ import annotations
 
 import itertools
 import os
+import re
 from array import array
 
 import numpy as np
@@ -28,7 +30,8 @@ class ChunkEncoder:
         from tokenizers import Tokenizer
 
         self.lib = Tokenizer.from_file(path)
-        self.lib.encode_special_tokens = True  # control strings inside texts are plain text
+        special = [t.content for t in self.lib.get_added_tokens_decoder().values()]
+        self.special = re.compile("|".join(map(re.escape, sorted(special, key=len, reverse=True))) or "(?!)")
         self.vocab = self.lib.get_vocab_size()
         self.type = "H" if self.vocab <= 0x10000 else "I"
         self.dtype = np.dtype("<u2" if self.type == "H" else "<u4")
@@ -45,7 +48,7 @@ class ChunkEncoder:
         return array(self.type, ids).tobytes()
 
     def _chunks(self, text: str) -> list[str]:
-        if _MARK in text:
+        if _MARK in text or self.special.search(text):
             return [""]
         if self.spaced:
             return text.replace(" ", "\x01 ").replace("\n", "\x01\n\x01").split(_MARK)
