@@ -2,13 +2,17 @@
 
 Token sequences are cut only where longer than the capacity; full pieces are sequences of their own. Other
 pieces are dealt by hash into packing groups of about GROUP pieces, each of which ISLANDS islands pack
-independently: best-fit decreasing seeds the population, crossover injects whole well-filled bins of one parent
-into the other, dissolves the bins that hold the same pieces twice and best-fits the displaced pieces; mutation
-dissolves the emptiest bins. After each epoch an island receives the elite of its neighbour. A group at its
-lower bound stops evolving. One row holds an island, so tasks are independent and bounded.
-
-Edge cases: null and empty texts are one piece, the end id; repeated rows are packed as separate documents; an
-empty table gives an empty result. Results follow from content, row order of the stored pieces and seed.
+independently. An island starts from POPULATION best-fit packings of its pieces in random order. Crossover injects whole
+well-filled bins of one parent into the other, dissolves the bins that hold the same pieces twice and best-fits the
+displaced pieces, longest first; mutation dissolves the emptiest bins and some others. A child replaces the worst
+packing if it is better: fewer bins, then fuller ones. After each epoch an island receives the elite of its neighbour.
+A group at its lower bound stops evolving. The bins of all groups that stay emptier than RESIDUAL are dissolved and
+their pieces packed the same way once more, so that the groups do not leave an open bin each. One row holds an
+island, so tasks are independent and bounded.
+
+Edge cases: null and empty texts are one piece, the end id; very long texts are many pieces; repeated rows are packed as
+separate documents; null doc_ids come back null; an empty table gives an empty result; extra columns are ignored.
+Results follow from content, row order of the stored pieces and seed.
 """
 
 from __future__ import annotations
@@ -27,7 +31,8 @@ from .wordcache import encoder
 
 CAPACITY = 2048
 GROUP, ISLANDS, EPOCHS = 4096, 3, 2
-POPULATION, GENERATIONS, WELL_FILLED = 4, 6, 0.98
+POPULATION, GENERATIONS, WELL_FILLED = 6, 60, 0.98
+RESIDUAL = 0.9
 SEED = 7
 
 
@@ -94,34 +99,40 @@ def mutate(sizes: np.ndarray, a: np.ndarray, rng: np.random.Generator, capacity:
     return _refill(sizes, a.copy(), out, capacity)
 
 
-def fitness(sizes: np.ndarray, bins: np.ndarray, capacity: int) -> float:
-    """Mean squared fill: fewer and fuller bins score higher."""
-    return float(np.mean((_loads(bins, sizes) / capacity) ** 2))
+def fitness(sizes: np.ndarray, bins: np.ndarray, capacity: int) -> tuple[int, float]:
+    """Fewer bins first, then a higher mean squared fill."""
+    loads = _loads(bins, sizes)
+    return -len(loads), float(np.mean((loads / capacity) ** 2))
+
+
+def random_packing(sizes: np.ndarray, rng: np.random.Generator, capacity: int) -> np.ndarray:
+    """Best fit in random order."""
+    bins = np.zeros(len(sizes), np.int64)
+    best_fit(sizes, rng.permutation(len(sizes)), bins, [], capacity, 0)
+    return bins
 
 
-def evolve(sizes: np.ndarray, seeds: list[np.ndarray], seed: int, capacity: int = CAPACITY) -> np.ndarray:
-    """One epoch of an island; returns its elite."""
+def evolve(sizes: np.ndarray, seeds: list[np.ndarray], seed: int, capacity: int = CAPACITY, generations: int = GENERATIONS) -> tuple[np.ndarray, int]:
+    """One epoch of an island; returns its elite and the number of crossovers."""
     rng = np.random.default_rng(seed)
-    everything = np.ones(len(sizes), bool)
-    start = [_refill(sizes, np.zeros(len(sizes), np.int64), everything, capacity)] if not seeds else seeds
     bound = lower_bound(sizes, capacity)
-    crowd = sorted(((fitness(sizes, s, capacity), k, s) for k, s in enumerate(start)), reverse=True, key=lambda x: x[:2])
-    if int(crowd[0][2].max()) + 1 <= bound:
-        return crowd[0][2]
-    made = len(crowd)
+    crowd = [(fitness(sizes, s, capacity), s) for s in seeds]
+    if seeds and -max(f for f, _ in crowd)[0] <= bound:
+        return max(crowd, key=lambda x: x[0])[1], 0
     while len(crowd) < POPULATION:
-        child = mutate(sizes, crowd[0][2], rng, capacity)
-        crowd.append((fitness(sizes, child, capacity), made, child))
-        made += 1
-    for _ in range(GENERATIONS):
-        crowd.sort(reverse=True, key=lambda x: x[:2])
-        if int(crowd[0][2].max()) + 1 <= bound:
+        new = random_packing(sizes, rng, capacity)
+        crowd.append((fitness(sizes, new, capacity), new))
+    done = 0
+    for _ in range(generations):
+        crowd.sort(key=lambda x: x[0], reverse=True)
+        if -crowd[0][0][0] <= bound:
             break
         i, j = rng.choice(len(crowd), 2, replace=False)
-        child = mutate(sizes, crossover(sizes, crowd[i][2], crowd[j][2], rng, capacity), rng, capacity)
-        crowd[-1] = (fitness(sizes, child, capacity), made, child)
-        made += 1
-    return min(crowd, key=lambda x: (int(x[2].max()), -x[0]))[2]
+        child = mutate(sizes, crossover(sizes, crowd[i][1], crowd[j][1], rng, capacity), rng, capacity)
+        done += 1
+        if (f := fitness(sizes, child, capacity)) > crowd[-1][0]:
+            crowd[-1] = (f, child)
+    return max(crowd, key=lambda x: x[0])[1], done
 
 
 PIECES = "uid long, doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -146,14 +157,16 @@ def pieces(docs: DataFrame, folder: str, tokenizer: str, capacity: int = CAPACIT
     return stored(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(cut, PIECES), f"{folder}/pieces")
 
 
-def pack(items: DataFrame, folder: str, capacity: int = CAPACITY, group: int = GROUP, islands: int = ISLANDS, epochs: int = EPOCHS, seed: int = SEED) -> DataFrame:
-    """items: a stored table with uid (unique) and length; adds sequence_id and offset."""
-    part = items.where(F.col("length") < capacity).select("uid", "length")
+def islands_of(part: DataFrame, folder: str, capacity: int, group: int, islands: int, epochs: int, seed: int) -> DataFrame:
+    """part: uid and length. A row a group: group, uids and sizes (longest first), elite (the bin of each), and by how many
+    crossovers of all its islands."""
+    spark = part.sparkSession
     groups = max(1, -(-part.count() // group))
+    tasks = max(1, min(groups * islands, max(4 * spark.sparkContext.defaultParallelism, groups * islands // 64)))
     keyed = part.withColumn("group", F.pmod(F.xxhash64(F.lit(seed), "uid"), F.lit(groups)))
     listed = keyed.groupBy("group").agg(F.array_sort(F.collect_list(F.struct((-F.col("length")).alias("n"), "uid"))).alias("x"))
     listed = stored(listed.select("group", F.transform("x", lambda s: s["uid"]).alias("uids"), F.transform("x", lambda s: (-s["n"]).cast("int")).alias("sizes")), f"{folder}/groups")
-    kinds = pa.schema([("group", pa.int64()), ("island", pa.int32()), ("elite", pa.list_(pa.int32())), ("bins", pa.int32())])
+    kinds = pa.schema([("group", pa.int64()), ("island", pa.int32()), ("elite", pa.list_(pa.int32())), ("bins", pa.int32()), ("crossovers", pa.int32())])
 
     def epoch(number: int):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -162,21 +175,27 @@ def pack(items: DataFrame, folder: str, capacity: int = CAPACITY, group: int = G
                 for r in batch.to_pylist():
                     sizes = np.array(r["sizes"], np.int64)
                     seeds = [np.array(s, np.int64) for s in (r["elite"], r["guest"]) if s is not None]
-                    elite = evolve(sizes, seeds, hash((seed, number, r["group"], r["island"])) & 0x7FFFFFFF, capacity)
-                    rows.append({"group": r["group"], "island": r["island"], "elite": elite, "bins": int(elite.max()) + 1})
+                    elite, done = evolve(sizes, seeds, hash((seed, number, r["group"], r["island"])) & 0x7FFFFFFF, capacity)
+                    rows.append({"group": r["group"], "island": r["island"], "elite": elite, "bins": int(elite.max()) + 1, "crossovers": r["crossovers"] + done})
                 yield pa.RecordBatch.from_pylist(rows, schema=kinds)
 
         return run
 
-    ddl = "group long, island int, elite array<int>, bins int"
+    ddl = "group long, island int, elite array<int>, bins int, crossovers int"
     none = F.lit(None).cast("array<int>")
-    state = listed.withColumn("island", F.explode(F.sequence(F.lit(0), F.lit(islands - 1)))).select("group", "island", "sizes", none.alias("elite"), none.alias("guest"))
+    state = listed.withColumn("island", F.explode(F.sequence(F.lit(0), F.lit(islands - 1)))).select("group", "island", "sizes", none.alias("elite"), none.alias("guest"), F.lit(0).alias("crossovers"))
     for number in range(epochs):
-        done = stored(state.repartition("group", "island").mapInArrow(epoch(number), ddl), f"{folder}/epoch-{number}")
+        # a count of its own: rows are few and small, so tasks would be merged by their size otherwise
+        done = stored(state.repartition(tasks, "group", "island").mapInArrow(epoch(number), ddl), f"{folder}/epoch-{number}")
         guests = done.select("group", F.pmod(F.col("island") + 1, F.lit(islands)).alias("island"), F.col("elite").alias("guest"))
-        state = done.select("group", "island", "elite").join(guests, ["group", "island"]).join(listed.select("group", "sizes"), "group").select("group", "island", "sizes", "elite", "guest")
-    best = done.groupBy("group").agg(F.min_by("elite", F.struct("bins", "island")).alias("elite"))
-    placed = pa.schema([("uid", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())])
+        state = done.select("group", "island", "elite", "crossovers").join(guests, ["group", "island"]).join(listed.select("group", "sizes"), "group").select("group", "island", "sizes", "elite", "guest", "crossovers")
+    best = done.groupBy("group").agg(F.min_by("elite", F.struct("bins", "island")).alias("elite"), F.sum("crossovers").alias("crossovers"))
+    return stored(best.join(listed, "group"), f"{folder}/best")
+
+
+def layout(best: DataFrame, number: int, capacity: int) -> DataFrame:
+    """uid, length, sequence_id, offset and fill (tokens of the sequence) of every piece of packed groups."""
+    schema = pa.schema([("uid", pa.int64()), ("length", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64()), ("fill", pa.int64())])
 
     def lay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 16):
@@ -186,10 +205,20 @@ def pack(items: DataFrame, folder: str, capacity: int = CAPACITY, group: int = G
                 ends = np.cumsum(sizes[order])
                 first = np.r_[True, np.diff(bins[order]) > 0]
                 begin = (ends - sizes[order])[first][np.cumsum(first) - 1]
-                yield pa.RecordBatch.from_arrays([pa.array(np.array(r["uids"], np.int64)[order]), pa.array(((r["group"] << 20) + bins[order]) * 2), pa.array(ends - sizes[order] - begin)], schema=placed)
+                fill = np.bincount(bins, sizes).astype(np.int64)[bins[order]]
+                yield pa.RecordBatch.from_arrays([pa.array(np.array(r["uids"], np.int64)[order]), pa.array(sizes[order]), pa.array(((r["group"] << 20) + bins[order]) * 3 + number), pa.array(ends - sizes[order] - begin), pa.array(fill)], schema=schema)
+
+    return best.mapInArrow(lay, "uid long, length long, sequence_id long, offset long, fill long")
+
 
-    places = best.join(listed, "group").mapInArrow(lay, "uid long, sequence_id long, offset long")
-    full = items.where(F.col("length") == capacity).withColumns({"sequence_id": F.col("uid") * 2 + 1, "offset": F.lit(0).cast("long")})
+def pack(items: DataFrame, folder: str, capacity: int = CAPACITY, group: int = GROUP, islands: int = ISLANDS, epochs: int = EPOCHS, seed: int = SEED) -> DataFrame:
+    """items: a stored table with uid (unique) and length; adds sequence_id and offset."""
+    part = items.where(F.col("length") < capacity).select("uid", "length")
+    first = stored(layout(islands_of(part, f"{folder}/first", capacity, group, islands, epochs, seed), 0, capacity), f"{folder}/first-places")
+    open_ = F.col("fill") < RESIDUAL * capacity
+    again = layout(islands_of(first.where(open_).select("uid", "length"), f"{folder}/second", capacity, group, islands, epochs, seed + 1), 1, capacity)
+    places = first.where(~open_).unionByName(again).select("uid", "sequence_id", "offset")
+    full = items.where(F.col("length") == capacity).withColumns({"sequence_id": F.col("uid") * 3 + 2, "offset": F.lit(0).cast("long")})
     return items.where(F.col("length") < capacity).join(places, "uid").unionByName(full)
 
 
