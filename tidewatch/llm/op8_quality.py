@@ -1,42 +1,44 @@
-"""Quality rules: an isolation forest over rule statistics, its threshold calibrated from labelled rows.
+"""Quality rules: an isolation forest over rule statistics, calibrated from labelled rows.
 
-Rule statistics are computed from every whole text. TREES trees are grown on hash-chosen samples of about
-SAMPLE documents each (the method's own subsampling, TREES x SAMPLE rows in all at most); a tree splits a
-random statistic at a random value. A document's anomaly is 2 ** -(mean path length / normal length). The
-threshold is the anomaly above which the most labelled-bad documents go while at most FALSE_REJECTS of
-the labelled-good ones do, from histograms of all labelled rows.
+Rule statistics are computed from every whole text and used as they are, without limits. TREES trees are grown on
+hash-chosen samples of about SAMPLE documents each (the method's own subsampling, TREES x SAMPLE rows in all at most);
+a tree looks at SUBSPACE random statistics and splits one of them at a random value. Labelled rows say which trees
+matter: a tree's weight is its (2 AUC - 1) ** SHARPNESS, where AUC is the chance that its path is shorter for a bad than
+for a good document, over at most LABELLED labelled rows. A document's anomaly is 2 ** -(weighted mean of path
+length / normal length). The threshold is the anomaly above which the most labelled-bad documents go while at most
+FALSE_REJECTS of the labelled-good ones do, from histograms of all labelled rows.
 
 Edge cases: null and empty texts have no words and fail the base rule; labels that are null, repeated (the
-lowest quality counts) or absent are fine: without both kinds of labels nothing is rejected beyond the base
-rule; repeated rows each get a row; an empty table gives an empty result; extra columns are ignored.
+lowest quality counts) or absent are fine: without both kinds of labels all trees weigh the same and nothing is rejected
+beyond the base rule; repeated rows each get a row; an empty table gives an empty result; extra columns are ignored,
+and ``keep_documents`` keeps them, whatever their names.
 """
 
 from __future__ import annotations
 
+import math
 from collections import Counter
-from collections.abc import Iterator
 from itertools import islice
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType
+from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
-from .common import new_folder, slices, stored, table
+from .common import new_folder, stored, table
 
-TREES, SAMPLE, SEED = 100, 128, 11
+TREES, SAMPLE, SUBSPACE, SEED = 100, 256, 2, 11
+LABELLED, SHARPNESS = 20_000, 3
 MIN_WORDS, MOST_REPEATED = 50, 50  # words; per cent of words in repeated windows
-FALSE_REJECTS = 0.0005
+FALSE_REJECTS = 0.005
 SYMBOLS = "#*$%&|<>"
 LEVELS = 4000
 
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-#: By how much a document exceeds each rule's limit: symbols, repeated lines, exclamation marks a word; mean word
-#: length; shares of upper-case ASCII letters and digits among the characters of words.
-FEATURES = ["symbol_excess", "dup_excess", "bang_excess", "length_excess", "upper_excess", "digit_excess"]
-LIMITS = {"symbol": 0.1, "dup": 0.3, "bang": 0.1, "short": 3.0, "long": 10.0, "upper": 0.3, "digit": 0.2}
+#: Symbols, exclamation and question marks and repeated words a word; repeated lines a line; mean word length; shares of
+#: upper-case ASCII letters and digits among the characters of words; logarithm of the number of words.
+FEATURES = ["symbols", "marks", "repeats", "dup_lines", "word_length", "upper", "digits", "log_words"]
 
 
 def rule_counts(text: str | None) -> tuple[int, int, int, int, int]:
@@ -59,36 +61,28 @@ def rule_counts(text: str | None) -> tuple[int, int, int, int, int]:
 
 def features_of(counts: tuple[int, int, int, int, int], text: str | None) -> tuple[float, ...]:
     """FEATURES of a text."""
-    words, chars, symbols, dups, _ = counts
-    raw = np.frombuffer((text or "").encode(), np.uint8)
-    upper = int(((raw >= 65) & (raw <= 90)).sum())
-    bangs = int((raw == 33).sum())
-    digits = int(((raw >= 48) & (raw <= 57)).sum())
-    n, c, top = max(words, 1), max(chars, 1), LIMITS
-    over = symbols / n - top["symbol"], dups / n - top["dup"], bangs / n - top["bang"], max(top["short"] - chars / n, chars / n - top["long"]), upper / c - top["upper"], digits / c - top["digit"]
-    return tuple(max(0.0, x) for x in over)
+    words, chars, symbols, dups, repeated = counts
+    raw = np.bincount(np.frombuffer((text or "").encode(), np.uint8), minlength=256)
+    n, c = max(words, 1), max(chars, 1)
+    lines = int(raw[10]) + 1
+    return symbols / n, (raw[33] + raw[63]) / n, repeated / n, dups / lines, chars / n, raw[65:91].sum() / c, raw[48:58].sum() / c, math.log1p(words)
 
 
 def base_fails(n_words, n_repeat_words):
     return (n_words < MIN_WORDS) | (100 * n_repeat_words > MOST_REPEATED * n_words)
 
 
-STATS = "doc_id long, " + ", ".join(f"{c} long" for c in COUNTS) + ", " + ", ".join(f"{c} double" for c in FEATURES)
+RULES = StructType([*(StructField(c, LongType()) for c in COUNTS), *(StructField(c, DoubleType()) for c in FEATURES)])
 
 
-def statistics(docs: DataFrame) -> DataFrame:
-    """doc_id, COUNTS and FEATURES of every document."""
-    schema = pa.schema([("doc_id", pa.int64()), *((c, pa.int64()) for c in COUNTS), *((c, pa.float64()) for c in FEATURES)])
-
-    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            rows = []
-            for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                counts = rule_counts(text)
-                rows.append((doc, *counts, *features_of(counts, text)))
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
-
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(measure, STATS)
+@F.pandas_udf(RULES)
+def rules(texts: pd.Series) -> pd.DataFrame:
+    """COUNTS and FEATURES of texts, one row each."""
+    rows = []
+    for text in texts:
+        counts = rule_counts(text)
+        rows.append((*counts, *features_of(counts, text)))
+    return pd.DataFrame(rows, columns=[*COUNTS, *FEATURES])
 
 
 def normal_length(n: float) -> float:
@@ -96,20 +90,24 @@ def normal_length(n: float) -> float:
     return 0.0 if n <= 1 else 2 * (np.log(n - 1) + 0.5772156649) - 2 * (n - 1) / n if n > 2 else 1.0
 
 
-def grow(x: np.ndarray, rng: np.random.Generator, depth: int) -> list[list[float]]:
+def grow(x: np.ndarray, rng: np.random.Generator, depth: int, subspace: int = SUBSPACE) -> list[list[float]]:
     """A tree as rows [feature or -1, split value, left, right, path length at a leaf]."""
     nodes: list[list[float]] = []
+    chosen = np.zeros(x.shape[1], bool)
+    varied = np.flatnonzero(x.max(axis=0) > x.min(axis=0)) if len(x) else np.zeros(0, np.int64)
+    chosen[rng.permutation(varied)[:subspace]] = True
 
     def build(rows: np.ndarray, level: int) -> int:
         at = len(nodes)
         nodes.append([-1, 0.0, 0, 0, level + normal_length(len(rows))])
-        low, high = (rows.min(axis=0), rows.max(axis=0)) if len(rows) else (np.zeros(1), np.zeros(1))
-        open_ = np.flatnonzero(high > low)
-        if level < depth and len(rows) > 1 and len(open_):
-            f = int(rng.choice(open_))
-            cut = float(rng.uniform(low[f], high[f]))
-            left = rows[:, f] <= cut
-            nodes[at][:4] = [f, cut, build(rows[left], level + 1), build(rows[~left], level + 1)]
+        if level < depth and len(rows) > 1:
+            low, high = rows.min(axis=0), rows.max(axis=0)
+            open_ = np.flatnonzero(chosen & (high > low))
+            if len(open_):
+                f = int(rng.choice(open_))
+                cut = float(rng.uniform(low[f], high[f]))
+                left = rows[:, f] <= cut
+                nodes[at][:4] = [f, cut, build(rows[left], level + 1), build(rows[~left], level + 1)]
         return at
 
     build(x, 0)
@@ -126,7 +124,7 @@ def train_forest(stats: DataFrame, trees: int = TREES, sample: int = SAMPLE, see
     depth = int(np.ceil(np.log2(max(2, sample)))) + 2
 
     def plant(key, frame):
-        x = frame.sort_values(["h", "doc_id"])[FEATURES].to_numpy(float)
+        x = frame.sort_values(["h", "doc_id", *FEATURES])[FEATURES].to_numpy(float)
         nodes = grow(x, np.random.default_rng(seed + int(key[0])), depth)
         return pd.DataFrame({"tree": [key[0]], "nodes": [[v for row in nodes for v in row]]})
 
@@ -138,42 +136,79 @@ def train_forest(stats: DataFrame, trees: int = TREES, sample: int = SAMPLE, see
     return forest
 
 
-def anomaly(forest: np.ndarray, x: np.ndarray) -> np.ndarray:
+def path_lengths(tree: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Path length of rows of FEATURES in a tree."""
+    at = np.zeros(len(x), np.int64)
+    while True:
+        f = tree[at, 0].astype(np.int64)
+        inner = np.flatnonzero(f >= 0)
+        if not len(inner):
+            return tree[at, 4]
+        left = x[inner, f[inner]] <= tree[at[inner], 1]
+        at[inner] = np.where(left, tree[at[inner], 2], tree[at[inner], 3]).astype(np.int64)
+
+
+def auc(short: np.ndarray, long_: np.ndarray) -> float:
+    """Chance that a value of ``short`` is below one of ``long_``, ties half."""
+    long_ = np.sort(long_)
+    above = len(long_) - (np.searchsorted(long_, short, "left") + np.searchsorted(long_, short, "right")) / 2
+    return float(above.mean() / len(long_))
+
+
+def tree_weights(forest: np.ndarray, good: np.ndarray, bad: np.ndarray, sharpness: float = SHARPNESS) -> np.ndarray:
+    """How well each tree tells labelled rows apart; all 1 without rows of both kinds or where no tree does."""
+    if not len(good) or not len(bad):
+        return np.ones(len(forest))
+    weights = np.array([max(0.0, 2 * auc(path_lengths(t, bad), path_lengths(t, good)) - 1) ** sharpness for t in forest])
+    return weights if weights.sum() > 0 else np.ones(len(forest))
+
+
+def anomaly(forest: np.ndarray, weights: np.ndarray, x: np.ndarray) -> np.ndarray:
     """Anomaly of rows of FEATURES, between 0 and 1; a root's last value is the normal length for its rows."""
     if not len(forest):
         return np.zeros(len(x))
     total = np.zeros(len(x))
-    for tree in forest:
-        at = np.zeros(len(x), np.int64)
-        while True:
-            f = tree[at, 0].astype(np.int64)
-            inner = np.flatnonzero(f >= 0)
-            if not len(inner):
-                break
-            left = x[inner, f[inner]] <= tree[at[inner], 1]
-            at[inner] = np.where(left, tree[at[inner], 2], tree[at[inner], 3]).astype(np.int64)
-        total += tree[at, 4]
-    return 2.0 ** (-total / max(forest[:, 0, 4].sum(), 1e-9))
-
-
-def with_anomaly(stats: DataFrame, forest: np.ndarray) -> DataFrame:
-    shared = stats.sparkSession.sparkContext.broadcast(forest)  # TREES x 2 SAMPLE nodes at most
+    for tree, w in zip(forest, weights, strict=True):
+        if w > 0:
+            total += w * path_lengths(tree, x) / max(tree[0, 4], 1e-9)
+    return 2.0 ** (-total / weights.sum())
+
+
+def with_anomaly(stats: DataFrame, forest: np.ndarray, weights: np.ndarray) -> DataFrame:
+    shared = stats.sparkSession.sparkContext.broadcast((forest, weights))  # TREES x 2 SAMPLE nodes at most
 
     @F.pandas_udf("double")
     def rate(*columns: pd.Series) -> pd.Series:
-        return pd.Series(anomaly(shared.value, np.column_stack([c.to_numpy(float) for c in columns])))
+        return pd.Series(anomaly(*shared.value, np.column_stack([c.to_numpy(float) for c in columns])))
 
     return stats.withColumn("anomaly", rate(*FEATURES))
 
 
+def marked(stats: DataFrame, labels: DataFrame) -> DataFrame:
+    """Rows of stats that pass the base rule and have a label, with their lowest quality."""
+    marks = labels.where("quality is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("quality"))
+    return stats.where(~base_fails(F.col("n_words"), F.col("n_repeat_words"))).join(marks, "doc_id")
+
+
+def labelled_sample(stats: DataFrame, labels: DataFrame, most: int = LABELLED, seed: int = SEED) -> tuple[np.ndarray, np.ndarray]:
+    """FEATURES of good and of bad labelled rows, ``most`` rows at most, chosen by hash."""
+    rows = marked(stats, labels).orderBy(F.xxhash64(F.lit(seed + 1), "doc_id"), "doc_id").limit(most).select("quality", *FEATURES).collect()
+    x, good = np.array([r[1:] for r in rows], float).reshape(-1, len(FEATURES)), np.array([r[0] > 0 for r in rows], bool)
+    return x[good], x[~good]
+
+
 def calibrate(rated: DataFrame, labels: DataFrame, false_rejects: float = FALSE_REJECTS) -> float:
     """The anomaly from which documents go; 2.0 (never) without labels of both kinds."""
-    marks = labels.where("quality is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("quality"))
-    passed = rated.where(~base_fails(F.col("n_words"), F.col("n_repeat_words"))).select("doc_id", F.floor(F.col("anomaly") * LEVELS).cast("int").alias("level"))
-    rows = passed.join(marks, "doc_id").groupBy("level").agg(F.count_if(F.col("quality") > 0).alias("good"), F.count_if(F.col("quality") <= 0).alias("bad")).collect()
+    level = F.floor(F.col("anomaly") * LEVELS).cast("int").alias("level")
+    rows = marked(rated, labels).groupBy(level).agg(F.count_if(F.col("quality") > 0).alias("good"), F.count_if(F.col("quality") <= 0).alias("bad")).collect()
     good, bad = np.zeros(LEVELS + 2), np.zeros(LEVELS + 2)
     for r in rows:
         good[r["level"]], bad[r["level"]] = r["good"], r["bad"]
+    return threshold(good, bad, false_rejects)
+
+
+def threshold(good: np.ndarray, bad: np.ndarray, false_rejects: float) -> float:
+    """The lowest anomaly above which at most ``false_rejects`` of the good rows lie, from counts by level."""
     if not good.sum() or not bad.sum():
         return 2.0
     lost, caught = good[::-1].cumsum()[::-1], bad[::-1].cumsum()[::-1]  # at this level and above
@@ -184,31 +219,29 @@ def calibrate(rated: DataFrame, labels: DataFrame, false_rejects: float = FALSE_
     return float((first + np.flatnonzero(bad[first:])[0] + first) / 2 / LEVELS)  # half way to the next bad level
 
 
-def judge(docs: DataFrame, labels: DataFrame, folder: str) -> tuple[DataFrame, np.ndarray, float]:
-    """(statistics with anomaly and verdict, forest, threshold)."""
-    stats = stored(statistics(docs), f"{folder}/stats")
+def judged(stats: DataFrame, labels: DataFrame) -> tuple[DataFrame, float]:
+    """(stored statistics with anomaly and verdict, threshold)."""
     forest = train_forest(stats)
-    rated = with_anomaly(stats, forest)
+    rated = with_anomaly(stats, forest, tree_weights(forest, *labelled_sample(stats, labels)))
     limit = calibrate(rated, labels)
     failed = base_fails(F.col("n_words"), F.col("n_repeat_words"))
-    return rated.withColumn("base_failed", failed).withColumn("kept", ~failed & (F.col("anomaly") < limit)), forest, limit
+    return rated.withColumn("base_failed", failed).withColumn("kept", ~failed & (F.col("anomaly") < limit)), limit
 
 
-def keep_documents(docs: DataFrame, labels: DataFrame, folder: str) -> DataFrame:
-    """Rows of docs, all columns, without those that the rules or the forest reject."""
-    _, forest, limit = judge(docs, labels, folder)
-    shared = docs.sparkSession.sparkContext.broadcast(forest)
+def judge(docs: DataFrame, labels: DataFrame, folder: str) -> tuple[DataFrame, float]:
+    """(doc_id with statistics, anomaly and verdict, threshold)."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), rules(F.col("text").cast("string")).alias("rules"))
+    return judged(stored(rows, f"{folder}/stats").select("doc_id", "rules.*"), labels)
 
-    @F.pandas_udf(BooleanType())
-    def good(texts: pd.Series) -> pd.Series:
-        counts = [rule_counts(t) for t in texts]
-        passed = np.array([not base_fails(c[0], c[4]) for c in counts], bool)
-        x = np.array([features_of(c, t) for c, t in zip(counts, texts, strict=True)]).reshape(len(counts), len(FEATURES))
-        return pd.Series(passed & (anomaly(shared.value, x) < limit))
 
-    return docs.where(good(F.col("text").cast("string")))
+def keep_documents(docs: DataFrame, labels: DataFrame, folder: str) -> DataFrame:
+    """Rows of docs, all columns, without those that the rules or the forest reject; every text is measured once."""
+    whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("document")
+    rows = stored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), rules(F.col("text").cast("string")).alias("rules"), whole), f"{folder}/rows")
+    out, _ = judged(rows.select("doc_id", "rules.*", "document"), labels)
+    return out.where("kept").select("document.*")
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out, _, _ = judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), new_folder(spark, "quality"))
+    out, _ = judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), new_folder(spark, "quality"))
     return out.select("doc_id", *COUNTS, "base_failed", "kept", "anomaly")
