@@ -160,10 +160,66 @@ def test_long_secrets(make, folder):
     assert set(out.values()) == {"some words, then <secret> and more words"}
 
 
+def test_weak_supervision_by_hand(spark, make, folder):
+    """EM, classifier and added spans against plain loops; true and false candidates of the same kinds."""
+    secret = lambda k: hashlib.sha256(str(k).encode()).hexdigest()
+    rows = [(i, f'set token = "{secret(i)}" then version {i}.0 and page {i}') for i in range(30)]
+    rows += [(100 + i, f"note: something{'ab' * (i % 5)} of room {i} or mail me@host{i}.org, section 4.{i}") for i in range(30)]
+    rows += [(200, "reach jane [at] mail [dot] org now"), (201, "build 12345678901234567890 is late")]
+    out = {r["doc_id"]: r for r in op7_pii.detect(make(rows), folder).collect()}
+    found = spark.read.parquet(f"{folder}/found")
+    every = [(is_base, r) for is_base, c in ((True, "base"), (False, "wide")) for r in op7_pii.voted(found.selectExpr("row", "doc_id", f"explode({c}) s", f"{str(is_base).lower()} is_base").select("row", "doc_id", "s.*", "is_base")).collect()]
+    names, votes = op7_pii.LABELERS, op7_pii.VOTES
+    model = {x: {v: (t, f) for v, t, f in zip(votes, *op7_pii.START, strict=True)} for x in names}
+    prior = 0.5
+
+    def p(is_base, r):
+        if is_base:
+            return 1.0
+        odds = math.log(prior / (1 - prior)) + sum(math.log(model[x][r[x]][0] / model[x][r[x]][1]) for x in names)
+        return 1 / (1 + math.exp(-odds))
+
+    for _ in range(op7_pii.ROUNDS):
+        soft = [p(*e) for e in every]
+        true, false = sum(soft), len(soft) - sum(soft)
+        share = lambda x, v, w: sum(s for (_, r), s in zip(every, w, strict=True) if r[x] == v)
+        back = [1 - s for s in soft]
+        model = {x: {v: ((share(x, v, soft) + 1) / (true + 3), (share(x, v, back) + 1) / (false + 3)) for v in votes} for x in names}
+        prior = (true + 1) / (len(soft) + 2)
+    got, got_prior = op7_pii.reliabilities(spark.read.parquet(f"{folder}/patterns"))
+    assert math.isclose(got_prior, prior, rel_tol=1e-9)
+    for x in names:
+        for v in votes:
+            assert np.allclose(got[x][v], model[x][v], rtol=1e-9)
+    soft = [p(*e) for e in every]
+    length = lambda n: "a" if n < 8 else "b" if n < 16 else "c" if n < 32 else "d"
+    traits = lambda r: {**{x: str(r[x]) for x in names}, "f_kind": r["kind"], "f_length": length(len(r["value"])), "f_digits": str(4 * sum(c.isdigit() for c in r["value"]) // len(r["value"]))}
+    t, f = sum(soft), len(soft) - sum(soft)
+    sums: dict = defaultdict(lambda: [0.0, 0.0])
+    for (_, r), s in zip(every, soft, strict=True):
+        for pair in traits(r).items():
+            sums[pair][0] += s
+            sums[pair][1] += 1 - s
+    want = defaultdict(list)
+    for is_base, r in every:
+        score = math.log((t + 1) / (f + 1)) + sum(math.log((sums[k][0] + 1) / (t + 4) / ((sums[k][1] + 1) / (f + 4))) for k in traits(r).items())
+        if not is_base and score >= 0:
+            want[r["doc_id"]].append((r["start"], -r["end"], r["kind"]))
+    for d, r in out.items():
+        kept, upto = [], 0
+        for start, end, kind in sorted(want[d]):
+            if start >= upto:
+                kept.append((kind, start, -end))
+                upto = -end
+        assert [tuple(x) for x in r["added"]] == kept, d
+    assert all([x["kind"] for x in out[d]["added"]] == ["secret"] for d in range(30))
+    assert not any(out[d]["added"] for d in [*range(100, 130), 201]) and len(every) > len(rows)
+
+
 def test_quality(spark, make, documents, odd, folder):
     rows = documents + [(10**6 + i, t) for i, (_, t) in enumerate(odd)]
     labels = spark.createDataFrame([(d, int(d % 3 > 0), 0) for d, _ in documents] + [(None, None, None)], "doc_id long, quality int, toxic int")
-    out, _, _ = op8_quality.judge(make(rows, extra=True), labels, folder)
+    out, _ = op8_quality.judge(make(rows, extra=True), labels, folder)
     got = {r["doc_id"]: r for r in out.collect()}
     for d, t in rows:
         words = WORD.findall(t or "")
@@ -173,10 +229,59 @@ def test_quality(spark, make, documents, odd, folder):
         want = (len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", t or "")), len(lines) - len(set(lines)), len(repeated))
         assert tuple(got[d][c] for c in op8_quality.COUNTS) == want, d
         assert got[d]["base_failed"] == (len(words) < 50 or 100 * len(repeated) > 50 * len(words)) and not (got[d]["base_failed"] and got[d]["kept"])
-    empty, _, _ = op8_quality.judge(make([]), labels.limit(0), folder + "-e")
+    empty, _ = op8_quality.judge(make([]), labels.limit(0), folder + "-e")
     assert empty.count() == 0
 
 
+def plain_path(tree, row, node=0):
+    f, cut, left, right, length = tree[node]
+    return length if f < 0 else plain_path(tree, row, int(left) if row[int(f)] <= cut else int(right))
+
+
+def test_forest_by_hand(spark, sf_dir, folder):
+    """Trees, path lengths, weights, anomaly, threshold and verdict against plain loops over the same rows."""
+    docs, labels = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    out, limit = op8_quality.judge(docs, labels, folder)
+    rows = {r["doc_id"]: r for r in out.collect()}
+    stats = spark.read.parquet(f"{folder}/stats").select("doc_id", "rules.*")
+    forest = op8_quality.train_forest(stats)
+    for tree in forest[:20]:  # leaves tell their depth, every split parts its rows, two statistics a tree
+        def walk(node, depth):
+            f, _, left, right, length = tree[node]
+            if f < 0:
+                assert depth <= length
+                return {-1}
+            return {int(f)} | walk(int(left), depth + 1) | walk(int(right), depth + 1)
+        assert len(walk(0, 0) - {-1}) <= op8_quality.SUBSPACE
+    quality: dict = {}
+    for r in labels.collect():
+        if r["quality"] is not None:
+            quality[r["doc_id"]] = min(r["quality"], quality.get(r["doc_id"], 1))
+    x = {d: [r[c] for c in op8_quality.FEATURES] for d, r in rows.items()}
+    passed = [d for d, r in rows.items() if not r["base_failed"]]
+    good, bad = ([d for d in passed if d in quality and (quality[d] > 0) == g] for g in (True, False))
+    assert good and bad
+    weights = []
+    for tree in forest:
+        pairs = [(plain_path(tree, x[b]), plain_path(tree, x[g])) for b in bad for g in good]
+        chance = sum(1.0 if p < q else 0.5 if p == q else 0.0 for p, q in pairs) / len(pairs)
+        weights.append(max(0.0, 2 * chance - 1) ** op8_quality.SHARPNESS)
+    for d, r in rows.items():
+        mean = sum(w * plain_path(t, x[d]) / t[0, 4] for t, w in zip(forest, weights, strict=True)) / sum(weights)
+        assert math.isclose(r["anomaly"], 2.0**-mean, rel_tol=1e-9)
+        assert r["kept"] == (not r["base_failed"] and r["anomaly"] < limit)
+    assert sum(rows[d]["anomaly"] >= limit for d in good) <= op8_quality.FALSE_REJECTS * len(good)
+    assert sum(rows[d]["anomaly"] >= limit for d in bad) >= 1
+
+
+def test_threshold():
+    good, bad = np.zeros(12), np.zeros(12)
+    good[[2, 3, 7]], bad[[6, 8, 9]] = (50, 49, 1), (1, 2, 3)
+    assert op8_quality.threshold(good, bad, 0.0) * op8_quality.LEVELS == 8 and op8_quality.threshold(good, bad, 0.01) * op8_quality.LEVELS == 5
+    assert op8_quality.threshold(good, bad * 0, 0.5) == 2.0 and op8_quality.auc(np.array([1.0, 2]), np.array([2.0, 3])) == 0.875
+    assert op8_quality.normal_length(2) == 1 and op8_quality.normal_length(1) == 0 and math.isclose(op8_quality.normal_length(256), 10.244770920, rel_tol=1e-6)
+
+
 def near_classes(rows):
     counts = [op10_near.shingle_counts(t) for _, t in rows]
     parent = list(range(len(rows)))
