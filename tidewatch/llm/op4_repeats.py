@@ -17,7 +17,8 @@ Three sorted structures decide, each in pieces of whole triggers, so that Spark
 Ranks come from bytes alone, hashes only bring equal things together, and a phrase found again in its document is compared
 byte by byte before anything is removed.
 
-Scale: documents are dealt into blocks of about BLOCK_BYTES, several to a partition. A block sends each distinct trigger
+Scale: texts that an earlier document has whole lose everything and are not parsed; they are found by digest, salted and
+without their texts. Documents are dealt into blocks of about BLOCK_BYTES, several to a partition. A block sends each distinct trigger
 and each distinct pair of phrase and continuation once, with its smallest and largest document, so copies collapse
 before any shuffle. Triggers at more than HOT places send their SPAN-byte strings one by one, keyed and sorted by
 content, smallest document first, so that no task holds the surroundings of a very common line: those rows are
@@ -35,6 +36,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -48,6 +50,7 @@ BLOCK_BYTES, PART_BYTES = 8 << 20, 64 << 20
 PIECE_BYTES = 1 << 20
 HOT = 20_000
 GROUP_ROWS = 40_000
+SALTS = 16
 LAST = (1 << 63) - 1
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15
@@ -93,13 +96,19 @@ def _in(values: np.ndarray, sorted_: np.ndarray) -> np.ndarray:
 
 
 class Block:
-    """The texts of a block in a fixed order, and their phrases."""
+    """The texts of a block in a fixed order, and their phrases. ``copies``: digests of whole texts that an earlier
+    document has, with the first of their documents; such texts have no phrases."""
 
-    def __init__(self, docs: pa.Table) -> None:
+    def __init__(self, docs: pa.Table, copies: pa.Table) -> None:
         docs = docs.sort_by([("doc_id", "ascending"), ("text", "ascending")])
         self.doc_id = docs.column("doc_id")
         self.ids = np.asarray(self.doc_id.fill_null(LAST))
         raw = [(t or "").encode() for t in docs.column("text").to_pylist()]
+        first = dict(zip(copies.column("digest").to_pylist(), copies.column("first").to_pylist(), strict=True))
+        self.copy = {}  # sizes by text number
+        for i, (t, d) in enumerate(zip(raw, self.ids.tolist(), strict=True) if first else ()):
+            if len(t) >= SPAN and d > first.get(hashlib.sha256(t).digest(), LAST):
+                self.copy[i], raw[i] = len(t), b""
         self.ends = np.cumsum([len(t) for t in raw], dtype=np.int64)
         self.data = np.frombuffer(b"".join(raw), np.uint8)
         starts = np.r_[0, self.ends[:-1]][: len(raw)]
@@ -163,15 +172,17 @@ def _matrix(bodies: pa.Array, width: int = WIDE) -> tuple[np.ndarray, np.ndarray
 TRIGGERS = pa.schema([("block", pa.int32()), ("trigger", pa.int64()), ("places", pa.int32())])
 
 
-def _triggers(docs: pa.Table) -> pa.Table:
+def _triggers(docs: pa.Table, copies: pa.Table) -> pa.Table:
     """block, trigger, places (negative: all in one document): the distinct triggers of a block."""
-    of, trigger, *_ = Block(docs).phrases()
+    if not docs.num_rows:
+        return TRIGGERS.empty_table()
+    of, trigger, *_ = Block(docs, copies).phrases()
     order = np.argsort(trigger, kind="stable")  # texts stay in order inside a trigger
     of, trigger = of[order], trigger[order]
     cut = np.flatnonzero(np.r_[True, trigger[1:] != trigger[:-1]]) if len(trigger) else np.zeros(0, np.int64)
     end = np.r_[cut[1:], len(trigger)][: len(cut)]
     places = np.where(of[end - 1] != of[cut], end - cut, cut - end) if len(cut) else cut
-    block = np.full(len(cut), docs.column("block")[0].as_py() if docs.num_rows else 0, np.int32)
+    block = np.full(len(cut), docs.column("block")[0].as_py(), np.int32)
     return pa.Table.from_arrays([pa.array(block), pa.array(trigger[cut].view(np.int64)), pa.array(places.astype(np.int32))], schema=TRIGGERS)
 
 
@@ -194,12 +205,19 @@ def _ddl(schema: pa.Schema) -> str:
     return ", ".join(f"`{f.name}` {names[str(f.type)]}" for f in schema)
 
 
+def _parted(replies: pa.Table) -> tuple[pa.Table, pa.Table]:
+    """Rows about copies and the other rows that a block gets."""
+    whole = pc.is_valid(replies.column("digest"))
+    return replies.filter(whole), replies.filter(pc.invert(whole))
+
+
 def _dictionary(docs: pa.Table, replies: pa.Table) -> pa.Table:
     """Distinct phrases of a block with their continuations, whose trigger other documents have too. A single
     string of a hot trigger has minus its place in the phrase, less one, as count."""
     if not docs.num_rows or not replies.num_rows:
         return PHRASES.empty_table()
-    block = Block(docs)
+    copies, replies = _parted(replies)
+    block = Block(docs, copies)
     trig = replies.column("trigger").to_numpy().view(_U)
     order = np.argsort(trig)
     wanted, hot = trig[order], replies.column("hot").to_numpy(zero_copy_only=False)[order]
@@ -342,7 +360,8 @@ def _cleaner(with_text: bool):
         """Texts of a block without the bytes of the strings that smaller documents have."""
         if not docs.num_rows:
             return schema.empty_table()
-        block = Block(docs)
+        copies, runs = _parted(runs)
+        block = Block(docs, copies)
         edge = np.zeros(len(block.data) + 1, np.int32)
         if runs.num_rows:
             at, lead, begin, end, source = (runs.column(c).to_numpy().astype(np.int64) for c in ("at", "lead", "begin", "end", "source"))
@@ -374,6 +393,10 @@ def _cleaner(with_text: bool):
         gone = np.cumsum(edge[:-1], dtype=np.int32) > 0
         out = []
         for i, (a, b) in enumerate(zip(np.r_[0, block.ends[:-1]], block.ends, strict=True)):
+            if i in block.copy:
+                row = (block.doc_id[i].as_py(), block.copy[i], block.copy[i], 1, hashlib.sha256(b"").hexdigest())
+                out.append((*row, b"") if with_text else row)
+                continue
             g = gone[a:b]
             rest = block.data[a:b][~g].tobytes()
             row = (block.doc_id[i].as_py(), int(b - a), int(g.sum()), int(g[:1].sum() + (g[1:] & ~g[:-1]).sum()), hashlib.sha256(rest).hexdigest())
@@ -389,6 +412,16 @@ def _spread(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     return np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(left, n)
 
 
+def whole_copies(rows: DataFrame) -> DataFrame:
+    """block, digest, first: digests of texts of SPAN bytes or more that a smaller document has too, and its doc_id. Digests
+    only are shuffled; the copies of one text are dealt over SALTS tasks."""
+    narrow = rows.where(F.octet_length("text") >= SPAN).select("block", F.coalesce("doc_id", F.lit(LAST)).alias("id"), F.unhex(F.sha2(F.col("text").cast("binary"), 256)).alias("digest"))
+    firsts = narrow.groupBy("digest").agg(F.min("id").alias("first"), F.max("id").alias("last")).where(F.col("last") > F.col("first"))
+    spread = firsts.select("digest", "first", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("salt"))
+    salted = narrow.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("long"))
+    return salted.join(spread, ["digest", "salt"]).where(F.col("id") > F.col("first")).select("block", "digest", "first").distinct()
+
+
 def remove_repeats(docs: DataFrame, folder: str, block_bytes: int = BLOCK_BYTES, with_text: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every document; with_text adds the bytes kept."""
     spark = docs.sparkSession
@@ -396,19 +429,22 @@ def remove_repeats(docs: DataFrame, folder: str, block_bytes: int = BLOCK_BYTES,
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-size // block_bytes))
     parts = min(blocks, max(-(-size // PART_BYTES), 16 * spark.sparkContext.defaultParallelism))
-    dealt = rows.select("doc_id", "text", F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(blocks)).cast("int").alias("block")).repartition(parts, "block")
+    rows = rows.select("doc_id", "text", F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(blocks)).cast("int").alias("block"))
+    copies = stored(whole_copies(rows), f"{folder}/copies")
+    dealt = rows.repartition(parts, "block")
     by_block = lambda df: df.groupBy("block")
 
-    seen = by_block(dealt).applyInArrow(_triggers, _ddl(TRIGGERS))
+    seen = by_block(dealt).cogroup(by_block(copies)).applyInArrow(_triggers, _ddl(TRIGGERS))
     alike = Window.partitionBy("trigger")
     total = seen.withColumns({"blocks": F.count("*").over(alike), "most": F.max("places").over(alike), "all": F.sum(F.abs("places")).over(alike)})
     shared = stored(total.where("blocks > 1 or most > 0").select("block", "trigger", (F.col("all") > HOT).alias("hot")), f"{folder}/triggers")
     release(spark)
-    phrases = by_block(dealt).cogroup(by_block(shared)).applyInArrow(_dictionary, _ddl(PHRASES))
+    wanted = shared.unionByName(copies, allowMissingColumns=True)
+    phrases = by_block(dealt).cogroup(by_block(wanted)).applyInArrow(_dictionary, _ddl(PHRASES))
     runs = stored(phrases.repartition("key").sortWithinPartitions("key", "body", "low").mapInArrow(_resolve, _ddl(RUNS)), f"{folder}/runs")
     release(spark)
     ddl = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text
-    return by_block(dealt).cogroup(by_block(runs)).applyInArrow(_cleaner(with_text), ddl)
+    return by_block(dealt).cogroup(by_block(runs.unionByName(copies, allowMissingColumns=True))).applyInArrow(_cleaner(with_text), ddl)
 
 
 def op4_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
