@@ -13,12 +13,15 @@ one more), which reading back takes off again.
 Scale: no tree, conversation group or hot first turn is held whole. Turns are scanned in order with a
 running hash; nodes are deduplicated with map-side combining, range-partitioned by path and numbered by
 prefix sums over partitions; intervals come from a join on ancestors. Only the running hash and path of one
-conversation need its turns in sequence, and they stream. Conversations may be of any depth: a path names the
+conversation need its turns in sequence, and they stream. Where a tree starts comes from the same order, so no row is
+sent to its tree; the joins of conversations and chains with a hot first turn are plain equi-joins whose large side
+adaptive execution splits. Each node is decoded once, before it meets its conversations. Conversations may be of any depth: a path names the
 chains it passes, not the turns. A chain starts at a root or below a node with several children and goes on
 while there is one child, so its tokens are one interval and a path grows only where conversations part.
 
 Edge cases: null texts and roles are empty; repeated rows and equal turn numbers stay, ordered by role and
-text; a null conv_id is a conversation of its own; an empty table gives an empty result.
+text; a null conv_id is a conversation of its own; very long texts are nodes like others; an empty table gives an empty
+result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,11 +30,13 @@ import hashlib
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import new_folder, part_bases, slices, stored, table
+from .wordcache import decoder, encoder
 
 TURN, TEXT, END = "<|turn|>", "<|text|>", "<|end|>"
 #: Control strings of this template and of common ones.
@@ -41,6 +46,8 @@ _ESCAPE = re.compile(rf"([<\[])(\\*)({_ANY})")
 _UNESCAPE = re.compile(rf"([<\[])\\(\\*)({_ANY})")
 #: Digests in the paths of a batch.
 PATHS = 65_536
+#: Roles whose headers a task keeps encoded.
+MOST_ROLES = 10_000
 
 
 def escape(text: str) -> str:
@@ -51,11 +58,6 @@ def unescape(text: str) -> str:
     return _UNESCAPE.sub(r"\1\2\3", text)
 
 
-def format_turn(role: str, text: str) -> tuple[str, str, str]:
-    """Header, body and footer of a turn."""
-    return TURN + escape(role) + TEXT, escape(text), END
-
-
 def parse_turn(header: str, body: str) -> tuple[str, str]:
     return unescape(header[len(TURN) : -len(TEXT)]), unescape(body)
 
@@ -67,15 +69,17 @@ def chained(turns: DataFrame) -> DataFrame:
     def chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, first, idx, node = None, True, 0, b""
         for batch in slices(batches):
-            rows = []
+            out: tuple[list, ...] = ([], [], [])
             for conv, role, text in zip(*(batch.column(c).to_pylist() for c in ("conv_id", "role", "text")), strict=True):
                 if first or conv != last:
                     last, first, idx, node = conv, False, 0, b""
                 a, b = role.encode(), text.encode()
                 parent, node = node or None, hashlib.sha256(node + len(a).to_bytes(8, "big") + a + b).digest()
-                rows.append({"conv_id": conv, "idx": idx, "node": node, "parent": parent, "role": role, "text": text})
+                for x, y in zip(out, (idx, node, parent), strict=True):
+                    x.append(y)
                 idx += 1
-            yield pa.RecordBatch.from_pylist(rows, schema=schema)
+            numbers = [pa.array(x, f.type) for x, f in zip(out, list(schema)[1:4], strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("conv_id"), *numbers, batch.column("role"), batch.column("text")], schema=schema)
 
     rows = turns.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     ordered = rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
@@ -116,24 +120,27 @@ def tokenized(nodes: DataFrame, tokenizer: str) -> DataFrame:
     schema = pa.schema([("node", pa.binary()), ("path", pa.list_(pa.binary())), ("prior", pa.int64()), ("ids", pa.list_(pa.int32())), ("cut1", pa.int32()), ("cut2", pa.int32()), ("chars", pa.int64()), ("loss", pa.bool_())])
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lib = load_tokenizer(tokenizer)
+        enc = encoder(tokenizer, plain=True)
+        headers: dict[str, tuple[np.ndarray, int]] = {}
+        (foot,) = enc.encode([END])
         for batch in slices(batches):
-            rows = []
-            for r in batch.to_pylist():
-                h, b, f = format_turn(r["role"], r["text"])
-                x, y, z = (e.ids for e in lib.encode_batch([h, b, f], add_special_tokens=False))
-                rows.append({"node": r["node"], "path": r["path"], "prior": r["idx"], "ids": x + y + z, "cut1": len(x), "cut2": len(x) + len(y), "chars": len(h) + len(b) + len(f), "loss": r["role"] == "assistant"})
-            yield pa.RecordBatch.from_pylist(rows, schema=schema)
-
-    return nodes.mapInArrow(encode, "node binary, path array<binary>, prior long, ids array<int>, cut1 int, cut2 int, chars long, loss boolean")
-
-
-def load_tokenizer(path: str):
-    from tokenizers import Tokenizer
-
-    lib = Tokenizer.from_file(path)
-    lib.encode_special_tokens = True
-    return lib
+            roles = batch.column("role").to_pylist()
+            bodies = [escape(t) for t in batch.column("text").to_pylist()]
+            for role in set(roles).difference(headers):  # a few distinct ones
+                h = TURN + escape(role) + TEXT
+                headers[role] = enc.encode([h])[0], len(h)
+            if len(headers) > MOST_ROLES:
+                headers = {r: headers[r] for r in set(roles)}
+            heads = [headers[r] for r in roles]
+            coded = enc.encode(bodies)
+            n1, n2 = np.array([len(h) for h, _ in heads]), np.array([len(c) for c in coded])
+            flat = np.concatenate([x for (h, _), c in zip(heads, coded, strict=True) for x in (h, c, foot)]).astype(np.int32)
+            ids = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(n1 + n2 + len(foot))].astype(np.int32)), pa.array(flat))
+            chars = np.array([h + len(t) + len(END) for (_, h), t in zip(heads, bodies, strict=True)], np.int64)
+            columns = [ids, pa.array(n1.astype(np.int32)), pa.array((n1 + n2).astype(np.int32)), pa.array(chars), pa.array([r == "assistant" for r in roles])]
+            yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("path"), batch.column("idx"), *columns], schema=schema)
+
+    return nodes.select("node", "path", "idx", "role", "text").mapInArrow(encode, "node binary, path array<binary>, prior long, ids array<int>, cut1 int, cut2 int, chars long, loss boolean")
 
 
 def format_tree(turns: DataFrame, folder: str, tokenizer: str) -> tuple[DataFrame, DataFrame]:
@@ -147,15 +154,17 @@ def format_tree(turns: DataFrame, folder: str, tokenizer: str) -> tuple[DataFram
     ordered = nodes.withColumn("sort_key", sort_key).repartitionByRange("sort_key", "idx").sortWithinPartitions("sort_key", "idx").drop("sort_key")
     cells = tokenized(ordered, tokenizer).select("*", sort_key, F.element_at("path", 1).alias("tree"), F.size("ids").cast("long").alias("n"))
     local = stored(cells.select("*", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("rank")), f"{folder}/cells")
-    # running sums inside a partition, then over partitions
-    from pyspark.sql import Window
-
-    inside = Window.partitionBy("part").orderBy("rank").rowsBetween(Window.unboundedPreceding, -1)
-    bases = part_bases(local.groupBy("part").agg(F.sum("n").alias("total")), "part", "total").select("part", "base")
-    global_at = local.select("node", "path", "prior", "tree", "n", "part", F.coalesce(F.sum("n").over(inside), F.lit(0)).alias("at")).join(bases, "part").select("node", "path", "prior", "tree", "n", (F.col("at") + F.col("base")).alias("at"))
-    starts = stored(global_at, f"{folder}/starts")
-    roots = starts.where("prior = 0").select("tree", F.col("at").alias("tree_at"))
-    placed = starts.join(roots, "tree").select("node", F.element_at("path", -1).alias("chain"), "path", "n", (F.col("at") - F.col("tree_at")).alias("start"))
+    # running sums inside a partition, then over partitions; a tree starts at the last root in this order
+    inside = Window.partitionBy("part").orderBy("rank")
+    totals = local.groupBy("part").agg(F.sum("n").alias("total"))
+    bases = part_bases(totals, "part", "total").select("part", "base")
+    at = F.col("base") + F.coalesce(F.sum("n").over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    laid_out = local.select("node", "path", "prior", "n", "part", "rank").join(F.broadcast(bases), "part").select("node", "path", "prior", "n", "part", "rank", at.alias("at"))
+    starts = stored(laid_out.withColumn("root_at", F.max(F.when(F.col("prior") == 0, F.col("at"))).over(inside)).drop("rank"), f"{folder}/starts")
+    earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    carried = starts.groupBy("part").agg(F.max("root_at").alias("last")).select("part", F.max("last").over(earlier).alias("carried"))  # one row a partition
+    tree_at = F.coalesce("root_at", "carried")
+    placed = starts.join(F.broadcast(carried), "part").select("node", F.element_at("path", -1).alias("chain"), "path", "n", (F.col("at") - tree_at).alias("start"))
     # a chain is one interval; a node's ancestors are the chains above its own and its own chain's tokens before it
     chains = stored(placed.groupBy("chain").agg(F.min("start").alias("a"), F.max(F.col("start") + F.col("n")).alias("b"), F.first("path").alias("path")), f"{folder}/chains")
     above = chains.select("chain", F.explode(F.slice("path", 1, F.size("path") - 1)).alias("up"))
@@ -185,36 +194,52 @@ def format_tree(turns: DataFrame, folder: str, tokenizer: str) -> tuple[DataFram
 READ = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
 
 
+def read_nodes(tree: DataFrame, tokenizer: str) -> DataFrame:
+    """Every stored node once: turn (role and text as digested), what the loss mask covers (null: nothing), chars."""
+    schema = pa.schema([("node", pa.binary()), ("turn", pa.string()), ("masked", pa.string()), ("chars", pa.int64())])
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lib = decoder(tokenizer)
+        for batch in slices(batches):
+            turns, masks = [], []
+            for ids, *cuts in zip(*(batch.column(c).to_pylist() for c in ("ids", "body_start", "body_end", "loss_start", "loss_end")), strict=True):
+                x, y, a, b = cuts
+                body = lib.text(ids[x:y])
+                role, text = parse_turn(lib.text(ids[:x]), body)
+                turns.append(f"{role}\n{text}\n")
+                masks.append(None if a is None else text if (a, b) == (x, y) else unescape(lib.text(ids[a:b])))
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(turns, pa.string()), pa.array(masks, pa.string()), batch.column("chars")], schema=schema)
+
+    return tree.select("node", "ids", "body_start", "body_end", "loss_start", "loss_end", "chars").mapInArrow(read, "node binary, turn string, masked string, chars long")
+
+
 def read_tree(member: DataFrame, tree: DataFrame, tokenizer: str) -> DataFrame:
     """Rebuild every conversation from the stored nodes and digest it."""
+    schema = pa.schema([("conv_id", pa.int64()), ("n_turns", pa.int64()), ("turns_sha256", pa.string()), ("loss_chars", pa.int64()), ("loss_sha256", pa.string()), ("formatted_chars", pa.int64())])
 
     def rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lib, last, state = load_tokenizer(tokenizer), None, None
-        done = lambda: {"conv_id": last, "n_turns": state[0], "turns_sha256": state[1].hexdigest(), "loss_chars": state[2], "loss_sha256": state[3].hexdigest(), "formatted_chars": state[4]}
+        last, state = None, None
+        done = lambda: (last, state[0], state[1].hexdigest(), state[2], state[3].hexdigest(), state[4])
+        packed = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
         for batch in slices(batches):
             rows = []
-            for r in batch.to_pylist():
-                if state is None or r["conv_id"] != last:
+            for conv, turn, masked, chars in zip(*(batch.column(c).to_pylist() for c in ("conv_id", "turn", "masked", "chars")), strict=True):
+                if state is None or conv != last:
                     if state is not None:
                         rows.append(done())
-                    last, state = r["conv_id"], [0, hashlib.sha256(), 0, hashlib.sha256(), 0]
-                ids, x, y = r["ids"], r["body_start"], r["body_end"]
-                header, body = lib.decode(ids[:x], skip_special_tokens=False), lib.decode(ids[x:y], skip_special_tokens=False)
-                role, text = parse_turn(header, body)
+                    last, state = conv, [0, hashlib.sha256(), 0, hashlib.sha256(), 0]
                 state[0] += 1
-                state[1].update(f"{role}\n{text}\n".encode())
-                if r["loss_start"] is not None:
-                    masked = unescape(lib.decode(ids[r["loss_start"] : r["loss_end"]], skip_special_tokens=False))
+                state[1].update(turn.encode())
+                if masked is not None:
                     state[2] += len(masked)
                     state[3].update(masked.encode())
-                state[4] += r["chars"]
+                state[4] += chars
             if rows:
-                yield pa.RecordBatch.from_pylist(rows, schema=schema)
+                yield packed(rows)
         if state is not None:
-            yield pa.RecordBatch.from_pylist([done()], schema=schema)
+            yield packed([done()])
 
-    schema = pa.schema([("conv_id", pa.int64()), ("n_turns", pa.int64()), ("turns_sha256", pa.string()), ("loss_chars", pa.int64()), ("loss_sha256", pa.string()), ("formatted_chars", pa.int64())])
-    turns = member.join(tree.select("node", "ids", "body_start", "body_end", "loss_start", "loss_end", "chars"), "node").drop("node")
+    turns = member.join(read_nodes(tree, tokenizer), "node").drop("node")
     return turns.repartition("conv_id").sortWithinPartitions("conv_id", "idx").mapInArrow(rebuild, READ)
 
 

@@ -20,17 +20,19 @@ CACHE_WORDS = 600_000
 _MARK = "\x01"
 #: Signs that, after a word of letters, form a pre-token of their own.
 _TAIL = ".,;:!?|&$%#*"
-_LOADED: dict[str, ChunkEncoder] = {}
+_DECODERS: dict[str, ByteDecoder] = {}
+_LOADED: dict[tuple[str, bool], ChunkEncoder] = {}
 
 
 class ChunkEncoder:
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, plain: bool = False) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         os.environ.setdefault("RAYON_NUM_THREADS", "1")
         from tokenizers import Tokenizer
 
         self.lib = Tokenizer.from_file(path)
-        special = [t.content for t in self.lib.get_added_tokens_decoder().values()]
+        self.lib.encode_special_tokens = plain
+        special = [] if plain else [t.content for t in self.lib.get_added_tokens_decoder().values()]
         self.special = re.compile("|".join(map(re.escape, sorted(special, key=len, reverse=True))) or "(?!)")
         self.vocab = self.lib.get_vocab_size()
         self.type = "H" if self.vocab <= 0x10000 else "I"
@@ -107,8 +109,33 @@ class ChunkEncoder:
         return out
 
 
-def encoder(path: str) -> ChunkEncoder:
-    """The worker's encoder for a vocabulary file."""
-    if path not in _LOADED:
-        _LOADED[path] = ChunkEncoder(path)
-    return _LOADED[path]
+def encoder(path: str, plain: bool = False) -> ChunkEncoder:
+    """The worker's encoder for a vocabulary file; ``plain``: special tokens inside texts are text like any other."""
+    if (path, plain) not in _LOADED:
+        _LOADED[path, plain] = ChunkEncoder(path, plain)
+    return _LOADED[path, plain]
+
+
+class ByteDecoder:
+    """Texts of ids of a byte-level vocabulary: every id stands for the same bytes wherever it is."""
+
+    def __init__(self, path: str) -> None:
+        from tokenizers import Tokenizer
+
+        lib = Tokenizer.from_file(path)
+        printable = [*range(33, 127), *range(161, 173), *range(174, 256)]  # the byte-level alphabet: these stand for themselves
+        others = [b for b in range(256) if b not in set(printable)]
+        signs = {chr(b): b for b in printable} | {chr(256 + k): b for k, b in enumerate(others)}
+        special = {i: t.content.encode() for i, t in lib.get_added_tokens_decoder().items()}
+        tokens = [lib.id_to_token(i) or "" for i in range(lib.get_vocab_size())]
+        self.of = [special[i] if i in special else bytes(signs[c] for c in t) for i, t in enumerate(tokens)]
+
+    def text(self, ids) -> str:
+        return b"".join(map(self.of.__getitem__, ids)).decode()
+
+
+def decoder(path: str) -> ByteDecoder:
+    """The worker's decoder for a byte-level vocabulary file."""
+    if path not in _DECODERS:
+        _DECODERS[path] = ByteDecoder(path)
+    return _DECODERS[path]
