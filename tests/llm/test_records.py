@@ -161,7 +161,7 @@ def test_genetic_steps():
     sizes = rng.integers(1, 2000, 300)
     a, _ = op9_pack.evolve(sizes, [], 1, 2048)
     b, _ = op9_pack.evolve(sizes, [a], 2, 2048)
-    for bins in (a, b, op9_pack.crossover(sizes, a, b, rng, 2048), op9_pack.mutate(sizes, a, rng, 2048)):
+    for bins in (a, b, op9_pack.crossover(sizes, a, b, rng, 2048), op9_pack.crossover(sizes, b, a, rng, 2048, 0.1)):
         assert len(bins) == 300 and np.bincount(bins, sizes).max() <= 2048 and (np.bincount(bins) > 0).all()
     assert b.max() <= a.max()
 

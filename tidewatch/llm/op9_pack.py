@@ -4,7 +4,7 @@ Token sequences are cut only where longer than the capacity; full pieces are seq
 pieces are dealt by hash into packing groups of about GROUP pieces, each of which ISLANDS islands pack
 independently. An island starts from POPULATION best-fit packings of its pieces in random order. Crossover injects whole
 well-filled bins of one parent into the other, dissolves the bins that hold the same pieces twice and best-fits the
-displaced pieces, longest first; mutation dissolves the emptiest bins and some others. A child replaces the worst
+displaced pieces, longest first; mutation dissolves the emptiest bins and as many others with them. A child replaces the worst
 packing if it is better: fewer bins, then fuller ones. After each epoch an island receives the elite of its neighbour.
 A group at its lower bound stops evolving. The bins of all groups that stay emptier than RESIDUAL are dissolved and
 their pieces packed the same way once more, so that the groups do not leave an open bin each. One row holds an
@@ -31,7 +31,8 @@ from .wordcache import encoder
 
 CAPACITY = 2048
 GROUP, ISLANDS, EPOCHS = 4096, 3, 2
-POPULATION, GENERATIONS, WELL_FILLED = 6, 60, 0.98
+POPULATION, GENERATIONS, STALL = 6, 40, 12  # an epoch ends after STALL generations without a better elite
+WELL_FILLED, MUTATION = 0.98, 0.02
 RESIDUAL = 0.9
 SEED = 7
 
@@ -53,14 +54,15 @@ def best_fit(sizes: np.ndarray, items: np.ndarray, bins: np.ndarray, room: list[
 
 def lower_bound(sizes: np.ndarray, capacity: int) -> int:
     """Bins that any packing needs: total length, or long pieces plus what cannot stand beside them."""
-    best = -(-int(sizes.sum()) // capacity)
-    for k in np.unique(sizes[sizes <= capacity // 2]).tolist() or [1]:
-        large = sizes > capacity - k
-        middle = (sizes <= capacity - k) & (sizes > capacity // 2)
-        small = (sizes >= k) & (sizes <= capacity // 2)
-        spare = int(middle.sum()) * capacity - int(sizes[middle].sum())
-        best = max(best, int(large.sum()) + int(middle.sum()) + max(0, -(-(int(sizes[small].sum()) - spare) // capacity)))
-    return best
+    s = np.sort(sizes)
+    sums = np.r_[0, np.cumsum(s)]
+    half = np.searchsorted(s, capacity // 2, "right")
+    low = np.arange(half)  # the shortest piece that counts as small
+    low = low[np.r_[True, s[1:half] != s[: max(0, half - 1)]][:half]]
+    large = np.searchsorted(s, capacity - s[low], "right")  # pieces from here on stand alone
+    spare = (large - half) * capacity - (sums[large] - sums[half])
+    need = len(s) - half + np.maximum(0, -(-(sums[half] - sums[low] - spare) // capacity))
+    return int(max([-(-int(sums[-1]) // capacity), len(s) - half, *need.tolist()]))
 
 
 def _loads(bins: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -79,24 +81,21 @@ def _refill(sizes: np.ndarray, bins: np.ndarray, out: np.ndarray, capacity: int)
     return bins
 
 
-def crossover(sizes: np.ndarray, a: np.ndarray, b: np.ndarray, rng: np.random.Generator, capacity: int) -> np.ndarray:
-    """Bins of b that are well filled enter a whole; a's bins with the same pieces dissolve."""
+def crossover(sizes: np.ndarray, a: np.ndarray, b: np.ndarray, rng: np.random.Generator, capacity: int, mutation: float = 0.0) -> np.ndarray:
+    """Bins of b that are well filled enter a whole; a's bins with the same pieces dissolve, and so do this share of a's
+    other bins, the emptiest ones and as many others. Dissolved pieces are best-fitted."""
     full = np.flatnonzero(_loads(b, sizes) >= WELL_FILLED * capacity)
-    if not len(full):
-        return a.copy()
-    chosen = rng.permutation(full)[: max(1, int(len(full) * rng.uniform(0.1, 0.5)))]
-    moved = np.isin(b, chosen)
-    out = np.isin(a, np.unique(a[moved])) & ~moved
-    child = np.where(moved, b + int(a.max()) + 1, a)
-    return _refill(sizes, child, out, capacity)
-
-
-def mutate(sizes: np.ndarray, a: np.ndarray, rng: np.random.Generator, capacity: int) -> np.ndarray:
-    """Dissolve some of the emptiest bins and as many others."""
+    chosen = np.zeros(int(b.max()) + 1, bool)
+    chosen[rng.permutation(full)[: max(1, int(len(full) * rng.uniform(0.1, 0.5)))]] = True
+    moved = chosen[b]
     loads = _loads(a, sizes)
-    k = max(1, len(loads) // 50)
-    out = np.isin(a, np.concatenate([np.argsort(loads, kind="stable")[:k], rng.choice(len(loads), min(k, len(loads)), replace=False)]))
-    return _refill(sizes, a.copy(), out, capacity)
+    gone = np.zeros(len(loads), bool)
+    gone[a[moved]] = True
+    if mutation:
+        k = max(1, int(len(loads) * mutation))
+        gone[np.argsort(loads, kind="stable")[:k]] = True
+        gone[rng.choice(len(loads), min(k, len(loads)), replace=False)] = True
+    return _refill(sizes, np.where(moved, b + len(loads), a), gone[a] & ~moved, capacity)
 
 
 def fitness(sizes: np.ndarray, bins: np.ndarray, capacity: int) -> tuple[int, float]:
@@ -122,13 +121,15 @@ def evolve(sizes: np.ndarray, seeds: list[np.ndarray], seed: int, capacity: int
     while len(crowd) < POPULATION:
         new = random_packing(sizes, rng, capacity)
         crowd.append((fitness(sizes, new, capacity), new))
-    done = 0
+    done = idle = 0
+    best = None
     for _ in range(generations):
         crowd.sort(key=lambda x: x[0], reverse=True)
-        if -crowd[0][0][0] <= bound:
+        idle, best = (idle + 1, best) if best == crowd[0][0][0] else (0, crowd[0][0][0])
+        if -best <= bound or idle >= STALL:
             break
         i, j = rng.choice(len(crowd), 2, replace=False)
-        child = mutate(sizes, crossover(sizes, crowd[i][1], crowd[j][1], rng, capacity), rng, capacity)
+        child = crossover(sizes, crowd[i][1], crowd[j][1], rng, capacity, MUTATION)
         done += 1
         if (f := fitness(sizes, child, capacity)) > crowd[-1][0]:
             crowd[-1] = (f, child)
