@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators.timeops import correlation, ratio
 from ..sources.tables import COINS_SQL, DAY, HOUR, PRICES_SQL, SCORES_SQL, bucket, coin_prices, newest, prices, read, scores
-from .dashboard import r6
+from .dashboard import _WEIGHTS_SQL, r6, weights
 from .learning import _HOURS_SQL, source_hours
 
 QUERIES: dict = {}
@@ -109,13 +109,17 @@ def o4_20_credibility(spark, sf_dir):
     return u.groupBy("source").agg(r6(ratio(F.sum(F.col("m") * w), F.sum(w))).alias("score"), F.count("*").alias("users"), F.count_if(F.col("m") > 0.1).alias("bullish"), F.count_if(F.col("m") < -0.1).alias("bearish"))
 
 
-@query(f"""WITH {SCORES_SQL}, h AS (SELECT ts // 3600 * 3600 AS hour, source, avg(final_score) AS m FROM scores GROUP BY 1, 2), g AS (SELECT hour, avg(m) AS s, count(*) AS n, coalesce(stddev_pop(m), 0) AS d FROM h GROUP BY 1)
-SELECT hour, n, round(s + 1e-9, 6) AS composite, round(CASE WHEN n = 1 THEN 0.5 ELSE 1 - least(d, 1.0) END + 1e-9, 6) AS agreement, round(least(1.0, n / 5 * 0.5 + 0.5 * CASE WHEN n = 1 THEN 0.5 ELSE 1 - least(d, 1.0) END) + 1e-9, 6) AS confidence FROM g""")
+@query(f"""WITH {SCORES_SQL}, {_WEIGHTS_SQL}, h AS (SELECT ts // 3600 * 3600 AS hour, source, avg(final_score) AS m FROM scores GROUP BY 1, 2),
+g AS (SELECT hour, sum(CASE WHEN coalesce(contrarian, false) THEN -m ELSE m END * coalesce(weight, 0.01)) / sum(coalesce(weight, 0.01)) AS s, count(*) AS n, count(*) FILTER (contrarian) AS inverted, coalesce(stddev_pop(m), 0) AS d FROM h LEFT JOIN weights USING (source) GROUP BY 1)
+SELECT hour, n, inverted, round(s + 1e-9, 6) AS composite, round(CASE WHEN n = 1 THEN 0.5 ELSE 1 - least(d, 1.0) END + 1e-9, 6) AS agreement, round(least(1.0, n / 5 * 0.5 + 0.5 * CASE WHEN n = 1 THEN 0.5 ELSE 1 - least(d, 1.0) END) + 1e-9, 6) AS confidence FROM g""")
 def o4_25_composite(spark, sf_dir):
-    """Composite of source means each hour, with agreement and confidence (O4.25)."""
-    g = scores(spark, sf_dir).groupBy(bucket("ts", HOUR).alias("hour"), "source").agg(F.avg("final_score").alias("m")).groupBy("hour").agg(F.avg("m").alias("s"), F.count("*").alias("n"), F.stddev_pop("m").alias("d"))
+    """Weighted composite of source means each hour, contrarian sources inverted, with agreement of the means as they are and
+    confidence (O4.25)."""
+    w, sign = F.coalesce("weight", F.lit(0.01)), F.when(F.coalesce("contrarian", F.lit(False)), -1.0).otherwise(1.0)
+    m = scores(spark, sf_dir).groupBy(bucket("ts", HOUR).alias("hour"), "source").agg(F.avg("final_score").alias("m")).join(F.broadcast(weights(spark)), "source", "left")  # one row a source
+    g = m.groupBy("hour").agg(ratio(F.sum(sign * F.col("m") * w), F.sum(w)).alias("s"), F.count("*").alias("n"), F.count_if(F.coalesce("contrarian", F.lit(False))).alias("inverted"), F.stddev_pop("m").alias("d"))
     agree = F.when(F.col("n") == 1, 0.5).otherwise(1 - F.least(F.col("d"), F.lit(1.0)))
-    return g.select("hour", "n", r6(F.col("s")).alias("composite"), r6(agree).alias("agreement"), r6(F.least(F.lit(1.0), F.col("n") / 5 * 0.5 + 0.5 * agree)).alias("confidence"))
+    return g.select("hour", "n", "inverted", r6(F.col("s")).alias("composite"), r6(agree).alias("agreement"), r6(F.least(F.lit(1.0), F.col("n") / 5 * 0.5 + 0.5 * agree)).alias("confidence"))
 
 
 @query(f"WITH {_HOURS_SQL} SELECT CASE WHEN x <= -0.3 THEN 'a' WHEN x <= -0.1 THEN 'b' WHEN x <= 0.1 THEN 'c' WHEN x <= 0.3 THEN 'd' ELSE 'e' END AS bin, count(*) AS n, round(avg(r), 5) AS mean, round(stddev_samp(r), 5) AS deviation, round(avg(CASE WHEN (x > 0.1 AND r > 0) OR (x < -0.1 AND r < 0) THEN 1.0 WHEN abs(x) > 0.1 THEN 0.0 END), 5) AS hit_rate FROM sh GROUP BY 1")
@@ -225,20 +229,17 @@ def o6_19_autocorrelation(spark, sf_dir):
     return a.join(o, "i").groupBy("lag").agg(F.count("*").alias("n"), F.round(r, 4).alias("r"), (F.abs(r) > 2 / F.sqrt(F.count("*"))).alias("significant"))
 
 
-@query(f"WITH {_HOURS_SQL} SELECT source, count(*) AS n, round(regr_slope(r, x), 5) AS slope, round(regr_intercept(r, x), 5) AS intercept, round(regr_r2(r, x), 5) AS r2 FROM sh GROUP BY 1")
-def o8_5_naive_ols(spark, sf_dir):
-    """Returns regressed on scores by source (O8.5, O8.10)."""
-    return source_hours(spark, sf_dir).groupBy("source").agg(F.count("*").alias("n"), F.round(F.regr_slope("r", "x"), 5).alias("slope"), F.round(F.regr_intercept("r", "x"), 5).alias("intercept"), F.round(F.regr_r2("r", "x"), 5).alias("r2"))
-
-
-@query(f"""WITH {_HOURS_SQL}, u AS (SELECT source, count(*) AS n, avg(CASE WHEN abs(x) < 0.05 OR r = 0 THEN 0.5 WHEN sign(x) = sign(r) THEN 1.0 ELSE 0.0 END) AS m FROM sh GROUP BY 1)
-SELECT source, n, round(m + 1e-9, 6) AS utility, round(m + sqrt(2 * ln((SELECT sum(n) FROM u)) / n), 5) AS ucb, round((SELECT max(m) FROM u) - m + 1e-9, 6) AS regret, 0.7 * m + 0.15 > 0.5 AS informative FROM u""")
+@query(f"""WITH {_HOURS_SQL}, u AS (SELECT source, count(*) AS n, avg(CASE WHEN abs(x) < 0.05 OR r = 0 THEN 0.5 WHEN sign(x) = sign(r) THEN 1.0 ELSE 0.0 END) AS m FROM sh GROUP BY 1 UNION ALL SELECT 'unvisited', 0, 0.5)
+SELECT source, n, round(m + 1e-9, 6) AS utility, CASE WHEN n = 0 THEN 'inf'::DOUBLE ELSE round(m + 2.0 * sqrt(ln((SELECT sum(n) FROM u)) / n), 5) END AS ucb, round((SELECT max(m) FROM u) - m + 1e-9, 6) AS regret, 0.7 * m + 0.15 > 0.5 AS informative FROM u""")
 def o9_12_ucb(spark, sf_dir):
-    """Utility of every source, its UCB1 index and regret (O9.12, O9.13, O9.22, O9.24)."""
+    """Utility of every source, its UCB index (2 sqrt(ln t / n), infinite where never visited) and regret (O9.12, O9.13, O9.22,
+    O9.24); a source without visits stands beside them."""
     gain = F.when((F.abs("x") < 0.05) | (F.col("r") == 0), 0.5).when(F.signum("x") == F.signum("r"), 1.0).otherwise(0.0)
-    u = source_hours(spark, sf_dir).groupBy("source").agg(F.count("*").alias("n"), F.avg(gain).alias("m"))
+    new = spark.createDataFrame([("unvisited", 0, 0.5)], "source string, n long, m double")
+    u = source_hours(spark, sf_dir).groupBy("source").agg(F.count("*").alias("n"), F.avg(gain).alias("m")).unionByName(new)
     w = Window.partitionBy()  # one row a source
-    return u.select("source", "n", r6(F.col("m")).alias("utility"), F.round(F.col("m") + F.sqrt(2 * F.log(F.sum("n").over(w)) / F.col("n")), 5).alias("ucb"), r6(F.max("m").over(w) - F.col("m")).alias("regret"), (0.7 * F.col("m") + 0.15 > 0.5).alias("informative"))
+    ucb = F.when(F.col("n") == 0, float("inf")).otherwise(F.round(F.col("m") + 2.0 * F.sqrt(F.log(F.sum("n").over(w)) / F.col("n")), 5))
+    return u.select("source", "n", r6(F.col("m")).alias("utility"), ucb.alias("ucb"), r6(F.max("m").over(w) - F.col("m")).alias("regret"), (0.7 * F.col("m") + 0.15 > 0.5).alias("informative"))
 
 
 @query("""SELECT d.source, CASE WHEN n_chars < 500 THEN 'short' WHEN n_chars < 5000 THEN 'middle' ELSE 'long' END AS bucket, count(*) AS n, round(avg(CASE WHEN (n_chars >= 500) = (quality = 1) THEN 1.0 ELSE 0.0 END), 5) AS accuracy, count(*) FILTER (toxic = 1) AS toxic FROM documents d JOIN labels l USING (doc_id) GROUP BY 1, 2""")

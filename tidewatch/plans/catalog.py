@@ -1,7 +1,8 @@
 """All queries of the engine by name, with their DuckDB twins."""
 
 from ..streaming import hourly
-from . import audit, dashboard, decisions, learning
+from . import audit, dashboard, decisions, learning, postings, reports, upkeep
 
-QUERIES = dashboard.QUERIES | learning.QUERIES | audit.QUERIES | decisions.QUERIES | hourly.QUERIES
-ORACLE_SQL = dashboard.ORACLE_SQL | learning.ORACLE_SQL | audit.ORACLE_SQL | decisions.ORACLE_SQL | hourly.ORACLE_SQL
+_PLANS = (dashboard, learning, audit, decisions, postings, reports, upkeep, hourly)
+QUERIES = {name: f for plan in _PLANS for name, f in plan.QUERIES.items()}
+ORACLE_SQL = {name: sql for plan in _PLANS for name, sql in plan.ORACLE_SQL.items()}

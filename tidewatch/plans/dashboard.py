@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.timeops import asof, ratio
-from ..sources.tables import COINS_SQL, DAY, HOUR, PRICES_SQL, SCORES_SQL, bucket, coin_prices, newest, prices, read, scores
+from ..sources.tables import COINS_SQL, DAY, HOUR, PRICES_SQL, SCORES_SQL, bucket, coin_prices, newest, prices, read, scores, since
 
 #: Reliability intervals standing in for learned ones: (source, low, high, effective_n, contrarian).
 WEIGHT_INPUTS = [("click", 0.55, 0.65, 200, False), ("purchase", 0.35, 0.45, 150, True), ("view", 0.48, 0.53, 400, False)]
@@ -48,7 +48,7 @@ def weighted(averages: DataFrame, weight_rows: DataFrame) -> DataFrame:
 
 def o4_1_weighted_sentiment(spark, sf_dir):
     rows = scores(spark, sf_dir)
-    return weighted(source_averages(rows.where(F.col("ts") >= newest(rows) - 168 * HOUR)), weights(spark))
+    return weighted(source_averages(since(rows, newest(rows) - 168 * HOUR)), weights(spark))
 
 
 _AVG_SQL = """averages AS (SELECT source, avg(final_score) AS a, count(*) AS n, avg(CASE WHEN fear_index > 0 THEN 1.0 ELSE 0.0 END) AS fp, avg(fear_index) FILTER (fear_index > 0) AS fi,
@@ -63,9 +63,10 @@ SELECT round(sum((CASE WHEN coalesce(contrarian, false) THEN -1 ELSE 1 END) * a
 def o4_2_window_fallback(spark, sf_dir):
     """The smallest of the 4, 24 and 168 hour windows that has posts, in one scan."""
     rows = scores(spark, sf_dir)
-    age = F.lit(newest(rows)) - F.col("ts")
+    now = newest(rows)
+    age = F.lit(now) - F.col("ts")
     spans = F.explode(F.filter(F.array(F.lit(4), F.lit(24), F.lit(168)), lambda h: age <= h * HOUR))
-    sums = rows.where(age <= 168 * HOUR).select(spans.alias("hours"), "final_score").groupBy("hours").agg(F.avg("final_score").alias("s"), F.count("*").alias("n"))
+    sums = since(rows, now - 168 * HOUR).select(spans.alias("hours"), "final_score").groupBy("hours").agg(F.avg("final_score").alias("s"), F.count("*").alias("n"))
     return sums.agg(F.min("hours").alias("hours"), r6(F.min_by("s", "hours")).alias("score"), F.min_by("n", "hours").alias("posts"))
 
 
@@ -117,30 +118,37 @@ S4_7 = f"WITH {SCORES_SQL} SELECT source, count(*) AS n, max(ts) AS last_ts FROM
 
 
 def o4_11_panic_score(spark, sf_dir):
-    """Components A to E of the panic score over the last day, against the week before (O4.9 to O4.11)."""
+    """Components A to E of the panic score over the last day, against the week before (O4.9 to O4.11). Component D takes the
+    newest market index above 0; the index is the newest ``view`` value here, 0 to 100."""
     rows = scores(spark, sf_dir)
-    age = F.lit(newest(rows)) - F.col("ts")
+    now = newest(rows)
+    recent = since(rows, now - 8 * DAY)
+    age = F.lit(now) - F.col("ts")
     s, day, base = F.col("final_score"), age <= DAY, (age > DAY) & (age <= 8 * DAY)
-    agg = rows.where(age <= 8 * DAY).agg(
-        F.count_if(day).alias("total"), F.count_if(day & (s < -0.1)).alias("bearish"), F.count_if(day & (F.col("fear_index") > 0)).alias("fear"),
+    index = (F.col("final_score") + 1) * 50
+    agg = recent.agg(
+        F.count_if(day).alias("total"), F.count_if(day & (s < -0.1)).alias("bearish"), F.count_if(day & (F.col("fear_index") > 0)).alias("fear"), F.min(F.when(day, s)).alias("lowest"),
         F.avg(F.when(day, s)).alias("mean"), F.avg(F.when(day & (s < 0), s)).alias("neg"), F.avg(F.when(base, s)).alias("base"),
+        F.max_by(index, F.when((F.col("source") == "view") & (index > 0), F.struct("ts", "raw_id"))).alias("fgi"),
     )
     clamp = lambda c, top: F.least(F.lit(float(top)), F.greatest(F.lit(0.0), c))
     a, c = 25 * ratio(F.col("bearish"), F.col("total")), 20 * F.least(F.lit(1.0), F.abs(F.coalesce("neg", F.lit(0.0))) / 0.3)
     b = F.when(F.col("base").isNull(), clamp(-50 * F.col("mean"), 25)).otherwise(clamp((F.col("base") - F.col("mean")) / 0.1 * 25, 25))
+    d = F.coalesce((100 - F.col("fgi")) / 100 * 25, F.lit(0.0))
     e = F.least(F.lit(5.0), 20 * ratio(F.col("fear"), F.col("total")))
-    total = clamp(a + b + c + e, 100)
-    label = F.when(total >= 60, "extreme").when(total >= 40, "high").when(total >= 20, "elevated").otherwise("low")
-    return agg.select(r6(a).alias("a"), r6(b).alias("b"), r6(c).alias("c"), r6(e).alias("e"), r6(total).alias("panic"), label.alias("label"))
+    total = F.round(clamp(a + b + c + d + e, 100) + 1e-9, 1)
+    label = F.when(total >= 60, "High Panic").when(total >= 40, "Elevated").when(total >= 20, "Moderate").otherwise("Calm")
+    return agg.select(*(r6(x).alias(n) for n, x in zip("abcde", (a, b, c, d, e), strict=True)), r6("lowest").alias("lowest"), total.alias("panic"), label.alias("label"))
 
 
-S4_11 = f"""WITH {SCORES_SQL}, x AS (SELECT *, (SELECT max(ts) FROM scores) - ts AS age FROM scores), g AS (
-    SELECT count(*) FILTER (age <= 86400) AS total, count(*) FILTER (age <= 86400 AND final_score < -0.1) AS bearish, count(*) FILTER (age <= 86400 AND fear_index > 0) AS fear,
-    avg(final_score) FILTER (age <= 86400) AS mean, avg(final_score) FILTER (age <= 86400 AND final_score < 0) AS neg, avg(final_score) FILTER (age > 86400 AND age <= 691200) AS base FROM x),
+S4_11 = f"""WITH {SCORES_SQL}, x AS (SELECT *, (SELECT max(ts) FROM scores) - ts AS age, (final_score + 1) * 50 AS idx FROM scores), g AS (
+    SELECT count(*) FILTER (age <= 86400) AS total, count(*) FILTER (age <= 86400 AND final_score < -0.1) AS bearish, count(*) FILTER (age <= 86400 AND fear_index > 0) AS fear, min(final_score) FILTER (age <= 86400) AS lowest,
+    avg(final_score) FILTER (age <= 86400) AS mean, avg(final_score) FILTER (age <= 86400 AND final_score < 0) AS neg, avg(final_score) FILTER (age > 86400 AND age <= 691200) AS base,
+    arg_max(idx, (ts, raw_id)) FILTER (source = 'view' AND idx > 0 AND age <= 691200) AS fgi FROM x),
 p AS (SELECT 25.0 * bearish / total AS a, CASE WHEN base IS NULL THEN least(25.0, greatest(0.0, -50 * mean)) ELSE least(25.0, greatest(0.0, (base - mean) / 0.1 * 25)) END AS b,
-    20 * least(1.0, abs(coalesce(neg, 0.0)) / 0.3) AS c, least(5.0, 20.0 * fear / total) AS e FROM g)
-SELECT round(a + 1e-9, 6) AS a, round(b + 1e-9, 6) AS b, round(c + 1e-9, 6) AS c, round(e + 1e-9, 6) AS e, round(least(100.0, a + b + c + e) + 1e-9, 6) AS panic,
-    CASE WHEN a + b + c + e >= 60 THEN 'extreme' WHEN a + b + c + e >= 40 THEN 'high' WHEN a + b + c + e >= 20 THEN 'elevated' ELSE 'low' END AS label FROM p"""
+    20 * least(1.0, abs(coalesce(neg, 0.0)) / 0.3) AS c, coalesce((100 - fgi) / 100 * 25, 0.0) AS d, least(5.0, 20.0 * fear / total) AS e, lowest FROM g), t AS (SELECT *, round(least(100.0::DOUBLE, a + b + c + d + e) + 1e-9, 1) AS panic FROM p)
+SELECT round(a + 1e-9, 6) AS a, round(b + 1e-9, 6) AS b, round(c + 1e-9, 6) AS c, round(d + 1e-9, 6) AS d, round(e + 1e-9, 6) AS e, round(lowest + 1e-9, 6) AS lowest, panic,
+    CASE WHEN panic >= 60 THEN 'High Panic' WHEN panic >= 40 THEN 'Elevated' WHEN panic >= 20 THEN 'Moderate' ELSE 'Calm' END AS label FROM t"""
 
 
 def rolling(rows: DataFrame, *keys: str) -> DataFrame:
@@ -172,15 +180,16 @@ S7_1 = f"WITH {COINS_SQL} SELECT coin, round(arg_max(price, (ts, id)) + 1e-9, 6)
 
 
 def o7_3_recent_posts(spark, sf_dir):
-    """Newest 50 posts with their user's mean score."""
+    """Newest 50 posts with their user's mean score and the number of all posts; profiles of these users only (O7.3)."""
     rows = scores(spark, sf_dir)
     top = rows.orderBy(F.desc("ts"), F.desc("raw_id")).limit(50)
-    users = rows.groupBy("user_id").agg(r6(F.avg("final_score")).alias("user_mean"))
-    return top.join(users, "user_id", "left").select("raw_id", "user_id", "ts", "source", r6("final_score").alias("final_score"), "user_mean")
+    users = rows.join(F.broadcast(top.select("user_id").distinct()), "user_id", "left_semi").groupBy("user_id").agg(r6(F.avg("final_score")).alias("user_mean"))  # 50 users at most
+    total = rows.agg(F.count("*").alias("total"))
+    return top.join(users, "user_id", "left").crossJoin(F.broadcast(total)).select("raw_id", "user_id", "ts", "source", r6("final_score").alias("final_score"), "user_mean", "total")
 
 
 S7_3 = f"""WITH {SCORES_SQL}, u AS (SELECT user_id, round(avg(final_score) + 1e-9, 6) AS user_mean FROM scores GROUP BY 1)
-SELECT raw_id, user_id, ts, source, round(final_score + 1e-9, 6) AS final_score, user_mean FROM (SELECT * FROM scores ORDER BY ts DESC, raw_id DESC LIMIT 50) LEFT JOIN u USING (user_id)"""
+SELECT raw_id, user_id, ts, source, round(final_score + 1e-9, 6) AS final_score, user_mean, (SELECT count(*) FROM scores) AS total FROM (SELECT * FROM scores ORDER BY ts DESC, raw_id DESC LIMIT 50) LEFT JOIN u USING (user_id)"""
 
 
 def o3_11_price_change(spark, sf_dir):
@@ -233,22 +242,32 @@ S2_8 = f"""WITH {SCORES_SQL} SELECT raw_id, CASE WHEN final_score > 0.2 THEN 'bu
     CASE WHEN final_score > -1 AND final_score <= -0.3 THEN 'very negative' WHEN final_score > -0.3 AND final_score <= -0.1 THEN 'negative' WHEN final_score > -0.1 AND final_score <= 0.1 THEN 'neutral' WHEN final_score > 0.1 AND final_score <= 0.3 THEN 'positive' WHEN final_score > 0.3 THEN 'very positive' END AS bin FROM scores"""
 
 
+SOURCES = ["click", "error", "purchase", "signup", "view"]
+
+
 def o4_29_pivot(spark, sf_dir):
     """Hourly means, a column a source (O4.29)."""
-    kinds = ["click", "purchase", "view"]
-    out = scores(spark, sf_dir).groupBy(bucket("ts", HOUR).alias("hour")).pivot("source", kinds).agg(F.avg("final_score"))
-    return out.select("hour", *(r6(k).alias(k) for k in kinds))
+    out = scores(spark, sf_dir).groupBy(bucket("ts", HOUR).alias("hour")).pivot("source", SOURCES).agg(F.avg("final_score"))
+    return out.select("hour", *(r6(k).alias(k) for k in SOURCES))
 
 
-S4_29 = f"WITH {SCORES_SQL} SELECT ts // 3600 * 3600 AS hour, round(avg(final_score) FILTER (source = 'click') + 1e-9, 6) AS click, round(avg(final_score) FILTER (source = 'purchase') + 1e-9, 6) AS purchase, round(avg(final_score) FILTER (source = 'view') + 1e-9, 6) AS view FROM scores GROUP BY 1"
+S4_29 = f"WITH {SCORES_SQL} SELECT ts // 3600 * 3600 AS hour, {', '.join(f"round(avg(final_score) FILTER (source = '{k}') + 1e-9, 6) AS {k}" for k in SOURCES)} FROM scores GROUP BY 1"
 
 
 def o4_34_spread(spark, sf_dir):
-    """Mean, extremes, upper median and population deviation by source (O4.34)."""
-    w = Window.partitionBy("source").orderBy("final_score", "raw_id")
-    rows = scores(spark, sf_dir).select("source", "final_score", F.row_number().over(w).alias("i"), F.count("*").over(Window.partitionBy("source")).alias("n"))
-    middle = F.max(F.when(F.col("i") == F.floor(F.col("n") / 2) + 1, F.col("final_score")))
-    return rows.groupBy("source").agg(r6(F.avg("final_score")).alias("mean"), r6(F.min("final_score")).alias("low"), r6(F.max("final_score")).alias("high"), r6(middle).alias("median"), r6(F.stddev_pop("final_score")).alias("deviation"))
+    """Mean, extremes, upper median and population deviation by source (O4.34). Equal scores are counted first; the middle is
+    looked for among counts by slice of scores, then only inside its slice, so no task sorts a source's rows."""
+    counts = scores(spark, sf_dir).groupBy("source", "final_score").agg(F.count("*").alias("n")).withColumn("slice", F.floor((F.col("final_score") + 1) * 500))
+    slices = counts.groupBy("source", "slice").agg(F.sum("n").alias("n"))
+    w = Window.partitionBy("source").orderBy("slice")
+    upto = slices.select("source", "slice", F.sum("n").over(w).alias("upto"), "n", F.sum("n").over(Window.partitionBy("source")).alias("all"))
+    middle = F.floor(F.col("all") / 2) + 1
+    chosen = upto.where((F.col("upto") >= middle) & (F.col("upto") - F.col("n") < middle)).select("source", "slice", (middle - (F.col("upto") - F.col("n"))).alias("rank"))
+    inside = counts.join(F.broadcast(chosen), ["source", "slice"])  # one row a source
+    place = F.sum("n").over(Window.partitionBy("source").orderBy("final_score"))
+    median = inside.withColumn("place", place).where(F.col("place") >= F.col("rank")).groupBy("source").agg(F.min("final_score").alias("median"))
+    rows = scores(spark, sf_dir).groupBy("source").agg(r6(F.avg("final_score")).alias("mean"), r6(F.min("final_score")).alias("low"), r6(F.max("final_score")).alias("high"), r6(F.stddev_pop("final_score")).alias("deviation"))
+    return rows.join(median, "source").select("source", "mean", "low", "high", r6("median").alias("median"), "deviation")
 
 
 S4_34 = f"""WITH {SCORES_SQL}, x AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY final_score, raw_id) AS i, count(*) OVER (PARTITION BY source) AS n FROM scores)

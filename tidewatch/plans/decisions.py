@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators.timeops import fold_cooldown
-from ..sources.tables import COINS_SQL, DAY, HOUR, SCORES_SQL, bucket, coin_prices, newest, read, scores
+from ..sources.tables import COINS_SQL, DAY, HOUR, SCORES_SQL, bucket, coin_prices, newest, prices, read, scores
 from .dashboard import r6
-from .learning import _HOURS_SQL, source_hours
+from .learning import _HOURS_SQL, _MARKET_SQL, hourly_market, source_hours
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -34,15 +35,22 @@ def o9_8_conjugate_update(spark, sf_dir):
     return c.select("source", (1.0 + F.col("hits")).alias("alpha"), (1.0 + F.col("misses") + 0.3 * F.col("empties")).alias("beta"), r6(mean).alias("mean"))
 
 
-@query(f"""WITH {SCORES_SQL}, g AS (SELECT source, ts, ts - lag(ts) OVER (PARTITION BY source ORDER BY ts, raw_id) AS gap FROM scores)
-SELECT source, count(*) AS posts, max(gap) AS longest_gap, count(*) FILTER (gap >= 7200) AS dry_spells, (SELECT max(ts) FROM scores) - max(ts) >= 7200 AS inactive, CASE WHEN (SELECT max(ts) FROM scores) - max(ts) >= 7200 THEN max(ts) + 14400 END AS next_probe FROM g GROUP BY 1""")
-def o9_9_lifecycle(spark, sf_dir, dry: int = 2 * HOUR):
-    """Dry spells of every source, whether it is inactive now and when to probe it next (O9.9); production uses 24 h."""
+@query(f"""WITH {SCORES_SQL}, g AS (SELECT source, ts, ts - lag(ts) OVER (PARTITION BY source ORDER BY ts, raw_id) AS gap FROM scores), t AS (SELECT source, count(*) AS posts, max(gap) AS longest_gap, count(*) FILTER (gap >= 86400) AS dry_spells, max(ts) AS last_ts FROM g GROUP BY 1),
+x AS (SELECT *, (SELECT max(ts) FROM scores) - last_ts AS age FROM t) SELECT source, posts, longest_gap, dry_spells, CASE WHEN age >= 86400 THEN 'inactive' ELSE 'active' END AS status, CASE WHEN age >= 86400 THEN last_ts + 172800 END AS next_probe, age // 3600 >= 4 AS cooling, round(power(0.9::DOUBLE, age // 3600) + 1e-9, 6) AS freshness FROM x""")
+def o9_9_lifecycle(spark, sf_dir, dry: int = DAY):
+    """Dry spells of every source, its status after a day without posts, the next probe a day later, whether it cools down after
+    four empty hours, and a freshness that decays by the hour (O9.9). First and last times by hour come first, gaps between
+    and inside hours after, so no task sorts a source's posts."""
     s = scores(spark, sf_dir)
     end = newest(s)
-    gap = F.col("ts") - F.lag("ts").over(Window.partitionBy("source").orderBy("ts", "raw_id"))
-    idle = F.lit(end) - F.max("ts") >= dry
-    return s.withColumn("gap", gap).groupBy("source").agg(F.count("*").alias("posts"), F.max("gap").alias("longest_gap"), F.count_if(F.col("gap") >= dry).alias("dry_spells"), idle.alias("inactive"), F.when(idle, F.max("ts") + 2 * dry).alias("next_probe"))
+    hours = s.groupBy("source", bucket("ts", HOUR).alias("hour")).agg(F.count("*").alias("posts"), F.min("ts").alias("a"), F.max("ts").alias("b"))
+    between = F.col("a") - F.lag("b").over(Window.partitionBy("source").orderBy("hour"))
+    # a gap inside one hour is shorter than any between posts of different hours only sometimes: the longest is taken over both
+    inside = s.groupBy("source", bucket("ts", HOUR).alias("hour")).agg(F.array_sort(F.collect_set("ts")).alias("t")).select("source", F.expr("array_max(zip_with(slice(t, 2, size(t) - 1), slice(t, 1, size(t) - 1), (x, y) -> x - y))").alias("gap")).groupBy("source").agg(F.max("gap").alias("inside"))  # seconds of an hour: 3,600 values
+    g = hours.withColumn("gap", between).groupBy("source").agg(F.sum("posts").alias("posts"), F.max("gap").alias("gap"), F.count_if(F.col("gap") >= dry).alias("dry_spells"), F.max("b").alias("last_ts")).join(inside, "source")
+    age = F.lit(end) - F.col("last_ts")
+    idle = age >= dry
+    return g.select("source", "posts", F.greatest("gap", "inside").alias("longest_gap"), "dry_spells", F.when(idle, "inactive").otherwise("active").alias("status"), F.when(idle, F.col("last_ts") + 2 * dry).alias("next_probe"), (F.floor(age / HOUR) >= 4).alias("cooling"), r6(F.pow(F.lit(0.9), F.floor(age / HOUR))).alias("freshness"))
 
 
 #: Source type by prefix (first match, default social) and its prior mean and strength.
@@ -95,37 +103,97 @@ def o8_6_backdoor(spark, sf_dir):
     return k.select("source", "n", F.round("naive", 6).alias("naive"), F.round("adjusted", 6).alias("adjusted"), F.round(F.try_divide(F.col("naive") - F.col("adjusted"), F.col("naive")), 3).alias("removed"), label.alias("robustness"))
 
 
-#: Grid of thresholds and cooldown hours; each signal within the cooldown of an emitted one is dropped.
-GRID_LEVELS, GRID_HOURS = [0.1, 0.2, 0.3, 0.4], [2, 6, 12]
-
-
-@query(f"""WITH RECURSIVE {_HOURS_SQL}, cfg AS (SELECT l.level, g.gap FROM (VALUES (0.1::DOUBLE), (0.2::DOUBLE), (0.3::DOUBLE), (0.4::DOUBLE)) l(level) CROSS JOIN (VALUES (2), (6), (12)) g(gap)),
-hit AS (SELECT level, gap, source, hour, CASE WHEN x > 0 THEN r ELSE -r END AS gain FROM sh JOIN cfg ON abs(x) >= level),
-e AS (SELECT level, gap, source, min(hour) AS hour FROM hit GROUP BY 1, 2, 3 UNION ALL SELECT e.level, e.gap, e.source, (SELECT min(h.hour) FROM hit h WHERE h.level = e.level AND h.gap = e.gap AND h.source = e.source AND h.hour >= e.hour + e.gap * 3600) FROM e WHERE e.hour IS NOT NULL)
-SELECT level, gap, count(*) AS n, round(avg(gain), 6) AS mean, round(avg(CASE WHEN gain > 0 THEN 1.0 ELSE 0.0 END) + 1e-9, 6) AS win_rate, round(avg(gain) / nullif(stddev_samp(gain), 0), 5) AS sharpe FROM e JOIN hit USING (level, gap, source, hour) GROUP BY 1, 2""")
+#: Fear, greed and z-score thresholds, how still the price must be (per cent), cooldown hours.
+GRID = {"fear": [-0.2, -0.3, -0.4, -0.5], "greed": [0.4, 0.5, 0.6, 0.7], "zs": [1.5, 2.0, 2.5], "still": [2.0, 3.0, 5.0], "gap": [6, 12, 24, 48]}
+
+
+def grid_hours(spark, sf_dir):
+    """hour, s, z (against the 168 hours before), price, change (against the first price of the last 24 hours), exit (the first
+    hourly price within two hours of a day later)."""
+    m = hourly_market(spark, sf_dir).select("hour", "s").withColumn("coin", F.lit("BTC"))
+    p = prices(spark, sf_dir).groupBy(bucket("ts", HOUR).alias("hour")).agg(F.avg("price").alias("p")).withColumn("coin", F.lit("BTC"))
+    w = Window.partitionBy("coin").orderBy("hour")
+    before = w.rowsBetween(-168, -1)
+    rows = m.withColumn("i", F.row_number().over(w)).withColumn("z", (F.col("s") - F.avg("s").over(before)) / F.coalesce(F.nullif(F.stddev_samp("s").over(before), F.lit(0.0)), F.lit(0.1)))
+    both = rows.join(p, ["coin", "hour"], "full_outer")
+    day = w.rangeBetween(-DAY, 0)
+    priced = both.select("hour", "s", "z", "i", F.last("p", True).over(day).alias("price"), F.first("p", True).over(day).alias("old"), F.count("p").over(day).alias("n"))
+    exits = priced.where("i > 168 and n >= 2").select("hour", F.posexplode(F.array(*(F.col("hour") + DAY + k * HOUR for k in (-1, 0, 1)))).alias("k", "at"))
+    found = exits.join(p.select(F.col("hour").alias("at"), "p"), "at").groupBy("hour").agg(F.min_by("p", "k").alias("exit"))
+    change = 100 * (F.col("price") - F.col("old")) / F.col("old")
+    return priced.where("i > 168 and n >= 2").join(found, "hour", "left").select("hour", "s", F.round("z", 9).alias("z"), "price", F.round(change, 9).alias("change"), "exit")
+
+
+_GRID_SQL = f"""{_MARKET_SQL}, hp AS (SELECT ts // 3600 * 3600 AS hour, avg(price) AS p FROM prices GROUP BY 1),
+zs AS (SELECT hour, s, row_number() OVER (ORDER BY hour) AS i, (s - avg(s) OVER b) / coalesce(nullif(stddev_samp(s) OVER b, 0), 0.1) AS z FROM market WINDOW b AS (ORDER BY hour ROWS BETWEEN 168 PRECEDING AND 1 PRECEDING)),
+pr AS (SELECT hour, s, z, i, last_value(p IGNORE NULLS) OVER d AS price, first_value(p IGNORE NULLS) OVER d AS old, count(p) OVER d AS n FROM zs FULL OUTER JOIN hp USING (hour) WINDOW d AS (ORDER BY hour RANGE BETWEEN 86400 PRECEDING AND CURRENT ROW)),
+gh AS (SELECT pr.hour, s, round(z, 9) AS z, price, round(100 * (price - old) / old, 9) AS change, (SELECT arg_min(p, hp.hour) FROM hp WHERE abs(hp.hour - pr.hour - 86400) < 7200) AS exit FROM pr WHERE i > 168 AND n >= 2),
+cfg AS (SELECT * FROM (VALUES (-0.2::DOUBLE), (-0.3::DOUBLE), (-0.4::DOUBLE), (-0.5::DOUBLE)) f(fear), (VALUES (0.4::DOUBLE), (0.5::DOUBLE), (0.6::DOUBLE), (0.7::DOUBLE)) g(greed), (VALUES (1.5::DOUBLE), (2.0::DOUBLE), (2.5::DOUBLE)) z(zs), (VALUES (2.0::DOUBLE), (3.0::DOUBLE), (5.0::DOUBLE)) t(still), (VALUES (6), (12), (24), (48)) c(gap)),
+hit AS (SELECT cfg.*, hour, side, side * 100 * (exit - price) / price AS r FROM (SELECT cfg.*, gh.*, CASE WHEN s < fear AND z < -zs AND change > -still THEN 1 WHEN s > greed AND z > zs AND change < still THEN -1 WHEN z < -2.5 THEN 1 WHEN z > 2.5 THEN -1 END AS side FROM gh, cfg) cfg WHERE side IS NOT NULL)"""
+
+
+@query(f"""WITH RECURSIVE {_GRID_SQL.replace('hit AS (SELECT cfg.*, hour, side, side', 'hit AS (SELECT fear, greed, zs, still, gap, hour, side, side')},
+e AS (SELECT fear, greed, zs, still, gap, min(hour) AS hour FROM hit GROUP BY ALL UNION ALL
+    SELECT e.fear, e.greed, e.zs, e.still, e.gap, (SELECT min(h.hour) FROM hit h WHERE h.fear = e.fear AND h.greed = e.greed AND h.zs = e.zs AND h.still = e.still AND h.gap = e.gap AND h.hour >= e.hour + e.gap * 3600) FROM e WHERE e.hour IS NOT NULL),
+t AS (SELECT h.*, sum(r) OVER w AS c FROM e JOIN hit h USING (fear, greed, zs, still, gap, hour) WHERE r IS NOT NULL WINDOW w AS (PARTITION BY fear, greed, zs, still, gap ORDER BY hour)),
+d AS (SELECT *, greatest(0.0, max(c) OVER (PARTITION BY fear, greed, zs, still, gap ORDER BY hour)) - c AS dd FROM t),
+g AS (SELECT fear, greed, zs, still, gap, count(*) AS n, round(avg(r), 5) AS mean, round(100 * avg(CASE WHEN r > 0 THEN 1.0 ELSE 0.0 END), 5) AS win_rate, coalesce(sum(r) FILTER (r > 0), 0.0) AS gp, coalesce(abs(sum(r) FILTER (r <= 0)), 1.0) AS gl, coalesce(stddev_samp(r), 1.0) AS sd, avg(r) AS m, round(max(dd), 5) AS drawdown FROM d GROUP BY ALL),
+a AS (SELECT c.*, coalesce(n, 0) AS n, coalesce(mean, 0.0) AS mean, coalesce(win_rate, 0.0) AS win_rate, round(coalesce(CASE WHEN gl > 0 THEN gp / gl ELSE gp END, 0.0), 5) AS profit_factor, round(coalesce(CASE WHEN sd > 0 THEN m / sd ELSE 0.0 END, 0.0), 5) AS sharpe, coalesce(drawdown, 0.0) AS drawdown FROM cfg c LEFT JOIN g USING (fear, greed, zs, still, gap))
+SELECT *, rank() OVER (ORDER BY sharpe DESC) AS place FROM a""")
 def o11_7_threshold_grid(spark, sf_dir):
-    """Every threshold and cooldown over hourly signals: emitted ones, mean gain, win rate, Sharpe (O7.13, O11.7, O11.8).
+    """All 576 settings of the five thresholds, simulated over hourly signals, ranked by Sharpe ratio (O7.13, O11.7, O11.8).
 
-    A group of the fold is one source under one setting: its hours with a signal, 8,760 numbers a year at most.
+    A signal starts the cooldown even if it has no exit price. A group of the fold is one setting: its hours with a signal,
+    8,760 numbers a year at most.
     """
-    grid = F.array(*(F.struct(F.lit(level).alias("level"), F.lit(gap).alias("gap")) for level in GRID_LEVELS for gap in GRID_HOURS))
-    gain = F.when(F.col("x") > 0, F.col("r")).otherwise(-F.col("r"))
-    hit = source_hours(spark, sf_dir).withColumn("c", F.explode(grid)).where(F.abs("x") >= F.col("c.level")).select("c.level", "c.gap", "source", "hour", gain.alias("gain"))
-    g = hit.groupBy("level", "gap", "source").agg(F.array_sort(F.collect_list("hour")).alias("hours"))
-    emitted = g.select("level", "gap", "source", F.explode(fold_cooldown(F.col("hours"), F.col("gap") * HOUR)).alias("hour"))
-    n = emitted.join(hit, ["level", "gap", "source", "hour"]).groupBy("level", "gap")
-    return n.agg(F.count("*").alias("n"), F.round(F.avg("gain"), 6).alias("mean"), r6(F.avg(F.when(F.col("gain") > 0, 1.0).otherwise(0.0))).alias("win_rate"), F.round(F.try_divide(F.avg("gain"), F.stddev_samp("gain")), 5).alias("sharpe"))
-
-
-@query("""WITH s AS (SELECT o_orderkey AS id, CASE o_orderstatus WHEN 'O' THEN strftime(o_orderdate, '%Y-%m-%d') WHEN 'F' THEN strftime(o_orderdate, '%d/%m/%Y') ELSE strftime(o_orderdate, '%Y%m%d') || '?' END AS t, o_orderstatus AS kind FROM orders),
-p AS (SELECT kind, coalesce(try_strptime(t, '%Y-%m-%d'), try_strptime(t, '%d/%m/%Y'), try_strptime(t, '%Y/%m/%d')) AS d FROM s)
-SELECT kind, count(*) AS n, count(d) AS parsed, CAST(min(d) AS DATE) AS first, CAST(max(d) AS DATE) AS last FROM p GROUP BY 1""")
-def o5_14_dates(spark, sf_dir, formats: tuple[str, ...] = ("yyyy-MM-dd", "dd/MM/yyyy", "yyyy/MM/dd")):
-    """Date texts parsed by the first format that fits; the rest stay null (O5.14)."""
-    d, kind = F.col("o_orderdate"), F.col("o_orderstatus")
-    t = F.when(kind == "O", F.date_format(d, "yyyy-MM-dd")).when(kind == "F", F.date_format(d, "dd/MM/yyyy")).otherwise(F.concat(F.date_format(d, "yyyyMMdd"), F.lit("?")))
+    s, z, change = (F.col(c) for c in ("s", "z", "change"))
+    settings = spark.createDataFrame(list(itertools.product(*GRID.values())), "fear double, greed double, zs double, still double, gap int")
+    names = list(GRID)
+    side = F.when((s < F.col("fear")) & (z < -F.col("zs")) & (change > -F.col("still")), 1).when((s > F.col("greed")) & (z > F.col("zs")) & (change < F.col("still")), -1).when(z < -2.5, 1).when(z > 2.5, -1)
+    hit = grid_hours(spark, sf_dir).crossJoin(F.broadcast(settings)).withColumn("side", side).where("side is not null")  # 576 rows
+    r = F.col("side") * 100 * (F.col("exit") - F.col("price")) / F.col("price")
+    g = hit.groupBy(*names).agg(F.array_sort(F.collect_list(F.struct("hour", r.alias("r")))).alias("x"))
+    none = F.array().cast("array<struct<hour:bigint,r:double>>")
+    fold = F.aggregate("x", none, lambda acc, v: F.when((F.size(acc) == 0) | (v["hour"] - F.element_at(acc, -1)["hour"] >= F.col("gap") * HOUR), F.concat(acc, F.array(v))).otherwise(acc))
+    trades = g.select(*names, F.transform(F.filter(fold, lambda v: v["r"].isNotNull()), lambda v: v["r"]).alias("t"))
+    total = lambda a: F.aggregate(a, F.lit(0.0), lambda x, y: x + y)
+    first = F.expr("cast(struct(0.0 as c, 0.0 as peak, 0.0 as dd) as struct<c:double,peak:double,dd:double>)")
+
+    def fall(a, v):
+        c = a["c"] + v
+        peak = F.greatest(a["peak"], c)
+        return F.struct(c.alias("c"), peak.alias("peak"), F.greatest(a["dd"], peak - c).alias("dd"))
+
+    won, lost = F.filter("t", lambda v: v > 0), F.filter("t", lambda v: v <= 0)
+    m = total(F.col("t")) / F.size("t")
+    sd = F.when(F.size("t") > 1, F.sqrt(F.aggregate("t", F.lit(0.0), lambda a, v: a + (v - F.col("m")) * (v - F.col("m"))) / (F.size("t") - 1))).otherwise(1.0)
+    loss = F.when(F.size(lost) > 0, F.abs(total(lost))).otherwise(1.0)
+    parts = trades.where(F.size("t") > 0).withColumn("m", m).select(
+        *names, F.size("t").cast("long").alias("n"), F.round("m", 5).alias("mean"), F.round(100 * F.size(won) / F.size("t"), 5).alias("win_rate"), F.round(F.when(loss > 0, total(won) / loss).otherwise(total(won)), 5).alias("profit_factor"),
+        F.round(F.when(sd > 0, F.col("m") / sd).otherwise(0.0), 5).alias("sharpe"), F.round(F.aggregate("t", first, fall, lambda a: a["dd"]), 5).alias("drawdown"),
+    )
+    zero = {"n": F.lit(0).cast("long")} | {c: F.lit(0.0) for c in ("mean", "win_rate", "profit_factor", "sharpe", "drawdown")}
+    whole = settings.join(parts, names, "left").select(*names, *(F.coalesce(c, v).alias(c) for c, v in zero.items()))
+    return whole.withColumn("place", F.rank().over(Window.orderBy(F.desc("sharpe"))).cast("long"))  # one row a setting
+
+
+#: Date formats in the order they are tried.
+FORMATS = ["yyyy-MM-dd'T'HH:mm:ssXX", "yyyy-MM-dd'T'HH:mm:ss'Z'", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXX", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd", "MMMM d, yyyy", "MMM d, yyyy", "d MMMM yyyy", "d MMM yyyy"]
+_STRF = ["%Y-%m-%dT%H:%M:%S+0000", "%Y-%m-%dT%H:%M:%SZ", "%Y-%m-%dT%H:%M:%S.000000+0000", "%Y-%m-%dT%H:%M:%S", "%Y-%m-%d %H:%M:%S", "%Y-%m-%d", "%B %-d, %Y", "%b %-d, %Y", "%-d %B %Y", "%-d %b %Y", "%d/%m/%Y", "?"]
+_STRP = ["%Y-%m-%dT%H:%M:%S%z", "%Y-%m-%dT%H:%M:%SZ", "%Y-%m-%dT%H:%M:%S.%f%z", "%Y-%m-%dT%H:%M:%S", "%Y-%m-%d %H:%M:%S", "%Y-%m-%d", "%B %d, %Y", "%b %d, %Y", "%d %B %Y", "%d %b %Y"]
+
+
+@query("WITH s AS (SELECT o_orderkey % 12 AS kind, CASE o_orderkey % 12 " + " ".join(f"WHEN {i} THEN strftime(o_orderdate, '{f}')" for i, f in enumerate(_STRF)) + " END AS t FROM orders), p AS (SELECT kind, coalesce(" + ", ".join(f"TRY_CAST(try_strptime(t, '{f}') AS TIMESTAMP)" for f in _STRP) + ") AS d FROM s) SELECT kind, count(*) AS n, count(d) AS parsed, CAST(min(d) AS DATE) AS first, CAST(max(d) AS DATE) AS last FROM p GROUP BY 1")
+def o5_14_dates(spark, sf_dir):
+    """Date texts parsed by the first of ten formats that fits; the rest stay null (O5.14). The texts are order dates, written
+    in these ten formats and two others."""
+    d, kind = F.col("o_orderdate"), F.col("o_orderkey") % 12
+    written = ["yyyy-MM-dd'T'HH:mm:ss'+0000'", "yyyy-MM-dd'T'HH:mm:ss'Z'", "yyyy-MM-dd'T'HH:mm:ss'.000000+0000'", *FORMATS[3:], "dd/MM/yyyy", "'?'"]
+    t = F.lit(None).cast("string")
+    for i, f in enumerate(written):
+        t = F.when(kind == i, F.date_format(d, f)).otherwise(t)
     s = read(spark, sf_dir, "orders").select(kind.alias("kind"), t.alias("t"))
-    day = F.coalesce(*(F.try_to_timestamp("t", F.lit(f)) for f in formats)).cast("date")
+    day = F.coalesce(*(F.try_to_timestamp("t", F.lit(f)) for f in FORMATS)).cast("date")
     return s.withColumn("d", day).groupBy("kind").agg(F.count("*").alias("n"), F.count("d").alias("parsed"), F.min("d").alias("first"), F.max("d").alias("last"))
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import special, text
 from ..operators.timeops import correlation, fold_cooldown, ratio, within
 from ..sources.tables import DAY, HOUR, PRICES_SQL, SCORES_SQL, bucket, prices, read, scores
-from .dashboard import r6
+from .dashboard import _WEIGHTS_SQL, r6, weights
 
 MIN_SAMPLES, DEADBAND, LAG = 20, 0.05, 4 * HOUR
 
@@ -108,25 +108,31 @@ S3_24 = S4_22.split(" SELECT source, round((m")[0] + f", z AS (SELECT source, {_
 
 
 def hourly_market(spark, sf_dir):
-    """hour, s (mean score), f, e (fear and euphoria rates), price (last known), with z-score and price changes."""
-    s = scores(spark, sf_dir).groupBy(bucket("ts", HOUR).alias("hour")).agg(F.avg("final_score").alias("s"), F.avg("fear_index").alias("f"), F.avg("euphoria_index").alias("e"))
+    """hour, s (weighted mean score, contrarian sources inverted, O4.12), f, e (mean fear and euphoria over the last 24 hours
+    that are present, O4.13), price (last known), with z-score and price changes."""
+    sign = F.when(F.coalesce("contrarian", F.lit(False)), -1.0).otherwise(1.0)
+    w_of, v = F.coalesce("weight", F.lit(0.01)), F.col("final_score") * sign
+    rows = scores(spark, sf_dir).join(F.broadcast(weights(spark)), "source", "left")  # one row a source
+    s = rows.groupBy(bucket("ts", HOUR).alias("hour")).agg(F.coalesce(F.try_divide(F.sum(v * w_of), F.sum(w_of)), F.avg(v)).alias("s"), F.sum("fear_index").alias("fs"), F.sum("euphoria_index").alias("es"), F.count("*").alias("m"))
     p = prices(spark, sf_dir).groupBy(bucket("ts", HOUR).alias("hour")).agg(F.avg("price").alias("price"))
     market = s.join(p, "hour", "left").withColumn("coin", F.lit("BTC"))
     w = Window.partitionBy("coin").orderBy("hour")
-    month, upto = w.rangeBetween(-30 * DAY, 0), lambda back: w.rangeBetween(Window.unboundedPreceding, -back)
+    month, upto, present = w.rangeBetween(-30 * DAY, 0), lambda back: w.rangeBetween(Window.unboundedPreceding, -back), w.rowsBetween(-23, 0)
     n, dev = F.count("s").over(month), F.stddev_samp("s").over(month)
     mu = F.when(n < 5, 0.0).otherwise(F.avg("s").over(month))
     sd = F.when(n < 5, 0.3).when(F.coalesce(dev, F.lit(0.0)) == 0, 0.1).otherwise(dev)
     now = F.last("price", True).over(w.rangeBetween(Window.unboundedPreceding, 0))
     change = lambda back: F.coalesce(100 * F.try_divide(now - F.last("price", True).over(upto(back)), F.last("price", True).over(upto(back))), F.lit(0.0))
-    return market.select("hour", "s", "f", "e", now.alias("price"), ((F.col("s") - mu) / sd).alias("z"), change(DAY).alias("d24"), change(7 * DAY).alias("d7"))
+    mean = lambda c: F.sum(c).over(present) / F.sum("m").over(present)
+    return market.select("hour", "s", mean("fs").alias("f"), mean("es").alias("e"), now.alias("price"), ((F.col("s") - mu) / sd).alias("z"), change(DAY).alias("d24"), change(7 * DAY).alias("d7"))
 
 
-_MARKET_SQL = f"""{SCORES_SQL}, {PRICES_SQL}, s AS (SELECT ts // 3600 * 3600 AS hour, avg(final_score) AS s, avg(fear_index) AS f, avg(euphoria_index) AS e FROM scores GROUP BY 1), p AS (SELECT ts // 3600 * 3600 AS hour, avg(price) AS price FROM prices GROUP BY 1),
+_MARKET_SQL = f"""{SCORES_SQL}, {PRICES_SQL}, {_WEIGHTS_SQL}, v AS (SELECT ts // 3600 * 3600 AS hour, final_score * CASE WHEN coalesce(contrarian, false) THEN -1.0 ELSE 1.0 END AS v, coalesce(weight, 0.01) AS w, fear_index, euphoria_index FROM scores LEFT JOIN weights USING (source)),
+s AS (SELECT hour, coalesce(sum(v * w) / nullif(sum(w), 0), avg(v)) AS s, sum(fear_index) AS fs, sum(euphoria_index) AS es, count(*) AS m FROM v GROUP BY 1), p AS (SELECT ts // 3600 * 3600 AS hour, avg(price) AS price FROM prices GROUP BY 1),
 j AS (SELECT s.*, price AS p0 FROM s LEFT JOIN p USING (hour)),
-k AS (SELECT hour, s, f, e, count(s) OVER m AS n, avg(s) OVER m AS mu, stddev_samp(s) OVER m AS sd, last_value(p0 IGNORE NULLS) OVER (ORDER BY hour RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS price,
+k AS (SELECT hour, s, sum(fs) OVER q / sum(m) OVER q AS f, sum(es) OVER q / sum(m) OVER q AS e, count(s) OVER m AS n, avg(s) OVER m AS mu, stddev_samp(s) OVER m AS sd, last_value(p0 IGNORE NULLS) OVER (ORDER BY hour RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS price,
     last_value(p0 IGNORE NULLS) OVER (ORDER BY hour RANGE BETWEEN UNBOUNDED PRECEDING AND 86400 PRECEDING) AS p24, last_value(p0 IGNORE NULLS) OVER (ORDER BY hour RANGE BETWEEN UNBOUNDED PRECEDING AND 604800 PRECEDING) AS p7
-    FROM j WINDOW m AS (ORDER BY hour RANGE BETWEEN 2592000 PRECEDING AND CURRENT ROW)),
+    FROM j WINDOW m AS (ORDER BY hour RANGE BETWEEN 2592000 PRECEDING AND CURRENT ROW), q AS (ORDER BY hour ROWS BETWEEN 23 PRECEDING AND CURRENT ROW)),
 market AS (SELECT hour, s, f, e, price, (s - CASE WHEN n < 5 THEN 0.0 ELSE mu END) / CASE WHEN n < 5 THEN 0.3 WHEN coalesce(sd, 0) = 0 THEN 0.1 ELSE sd END AS z, coalesce(100 * (price - p24) / p24, 0.0) AS d24, coalesce(100 * (price - p7) / p7, 0.0) AS d7 FROM k)"""
 
 
@@ -163,13 +169,16 @@ S11_3 = f"WITH {_SIGNAL_SQL} SELECT hour, kind, strength, round(confidence, 5) A
 
 
 def o11_4_cooldown(spark, sf_dir):
-    """Signals at least six hours after the last one emitted, by kind: an ordered fold (O11.4)."""
-    s = signals(hourly_market(spark, sf_dir)).groupBy("kind").agg(F.array_sort(F.collect_list("hour")).alias("hours"))
-    return s.select("kind", F.explode(fold_cooldown(F.col("hours"), 6 * HOUR)).alias("hour"))
+    """Signals at least six hours after the last one emitted, whatever their kinds: one ordered fold (O11.4). Signals are at
+    most one an hour, so the list of hours is bounded by the time covered."""
+    s = signals(hourly_market(spark, sf_dir))
+    hours = s.groupBy().agg(F.array_sort(F.collect_list("hour")).alias("hours"))
+    kept = hours.select(F.explode(fold_cooldown(F.col("hours"), 6 * HOUR)).alias("hour"))
+    return s.join(kept, "hour").select("kind", "hour")
 
 
-S11_4 = f"""WITH RECURSIVE {_SIGNAL_SQL}, o AS (SELECT kind, hour, row_number() OVER (PARTITION BY kind ORDER BY hour) AS i FROM signal),
-r AS (SELECT kind, hour, i, hour AS kept, true AS emitted FROM o WHERE i = 1 UNION ALL SELECT o.kind, o.hour, o.i, CASE WHEN o.hour - r.kept >= 21600 THEN o.hour ELSE r.kept END, o.hour - r.kept >= 21600 FROM r JOIN o ON o.kind = r.kind AND o.i = r.i + 1)
+S11_4 = f"""WITH RECURSIVE {_SIGNAL_SQL}, o AS (SELECT kind, hour, row_number() OVER (ORDER BY hour) AS i FROM signal),
+r AS (SELECT kind, hour, i, hour AS kept, true AS emitted FROM o WHERE i = 1 UNION ALL SELECT o.kind, o.hour, o.i, CASE WHEN o.hour - r.kept >= 21600 THEN o.hour ELSE r.kept END, o.hour - r.kept >= 21600 FROM r JOIN o ON o.i = r.i + 1)
 SELECT kind, hour FROM r WHERE emitted"""
 
 
@@ -213,15 +222,16 @@ S6_16 = f"""WITH {PRICES_SQL}, h AS (SELECT ts // 3600 * 3600 AS hour, avg(price
 c AS (SELECT hour, sum(r) OVER (ORDER BY hour) AS c FROM r WHERE r IS NOT NULL), k AS (SELECT c, greatest(0.0, max(c) OVER (ORDER BY hour)) AS peak FROM c) SELECT 'BTC' AS coin, round(max(peak - c), 4) AS drawdown FROM k"""
 
 
-def o8_3_granger(spark, sf_dir):
-    """Does a source's score help to predict returns? Best F test over one to four lags by source (O8.3, O8.4)."""
+MAX_LAG = 4
+
+
+def granger(rows, y, x, max_lag=MAX_LAG):
+    """source, n, p, lag: best F test over 1 to max_lag lags that x helps to predict y, by source (O8.3)."""
     w = Window.partitionBy("source").orderBy("hour")
-    rows = source_hours(spark, sf_dir)
-    lags = [F.lag(c, k).over(w).alias(f"{c}{k}") for c in ("r", "x") for k in range(1, 5)]
+    lags = [F.lag(c, k).over(w).alias(f"{c}{k}") for c in (y, x) for k in range(1, max_lag + 1)]
     # normal equations of all lags in one distributed aggregate a source; only they reach the small solver
-    full = rows.select("source", "r", *lags).dropna()
-    names = ["r", *(f"r{k}" for k in range(1, 5)), *(f"x{k}" for k in range(1, 5))]
-    terms = ["one", *names]
+    full = rows.select("source", y, *lags).dropna()
+    terms = ["one", y, *(f"{y}{k}" for k in range(1, max_lag + 1)), *(f"{x}{k}" for k in range(1, max_lag + 1))]
     full = full.withColumn("one", F.lit(1.0))
     moments = full.groupBy("source").agg(F.count("*").alias("n"), *(F.sum(F.col(a) * F.col(b)).alias(f"{a}_{b}") for i, a in enumerate(terms) for b in terms[i:]))
 
@@ -233,13 +243,13 @@ def o8_3_granger(spark, sf_dir):
                 at = {t: i for i, t in enumerate(terms)}
 
                 def rss(use, g=g, at=at):
-                    k, y = [at[u] for u in use], at["r"]
-                    return g[y, y] - g[y, k] @ np.linalg.lstsq(g[np.ix_(k, k)], g[k, y], rcond=None)[0]
+                    k, target = [at[u] for u in use], at[y]
+                    return g[target, target] - g[target, k] @ np.linalg.lstsq(g[np.ix_(k, k)], g[k, target], rcond=None)[0]
 
                 best = (1.0, 0)
-                for lag in range(1, 5):
-                    short = ["one", *(f"r{k}" for k in range(1, lag + 1))]
-                    long_ = short + [f"x{k}" for k in range(1, lag + 1)]
+                for lag in range(1, max_lag + 1):
+                    short = ["one", *(f"{y}{k}" for k in range(1, lag + 1))]
+                    long_ = short + [f"{x}{k}" for k in range(1, lag + 1)]
                     df = row["n"] - len(long_)
                     if row["n"] >= 2 * lag + 10 and df > 0:
                         a, b = rss(short), rss(long_)
@@ -250,6 +260,11 @@ def o8_3_granger(spark, sf_dir):
     return moments.mapInPandas(solve, "source string, n long, p double, lag int")
 
 
+def o8_3_granger(spark, sf_dir):
+    """Does a source's score help to predict returns? Sources by p (O8.3, O8.4)."""
+    return granger(source_hours(spark, sf_dir), "r", "x").withColumn("place", F.rank().over(Window.orderBy("p")).cast("long"))
+
+
 def o5_3_segments(spark, sf_dir):
     """Text split into segments of 20 characters or more, the first 20, each with its category (O5.2, O5.3)."""
     rows = read(spark, sf_dir, "documents").select("doc_id", F.explode(text.segments(F.col("text"), "\n")).alias("segment"))
@@ -261,12 +276,15 @@ SELECT doc_id, {text.category_sql('segment', text.CORPUS_CATEGORIES)} AS categor
 
 
 def o5_16_dedup(spark, sf_dir):
-    """One row for each content hash of source and text, the first by id (O5.16)."""
-    h = F.sha2(F.concat_ws(":", "source", text.squeeze(F.col("text"))), 256)
-    return read(spark, sf_dir, "documents").select("doc_id", h.alias("content_hash")).groupBy("content_hash").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"))
+    """One row for each content hash of source and address, or title where there is no address; the first by id (O5.16): of
+    pages, whose source is the host, and every fifth has no address."""
+    url = F.when(F.col("page_id") % 5 > 0, F.col("url"))
+    title = F.regexp_extract("html", r"(?s)<title>(.*?)</title>", 1)
+    h = F.sha2(F.concat_ws(":", F.regexp_extract("url", "^https?://([^/]+)", 1), F.coalesce(url, title)), 256)
+    return read(spark, sf_dir, "pages").select("page_id", h.alias("content_hash")).groupBy("content_hash").agg(F.min("page_id").alias("page_id"), F.count("*").alias("copies"))
 
 
-S5_16 = r"SELECT sha256(source || ':' || trim(regexp_replace(text, '[ \t\n\x0B\f\r]+', ' ', 'g'), ' ')) AS content_hash, min(doc_id) AS doc_id, count(*) AS copies FROM documents GROUP BY 1"
+S5_16 = r"SELECT sha256(regexp_extract(url, '^https?://([^/]+)', 1) || ':' || coalesce(CASE WHEN page_id % 5 > 0 THEN url END, regexp_extract(html, '(?s)<title>(.*?)</title>', 1))) AS content_hash, min(page_id) AS page_id, count(*) AS copies FROM pages GROUP BY 1"
 
 
 def o5_11_links(spark, sf_dir):

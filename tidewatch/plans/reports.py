@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators.timeops import ratio, within
-from ..sources.tables import COINS_SQL, DAY, HOUR, PRICES_SQL, SCORES_SQL, bucket, coin_prices, newest, prices, read, scores
+from ..sources.tables import COINS_SQL, DAY, HOUR, PRICES_SQL, SCORES_SQL, bucket, coin_prices, newest, prices, read, scores, since
 from .dashboard import r6
 from .learning import _HOURS_SQL, _MARKET_SQL, _SIGNAL_SQL, accuracy, hourly_market, signals, source_hours
 
@@ -140,7 +140,7 @@ S7_8 = "WITH t AS (SELECT conv_id, count(*) AS turns FROM conversations GROUP BY
 def o7_9_inputs_of_inference(spark, sf_dir):
     """Recent user rows and the newest market index as one relation (O2.21, O7.9)."""
     rows = scores(spark, sf_dir)
-    recent = rows.where(F.col("ts") >= newest(rows) - 168 * HOUR).where("final_score is not null")
+    recent = since(rows, newest(rows) - 168 * HOUR)
     users = recent.select("source", F.lit("MARKET").alias("coin"), r6("final_score").alias("score"), F.greatest(F.lit(1).cast("long"), F.col("user_id") % 4).alias("sample_size"), "ts")
     index = rows.where("source = 'view'").agg(F.max_by("final_score", F.struct("ts", "raw_id")).alias("s"), F.max("ts").alias("ts")).select(F.lit("fear_greed").alias("source"), F.lit("MARKET").alias("coin"), r6("s").alias("score"), F.lit(1).cast("long").alias("sample_size"), "ts")
     return users.unionByName(index)

@@ -6,6 +6,8 @@ session's time zone. ``as_of`` is always the newest time of the table, never the
 
 from __future__ import annotations
 
+import datetime
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,10 +29,11 @@ def bucket(column: str | Column, width: int) -> Column:
 
 
 def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Scored posts: raw_id, user_id, ts, source, final_score, fear_index, euphoria_index, activity_level."""
+    """Scored posts: raw_id, user_id, ts, source, final_score, fear_index, euphoria_index, activity_level, and at, the
+    stored time that filters are pushed down on. Posts without a value, or with NaN, are no scored posts."""
     s = F.least(F.lit(1.0), F.greatest(F.lit(-1.0), (F.col("value") - 50) / 50))
-    rows = read(spark, sf_dir, "events").select(F.col("event_id").alias("raw_id"), "user_id", seconds("ts").alias("ts"), F.col("event_type").alias("source"), s.alias("final_score"), F.get_json_object("props", "$.k").cast("double").alias("k"))
-    return rows.select("raw_id", "user_id", "ts", "source", "final_score", F.greatest(F.lit(0.0), -F.col("final_score") - 0.5).alias("fear_index"), F.greatest(F.lit(0.0), F.col("final_score") - 0.5).alias("euphoria_index"), (F.coalesce("k", F.lit(0.0)) / 100).alias("activity_level"))
+    rows = read(spark, sf_dir, "events").where(F.col("value").isNotNull() & ~F.isnan("value")).select(F.col("event_id").alias("raw_id"), "user_id", F.col("ts").alias("at"), seconds("ts").alias("ts"), F.col("event_type").alias("source"), s.alias("final_score"), F.get_json_object("props", "$.k").cast("double").alias("k"))
+    return rows.select("raw_id", "user_id", "at", "ts", "source", "final_score", F.greatest(F.lit(0.0), -F.col("final_score") - 0.5).alias("fear_index"), F.greatest(F.lit(0.0), F.col("final_score") - 0.5).alias("euphoria_index"), (F.coalesce("k", F.lit(0.0)) / 100).alias("activity_level"))
 
 
 def prices(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -44,6 +47,13 @@ def coin_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), seconds("o_orderdate").alias("ts"), F.col("o_orderpriority").alias("coin"), F.col("o_totalprice").alias("price"))
 
 
+def since(rows: DataFrame, at: int) -> DataFrame:
+    """Rows whose whole-second time is ``at`` or later: a comparison of the stored column with a literal, which reaches the
+    Parquet scan."""
+    text = (datetime.datetime(1970, 1, 1) + datetime.timedelta(seconds=at)).isoformat(sep=" ")
+    return rows.where(F.col("at") >= F.lit(text).cast(rows.schema["at"].dataType))
+
+
 def newest(df: DataFrame, column: str = "ts") -> int:
     """The as_of time of a table: one aggregate, one number."""
     return df.agg(F.max(column)).first()[0] or 0
@@ -52,6 +62,6 @@ def newest(df: DataFrame, column: str = "ts") -> int:
 #: The same relations for DuckDB; queries put them in front of their own SELECT.
 SCORES_SQL = """scores AS (
     SELECT raw_id, user_id, ts, source, final_score, greatest(0.0, -final_score - 0.5) AS fear_index, greatest(0.0, final_score - 0.5) AS euphoria_index, coalesce(k, 0.0) / 100 AS activity_level
-    FROM (SELECT event_id AS raw_id, user_id, CAST(floor(epoch(ts)) AS BIGINT) AS ts, event_type AS source, least(1.0, greatest(-1.0, (value - 50) / 50)) AS final_score, CAST(json_extract_string(props, '$.k') AS DOUBLE) AS k FROM events))"""
+    FROM (SELECT event_id AS raw_id, user_id, CAST(floor(epoch(ts)) AS BIGINT) AS ts, event_type AS source, least(1.0, greatest(-1.0, (value - 50) / 50)) AS final_score, CAST(json_extract_string(props, '$.k') AS DOUBLE) AS k FROM events WHERE value IS NOT NULL AND NOT isnan(value)))"""
 PRICES_SQL = "prices AS (SELECT event_id AS id, CAST(floor(epoch(ts)) AS BIGINT) AS ts, value + 100 AS price FROM events WHERE event_type = 'purchase')"
 COINS_SQL = "coin_prices AS (SELECT o_orderkey AS id, CAST(floor(epoch(o_orderdate)) AS BIGINT) AS ts, o_orderpriority AS coin, o_totalprice AS price FROM orders)"
