@@ -63,3 +63,20 @@ def correlation_p(r: pd.Series, n: pd.Series) -> pd.Series:
         return 0.0 if abs(r) >= 1 else t_two_sided(r * math.sqrt((n - 2) / (1 - r * r)), n - 2)
 
     return pd.Series([one(*x) for x in zip(r, n, strict=True)])
+
+
+def t_inverse(p: float, df: float) -> float:
+    """Quantile of Student's t for p of one half or more, from the beta quantile."""
+    x = beta_quantile(2 * (1 - p), df / 2, 0.5)
+    return math.sqrt(df * (1 - x) / x) if x > 0 else math.inf
+
+
+@F.pandas_udf(DoubleType())
+def t_p(t: pd.Series, df: pd.Series) -> pd.Series:
+    """Two-sided p-value of t statistics."""
+    return pd.Series([1.0 if not a == a else t_two_sided(a, d) for a, d in zip(t, df, strict=True)])
+
+
+@F.pandas_udf(DoubleType())
+def t_quantile(p: pd.Series, df: pd.Series) -> pd.Series:
+    return pd.Series([t_inverse(*x) for x in zip(p, df, strict=True)])
