@@ -31,14 +31,10 @@ def ratio(sums: Column, weights: Column) -> Column:
 
 
 def correlation(x: str, y: str) -> Column:
-    """Pearson correlation from moment sums: 0 for a constant column or fewer than two rows."""
-    ok = F.col(x).isNotNull() & F.col(y).isNotNull()
-    a, b = F.when(ok, F.col(x)), F.when(ok, F.col(y))
-    n = F.sum(F.when(ok, 1.0))
-    cov = F.sum(a * b) - F.try_divide(F.sum(a) * F.sum(b), n)
-    va = F.sum(a * a) - F.try_divide(F.sum(a) * F.sum(a), n)
-    vb = F.sum(b * b) - F.try_divide(F.sum(b) * F.sum(b), n)
-    return F.coalesce(F.when((va > 1e-9) & (vb > 1e-9), F.try_divide(cov, F.sqrt(F.greatest(va * vb, F.lit(0.0))))), F.lit(0.0))
+    """Pearson correlation over rows with both values, by Spark's own merging of centred moments: 0 for a constant column or
+    fewer than two rows."""
+    found = F.corr(x, y)
+    return F.coalesce(F.when(~F.isnan(found), found), F.lit(0.0))
 
 
 def fold_cooldown(times: Column, gap: int) -> Column:

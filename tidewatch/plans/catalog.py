@@ -1,8 +1,8 @@
 """All queries of the engine by name, with their DuckDB twins."""
 
 from ..streaming import hourly
-from . import audit, dashboard, decisions, learning, postings, reports, upkeep
+from . import audit, causal, choosing, dashboard, decisions, intake, learning, postings, reports, upkeep
 
-_PLANS = (dashboard, learning, audit, decisions, postings, reports, upkeep, hourly)
+_PLANS = (dashboard, learning, audit, decisions, postings, reports, upkeep, causal, choosing, intake, hourly)
 QUERIES = {name: f for plan in _PLANS for name, f in plan.QUERIES.items()}
 ORACLE_SQL = {name: sql for plan in _PLANS for name, sql in plan.ORACLE_SQL.items()}

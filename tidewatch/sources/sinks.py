@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -10,9 +11,14 @@ LOG_LINE = r'^(\S+) \S+ \S+ \[([^\]]+)\] "(\S+) (\S+)[^"]*" (\d{3}) (\d+|-)(?: "
 
 
 def read_beliefs(spark: SparkSession, path: str) -> DataFrame:
-    """A JSON state document {source: {alpha, beta, ...}} as one row a source (O1.3)."""
-    text = spark.read.text(path, wholetext=True)
+    """A JSON state document {source: {alpha, beta, ...}} as one row a source (O1.3); no rows where there is no such file."""
     kind = "map<string, struct<alpha: double, beta: double, total_crawls: int, status: string>>"
+    try:
+        text = spark.read.text(path, wholetext=True)
+    except AnalysisException as problem:
+        if problem.getCondition() != "PATH_NOT_FOUND":
+            raise
+        text = spark.createDataFrame([], "value string")
     return text.select(F.explode(F.from_json("value", kind)).alias("source", "b")).select(F.lower(F.trim("source")).alias("source"), "b.*")
 
 
@@ -47,15 +53,23 @@ def publish(weights: DataFrame, root: str, version: int) -> bool:
 
 
 def published_version(spark: SparkSession, root: str) -> int | None:
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{root}/pointer")
-    if not path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
+    """The newest version that the pointer names; None where nothing is published."""
+    try:
+        return spark.read.schema("version long").parquet(f"{root}/pointer").agg(F.max("version")).first()[0]
+    except AnalysisException as problem:
+        if problem.getCondition() != "PATH_NOT_FOUND":
+            raise
         return None
-    return spark.read.schema("version long").parquet(f"{root}/pointer").agg(F.max("version")).first()[0]
 
 
-def load_published(spark: SparkSession, root: str) -> DataFrame:
-    """The snapshot that the pointer names (O9.7); staged ones are not seen."""
-    version = published_version(spark, root)
-    if version is None:
-        raise LookupError("nothing is published")
-    return spark.read.parquet(f"{root}/snapshots/belief_version={version}").withColumn("belief_version", F.lit(version))
+def load_published(spark: SparkSession, root: str, tries: int = 3) -> DataFrame:
+    """The snapshot that the pointer names (O9.7); staged ones are not seen. The pointer is read again afterwards: if it has
+    moved, the newer snapshot is read, so that weights and version belong together."""
+    for _ in range(tries):
+        version = published_version(spark, root)
+        if version is None:
+            raise LookupError("nothing is published")
+        rows = spark.read.parquet(f"{root}/snapshots/belief_version={version}").withColumn("belief_version", F.lit(version))
+        if published_version(spark, root) == version:
+            return rows
+    raise RuntimeError("the pointer moved during every read")
