@@ -29,7 +29,7 @@ from .common import new_folder, open_fs, slices, stored, table
 
 WIDTH = 192
 HEADER_BYTES = 33  # signature and IHDR chunk
-SHARD_BYTES = 256 << 20
+SHARD_BYTES, TASK_BYTES = 256 << 20, 32 << 20
 _SIGN = b"\x89PNG\r\n\x1a\n"
 
 
@@ -160,7 +160,10 @@ def read_members(index: DataFrame, folder: str, whole: bool = True) -> DataFrame
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
     ddl = ", ".join(f"{n} {({'string': 'string', 'int32': 'int', 'int64': 'long'})[str(t)]}" for n, t in kinds)
-    near = index.repartition("shard").sortWithinPartitions("shard", "offset")
+    # a count by the bytes to be read: rows of the index are few and small, so tasks would be merged by their size otherwise
+    size = index.agg(F.sum("length") if whole else F.count("*") * HEADER_BYTES).first()[0] or 0
+    tasks = max(1, min(-(-size // TASK_BYTES), 100_000))
+    near = index.repartition(tasks, "shard").sortWithinPartitions("shard", "offset")
     return near.select("digest", "shard", "offset", "length").mapInArrow(read, ddl)
 
 
