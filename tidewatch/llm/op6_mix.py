@@ -10,14 +10,15 @@ Only per-source and per-pattern sums reach the driver, and MAX_PATTERNS bounds t
 computed in hash bins, so no pattern is ordered in one task.
 
 Edge cases: texts without words (and nulls) have size 0 and take nothing; a null source is a source of its
-own, last; repeated rows are separate documents; an empty table gives an empty result.
+own, last; repeated rows are separate documents; null doc_ids are allowed; very long texts count with all their words;
+an empty table gives an empty result; extra columns are ignored, and ``mix_documents`` keeps them, whatever their names.
 """
 
 from __future__ import annotations
 
 from collections import deque
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import WORD, new_folder, stored, table
@@ -140,21 +141,27 @@ def mix(docs: DataFrame, weight_of=None, most: int = MOST, seed: int = SEED) ->
 
 
 def sized(docs: DataFrame) -> DataFrame:
-    """doc_id, source, size and members of a documents table."""
-    return docs.select(
-        F.col("doc_id").cast("long"),
-        F.col("source").cast("string"),
-        F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
-        F.monotonically_increasing_id().alias("row"),
-    ).withColumn("members", F.array("source"))
+    """doc_id, source, size and members of a documents table, with a number for each row: to be stored before use, since the
+    numbers are given out anew whenever the rows are computed."""
+    return _measured(docs, "doc_id", "source", "text", F.monotonically_increasing_id())
+
+
+def _measured(rows: DataFrame, doc_id: str, source: str, text: str, number: Column) -> DataFrame:
+    words = F.coalesce(F.regexp_count(F.col(text).cast("string"), F.lit(WORD)), F.lit(0)).cast("long")
+    one = rows.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(source).cast("string").alias("source"), words.alias("size"), number.alias("row"))
+    return one.withColumn("members", F.array("source"))
 
 
 def mix_documents(docs: DataFrame, folder: str) -> DataFrame:
-    """docs as the mix takes them, all columns: a document used twice is two rows, one not used is none."""
-    uses, _ = mix(stored(sized(docs), folder))
+    """docs as the mix takes them, all columns: a document used twice is two rows, one not used is none. The rows are stored
+    once with their numbers, so that sizes and documents belong together whatever ``docs`` is computed from."""
+    whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_use_doc")
+    numbered = stored(docs.select(whole, F.monotonically_increasing_id().alias("_use_row")), f"{folder}/rows")
+    small = _measured(numbered, "_use_doc.doc_id", "_use_doc.source", "_use_doc.text", F.col("_use_row"))
+    uses, _ = mix(stored(small, f"{folder}/sizes"))
     times = uses.groupBy(F.col("row").alias("_use_row")).agg(F.count("*").cast("int").alias("_use_times"))
-    packed = docs.select(F.struct(*docs.columns).alias("_use_doc"), F.monotonically_increasing_id().alias("_use_row"))
-    return packed.join(times, "_use_row").select("_use_doc", F.explode(F.sequence(F.lit(1), "_use_times"))).select("_use_doc.*")
+    taken = numbered.join(times, "_use_row").select("_use_doc", F.explode(F.sequence(F.lit(1), "_use_times")))
+    return taken.select("_use_doc.*")
 
 
 def op6_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
