@@ -30,6 +30,9 @@ def test_media(spark, make, documents, odd, folder):
     assert sorted((str(r["doc_id"]), r["n_bytes"], r["payload_sha256"], r["tail_crc32"]) for r in out) == want
     assert all(r["payload_bytes"] % 192 == 0 and r["payload_bytes"] >= 192 and r["width"] == 192 for r in out)
     assert op1_media.write_shards(make([]), folder + "-e").count() == 0
+    heads = op1_media.read_members(op1_media.members(rows), folder, whole=False).collect()  # 33 bytes of each member
+    sizes = {r["digest"]: r["payload_bytes"] for r in op1_media.read_members(op1_media.members(rows), folder).collect()}
+    assert {r["digest"]: r["width"] * r["height"] * r["bit_depth"] // 8 for r in heads} == sizes and len(heads) == len(sizes)
 
 
 def test_png_round_trip():

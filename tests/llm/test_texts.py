@@ -1,6 +1,7 @@
 """Repeats, scoring, mixing, personal data, quality and near-duplicates against brute force."""
 
 import hashlib
+import itertools
 import math
 import re
 import zlib
@@ -45,13 +46,17 @@ def test_repeats(spark, make, documents, odd, folder, monkeypatch, hot):
     assert sorted((str(r["doc_id"]), r["n_removed"]) for r in op4_repeats.remove_repeats(ids, folder + "-t").collect()) == [("3", 0), ("3", 0), ("None", 60)]
 
 
-def ppm_reference(train, text, order):
+def ppm_counts(train, order):
     counts = [defaultdict(Counter) for _ in range(order + 1)]
     for t in train:
         s = [257] * order + list((t or "").encode()) + [256]
         for i in range(order, len(s)):
             for j in range(order + 1):
                 counts[j][tuple(s[i - j : i])][s[i]] += 1
+    return counts
+
+
+def ppm_reference(counts, text, order):
     s = [257] * order + list((text or "").encode()) + [256]
     total = 0.0
     for i in range(order, len(s)):
@@ -72,7 +77,7 @@ def ppm_reference(train, text, order):
 
 
 def test_scores(spark, make, documents, odd, folder):
-    rows = [(i, (t or "")[:3000] if t is not None else None) for i, (_, t) in enumerate(documents[:40] + odd)]
+    rows = [(i, t) for i, (_, t) in enumerate(sorted(documents, key=lambda x: len(x[1]))[::4][:40] + odd)]
     out = {r["doc_id"]: r for r in op5_ppm.score(make(rows, extra=True), folder, block_bytes=20_000).collect()}
     held = {d: zlib.crc32(str(d).encode()) % 5 == 1 for d, _ in rows}
     lower = lambda t: re.sub("[A-Z]", lambda m: m[0].lower(), t or "")
@@ -83,9 +88,9 @@ def test_scores(spark, make, documents, odd, folder):
         r = out[d]
         assert (r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"]) == (held[d], len(tokens[d]), sum(train[w] > 0 for w in tokens[d]), n)
         assert math.isclose(r["base_score"], sum(math.log10((train[w] + 0.5) / (n + 0.5 * (v + 1))) for w in tokens[d]), rel_tol=1e-9)
-    texts = [t for d, t in rows if not held[d]]
-    for d, t in rows[::6]:
-        assert math.isclose(out[d]["score"], ppm_reference(texts, t, op5_ppm.ORDER), rel_tol=1e-9), d
+    counts = ppm_counts([t for d, t in rows if not held[d]], op5_ppm.ORDER)
+    for d, t in rows:
+        assert math.isclose(out[d]["score"], ppm_reference(counts, t, op5_ppm.ORDER), rel_tol=1e-9), d
     assert op5_ppm.score(make([]), folder + "-e").count() == 0
 
 
@@ -112,6 +117,68 @@ def test_flow_with_overlaps():
     assert sum(flows[1].values()) <= 300 and op6_mix.targets([10, 1000], [1, 1]) == [30.0, 980.0]
 
 
+def test_flow_is_optimal():
+    """Small instances against all flows: the most words, then the least cost of repetitions (1, 4, 9 a word)."""
+    rng = np.random.default_rng(8)
+    for _ in range(40):
+        patterns = [(int(rng.integers(1, 4)), sorted(set(rng.integers(0, 2, 2).tolist()))) for _ in range(3)]
+        quotas = rng.integers(0, 9, 2).tolist()
+
+        def cost(flow):
+            return sum((j**2) * max(0, min(size, used - (j - 1) * size)) for (size, _), used in zip(patterns, flow, strict=True) for j in (1, 2, 3))
+
+        best = None
+        for use in itertools.product(*(range(3 * size + 1) for size, _ in patterns)):
+            for split in itertools.product(*(range(u + 1) for u in use)):
+                to = [0, 0]
+                ok = True
+                for (_, sources), u, x in zip(patterns, use, split, strict=True):
+                    if len(sources) == 1 and x:
+                        ok = False
+                        break
+                    to[sources[0]] += u - x
+                    if len(sources) == 2:
+                        to[sources[1]] += x
+                if ok and to[0] <= quotas[0] and to[1] <= quotas[1]:
+                    best = max(best, (sum(use), -cost(use))) if best else (sum(use), -cost(use))
+        flows = op6_mix.route(patterns, quotas, 3)
+        used = [sum(f.values()) for f in flows]
+        assert all(sum(f.get(i, 0) for f in flows) <= quotas[i] for i in range(2)) and all(u <= 3 * size for u, (size, _) in zip(used, patterns, strict=True))
+        assert (sum(used), -cost(used)) == best
+
+
+def test_mix_by_hand(spark, make, documents, odd, folder):
+    """What the mix takes of every document, by plain sums over the seeded order; rows may repeat."""
+    rows = [(d, t, f"s{(d or 0) % 4}" if (d or 0) % 4 else None) for d, t in documents + odd] + [(d, t, "s2") for d, t in documents[:5] * 2]
+    stored = op6_mix.stored(op6_mix.sized(make(rows, extra=True)), folder)
+    uses, sources = op6_mix.mix(stored)
+    taken = Counter()
+    for r in uses.collect():
+        taken[r["row"]] += r["size"]
+    placed = stored.withColumn("place", op6_mix.F.xxhash64(op6_mix.F.lit(op6_mix.SEED), "doc_id")).collect()
+    by = defaultdict(list)
+    for r in placed:
+        by[r["source"]].append(r)
+    names = sorted(by, key=lambda x: (x is None, x or ""))
+    sizes = [sum(r["size"] for r in by[n]) for n in names]
+    wanted = op6_mix.targets(sizes, [(1, 2, 3)[i % 3] for i in range(len(names))])
+    assert [(r["source"], r["source_size"]) for r in sorted(sources.collect(), key=lambda r: (r["source"] is None, r["source"] or ""))] == list(zip(names, sizes, strict=True))
+    got, want = defaultdict(list), defaultdict(list)
+    for n, size, target in zip(names, sizes, wanted, strict=True):
+        share, upto = min(round(target), 3 * size) / size if size else 0.0, 0
+        unsigned = lambda x: x & (2**64 - 1)  # noqa: E731  hash bins go by the unsigned value, places inside one by the signed one
+        for r in sorted(by[n], key=lambda r: (unsigned(r["place"]) >> 52, r["place"], r["doc_id"] is not None, r["doc_id"] or 0)):
+            middle = (upto + r["size"] / 2) / size if size else 0.0
+            want[n, r["doc_id"], r["size"]].append(r["size"] * sum(j + middle < share for j in range(3)))
+            got[n, r["doc_id"], r["size"]].append(taken[r["row"]])
+            upto += r["size"]
+    assert {k: sorted(v) for k, v in got.items()} == {k: sorted(v) for k, v in want.items()}
+    kept = op6_mix.mix_documents(make(rows, extra=True), folder + "-d")
+    times = Counter((r["doc_id"], r["text"]) for r in kept.collect())
+    words = lambda t: len(WORD.findall(t or ""))
+    assert sum(n * words(t) for (_, t), n in times.items()) == sum(taken.values()) and kept.columns == make(rows, extra=True).columns
+
+
 def plain_spans(text):
     kinds = {
         "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",

@@ -20,7 +20,8 @@ most, at similarity s by the better of both measures.
 
 Edge cases: texts without words (and nulls) are alone in their class; repeated rows share a class; a class is
 named by its smallest doc_id; null doc_ids get rows, with their class (its name is null where no row has an id); rows
-that share a doc_id, or have none, but not their text are of different classes; an empty table gives an empty result.
+that share a doc_id, or have none, but not their text are of different classes; very long texts are compared whole; an empty
+table gives an empty result; extra columns are ignored, and ``keep_one`` keeps them.
 """
 
 from __future__ import annotations

@@ -11,7 +11,8 @@ holds and gets their values back: no task holds the vocabulary, nothing corpus-s
 of a single block needs no answer, as its count is the block's own.
 
 Edge cases: null and empty texts have one token, the end; an empty table gives an empty result; without
-training documents every token is unknown and every symbol uniform; repeated rows each get a row.
+training documents every token is unknown and every symbol uniform; repeated rows each get a row; a null doc_id is a
+training document; very long texts are one row of their block; extra columns are ignored.
 """
 
 from __future__ import annotations
