@@ -4,8 +4,12 @@ Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written
 the next stage's docs. All but the last return the columns of ``documents``: quality drops rejected documents,
 near keeps one document of each class, pii replaces personal data by its kind, mix repeats or leaves out
 documents so that sources meet their targets (a document used twice is two rows), pack returns the pieces of
-every row with their sequence and place. Only the targets and the packing optimum are not expressible in SQL
-as computed here, so ORACLE_SQL is None and tests compare each stage with brute force.
+every row with their sequence and place. SQL cannot express the forest, the signatures, the flow and the packing, so
+ORACLE_SQL is None and tests compare each stage with plain computation on its own input.
+
+Null and empty texts, and those of less than 50 words, go with quality; null doc_ids, ties, repeated rows, very long
+texts, empty tables and extra columns, whatever their names, pass through every stage: repeated rows are copies to near
+and separate documents to the others, and a null source is a source of its own to mix.
 """
 
 from __future__ import annotations
