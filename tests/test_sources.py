@@ -73,3 +73,26 @@ def test_empty_tables(spark, sf_dir, tmp_path):
         spark.read.parquet(f"{sf_dir}/{name}.parquet").limit(0).coalesce(1).write.parquet(f"file://{tmp_path}/{name}.parquet")
     for name, query in catalog.QUERIES.items():
         query(spark, f"file://{tmp_path}").count(), name
+
+
+def test_pages(spark):
+    """Metadata, JSON-LD and article text; paragraphs that are not closed; short paragraphs only without an article."""
+    from tidewatch.functions.html import read_page
+
+    page = """<html><head><title> T  1 </title><meta property="og:title" content="OG"><meta name=author content="Ann"><meta name="description" content="d"/>
+<script type="application/ld+json">{"b": 1, "a": "x"}</script><script type="application/ld+json">broken</script><script>var p = "<p>no</p>";</script></head>
+<body><p>outside</p><article><h1>Head &amp; more</h1><p>one <b>two</b><p>three</p></article></body></html>"""
+    title, author, heading, meta, documents, text = read_page(page)
+    assert (title, author, heading, text) == ("OG", "Ann", "Head & more", "one two\n\nthree") and meta["description"] == "d" and documents == ['{"a": "x", "b": 1}']
+    plain = read_page(f"<title>x</title><p>short</p><p>{'word ' * 20}</p><span class='post author'>Bob <i>C</i></span><p>tail")
+    assert plain[0] == "x" and plain[1] == "Bob C" and plain[5] == ("word " * 20).strip()
+    assert read_page(None) == (None, None, None, {}, [], "") and read_page("<p")[5] == ""
+
+
+def test_distances(spark, sf_dir):
+    rows = {(r["source"], r["other"]): r for r in catalog.QUERIES["o3_24_distances"](spark, sf_dir).collect()}
+    names = {a for a, _ in rows}
+    assert len(rows) == len(names) ** 2 and all(rows[a, a]["distance"] == 0 for a in names)
+    for (a, b), r in rows.items():
+        assert r["distance"] == rows[b, a]["distance"] and r["upper"] == (a < b)
+        assert all(r["distance"] <= rows[a, c]["distance"] + rows[c, b]["distance"] + 1e-3 for c in names)

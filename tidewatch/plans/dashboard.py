@@ -26,16 +26,16 @@ def r6(c):
     return F.round(c + 1e-9, 6)
 
 
-def source_averages(rows: DataFrame) -> DataFrame:
+def source_averages(rows: DataFrame, *by: str) -> DataFrame:
     some = lambda c: F.avg(F.when(F.col(c) > 0, F.col(c)))
     share = lambda c: F.sum(F.when(F.col(c) > 0, 1.0).otherwise(0.0)) / F.count("*")
-    return rows.groupBy("source").agg(F.avg("final_score").alias("a"), F.count("*").alias("n"), share("fear_index").alias("fp"), some("fear_index").alias("fi"), share("euphoria_index").alias("ep"), some("euphoria_index").alias("ei"), F.avg("activity_level").alias("act"))
+    return rows.groupBy(*by, "source").agg(F.avg("final_score").alias("a"), F.count("*").alias("n"), share("fear_index").alias("fp"), some("fear_index").alias("fi"), share("euphoria_index").alias("ep"), some("euphoria_index").alias("ei"), F.avg("activity_level").alias("act"))
 
 
-def weighted(averages: DataFrame, weight_rows: DataFrame) -> DataFrame:
+def weighted(averages: DataFrame, weight_rows: DataFrame, *by: str) -> DataFrame:
     w = F.coalesce("weight", F.lit(0.01))
     sign = F.when(F.coalesce("contrarian", F.lit(False)), -1.0).otherwise(1.0)
-    return averages.join(F.broadcast(weight_rows), "source", "left").agg(  # one row a source: at most a few thousand
+    return averages.join(F.broadcast(weight_rows), "source", "left").groupBy(*by).agg(  # one row a source: at most a few thousand
         r6(ratio(F.sum(sign * F.col("a") * w * F.col("n")), F.sum(w * F.col("n")))).alias("score"),
         r6(F.avg("fp")).alias("fear_pct"),
         r6(F.avg(F.col("fp") * F.coalesce("fi", F.lit(0.5)))).alias("fear_weighted"),

@@ -328,14 +328,21 @@ r AS (SELECT page_id, CASE WHEN starts_with(h, '//') THEN regexp_extract(url, '^
 SELECT DISTINCT page_id, link FROM r WHERE starts_with(link, 'http')"""
 
 
+MOST_CLASSES = 10_000
+
+
 def o10_2_centroids(spark, sf_dir):
     """Class centroids of normalised vectors, renormalised, and each vector's best class (O10.1 to O10.3)."""
     v = F.transform("embedding", lambda x: x.cast("double"))
     dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
     unit = lambda a: F.transform(a, lambda x: x / F.coalesce(F.nullif(F.sqrt(dot(a, a)), F.lit(0.0)), F.lit(1.0)))
     rows = read(spark, sf_dir, "embeddings").select("vec_id", "label", v.alias("v")).select("vec_id", "label", unit(F.col("v")).alias("v"))
-    means = rows.select("label", F.posexplode("v").alias("i", "x")).groupBy("label", "i").agg(F.avg("x").alias("x"))
-    centroids = means.groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("c")).select(F.col("label").alias("class"), unit(F.col("c")).alias("c"))
+    # averages of all places in one aggregate a class; classes are few, so their centroids are broadcast, behind a check
+    width = rows.agg(F.max(F.size("v"))).first()[0] or 0
+    means = rows.groupBy("label").agg(F.array(*(F.avg(F.get("v", F.lit(i))) for i in range(width))).alias("c"))
+    centroids = means.select(F.col("label").alias("class"), unit(F.col("c")).alias("c"))
+    if centroids.count() > MOST_CLASSES:
+        raise ValueError(f"more than {MOST_CLASSES} classes")
     scored = rows.crossJoin(F.broadcast(centroids)).select("vec_id", "class", dot(F.col("v"), F.col("c")).alias("cosine"))  # one row a class
     return scored.groupBy("vec_id").agg(F.max_by("class", F.struct(F.round("cosine", 9), -F.col("class"))).alias("class"), F.round(F.max("cosine"), 5).alias("cosine"))
 

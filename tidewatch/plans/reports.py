@@ -202,6 +202,24 @@ SELECT hour, round(coalesce(avg(r) OVER m, 0.0), 6) AS mean, round(CASE WHEN cou
 FROM r WINDOW m AS (ORDER BY hour RANGE BETWEEN 2592000 PRECEDING AND CURRENT ROW), d AS (ORDER BY hour ROWS BETWEEN 23 PRECEDING AND CURRENT ROW)"""
 
 
+def nearest_exits(spark, sf_dir, entries, hold=DAY):
+    """entries (hour, price, ...) with exit: the price nearest in time to ``hold`` later, within two hours, first on ties (O3.12)."""
+    p = prices(spark, sf_dir).select("id", "ts", F.col("price").alias("x"))
+    near = within(entries.withColumn("target", F.col("hour") + hold), p, "target", "ts", 2 * HOUR - 1, 2 * HOUR - 1, HOUR)
+    return near.groupBy(*entries.columns).agg(F.min_by("x", F.struct(F.abs(F.col("ts") - F.col("target")), "ts", "id")).alias("exit"))
+
+
+def held_extremes(spark, sf_dir, entries):
+    """hour, low and high: extremes of the prices from an entry's hour to a day later (O3.15). Hours carry theirs, so that an
+    entry meets 25 rows and not all prices of its day; of the last hour only its first second counts."""
+    p = prices(spark, sf_dir)
+    sharp = F.when(F.col("ts") == bucket("ts", HOUR), F.col("price"))
+    ends = p.groupBy(bucket("ts", HOUR).alias("at")).agg(F.min("price").alias("lo"), F.max("price").alias("hi"), F.min(sharp).alias("lo0"), F.max(sharp).alias("hi0"))
+    held = entries.select("hour", F.posexplode(F.sequence(F.col("hour"), F.col("hour") + DAY, F.lit(HOUR).cast("long"))).alias("k", "at")).join(ends, "at")
+    pick = lambda c: F.when(F.col("k") == 24, F.col(f"{c}0")).otherwise(F.col(c))
+    return held.groupBy("hour").agg(F.min(pick("lo")).alias("low"), F.max(pick("hi")).alias("high"))
+
+
 def o3_13_exit_prices(spark, sf_dir):
     """A day after every signal: the first price within two hours, not the nearest (O3.13), the hourly price at the hour
     itself or at +1, -1, +2, -2 hours (O3.14), and the worst and best price on the way (O3.15)."""
@@ -211,13 +229,7 @@ def o3_13_exit_prices(spark, sf_dir):
     hours = p.groupBy(bucket("ts", HOUR).alias("at")).agg(F.avg("x").alias("hx"))
     probes = s.select("hour", F.posexplode(F.array(*(F.col("target") + k * HOUR for k in (0, 1, -1, 2, -2)))).alias("order", "at"))
     probe = probes.join(hours, "at").groupBy("hour").agg(F.min_by("hx", "order").alias("probe"))
-    # extremes by hour, so that a signal meets 25 rows and not all prices of its day; of the last hour only its first second counts
-    sharp = F.when(F.col("ts") == bucket("ts", HOUR), F.col("x"))
-    ends = p.groupBy(bucket("ts", HOUR).alias("at")).agg(F.min("x").alias("lo"), F.max("x").alias("hi"), F.min(sharp).alias("lo0"), F.max(sharp).alias("hi0"))
-    held = s.select("hour", F.posexplode(F.sequence(F.col("hour"), F.col("hour") + DAY, F.lit(HOUR).cast("long"))).alias("k", "at")).join(ends, "at")
-    pick = lambda c: F.when(F.col("k") == 24, F.col(f"{c}0")).otherwise(F.col(c))
-    way = held.groupBy("hour").agg(F.min(pick("lo")).alias("low"), F.max(pick("hi")).alias("high"))
-    out = s.join(first, "hour", "left").join(probe, "hour", "left").join(way, "hour", "left")
+    out = s.join(first, "hour", "left").join(probe, "hour", "left").join(held_extremes(spark, sf_dir, s), "hour", "left")
     return out.select("hour", *(r6(c).alias(c) for c in ("first", "probe", "low", "high")))
 
 
