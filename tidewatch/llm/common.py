@@ -18,9 +18,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder all executors share (spark.checkpoint.dir); a local one only where none is set."""
+    """The folder all executors share (spark.checkpoint.dir); a local one only where none is set and the master is local."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         root = "file:///tmp/tidewatch-checkpoints"
         spark.sparkContext.setCheckpointDir(root)
     return root.rstrip("/")
@@ -37,14 +39,6 @@ def stored(df: DataFrame, folder: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
-def discard(spark: SparkSession, *folders: str) -> None:
-    """Delete intermediate tables that no later step reads."""
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    for folder in folders:
-        path = jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(conf).delete(path, True)
-
-
 def open_fs(uri: str):
     """(filesystem, path) of a URI, inside a task or on the driver."""
     from pyarrow import fs
