@@ -3,8 +3,8 @@
 The model is a context trie of order K held as a table of (K+1)-symbol grams with training counts: bytes,
 an end symbol (256) and a start pad (257), 9 bits each. Escapes follow method C; symbols seen in a longer
 context are excluded from shorter ones; the last resort is uniform over the symbols not excluded. All
-contexts of a gram share its last two context symbols, so grams are grouped by these and every group
-computes the probabilities of its grams; orders 1 and 0 come from a table of at most 258 x 257 counts.
+contexts of a gram share its last two context symbols, so grams are sorted by these and a task computes the
+probabilities of some whole contexts' grams at a time; orders 1 and 0 come from a table of at most 258 x 257 counts.
 
 Documents are dealt into blocks of about BLOCK_BYTES by doc_id. A block asks for the grams and tokens it
 holds and gets their values back: no task holds the vocabulary, nothing corpus-sized is broadcast. A token
@@ -33,6 +33,8 @@ from .common import new_folder, slices, stored, table
 ORDER = 4
 BLOCK_BYTES = 24 << 20
 END_SYMBOL, PAD, BITS = 256, 257, 9
+#: Grams of whole two-symbol contexts that a task scores at once; one context is never split.
+GRAM_ROWS = 1_000_000
 END_TOKEN = b""
 
 
@@ -183,15 +185,29 @@ def score(docs: DataFrame, folder: str, block_bytes: int = BLOCK_BYTES) -> DataF
     shared_pairs = spark.sparkContext.broadcast(pairs)
 
     def probabilities(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = [(np.asarray(b.column("gram")), np.asarray(b.column("n"))) for b in batches]
-        if got:
-            g, n = (np.concatenate(x) for x in zip(*got, strict=True))
+        held, size = [], 0
+
+        def give(upto):
+            g, n = (np.concatenate([x[i][:upto] if x is held[-1] else x[i] for x in held]) for i in (0, 1))
             logs = ppm_logs(g, n, shared_pairs.value)
             for at in range(0, len(g), 50_000):
                 yield pa.RecordBatch.from_arrays([pa.array(g[at : at + 50_000]), pa.array(logs[at : at + 50_000])], ["gram", "value"])
 
+        for batch in batches:
+            held.append((np.asarray(batch.column("gram")), np.asarray(batch.column("n")), np.asarray(batch.column("context"))))
+            size += batch.num_rows
+            if size >= GRAM_ROWS:  # some whole contexts at a time
+                last = held[-1][2]
+                cut = int(np.searchsorted(last, last[-1]))
+                if cut:
+                    yield from give(cut)
+                    held, size = [tuple(x[cut:] for x in held[-1])], len(last) - cut
+        if size:
+            yield from give(len(held[-1][0]))
+
     context = F.shiftrightunsigned("gram", BITS).bitwiseAND((1 << 2 * BITS) - 1)
-    logs = grams.repartition(context).select("gram", "n").mapInArrow(probabilities, "gram long, value double")
+    by_context = grams.select("gram", "n", context.alias("context")).repartition("context").sortWithinPartitions("context")
+    logs = by_context.mapInArrow(probabilities, "gram long, value double")
     gram_answers = needs.where("gram is not null").select("block", "gram").join(logs, "gram").select("block", F.lit(None).cast("binary").alias("token"), "gram", "value")
 
     n_all, n_kinds = total
