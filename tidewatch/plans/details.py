@@ -10,7 +10,7 @@ from ..operators.timeops import correlation, ratio
 from ..sources.tables import COINS_SQL, DAY, HOUR, PRICES_SQL, SCORES_SQL, bucket, coin_prices, newest, prices, read, scores, since
 from .causal import hour_prices, hour_scores
 from .dashboard import _WEIGHTS_SQL, r6, source_averages, weighted, weights
-from .learning import _HOURS_SQL, _SIGNAL_SQL, hourly_market, signals, source_features, source_hours
+from .learning import _FEATURES, _HOURS_SQL, _SIGNAL_SQL, S3_24, hourly_market, signals, source_features, source_hours
 from .postings import _POSTS_SQL, scored_posts
 
 QUERIES: dict = {}
@@ -79,7 +79,7 @@ def o6_19_memory(spark, sf_dir):
     return s.select("lag", "pairs", "r", "significant", (F.col("significant") & (F.col("lag") == first)).alias("first_significant"))
 
 
-@query()
+@query(S3_24.split(", p AS (SELECT a.source")[0] + f" SELECT a.source, b.source AS other, round(sqrt({' + '.join(f'(a.{c} - b.{c}) ^ 2' for c in _FEATURES)}), 4) AS distance, a.source < b.source AS upper FROM z a, z b")
 def o3_24_distances(spark, sf_dir):
     """All distances between sources, as the upper triangle and the whole square (O3.24): at most MOST_SOURCES sources."""
     f = source_features(scores(spark, sf_dir))
