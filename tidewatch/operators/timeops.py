@@ -30,11 +30,17 @@ def ratio(sums: Column, weights: Column) -> Column:
     return F.try_divide(sums, weights)
 
 
+def pearson(x: str, y: str) -> Column:
+    """Pearson correlation over rows with both values, from Spark's own merging of centred moments; null where a column is
+    constant or there is no pair (corr itself divides by zero there in ANSI mode)."""
+    both = F.col(x).isNotNull() & F.col(y).isNotNull()
+    a, b = F.when(both, F.col(x)), F.when(both, F.col(y))
+    return F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))
+
+
 def correlation(x: str, y: str) -> Column:
-    """Pearson correlation over rows with both values, by Spark's own merging of centred moments: 0 for a constant column or
-    fewer than two rows."""
-    found = F.corr(x, y)
-    return F.coalesce(F.when(~F.isnan(found), found), F.lit(0.0))
+    """pearson, 0 where there is none."""
+    return F.coalesce(pearson(x, y), F.lit(0.0))
 
 
 def fold_cooldown(times: Column, gap: int) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import series, special
+from ..operators.timeops import pearson
 from ..sources.tables import DAY, HOUR, PRICES_SQL, SCORES_SQL, bucket, prices, scores
 from .dashboard import r6
 from .learning import granger, source_hours
@@ -34,8 +35,8 @@ def forward_returns(p, hours):
 
 def correlated(rows, by, x, y, least):
     """n, r and two-sided p by group; r 0 and p 1 below ``least`` pairs or for a constant."""
-    g = rows.groupBy(*by).agg(F.count("*").alias("n"), F.corr(x, y).alias("c"))
-    r = F.when((F.col("n") >= least) & F.col("c").isNotNull() & ~F.isnan("c"), F.col("c"))
+    g = rows.groupBy(*by).agg(F.count("*").alias("n"), pearson(x, y).alias("c"))
+    r = F.when(F.col("n") >= least, F.col("c"))
     return g.withColumn("r", F.coalesce(r, F.lit(0.0))).withColumn("p", F.when(r.isNull(), 1.0).otherwise(special.correlation_p("r", F.col("n").cast("double")))).drop("c")
 
 

@@ -211,14 +211,16 @@ SELECT hour, round(coalesce(100 * (price - p24) / p24, 0.0) + 1e-9, 6) AS change
 
 
 def o3_16_daily_on_hourly(spark, sf_dir):
-    """Hourly scores beside the day's mean price of one coin."""
-    days = coin_prices(spark, sf_dir).where(F.col("coin") == "1-URGENT").groupBy((bucket("ts", DAY) % (30 * DAY)).alias("d")).agg(F.avg("price").alias("price"))
-    rows = hourly(scores(spark, sf_dir)).withColumn("d", bucket("hour", DAY) % (30 * DAY))
-    return rows.join(days, "d", "left").select("hour", r6("score").alias("score"), r6("price").alias("price"))
+    """Hourly scores beside the day's market index, whole days on hours (O3.16, O3.17): the index is the day's mean ``view``
+    score, 0 to 100."""
+    rows = scores(spark, sf_dir)
+    days = rows.where("source = 'view'").groupBy(bucket("ts", DAY).alias("day")).agg(F.avg((F.col("final_score") + 1) * 50).alias("fgi"))
+    hours = hourly(rows).withColumn("day", bucket("hour", DAY))
+    return hours.join(days, "day", "left").select("hour", r6("score").alias("score"), r6("fgi").alias("fgi"), F.col("fgi").cast("long").alias("fgi_int"))
 
 
-S3_16 = f"""WITH {SCORES_SQL}, {COINS_SQL}, d AS (SELECT ts // 86400 * 86400 % 2592000 AS d, avg(price) AS price FROM coin_prices WHERE coin = '1-URGENT' GROUP BY 1),
-h AS (SELECT ts // 3600 * 3600 AS hour, avg(final_score) AS score FROM scores GROUP BY 1) SELECT hour, round(score + 1e-9, 6) AS score, round(price + 1e-9, 6) AS price FROM h LEFT JOIN d ON hour // 86400 * 86400 % 2592000 = d"""
+S3_16 = f"""WITH {SCORES_SQL}, d AS (SELECT ts // 86400 AS d, avg((final_score + 1) * 50) AS fgi FROM scores WHERE source = 'view' GROUP BY 1),
+h AS (SELECT ts // 3600 * 3600 AS hour, avg(final_score) AS score FROM scores GROUP BY 1) SELECT hour, round(score + 1e-9, 6) AS score, round(fgi + 1e-9, 6) AS fgi, trunc(fgi)::BIGINT AS fgi_int FROM h LEFT JOIN d ON hour // 86400 = d"""
 
 
 def o2_8_labels(spark, sf_dir):

@@ -11,7 +11,8 @@ from ..sources.tables import COINS_SQL, DAY, HOUR, PRICES_SQL, SCORES_SQL, bucke
 from .causal import hour_prices, hour_scores
 from .dashboard import _WEIGHTS_SQL, r6, source_averages, weighted, weights
 from .learning import _FEATURES, _HOURS_SQL, _SIGNAL_SQL, S3_24, hourly_market, signals, source_features, source_hours
-from .postings import _POSTS_SQL, scored_posts
+from .decisions import _residuals_sql, residuals
+from .postings import _POSTS_SQL, MIN_COMMENTS, post_texts, raw_posts, scored_posts
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -255,3 +256,98 @@ def o10_7_uncached(spark, sf_dir):
     rows = read(spark, sf_dir, "embeddings").select("vec_id", "label")
     cached = rows.where("vec_id % 3 <> 0").select("vec_id")
     return rows.join(cached, "vec_id", "left_anti")
+
+
+@query(f"""WITH {SCORES_SQL}, {PRICES_SQL}, {_WEIGHTS_SQL}, b AS (SELECT source, ts // 3600 * 3600 AS h0, sum(final_score) AS t, count(*) AS n FROM scores GROUP BY 1, 2), e AS (SELECT h0 + k * 3600 AS hour, source, sum(t) / sum(n) AS m FROM b, (VALUES (0), (1), (2), (3)) v(k) GROUP BY 1, 2),
+g AS (SELECT hour, sum(CASE WHEN coalesce(contrarian, false) THEN -m ELSE m END * coalesce(weight, 0.01)) / sum(coalesce(weight, 0.01)) AS c, count(*) AS n, count(*) FILTER (source <> 'view') AS social, coalesce(stddev_pop(m), 0) AS d, coalesce(max(m) FILTER (source = 'view'), 0.0) AS fg FROM e LEFT JOIN weights USING (source) GROUP BY 1),
+hp AS (SELECT ts // 3600 * 3600 AS h0, avg(price) AS p FROM prices GROUP BY 1), mo AS (SELECT h0 + k * 3600 AS hour, 100 * (arg_max(p, h0) - arg_min(p, h0)) / arg_min(p, h0) AS ch FROM hp, (VALUES (0), (1), (2), (3)) v(k) GROUP BY 1),
+s AS (SELECT hour, social, round(c, 9) AS c, least(1.0::DOUBLE, n / 5 * 0.5 + 0.5 * CASE WHEN n = 1 THEN 0.5 ELSE 1 - least(d, 1.0) END) AS conf, CASE WHEN round(fg, 9) < -0.4 THEN 0.1::DOUBLE WHEN round(fg, 9) > 0.4 THEN -0.1::DOUBLE ELSE 0.0::DOUBLE END AS boost, CASE WHEN round(coalesce(ch, 0), 9) > 0.5 THEN 1 WHEN round(coalesce(ch, 0), 9) < -0.5 THEN -1 ELSE 0 END AS move FROM g LEFT JOIN mo USING (hour)),
+f AS (SELECT *, CASE WHEN c > 0.2 THEN 1 WHEN c < -0.2 THEN -1 ELSE 0 END AS way FROM s), k AS (SELECT *, CASE WHEN move * way = 1 THEN 1.2::DOUBLE WHEN move <> 0 AND way <> 0 THEN 0.8::DOUBLE ELSE 1.0::DOUBLE END AS factor FROM f), a AS (SELECT *, round((c + boost) * factor, 9) AS adj FROM k)
+SELECT hour, round(c, 4) AS composite, round(CASE WHEN social = 0 THEN 0.0 ELSE adj END, 4) AS adjusted, CASE WHEN social = 0 THEN 'neutral' WHEN adj > 0.15 THEN 'up' WHEN adj < -0.15 THEN 'down' ELSE 'neutral' END AS direction, round(CASE WHEN social = 0 THEN 0.0 ELSE least(1.0, conf * factor * CASE WHEN abs(c) < 0.1 THEN 0.5 ELSE 1.0 END) END, 4) AS confidence FROM a""")
+def o11_9_predictions(spark, sf_dir):
+    """Direction of every hour from its last four: weighted composite of sources, contrarian boost by the market index, factor by
+    how the price moved, confidence by agreement (O4.25, O6.9, O11.9)."""
+    b = scores(spark, sf_dir).groupBy("source", bucket("ts", HOUR).alias("h0")).agg(F.sum("final_score").alias("t"), F.count("*").alias("n"))
+    ahead = lambda rows: rows.withColumn("hour", F.explode(F.sequence(F.col("h0"), F.col("h0") + 3 * HOUR, F.lit(HOUR).cast("long"))))
+    e = ahead(b).groupBy("hour", "source").agg((F.sum("t") / F.sum("n")).alias("m")).join(F.broadcast(weights(spark)), "source", "left")  # one row a source
+    w, sign = F.coalesce("weight", F.lit(0.01)), F.when(F.coalesce("contrarian", F.lit(False)), -1.0).otherwise(1.0)
+    g = e.groupBy("hour").agg(F.round(ratio(F.sum(sign * F.col("m") * w), F.sum(w)), 9).alias("c"), F.count("*").alias("n"), F.count_if(F.col("source") != "view").alias("social"), F.stddev_pop("m").alias("d"), F.coalesce(F.max(F.when(F.col("source") == "view", F.col("m"))), F.lit(0.0)).alias("fg"))
+    p = ahead(hour_prices(spark, sf_dir).withColumnRenamed("hour", "h0")).groupBy("hour").agg(F.min_by("p", "h0").alias("a"), F.max_by("p", "h0").alias("z"))
+    rows = g.join(p, "hour", "left")
+    change = F.round(F.coalesce(100 * (F.col("z") - F.col("a")) / F.col("a"), F.lit(0.0)), 9)
+    move, way = F.when(change > 0.5, 1).when(change < -0.5, -1).otherwise(0), F.when(F.col("c") > 0.2, 1).when(F.col("c") < -0.2, -1).otherwise(0)
+    agree = F.when(F.col("n") == 1, 0.5).otherwise(1 - F.least(F.col("d"), F.lit(1.0)))
+    sure = F.least(F.lit(1.0), F.col("n") / 5 * 0.5 + 0.5 * agree)
+    fg = F.round("fg", 9)
+    boost = F.when(fg < -0.4, 0.1).when(fg > 0.4, -0.1).otherwise(0.0)
+    factor = F.when(move * way == 1, 1.2).when((move != 0) & (way != 0), 0.8).otherwise(1.0)
+    adjusted = F.round((F.col("c") + boost) * factor, 9)
+    quiet = F.col("social") == 0
+    direction = F.when(quiet, "neutral").when(adjusted > 0.15, "up").when(adjusted < -0.15, "down").otherwise("neutral")
+    weak = F.when(F.abs("c") < 0.1, 0.5).otherwise(1.0)
+    return rows.select("hour", F.round("c", 4).alias("composite"), F.round(F.when(quiet, 0.0).otherwise(adjusted), 4).alias("adjusted"), direction.alias("direction"), F.round(F.when(quiet, 0.0).otherwise(F.least(F.lit(1.0), sure * factor * weak)), 4).alias("confidence"))
+
+
+_COVARIATES = ["z1", "z2", "z3", "z4"]
+
+
+def _adjusted_sql():
+    out, source = "", "m"
+    for i, z in enumerate(_COVARIATES):
+        out += f", a{i} AS ({_residuals_sql(source, ['x', 'r', *_COVARIATES[i + 1 :]], z, 'x0, r0')})"
+        source = f"a{i}"
+    return out
+
+
+@query(f"""WITH {_HOURS_SQL}, hp AS (SELECT ts // 3600 * 3600 AS hour, avg(price) AS p FROM prices GROUP BY 1), hr AS (SELECT hour, (p - lag(p) OVER (ORDER BY hour)) / lag(p) OVER (ORDER BY hour) AS g FROM hp), hv AS (SELECT hour, stddev_pop(g) OVER (ORDER BY hour RANGE BETWEEN 86400 PRECEDING AND 3600 PRECEDING) AS z2 FROM hr),
+hs AS (SELECT ts // 3600 * 3600 + 3600 AS hour, avg(final_score) AS z1, avg(activity_level) AS z3 FROM scores GROUP BY 1),
+m AS (SELECT source, hour, x, r, x AS x0, r AS r0, z1, z2, z3, (hour // 3600 % 24)::DOUBLE AS z4 FROM sh JOIN hs USING (hour) JOIN hv USING (hour) WHERE z2 IS NOT NULL){_adjusted_sql()},
+k AS (SELECT source, count(*) AS n, regr_slope(r0, x0) AS naive, regr_slope(r, x) AS adjusted FROM a3 GROUP BY 1)
+SELECT source, n, round(naive, 6) AS naive, round(adjusted, 6) AS adjusted, round((naive - adjusted) / nullif(naive, 0), 3) AS removed FROM k WHERE n >= 30""")
+def o8_6_four_covariates(spark, sf_dir):
+    """Returns on scores beside four covariates known before the hour: the market's mean score and activity an hour earlier, the
+    volatility of the day before, the hour of day (O3.18, O8.6); sources with 30 hours or more."""
+    w = Window.partitionBy("coin").orderBy("hour")
+    g = hour_prices(spark, sf_dir).withColumn("coin", F.lit("BTC")).withColumn("g", (F.col("p") - F.lag("p").over(w)) / F.lag("p").over(w))
+    hv = g.select("hour", F.stddev_pop("g").over(w.rangeBetween(-DAY, -HOUR)).alias("z2")).where("z2 is not null")
+    hs = scores(spark, sf_dir).groupBy((bucket("ts", HOUR) + HOUR).alias("hour")).agg(F.avg("final_score").alias("z1"), F.avg("activity_level").alias("z3"))
+    m = source_hours(spark, sf_dir).join(hs, "hour").join(hv, "hour").select("source", F.col("x").alias("x0"), F.col("r").alias("r0"), "x", "r", "z1", "z2", "z3", (F.floor(F.col("hour") / HOUR) % 24).cast("double").alias("z4"))
+    for i, z in enumerate(_COVARIATES):
+        m = residuals(m, "source", ["x", "r", *_COVARIATES[i + 1 :]], z).drop(z)
+    k = m.groupBy("source").agg(F.count("*").alias("n"), F.regr_slope("r0", "x0").alias("naive"), F.regr_slope("r", "x").alias("adjusted")).where("n >= 30")
+    return k.select("source", "n", F.round("naive", 6).alias("naive"), F.round("adjusted", 6).alias("adjusted"), F.round(F.try_divide(F.col("naive") - F.col("adjusted"), F.col("naive")), 3).alias("removed"))
+
+
+@query(f"""WITH {PRICES_SQL}, h AS (SELECT ts // 3600 * 3600 AS hour, avg(price) AS p FROM prices GROUP BY 1), r AS (SELECT hour, (p - lag(p) OVER (ORDER BY hour)) / lag(p) OVER (ORDER BY hour) AS g FROM h), grid AS (SELECT unnest(range((SELECT min(hour) FROM h), (SELECT max(hour) FROM h) + 3600, 3600)) AS hour)
+SELECT grid.hour, count(g) AS n, round(stddev_pop(g) * sqrt(8760) * 100, 5) AS volatility FROM grid LEFT JOIN r ON r.hour BETWEEN grid.hour - 86400 AND grid.hour GROUP BY 1""")
+def o6_11_hourly_volatility(spark, sf_dir):
+    """Annualised volatility of the closed 24 hours before every hour of the grid, whether it has prices or not (O6.11, O6.14)."""
+    w = Window.partitionBy("coin").orderBy("hour")
+    h = hour_prices(spark, sf_dir).withColumn("coin", F.lit("BTC"))
+    r = h.select("coin", "hour", ((F.col("p") - F.lag("p").over(w)) / F.lag("p").over(w)).alias("g"))
+    grid = h.groupBy("coin").agg(F.min("hour").alias("a"), F.max("hour").alias("b")).select("coin", F.explode(F.sequence("a", "b", F.lit(HOUR).cast("long"))).alias("hour"))
+    day = w.rangeBetween(-DAY, 0)
+    return grid.join(r, ["coin", "hour"], "left").select("hour", F.count("g").over(day).alias("n"), F.round(F.stddev_pop("g").over(day) * (8760**0.5) * 100, 5).alias("volatility"))
+
+
+@query("""WITH s AS (SELECT 2 * least(1.0::DOUBLE, n_chars / 5000) - 1 AS s, 0.5::DOUBLE * (2 * least(1.0::DOUBLE, n_chars / 5000) - 1) AS d, quality * 2.0::DOUBLE - 1 AS h, CASE WHEN n_chars < 500 THEN 'short' WHEN n_chars < 5000 THEN 'middle' ELSE 'long' END AS bucket FROM documents JOIN labels USING (doc_id) WHERE quality IS NOT NULL AND n_chars IS NOT NULL),
+c AS (SELECT *, CASE WHEN s > 0.15 THEN 1 WHEN s < -0.15 THEN -1 ELSE 0 END AS cs, CASE WHEN d > 0.15 THEN 1 WHEN d < -0.15 THEN -1 ELSE 0 END AS cd, CASE WHEN h > 0.15 THEN 1 WHEN h < -0.15 THEN -1 ELSE 0 END AS ch FROM s),
+g AS (SELECT bucket, count(*) AS n, corr(s, h) AS r, avg(abs(s - h)) AS mae, avg(s - h) AS bias, avg(CASE WHEN cs = ch THEN 1.0 ELSE 0.0 END) AS a, avg(CASE WHEN cd = ch THEN 1.0 ELSE 0.0 END) AS b, avg(CASE WHEN s BETWEEN h - 0.5 AND h + 0.5 THEN 1.0 ELSE 0.0 END) AS range_match FROM c GROUP BY GROUPING SETS ((bucket), ()))
+SELECT coalesce(bucket, 'all') AS bucket, n, round(CASE WHEN r IS NULL OR isnan(r) THEN 0.0 ELSE r END, 5) AS r, round(mae, 5) AS mae, round(bias, 5) AS bias, round(a, 5) AS agreement, round(b, 5) AS damped_agreement, round(100 * (b - a), 3) AS delta_points, round(range_match, 5) AS range_match FROM g""")
+def o4_38_scorer_metrics(spark, sf_dir):
+    """A scorer against people: Pearson, mean error, bias, category agreement, matches within a range, and how a second method
+    differs in points; by length and over all (O4.31, O4.32, O4.37, O4.38). The scorer is a text's length, people's marks are labels."""
+    rows = read(spark, sf_dir, "documents").select("doc_id", "n_chars").join(read(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id").where("quality is not null and n_chars is not null")
+    s = 2 * F.least(F.lit(1.0), F.col("n_chars") / 5000) - 1
+    size = F.when(F.col("n_chars") < 500, "short").when(F.col("n_chars") < 5000, "middle").otherwise("long")
+    c = rows.select(s.alias("s"), (0.5 * s).alias("d"), (F.col("quality") * 2.0 - 1).alias("h"), F.explode(F.array(size, F.lit("all"))).alias("bucket"))
+    cat = lambda x: F.when(F.col(x) > 0.15, 1).when(F.col(x) < -0.15, -1).otherwise(0)
+    share = lambda ok: F.avg(F.when(ok, 1.0).otherwise(0.0))
+    a, b = share(cat("s") == cat("h")), share(cat("d") == cat("h"))
+    return c.groupBy("bucket").agg(F.count("*").alias("n"), F.round(correlation("s", "h"), 5).alias("r"), F.round(F.avg(F.abs(F.col("s") - F.col("h"))), 5).alias("mae"), F.round(F.avg(F.col("s") - F.col("h")), 5).alias("bias"), F.round(a, 5).alias("agreement"), F.round(b, 5).alias("damped_agreement"), F.round(100 * (b - a), 3).alias("delta_points"), F.round(share(F.col("s").between(F.col("h") - 0.5, F.col("h") + 0.5)), 5).alias("range_match"))
+
+
+@query(f"WITH {_POSTS_SQL} SELECT raw_id, comments FROM texts WHERE comments < 4")
+def o12_6_low_engagement(spark, sf_dir):
+    """Posts that a clean-up removes: fewer than four comments by people (O12.6)."""
+    return post_texts(raw_posts(spark, sf_dir)).where(F.col("comments") < MIN_COMMENTS).select("raw_id", "comments")

@@ -16,6 +16,7 @@ from ..functions import posts as P
 from ..sources.tables import SCORES_SQL, read, scores
 from .dashboard import r6
 
+MIN_COMMENTS = P.MIN_COMMENTS
 _C = lambda *bodies: [{"author": a, "body": b} for a, b in bodies]
 _TALK = _C(("ann", "I lost $400 and should have sold earlier, this is down"), ("bob", "Stay safe, never share your wallet keys"), ("tipbot", "I am a bot"), ("cyd", "Bitcoin to the moon, guaranteed 100x incoming"), (None, "What a great project, just bought more ETH"), ("dee", ""))
 #: Fixed samples: every shape of a raw post.
