@@ -5,7 +5,9 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -46,11 +48,17 @@ def open_fs(uri: str):
     return fs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("/") else uri.replace("file:", "file://", 1))
 
 
-def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
-    """Smaller batches, so that a task holds few whole texts at once."""
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 512, text: str | None = None, size: int = 2 << 20) -> Iterator[pa.RecordBatch]:
+    """Smaller batches, so that a task holds few whole texts at once: of ``rows`` rows at most and, with the name of a text
+    column, of about ``size`` bytes of it; a longer text is a batch of its own."""
     for batch in batches:
-        for at in range(0, batch.num_rows, rows):
-            yield batch.slice(at, rows)
+        ends = np.arange(batch.num_rows) if text is None else np.cumsum(pc.binary_length(batch.column(text)).fill_null(0).to_numpy(zero_copy_only=False))
+        at = 0
+        while at < batch.num_rows:
+            before = ends[at - 1] if at else 0
+            upto = at + rows if text is None else min(at + rows, max(at + 1, int(np.searchsorted(ends, before + size, "right"))))
+            yield batch.slice(at, upto - at)
+            at = upto
 
 
 def part_bases(totals: DataFrame, part: str, amount: str, base: str = "base") -> DataFrame:

@@ -165,7 +165,7 @@ def signed(docs: DataFrame) -> DataFrame:
     schema = pa.schema([("doc_id", pa.int64()), ("digest", pa.binary()), ("buckets", pa.list_(pa.int64())), ("first_bits", pa.int64())])
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 1024):
+        for batch in slices(batches, 1024, "text"):
             digests = [hashlib.sha256((t or "").encode()).digest() for t in batch.column("text").to_pylist()]
             texts = dict(zip(digests, batch.column("text").to_pylist(), strict=True))
             of, keys, counts = shingles(list(texts.values()))
@@ -206,7 +206,7 @@ def shingle_sets(texts: DataFrame) -> DataFrame:
     """node, its distinct shingles in order, their counts (null where all are 1) and their number."""
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 128):
+        for batch in slices(batches, 128, "text"):
             of, keys, counts = shingles(batch.column("text").to_pylist())
             at = np.searchsorted(of, np.arange(batch.num_rows + 1))
             rows = [slice(*pair) for pair in zip(at[:-1], at[1:], strict=True)]

@@ -128,7 +128,7 @@ def write_records(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 0)
         name = f"part-{task.partitionId():08d}.tok{8 * enc.dtype.itemsize}"
         temp, out, at = f"{path}/.{name}.{task.taskAttemptId()}", None, 0
         tail = np.array([end_id], enc.dtype).tobytes()
-        for batch in slices(batches, 4096):
+        for batch in slices(batches, 4096, "text", 8 << 20):
             docs_ = [NULL_ID if d is None else d for d in batch.column("doc_id").to_pylist()]
             ids = enc.encode([t or "" for t in batch.column("text").to_pylist()])
             records = frame([d.to_bytes(8, "little", signed=True) + i.tobytes() + tail for d, i in zip(docs_, ids, strict=True)])

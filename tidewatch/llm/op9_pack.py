@@ -145,7 +145,7 @@ def pieces(docs: DataFrame, folder: str, tokenizer: str, capacity: int = CAPACIT
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, uid = encoder(tokenizer), TaskContext.get().partitionId() << 40
-        for batch in slices(batches, 4096):
+        for batch in slices(batches, 4096, "text", 8 << 20):
             rows = []
             for doc, got in zip(batch.column("doc_id").to_pylist(), enc.encode([t or "" for t in batch.column("text").to_pylist()]), strict=True):
                 ids = np.append(got, np.array([end_id], got.dtype))
