@@ -263,7 +263,7 @@ g AS (SELECT hour, sum(CASE WHEN coalesce(contrarian, false) THEN -m ELSE m END
 hp AS (SELECT ts // 3600 * 3600 AS h0, avg(price) AS p FROM prices GROUP BY 1), mo AS (SELECT h0 + k * 3600 AS hour, 100 * (arg_max(p, h0) - arg_min(p, h0)) / arg_min(p, h0) AS ch FROM hp, (VALUES (0), (1), (2), (3)) v(k) GROUP BY 1),
 s AS (SELECT hour, social, round(c, 9) AS c, least(1.0::DOUBLE, n / 5 * 0.5 + 0.5 * CASE WHEN n = 1 THEN 0.5 ELSE 1 - least(d, 1.0) END) AS conf, CASE WHEN round(fg, 9) < -0.4 THEN 0.1::DOUBLE WHEN round(fg, 9) > 0.4 THEN -0.1::DOUBLE ELSE 0.0::DOUBLE END AS boost, CASE WHEN round(coalesce(ch, 0), 9) > 0.5 THEN 1 WHEN round(coalesce(ch, 0), 9) < -0.5 THEN -1 ELSE 0 END AS move FROM g LEFT JOIN mo USING (hour)),
 f AS (SELECT *, CASE WHEN c > 0.2 THEN 1 WHEN c < -0.2 THEN -1 ELSE 0 END AS way FROM s), k AS (SELECT *, CASE WHEN move * way = 1 THEN 1.2::DOUBLE WHEN move <> 0 AND way <> 0 THEN 0.8::DOUBLE ELSE 1.0::DOUBLE END AS factor FROM f), a AS (SELECT *, round((c + boost) * factor, 9) AS adj FROM k)
-SELECT hour, round(c, 4) AS composite, round(CASE WHEN social = 0 THEN 0.0 ELSE adj END, 4) AS adjusted, CASE WHEN social = 0 THEN 'neutral' WHEN adj > 0.15 THEN 'up' WHEN adj < -0.15 THEN 'down' ELSE 'neutral' END AS direction, round(CASE WHEN social = 0 THEN 0.0 ELSE least(1.0, conf * factor * CASE WHEN abs(c) < 0.1 THEN 0.5 ELSE 1.0 END) END, 4) AS confidence FROM a""")
+SELECT hour, round(c + 1e-7, 4) AS composite, round(CASE WHEN social = 0 THEN 0.0 ELSE adj END + 1e-7, 4) AS adjusted, CASE WHEN social = 0 THEN 'neutral' WHEN adj > 0.15 THEN 'up' WHEN adj < -0.15 THEN 'down' ELSE 'neutral' END AS direction, round(CASE WHEN social = 0 THEN 0.0 ELSE least(1.0, conf * factor * CASE WHEN abs(c) < 0.1 THEN 0.5 ELSE 1.0 END) END + 1e-7, 4) AS confidence FROM a""")
 def o11_9_predictions(spark, sf_dir):
     """Direction of every hour from its last four: weighted composite of sources, contrarian boost by the market index, factor by
     how the price moved, confidence by agreement (O4.25, O6.9, O11.9)."""
@@ -285,7 +285,7 @@ def o11_9_predictions(spark, sf_dir):
     quiet = F.col("social") == 0
     direction = F.when(quiet, "neutral").when(adjusted > 0.15, "up").when(adjusted < -0.15, "down").otherwise("neutral")
     weak = F.when(F.abs("c") < 0.1, 0.5).otherwise(1.0)
-    return rows.select("hour", F.round("c", 4).alias("composite"), F.round(F.when(quiet, 0.0).otherwise(adjusted), 4).alias("adjusted"), direction.alias("direction"), F.round(F.when(quiet, 0.0).otherwise(F.least(F.lit(1.0), sure * factor * weak)), 4).alias("confidence"))
+    return rows.select("hour", F.round(F.col("c") + 1e-7, 4).alias("composite"), F.round(F.when(quiet, 0.0).otherwise(adjusted) + 1e-7, 4).alias("adjusted"), direction.alias("direction"), F.round(F.when(quiet, 0.0).otherwise(F.least(F.lit(1.0), sure * factor * weak)) + 1e-7, 4).alias("confidence"))
 
 
 _COVARIATES = ["z1", "z2", "z3", "z4"]
