@@ -29,7 +29,7 @@ from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 from .common import new_folder, stored, table
 
 TREES, SAMPLE, SUBSPACE, SEED = 100, 256, 2, 11
-LABELLED, SHARPNESS = 20_000, 3
+LABELLED, SHARPNESS = 10_000, 3
 MIN_WORDS, MOST_REPEATED = 50, 50  # words; per cent of words in repeated windows
 FALSE_REJECTS = 0.005
 SYMBOLS = "#*$%&|<>"
@@ -114,12 +114,20 @@ def grow(x: np.ndarray, rng: np.random.Generator, depth: int, subspace: int = SU
     return nodes
 
 
+def thinned(rows: DataFrame, most: int, n: int) -> DataFrame:
+    """Rows with h in a range that holds somewhat more than ``most`` of the ``n`` rows: what is ordered after it stays small
+    however many tasks there are."""
+    share = min(1.0, 1.1 * most / max(1, n) + 1e-6)
+    return rows if share >= 1 else rows.where(F.pmod("h", F.lit(1 << 40)) < int(share * (1 << 40)))
+
+
 def train_forest(stats: DataFrame, trees: int = TREES, sample: int = SAMPLE, seed: int = SEED) -> np.ndarray:
     """Trees padded to one array [tree, node, 5]; at most trees x sample rows are read for it, each tree's in a task."""
     order = F.xxhash64(F.lit(seed), "doc_id")
     rows = stats.where(~base_fails(F.col("n_words"), F.col("n_repeat_words"))).select(order.alias("h"), "doc_id", *FEATURES)
-    copies = min(trees, -(-trees * sample // max(1, rows.count())))  # few documents: each serves several trees
-    picked = rows.orderBy("h", "doc_id").limit(trees * sample).withColumn("copy", F.explode(F.sequence(F.lit(1), F.lit(copies))))
+    n = rows.count()
+    copies = min(trees, -(-trees * sample // max(1, n)))  # few documents: each serves several trees
+    picked = thinned(rows, trees * sample, n).orderBy("h", "doc_id").limit(trees * sample).withColumn("copy", F.explode(F.sequence(F.lit(1), F.lit(copies))))
     picked = picked.withColumn("tree", F.pmod(F.xxhash64("h", "copy"), F.lit(trees)).cast("int")).drop("copy")
     depth = int(np.ceil(np.log2(max(2, sample)))) + 2
 
@@ -192,7 +200,9 @@ def marked(stats: DataFrame, labels: DataFrame) -> DataFrame:
 
 def labelled_sample(stats: DataFrame, labels: DataFrame, most: int = LABELLED, seed: int = SEED) -> tuple[np.ndarray, np.ndarray]:
     """FEATURES of good and of bad labelled rows, ``most`` rows at most, chosen by hash."""
-    rows = marked(stats, labels).orderBy(F.xxhash64(F.lit(seed + 1), "doc_id"), "doc_id").limit(most).select("quality", *FEATURES).collect()
+    found = marked(stats, labels).select(F.xxhash64(F.lit(seed + 1), "doc_id").alias("h"), "doc_id", "quality", *FEATURES)
+    rows = sorted(thinned(found, most, found.count()).collect())[:most]  # by hash and doc_id
+    rows = [r[2:] for r in rows]
     x, good = np.array([r[1:] for r in rows], float).reshape(-1, len(FEATURES)), np.array([r[0] > 0 for r in rows], bool)
     return x[good], x[~good]
 
