@@ -220,9 +220,13 @@ def o2_16_post_audits(spark, sf_dir, apart=0.1, strong=0.1):
     share = lambda c: F.coalesce(F.try_divide(F.size(F.filter("parts", lambda s: s["category"] == c)), F.size("parts")), F.lit(0.0))
     body = F.coalesce(P.mean_of(F.col("values")), F.lit(0.0))
     f = rows.select("raw_id", F.abs(F.col("title_score") - body).alias("gap"), P.combined(F.col("title_score"), F.col("values")).alias("final"), share("TRUE_BEARISH").alias("fear"), share("EUPHORIA").alias("eu"))
-    a = f.where(F.round("gap", 9) > apart).select(F.lit("title against body").alias("audit"), "raw_id", r6("gap").alias("size")).orderBy(F.desc("size"), "raw_id").limit(30)
-    b = f.where((F.round(F.abs("final"), 9) < 0.15) & ((F.col("fear") > strong) | (F.col("eu") > strong))).select(F.lit("strong but neutral").alias("audit"), "raw_id", r6(F.col("fear") + F.col("eu")).alias("size")).orderBy(F.desc("size"), "raw_id").limit(20)
-    return a.unionByName(b)
+    audit = lambda name, most, ok, size: F.when(ok, F.struct(F.lit(name).alias("audit"), F.lit(most).alias("most"), r6(size).alias("size")))
+    one = audit("title against body", 30, F.round("gap", 9) > apart, F.col("gap"))
+    two = audit("strong but neutral", 20, (F.round(F.abs("final"), 9) < 0.15) & ((F.col("fear") > strong) | (F.col("eu") > strong)), F.col("fear") + F.col("eu"))
+    both = f.select("raw_id", F.explode(F.array(one, two)).alias("x")).where("x is not null").select("raw_id", "x.*")  # posts are scored once
+    place = F.row_number().over(Window.partitionBy("audit").orderBy(F.desc("size"), "raw_id"))
+    # the window's limit is applied before its shuffle, so a task gets 30 rows of every partition at most
+    return both.withColumn("place", place).where("place <= 30").where("place <= most").select("audit", "raw_id", "size")
 
 
 _PERMALINK = r"(?i)^/r/([^/]+)/comments/([A-Za-z0-9]+)(?:/.*)?$"
