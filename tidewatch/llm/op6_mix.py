@@ -143,25 +143,30 @@ def mix(docs: DataFrame, weight_of=None, most: int = MOST, seed: int = SEED) ->
 def sized(docs: DataFrame) -> DataFrame:
     """doc_id, source, size and members of a documents table, with a number for each row: to be stored before use, since the
     numbers are given out anew whenever the rows are computed."""
-    return _measured(docs, "doc_id", "source", "text", F.monotonically_increasing_id())
+    words = F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(WORD)), F.lit(0)).cast("long")
+    one = docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), words.alias("size"), F.monotonically_increasing_id().alias("row"), content_key())
+    return one.withColumn("members", F.array("source"))
 
 
-def _measured(rows: DataFrame, doc_id: str, source: str, text: str, number: Column) -> DataFrame:
-    words = F.coalesce(F.regexp_count(F.col(text).cast("string"), F.lit(WORD)), F.lit(0)).cast("long")
-    one = rows.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(source).cast("string").alias("source"), words.alias("size"), number.alias("row"))
-    return one.withColumn("members", F.array("source"))
+def content_key() -> Column:
+    """Digest of what the mix knows of a row: rows with the same one may stand for each other."""
+    return F.sha2(F.to_json(F.struct("doc_id", "source", "text")), 256).alias("_use_key")
 
 
 def mix_documents(docs: DataFrame, folder: str) -> DataFrame:
-    """docs as the mix takes them, all columns: a document used twice is two rows, one not used is none. The rows are stored
-    once with their numbers, so that sizes and documents belong together whatever ``docs`` is computed from."""
+    """docs as the mix takes them, all columns: a document used twice is two rows, one not used is none. Uses are brought back
+    by content, not by row numbers, which another computation of ``docs`` could give to other rows; the uses of equal rows
+    are shared out among them."""
+    rows = stored(sized(docs), folder)
+    uses, _ = mix(rows)
+    used = uses.groupBy("_use_key").agg(F.count("*").alias("_use_total"))
+    times = rows.groupBy("_use_key").agg(F.count("*").alias("_use_rows")).join(used, "_use_key")
     whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_use_doc")
-    numbered = stored(docs.select(whole, F.monotonically_increasing_id().alias("_use_row")), f"{folder}/rows")
-    small = _measured(numbered, "_use_doc.doc_id", "_use_doc.source", "_use_doc.text", F.col("_use_row"))
-    uses, _ = mix(stored(small, f"{folder}/sizes"))
-    times = uses.groupBy(F.col("row").alias("_use_row")).agg(F.count("*").cast("int").alias("_use_times"))
-    taken = numbered.join(times, "_use_row").select("_use_doc", F.explode(F.sequence(F.lit(1), "_use_times")))
-    return taken.select("_use_doc.*")
+    joined = docs.select(whole, content_key()).join(times, "_use_key")
+    place = F.row_number().over(Window.partitionBy("_use_key").orderBy(F.xxhash64("_use_doc"))) - 1
+    share = F.floor(F.col("_use_total") / F.col("_use_rows")) + (F.col("_use_place") < F.col("_use_total") % F.col("_use_rows")).cast("int")
+    dealt = joined.withColumn("_use_place", place).withColumn("_use_times", share.cast("int")).where("_use_times > 0")
+    return dealt.select("_use_doc", F.explode(F.sequence(F.lit(1), "_use_times"))).select("_use_doc.*")
 
 
 def op6_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
