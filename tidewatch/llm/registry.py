@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import op1_media, op2_records, op3_chat, op4_repeats, op5_ppm, op6_mix, op7_pii, op8_quality, op9_pack, op10_near
+from . import op1_media, op2_records, op3_chat, op4_repeats, op5_ppm, op6_mix, op7_pii, op8_quality, op9_pack, op10_near, op11_fim, op12_families
 
 QUERIES = {
     "op1_media": op1_media.op1_media,
@@ -15,5 +15,7 @@ QUERIES = {
     "op8_quality": op8_quality.op8_quality,
     "op9_pack": op9_pack.op9_pack,
     "op10_near": op10_near.op10_near,
+    "op11_fim": op11_fim.op11_fim,
+    "op12_families": op12_families.op12_families,
 }
-ORACLE_SQL = {"op3_chat": op3_chat.ORACLE_SQL}
+ORACLE_SQL = {"op3_chat": op3_chat.ORACLE_SQL, "op11_fim": op11_fim.ORACLE_SQL, "op12_families": op12_families.ORACLE_SQL}
