@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import op1_media, op2_records, op3_chat, op4_repeats, op5_ppm, op6_mix, op7_pii, op8_quality, op9_pack, op10_near, op11_fim, op12_families
+from . import op1_media, op2_records, op3_chat, op4_repeats, op5_ppm, op6_mix, op7_pii, op8_quality, op9_pack, op10_near, op11_fim, op12_families, op13_language
 
 QUERIES = {
     "op1_media": op1_media.op1_media,
@@ -17,5 +17,6 @@ QUERIES = {
     "op10_near": op10_near.op10_near,
     "op11_fim": op11_fim.op11_fim,
     "op12_families": op12_families.op12_families,
+    "op13_language": op13_language.op13_language,
 }
 ORACLE_SQL = {"op3_chat": op3_chat.ORACLE_SQL, "op11_fim": op11_fim.ORACLE_SQL, "op12_families": op12_families.ORACLE_SQL}
