@@ -208,3 +208,35 @@ def test_residual_bins_are_packed_again(spark, folder):
         loads[r["sequence_id"]] = loads.get(r["sequence_id"], 0) + r["length"]
     first = spark.read.parquet(f"{folder}/first-places").select("sequence_id").distinct().count()
     assert len(out) == 600 and max(loads.values()) <= 2048 and op9_pack.lower_bound(sizes, 2048) <= len(loads) <= first
+
+
+def test_every_letter_before_every_closing_sign():
+    """Ids of words that end in any letter before any closing sign are the library's: some letters turn into a letter and a mark."""
+    import sys
+
+    from tidewatch.llm import wordcache
+
+    letters = [c for c in map(chr, range(sys.maxunicode + 1)) if c.isalpha() and not 0x4E00 < ord(c) < 0x9FFF and not 0xAC00 < ord(c) < 0xD7A3 and ord(c) < 0x20000]
+    encode = library("word_bpe_49k.json")
+    enc = wordcache.ChunkEncoder(public_tokenizers.path("word_bpe_49k.json"))
+    for sign in wordcache._TAIL:
+        words = [f"a{c}{sign}" for c in letters] + [f"{c}{sign}{sign}." for c in letters[::7]]
+        joined = [" ".join(words[k : k + 500]) for k in range(0, len(words), 500)]
+        for text, ids in zip(joined, enc.encode(joined), strict=True):
+            assert ids.tolist() == encode(text)
+    for text in ("SEVGİ, BARIŞ.", "TAKSİ, GELDİ!", "İ."):
+        assert enc.encode([text])[0].tolist() == encode(text)
+
+
+def test_random_texts_have_the_library_s_ids():
+    import random
+
+    from tidewatch.llm import wordcache
+
+    rng = random.Random(5)
+    signs = [*"abcXYZ .,;:!?'\n\t0129éİıßñड़Ω-_", "्", "̈", "İ", "가", "😀", "ﬁ", "ͅ", "ǅ", "ড়"]
+    for name in ("word_bpe_49k.json", "byte_bpe_50k.json"):
+        encode, enc = library(name), wordcache.ChunkEncoder(public_tokenizers.path(name))
+        texts = ["".join(rng.choices(signs, k=rng.randrange(40))) for _ in range(10_000)]
+        for text, ids in zip(texts, enc.encode(texts), strict=True):
+            assert ids.tolist() == encode(text), text

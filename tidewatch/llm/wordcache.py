@@ -18,7 +18,7 @@ import numpy as np
 #: Entries kept between batches in one Python worker; later words are encoded batch by batch.
 CACHE_WORDS = 600_000
 _MARK = "\x01"
-#: Signs that, after a word of letters, form a pre-token of their own.
+#: Signs that can form a pre-token of their own after a word of letters.
 _TAIL = ".,;:!?|&$%#*"
 _DECODERS: dict[str, ByteDecoder] = {}
 _LOADED: dict[tuple[str, bool], ChunkEncoder] = {}
@@ -39,6 +39,7 @@ class ChunkEncoder:
         self.dtype = np.dtype("<u2" if self.type == "H" else "<u4")
         self.spaced = self._ids(" a") != self._ids("a")  # does a leading space change ids?
         self.tails: dict[str, bytes] = {}
+        self.closing: dict[str, bool] = {}
         self.cache: dict[str, bytes | None] = {"": None, " ": None}
         if self.spaced:
             self.cache["\n"] = self._bytes(self._ids("\n"))
@@ -49,6 +50,14 @@ class ChunkEncoder:
     def _bytes(self, ids: list[int]) -> bytes:
         return array(self.type, ids).tobytes()
 
+    def _closes(self, sign: str) -> bool:
+        """Whether a word that ends with this sign ends before a closing one, by the library: its normalizer can end a letter with a
+        mark, which joins what follows."""
+        if sign not in self.closing:
+            got, alone = self.lib.encode(sign + ".", add_special_tokens=False), self._ids(".")
+            self.closing[sign] = got.ids[-len(alone) :] == alone and got.word_ids.count(got.word_ids[-1]) == len(alone) < len(got.ids)
+        return self.closing[sign]
+
     def _chunks(self, text: str) -> list[str]:
         if _MARK in text or self.special.search(text):
             return [""]
@@ -57,7 +66,7 @@ class ChunkEncoder:
         return text.replace("\n", " ").split(" ")
 
     def _learn(self, chunks: set[str]) -> None:
-        """Add ids of new chunks: words in joined calls, closing punctuation apart (it never merges)."""
+        """Add ids of new chunks: words in joined calls, closing punctuation apart where the library parts it."""
         lead = 1 if self.spaced else 0
         tails: list[tuple[str, str, str]] = []
         words: dict[str, None] = {}
@@ -65,7 +74,7 @@ class ChunkEncoder:
         for c in chunks:
             w = c.rstrip(_TAIL)
             body = w[1:] if lead and w[:1] == " " else "" if lead else w
-            if body.isalpha():
+            if body.isalpha() and (len(w) == len(c) or self._closes(w[-1])):
                 words[w] = None
                 if len(w) < len(c):
                     tails.append((c, w, c[len(w) :]))
