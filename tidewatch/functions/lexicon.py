@@ -18,7 +18,7 @@ WEIGHTS = [
     ("frustrating", -2.0), ("frustrated", -2.0), ("annoying", -1.5), ("annoyed", -1.5), ("useless", -2.5), ("waste", -2.0), ("unable", -1.5), ("cannot", -1.0), ("can't", -1.0), ("won't", -1.0),
     ("doesn't work", -2.0), ("not working", -2.0), ("warning", -0.5), ("beware", -1.5), ("careful", -0.5), ("caution", -0.5), ("risk", -1.0), ("risky", -1.5), ("dangerous", -2.0), ("avoid", -1.5), ("stay away", -2.0),
     ("fud", -1.5), ("fomo", 1.0), ("whale", 0.5), ("dip", -0.5), ("buying the dip", 1.5), ("btfd", 1.5), ("correction", -1.0), ("consolidation", 0.0), ("crab", 0.0), ("crabbing", 0.0), ("altseason", 2.0), ("alt season", 2.0),
-    ("proposal", 0.0), ("approve", 0.0), ("approval", 0.0), ("liquidity", 0.0), ("governance", 0.0), ("vote", 0.0), ("voting", 0.0), ("delegate", 0.0), ("fund", 0.0), ("funding", 0.0),
+    ("proposal", 0.0), ("approve", 0.0), ("approval", 0.0), ("allocate", 0.0), ("allocation", 0.0), ("treasury", 0.0), ("liquidity", 0.0), ("governance", 0.0), ("vote", 0.0), ("voting", 0.0), ("delegate", 0.0), ("fund", 0.0), ("funding", 0.0),
 ]
 
 #: Pattern and what it adds to the score, times 0.3 in sum.
@@ -58,3 +58,11 @@ BOTS = [
     "AutoModerator", "RemindMeBot", "sneakpeekbot", "WikiSummarizerBot", "RepostSleuthBot", "ImagesOfNetwork", "TweetPoster", "bot", "donut-bot", "coinfeeds-bot", "Bitty_Bot", "ModToolBot", "MoonsModBot", "moons_bot", "lntipbot",
     "Banano_Tipbot", "changetip", "TipBotLite", "pepetipbot", "dca-bot", "WikiTextBot", "haikusbot", "Shakespeare-Bot", "alphabet_order_bot", "wikipedia_answer_bot", "GoodBot_BadBot", "totes_meta_bot", "timee_bot", "the_timezone_bot",
 ]
+
+#: English function words, as Spark's own stop-word remover lists them (those of two letters or more, without apostrophes).
+STOP_WORDS = (
+    "me my myself we our ours ourselves you your yours yourself yourselves he him his himself she her hers herself it its itself they them their theirs themselves what which who whom this that these those "
+    "am is are was were be been being have has had having do does did doing an the and but if or because as until while of at by for with about against between into through during before after above below "
+    "to from up down in out on off over under again further then once here there when where why how all any both each few more most other some such no nor not only own same so than too very can will just don "
+    "should now cannot could ought would"
+).split()

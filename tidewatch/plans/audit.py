@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..operators.timeops import correlation, ratio
 from ..sources.tables import COINS_SQL, DAY, HOUR, PRICES_SQL, SCORES_SQL, bucket, coin_prices, newest, prices, read, scores
-from .dashboard import _WEIGHTS_SQL, r6, weights
+from .dashboard import r6
+from .weights import WEIGHTS_SQL, weights
 from .learning import _HOURS_SQL, source_hours
 
 QUERIES: dict = {}
@@ -109,14 +110,14 @@ def o4_20_credibility(spark, sf_dir):
     return u.groupBy("source").agg(r6(ratio(F.sum(F.col("m") * w), F.sum(w))).alias("score"), F.count("*").alias("users"), F.count_if(F.col("m") > 0.1).alias("bullish"), F.count_if(F.col("m") < -0.1).alias("bearish"))
 
 
-@query(f"""WITH {SCORES_SQL}, {_WEIGHTS_SQL}, h AS (SELECT ts // 3600 * 3600 AS hour, source, avg(final_score) AS m FROM scores GROUP BY 1, 2),
+@query(f"""WITH {SCORES_SQL}, {WEIGHTS_SQL}, h AS (SELECT ts // 3600 * 3600 AS hour, source, avg(final_score) AS m FROM scores GROUP BY 1, 2),
 g AS (SELECT hour, sum(CASE WHEN coalesce(contrarian, false) THEN -m ELSE m END * coalesce(weight, 0.01)) / sum(coalesce(weight, 0.01)) AS s, count(*) AS n, count(*) FILTER (contrarian) AS inverted, coalesce(stddev_pop(m), 0) AS d FROM h LEFT JOIN weights USING (source) GROUP BY 1)
 SELECT hour, n, inverted, round(s + 1e-9, 6) AS composite, round(CASE WHEN n = 1 THEN 0.5 ELSE 1 - least(d, 1.0) END + 1e-9, 6) AS agreement, round(least(1.0, n / 5 * 0.5 + 0.5 * CASE WHEN n = 1 THEN 0.5 ELSE 1 - least(d, 1.0) END) + 1e-9, 6) AS confidence FROM g""")
 def o4_25_composite(spark, sf_dir):
     """Weighted composite of source means each hour, contrarian sources inverted, with agreement of the means as they are and
     confidence (O4.25)."""
     w, sign = F.coalesce("weight", F.lit(0.01)), F.when(F.coalesce("contrarian", F.lit(False)), -1.0).otherwise(1.0)
-    m = scores(spark, sf_dir).groupBy(bucket("ts", HOUR).alias("hour"), "source").agg(F.avg("final_score").alias("m")).join(F.broadcast(weights(spark)), "source", "left")  # one row a source
+    m = scores(spark, sf_dir).groupBy(bucket("ts", HOUR).alias("hour"), "source").agg(F.avg("final_score").alias("m")).join(weights(spark, sf_dir), "source", "left")
     g = m.groupBy("hour").agg(ratio(F.sum(sign * F.col("m") * w), F.sum(w)).alias("s"), F.count("*").alias("n"), F.count_if(F.coalesce("contrarian", F.lit(False))).alias("inverted"), F.stddev_pop("m").alias("d"))
     agree = F.when(F.col("n") == 1, 0.5).otherwise(1 - F.least(F.col("d"), F.lit(1.0)))
     return g.select("hour", "n", "inverted", r6(F.col("s")).alias("composite"), r6(agree).alias("agreement"), r6(F.least(F.lit(1.0), F.col("n") / 5 * 0.5 + 0.5 * agree)).alias("confidence"))

@@ -7,19 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators.timeops import asof, ratio
 from ..sources.tables import COINS_SQL, DAY, HOUR, PRICES_SQL, SCORES_SQL, bucket, coin_prices, newest, prices, read, scores, since
-
-#: Reliability intervals standing in for learned ones: (source, low, high, effective_n, contrarian).
-WEIGHT_INPUTS = [("click", 0.55, 0.65, 200, False), ("purchase", 0.35, 0.45, 150, True), ("view", 0.48, 0.53, 400, False)]
-_WEIGHTS_SQL = """weights AS (SELECT source, contrarian, 0.01 + 0.29 * 2 * greatest(0.0, (CASE WHEN contrarian THEN 1 - high ELSE low END) - 0.5) * least(1.0, n / 200.0) AS weight
-    FROM (VALUES ('click', 0.55, 0.65, 200, false), ('purchase', 0.35, 0.45, 150, true), ('view', 0.48, 0.53, 400, false)) v(source, low, high, n, contrarian))"""
-
-
-def weights(spark: SparkSession) -> DataFrame:
-    """source, contrarian, weight: the interval's distance from one half, scaled by evidence (O9.5)."""
-    rows = spark.createDataFrame(WEIGHT_INPUTS, "source string, low double, high double, n int, contrarian boolean")
-    distance = F.greatest(F.lit(0.0), F.when(F.col("contrarian"), 1 - F.col("high")).otherwise(F.col("low")) - 0.5)
-    return rows.select("source", "contrarian", (0.01 + 0.29 * 2 * distance * F.least(F.lit(1.0), F.col("n") / 200)).alias("weight"))
-
+from .weights import WEIGHTS_SQL, weights
 
 def r6(c):
     c = F.col(c) if isinstance(c, str) else c
@@ -35,7 +23,7 @@ def source_averages(rows: DataFrame, *by: str) -> DataFrame:
 def weighted(averages: DataFrame, weight_rows: DataFrame, *by: str) -> DataFrame:
     w = F.coalesce("weight", F.lit(0.01))
     sign = F.when(F.coalesce("contrarian", F.lit(False)), -1.0).otherwise(1.0)
-    return averages.join(F.broadcast(weight_rows), "source", "left").groupBy(*by).agg(  # one row a source: at most a few thousand
+    return averages.join(weight_rows, "source", "left").groupBy(*by).agg(
         r6(ratio(F.sum(sign * F.col("a") * w * F.col("n")), F.sum(w * F.col("n")))).alias("score"),
         r6(F.avg("fp")).alias("fear_pct"),
         r6(F.avg(F.col("fp") * F.coalesce("fi", F.lit(0.5)))).alias("fear_weighted"),
@@ -48,13 +36,13 @@ def weighted(averages: DataFrame, weight_rows: DataFrame, *by: str) -> DataFrame
 
 def o4_1_weighted_sentiment(spark, sf_dir):
     rows = scores(spark, sf_dir)
-    return weighted(source_averages(since(rows, newest(rows) - 168 * HOUR)), weights(spark))
+    return weighted(source_averages(since(rows, newest(rows) - 168 * HOUR)), weights(spark, sf_dir))
 
 
 _AVG_SQL = """averages AS (SELECT source, avg(final_score) AS a, count(*) AS n, avg(CASE WHEN fear_index > 0 THEN 1.0 ELSE 0.0 END) AS fp, avg(fear_index) FILTER (fear_index > 0) AS fi,
     avg(CASE WHEN euphoria_index > 0 THEN 1.0 ELSE 0.0 END) AS ep, avg(euphoria_index) FILTER (euphoria_index > 0) AS ei, avg(activity_level) AS act
     FROM scores WHERE ts >= (SELECT max(ts) FROM scores) - 604800 GROUP BY source)"""
-S4_1 = f"""WITH {SCORES_SQL}, {_AVG_SQL}, {_WEIGHTS_SQL}
+S4_1 = f"""WITH {SCORES_SQL}, {_AVG_SQL}, {WEIGHTS_SQL}
 SELECT round(sum((CASE WHEN coalesce(contrarian, false) THEN -1 ELSE 1 END) * a * coalesce(weight, 0.01) * n) / nullif(sum(coalesce(weight, 0.01) * n), 0) + 1e-9, 6) AS score,
     round(avg(fp) + 1e-9, 6) AS fear_pct, round(avg(fp * coalesce(fi, 0.5)) + 1e-9, 6) AS fear_weighted, round(avg(ep) + 1e-9, 6) AS euphoria_pct, round(avg(ep * coalesce(ei, 0.5)) + 1e-9, 6) AS euphoria_weighted,
     round(avg(act) + 1e-9, 6) AS activity, sum(n)::BIGINT AS total_posts FROM averages LEFT JOIN weights USING (source)"""

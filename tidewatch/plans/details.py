@@ -9,7 +9,8 @@ from ..functions.html import page_parts
 from ..operators.timeops import correlation, ratio
 from ..sources.tables import COINS_SQL, DAY, HOUR, PRICES_SQL, SCORES_SQL, bucket, coin_prices, newest, prices, read, scores, since
 from .causal import hour_prices, hour_scores
-from .dashboard import _WEIGHTS_SQL, r6, source_averages, weighted, weights
+from .dashboard import r6, source_averages, weighted
+from .weights import WEIGHTS_SQL, weights
 from .learning import _FEATURES, _HOURS_SQL, _SIGNAL_SQL, S3_24, hourly_market, signals, source_features, source_hours
 from .decisions import _residuals_sql, residuals
 from .postings import _POSTS_SQL, MIN_COMMENTS, post_texts, raw_posts, scored_posts
@@ -30,7 +31,7 @@ def query(sql: str | None = None):
     return add
 
 
-@query(f"""WITH {SCORES_SQL}, {_WEIGHTS_SQL}, x AS (SELECT h AS hours, s.* FROM scores s, (VALUES (4), (24), (168)) v(h) WHERE ts >= (SELECT max(ts) FROM scores) - h * 3600),
+@query(f"""WITH {SCORES_SQL}, {WEIGHTS_SQL}, x AS (SELECT h AS hours, s.* FROM scores s, (VALUES (4), (24), (168)) v(h) WHERE ts >= (SELECT max(ts) FROM scores) - h * 3600),
 a AS (SELECT hours, source, avg(final_score) AS a, count(*) AS n, avg(CASE WHEN fear_index > 0 THEN 1.0 ELSE 0.0 END) AS fp, avg(euphoria_index) FILTER (euphoria_index > 0) AS ei, avg(CASE WHEN euphoria_index > 0 THEN 1.0 ELSE 0.0 END) AS ep, avg(fear_index) FILTER (fear_index > 0) AS fi, avg(activity_level) AS act FROM x GROUP BY 1, 2)
 SELECT hours, round(sum((CASE WHEN coalesce(contrarian, false) THEN -1 ELSE 1 END) * a * coalesce(weight, 0.01) * n) / nullif(sum(coalesce(weight, 0.01) * n), 0) + 1e-9, 6) AS score, round(avg(fp) + 1e-9, 6) AS fear_pct, round(avg(fp * coalesce(fi, 0.5)) + 1e-9, 6) AS fear_weighted,
     round(avg(ep) + 1e-9, 6) AS euphoria_pct, round(avg(ep * coalesce(ei, 0.5)) + 1e-9, 6) AS euphoria_weighted, round(avg(act) + 1e-9, 6) AS activity, sum(n)::BIGINT AS total_posts FROM a LEFT JOIN weights USING (source) GROUP BY 1 ORDER BY hours LIMIT 1""")
@@ -40,7 +41,7 @@ def o4_2_whole_fallback(spark, sf_dir):
     now = newest(rows)
     age = F.lit(now) - F.col("ts")
     spread = since(rows, now - 168 * HOUR).withColumn("hours", F.explode(F.filter(F.array(F.lit(4), F.lit(24), F.lit(168)), lambda h: age <= h * HOUR)))
-    return weighted(source_averages(spread, "hours"), weights(spark), "hours").orderBy("hours").limit(1)
+    return weighted(source_averages(spread, "hours"), weights(spark, sf_dir), "hours").orderBy("hours").limit(1)
 
 
 @query(f"""WITH {PRICES_SQL}, h AS (SELECT ts // 3600 * 3600 AS hour, avg(price) AS p FROM prices GROUP BY 1)
@@ -262,7 +263,7 @@ def o10_7_uncached(spark, sf_dir):
     return rows.join(cached, "vec_id", "left_anti")
 
 
-@query(f"""WITH {SCORES_SQL}, {PRICES_SQL}, {_WEIGHTS_SQL}, b AS (SELECT source, ts // 3600 * 3600 AS h0, sum(final_score) AS t, count(*) AS n FROM scores GROUP BY 1, 2), e AS (SELECT h0 + k * 3600 AS hour, source, sum(t) / sum(n) AS m FROM b, (VALUES (0), (1), (2), (3)) v(k) GROUP BY 1, 2),
+@query(f"""WITH {SCORES_SQL}, {PRICES_SQL}, {WEIGHTS_SQL}, b AS (SELECT source, ts // 3600 * 3600 AS h0, sum(final_score) AS t, count(*) AS n FROM scores GROUP BY 1, 2), e AS (SELECT h0 + k * 3600 AS hour, source, sum(t) / sum(n) AS m FROM b, (VALUES (0), (1), (2), (3)) v(k) GROUP BY 1, 2),
 g AS (SELECT hour, sum(CASE WHEN coalesce(contrarian, false) THEN -m ELSE m END * coalesce(weight, 0.01)) / sum(coalesce(weight, 0.01)) AS c, count(*) AS n, count(*) FILTER (source <> 'view') AS social, coalesce(stddev_pop(m), 0) AS d, coalesce(max(m) FILTER (source = 'view'), 0.0) AS fg FROM e LEFT JOIN weights USING (source) GROUP BY 1),
 hp AS (SELECT ts // 3600 * 3600 AS h0, avg(price) AS p FROM prices GROUP BY 1), mo AS (SELECT h0 + k * 3600 AS hour, 100 * (arg_max(p, h0) - arg_min(p, h0)) / arg_min(p, h0) AS ch FROM hp, (VALUES (0), (1), (2), (3)) v(k) GROUP BY 1),
 s AS (SELECT hour, social, round(c, 9) AS c, least(1.0::DOUBLE, n / 5 * 0.5 + 0.5 * CASE WHEN n = 1 THEN 0.5 ELSE 1 - least(d, 1.0) END) AS conf, CASE WHEN round(fg, 9) < -0.4 THEN 0.1::DOUBLE WHEN round(fg, 9) > 0.4 THEN -0.1::DOUBLE ELSE 0.0::DOUBLE END AS boost, CASE WHEN round(coalesce(ch, 0), 9) > 0.5 THEN 1 WHEN round(coalesce(ch, 0), 9) < -0.5 THEN -1 ELSE 0 END AS move FROM g LEFT JOIN mo USING (hour)),
@@ -273,7 +274,7 @@ def o11_9_predictions(spark, sf_dir):
     how the price moved, confidence by agreement (O4.25, O6.9, O11.9)."""
     b = scores(spark, sf_dir).groupBy("source", bucket("ts", HOUR).alias("h0")).agg(F.sum("final_score").alias("t"), F.count("*").alias("n"))
     ahead = lambda rows: rows.withColumn("hour", F.explode(F.sequence(F.col("h0"), F.col("h0") + 3 * HOUR, F.lit(HOUR).cast("long"))))
-    e = ahead(b).groupBy("hour", "source").agg((F.sum("t") / F.sum("n")).alias("m")).join(F.broadcast(weights(spark)), "source", "left")  # one row a source
+    e = ahead(b).groupBy("hour", "source").agg((F.sum("t") / F.sum("n")).alias("m")).join(weights(spark, sf_dir), "source", "left")
     w, sign = F.coalesce("weight", F.lit(0.01)), F.when(F.coalesce("contrarian", F.lit(False)), -1.0).otherwise(1.0)
     g = e.groupBy("hour").agg(F.round(ratio(F.sum(sign * F.col("m") * w), F.sum(w)), 9).alias("c"), F.count("*").alias("n"), F.count_if(F.col("source") != "view").alias("social"), F.stddev_pop("m").alias("d"), F.coalesce(F.max(F.when(F.col("source") == "view", F.col("m"))), F.lit(0.0)).alias("fg"))
     p = ahead(hour_prices(spark, sf_dir).withColumnRenamed("hour", "h0")).groupBy("hour").agg(F.min_by("p", "h0").alias("a"), F.max_by("p", "h0").alias("z"))

@@ -10,35 +10,14 @@ from pyspark.sql import functions as F
 from ..functions import special, text
 from ..operators.timeops import correlation, fold_cooldown, ratio, within
 from ..sources.tables import DAY, HOUR, PRICES_SQL, SCORES_SQL, bucket, prices, read, scores
-from .dashboard import _WEIGHTS_SQL, r6, weights
-
-MIN_SAMPLES, DEADBAND, LAG = 20, 0.05, 4 * HOUR
-
-
-def source_hours(spark, sf_dir):
-    """source, hour, x (mean score), r (return of the hourly price over the next four hours)."""
-    x = scores(spark, sf_dir).groupBy("source", bucket("ts", HOUR).alias("hour")).agg(F.avg("final_score").alias("x"))
-    p = prices(spark, sf_dir).groupBy(bucket("ts", HOUR).alias("hour")).agg(F.avg("price").alias("p0"))
-    later = p.select((F.col("hour") - LAG).alias("hour"), F.col("p0").alias("p1"))
-    returns = p.join(later, "hour").select("hour", F.try_divide(F.col("p1") - F.col("p0"), F.col("p0")).alias("r"))
-    return x.join(returns, "hour")
-
-
-def accuracy(rows):
-    """Correct, incorrect, abstained and correlation by source; at least MIN_SAMPLES judged hours."""
-    spoke, right = F.abs("x") >= DEADBAND, (F.signum("x") == F.signum("r")) & (F.col("r") != 0)
-    sums = rows.groupBy("source").agg(F.count("*").alias("total"), F.count_if(spoke & right).alias("correct"), F.count_if(spoke & ~right).alias("incorrect"), correlation("x", "r").alias("corr"))
-    return sums.withColumn("effective_n", F.col("correct") + F.col("incorrect")).where(F.col("effective_n") >= MIN_SAMPLES)
-
+from .dashboard import r6
+from .weights import _HOURS_SQL, DEADBAND, LAG, MIN_SAMPLES, WEIGHTS_SQL, accuracy, learned, source_hours, weights
 
 def o4_14_source_accuracy(spark, sf_dir):
     a = accuracy(source_hours(spark, sf_dir))
     return a.select("source", "total", "correct", "incorrect", "effective_n", r6(ratio(F.col("correct"), F.col("effective_n"))).alias("accuracy"), r6(ratio(F.col("effective_n"), F.col("total"))).alias("coverage"), F.round("corr", 5).alias("correlation"))
 
 
-_HOURS_SQL = f"""{SCORES_SQL}, {PRICES_SQL}, x AS (SELECT source, ts // 3600 * 3600 AS hour, avg(final_score) AS x FROM scores GROUP BY ALL), p AS (SELECT ts // 3600 * 3600 AS hour, avg(price) AS p FROM prices GROUP BY 1),
-sh AS (SELECT x.source, x.hour, x.x, (b.p - a.p) / a.p AS r FROM x JOIN p a ON a.hour = x.hour JOIN p b ON b.hour = x.hour + 14400),
-acc AS (SELECT source, count(*) AS total, count(*) FILTER (abs(x) >= 0.05 AND sign(x) = sign(r) AND r <> 0) AS correct, count(*) FILTER (abs(x) >= 0.05 AND NOT (sign(x) = sign(r) AND r <> 0)) AS incorrect, corr(x, r) AS corr FROM sh GROUP BY 1)"""
 S4_14 = f"""WITH {_HOURS_SQL} SELECT source, total, correct, incorrect, correct + incorrect AS effective_n, round(correct / (correct + incorrect) + 1e-9, 6) AS accuracy, round((correct + incorrect) / total + 1e-9, 6) AS coverage, round(coalesce(corr, 0.0), 5) AS correlation FROM acc WHERE correct + incorrect >= 20"""
 
 
@@ -55,14 +34,12 @@ SELECT source, alpha, beta, round(alpha / (alpha + beta) + 1e-9, 6) AS mean, rou
 
 
 def o9_5_source_weights(spark, sf_dir):
-    """Credible intervals, type labels and weights (O9.2, O9.3, O9.5); Beta quantiles have no SQL twin."""
-    a = accuracy(source_hours(spark, sf_dir)).withColumns({"alpha": F.col("correct") + 1.0, "beta": F.col("incorrect") + 1.0})
-    ends = a.withColumns({"low": special.beta_interval_end(F.lit(0.025), "alpha", "beta"), "high": special.beta_interval_end(F.lit(0.975), "alpha", "beta")})
-    label = F.when(F.col("effective_n") < 100, "insufficient_data").when(F.col("high") < 0.5, "contrarian").when(F.col("low") > 0.5, "momentum").otherwise("neutral")
-    rows = ends.withColumn("label", label)
-    distance = F.greatest(F.lit(0.0), F.when(F.col("label") == "contrarian", 1 - F.col("high")).otherwise(F.col("low")) - 0.5)
-    w = F.when(F.col("label") == "insufficient_data", 0.01).otherwise(0.01 + 0.58 * distance * F.least(F.lit(1.0), F.col("effective_n") / 200))
-    return rows.select("source", "label", r6("low").alias("low"), r6("high").alias("high"), r6(w).alias("weight"), r6(w / F.sum(w).over(Window.partitionBy())).alias("normalised"))
+    """Credible intervals, type labels and weights (O9.2, O9.3, O9.5)."""
+    rows = learned(spark, sf_dir)
+    return rows.select("source", "label", r6("low").alias("low"), r6("high").alias("high"), r6("weight").alias("weight"), r6(F.col("weight") / F.sum("weight").over(Window.partitionBy())).alias("normalised"))
+
+
+S9_5 = f"WITH {WEIGHTS_SQL} SELECT source, label, round(low + 1e-9, 6) AS low, round(high + 1e-9, 6) AS high, round(weight + 1e-9, 6) AS weight, round(weight / sum(weight) OVER () + 1e-9, 6) AS normalised FROM weights"
 
 
 def o4_19_user_profiles(spark, sf_dir):
@@ -112,7 +89,7 @@ def hourly_market(spark, sf_dir):
     that are present, O4.13), price (last known), with z-score and price changes."""
     sign = F.when(F.coalesce("contrarian", F.lit(False)), -1.0).otherwise(1.0)
     w_of, v = F.coalesce("weight", F.lit(0.01)), F.col("final_score") * sign
-    rows = scores(spark, sf_dir).join(F.broadcast(weights(spark)), "source", "left")  # one row a source
+    rows = scores(spark, sf_dir).join(weights(spark, sf_dir), "source", "left")
     s = rows.groupBy(bucket("ts", HOUR).alias("hour")).agg(F.coalesce(F.try_divide(F.sum(v * w_of), F.sum(w_of)), F.avg(v)).alias("s"), F.sum("fear_index").alias("fs"), F.sum("euphoria_index").alias("es"), F.count("*").alias("m"))
     p = prices(spark, sf_dir).groupBy(bucket("ts", HOUR).alias("hour")).agg(F.avg("price").alias("price"))
     market = s.join(p, "hour", "left").withColumn("coin", F.lit("BTC"))
@@ -127,7 +104,7 @@ def hourly_market(spark, sf_dir):
     return market.select("hour", "s", mean("fs").alias("f"), mean("es").alias("e"), now.alias("price"), ((F.col("s") - mu) / sd).alias("z"), change(DAY).alias("d24"), change(7 * DAY).alias("d7"))
 
 
-_MARKET_SQL = f"""{SCORES_SQL}, {PRICES_SQL}, {_WEIGHTS_SQL}, v AS (SELECT ts // 3600 * 3600 AS hour, final_score * CASE WHEN coalesce(contrarian, false) THEN -1.0 ELSE 1.0 END AS v, coalesce(weight, 0.01) AS w, fear_index, euphoria_index FROM scores LEFT JOIN weights USING (source)),
+_MARKET_SQL = f"""{SCORES_SQL}, {PRICES_SQL}, {WEIGHTS_SQL}, v AS (SELECT ts // 3600 * 3600 AS hour, final_score * CASE WHEN coalesce(contrarian, false) THEN -1.0 ELSE 1.0 END AS v, coalesce(weight, 0.01) AS w, fear_index, euphoria_index FROM scores LEFT JOIN weights USING (source)),
 s AS (SELECT hour, coalesce(sum(v * w) / nullif(sum(w), 0), avg(v)) AS s, sum(fear_index) AS fs, sum(euphoria_index) AS es, count(*) AS m FROM v GROUP BY 1), p AS (SELECT ts // 3600 * 3600 AS hour, avg(price) AS price FROM prices GROUP BY 1),
 j AS (SELECT s.*, price AS p0 FROM s LEFT JOIN p USING (hour)),
 k AS (SELECT hour, s, sum(fs) OVER q / sum(m) OVER q AS f, sum(es) OVER q / sum(m) OVER q AS e, count(s) OVER m AS n, avg(s) OVER m AS mu, stddev_samp(s) OVER m AS sd, last_value(p0 IGNORE NULLS) OVER (ORDER BY hour RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS price,
@@ -352,4 +329,4 @@ m AS (SELECT label, i, avg(v[i]) AS x FROM u, (SELECT unnest(range(1, 65)) AS i)
 s AS (SELECT vec_id, class, list_dot_product(v, c) AS cosine FROM u, k) SELECT vec_id, arg_max(class, (round(cosine, 9), -class)) AS class, round(max(cosine), 5) AS cosine FROM s GROUP BY 1"""
 
 QUERIES = {f.__name__: f for f in (o4_14_source_accuracy, o9_1_beliefs, o9_5_source_weights, o4_19_user_profiles, o4_22_source_features, o3_24_similarity, o6_5_zscores, o11_3_signals, o11_4_cooldown, o4_40_backtest, o6_17_lead_lag, o6_16_drawdown, o8_3_granger, o5_3_segments, o5_16_dedup, o5_11_links, o5_11_page_links, o10_2_centroids)}
-ORACLE_SQL = {"o4_14_source_accuracy": S4_14, "o9_1_beliefs": S9_1, "o4_19_user_profiles": S4_19, "o4_22_source_features": S4_22, "o3_24_similarity": S3_24, "o6_5_zscores": S6_5, "o11_3_signals": S11_3, "o11_4_cooldown": S11_4, "o4_40_backtest": S4_40, "o6_17_lead_lag": S6_17, "o6_16_drawdown": S6_16, "o5_3_segments": S5_3, "o5_16_dedup": S5_16, "o5_11_links": S5_11, "o5_11_page_links": S5_11_PAGE, "o10_2_centroids": S10_2}
+ORACLE_SQL = {"o9_5_source_weights": S9_5, "o4_14_source_accuracy": S4_14, "o9_1_beliefs": S9_1, "o4_19_user_profiles": S4_19, "o4_22_source_features": S4_22, "o3_24_similarity": S3_24, "o6_5_zscores": S6_5, "o11_3_signals": S11_3, "o11_4_cooldown": S11_4, "o4_40_backtest": S4_40, "o6_17_lead_lag": S6_17, "o6_16_drawdown": S6_16, "o5_3_segments": S5_3, "o5_16_dedup": S5_16, "o5_11_links": S5_11, "o5_11_page_links": S5_11_PAGE, "o10_2_centroids": S10_2}

@@ -103,21 +103,6 @@ fresh AS (SELECT * FROM patch p WHERE NOT EXISTS (SELECT 1 FROM old o WHERE o.ke
 S3_26 = f"WITH {_PATCH_SQL} SELECT key, day, round(price + 1e-9, 6) AS price FROM patch p WHERE EXISTS (SELECT 1 FROM old o WHERE o.key = p.key AND o.day = p.day)"
 
 
-def o12_2_patch_manifest(spark, sf_dir):
-    """A patch applied as rows of a run, checked value by value against the patch, and rolled back (O12.2, O12.3): counts before,
-    applied, after, mismatched, after the rollback."""
-    old, fresh, _ = applied(spark, sf_dir)
-    run = F.lit("run-1")
-    after = old.withColumn("run_id", F.lit(None).cast("string")).unionByName(fresh.select("key", "day", "price").withColumn("run_id", run))
-    check = fresh.select("key", "day", F.col("price").alias("want")).join(after.where(F.col("run_id") == run), ["key", "day"], "left")
-    bad = check.agg(F.count_if(~F.col("price").eqNullSafe(F.col("want"))).alias("mismatched"))
-    counts = after.agg(F.count_if(F.col("run_id").isNull()).alias("before"), F.count_if(F.col("run_id") == run).alias("applied"), F.count("*").alias("after"), F.count_if(~F.col("run_id").eqNullSafe(run)).alias("rolled_back"))
-    return counts.crossJoin(bad)  # one row each
-
-
-S12_2 = f"WITH {_PATCH_SQL} SELECT (SELECT count(*) FROM old) AS before, (SELECT count(*) FROM fresh) AS applied, (SELECT count(*) FROM old) + (SELECT count(*) FROM fresh) AS after, (SELECT count(*) FROM old) AS rolled_back, 0::BIGINT AS mismatched"
-
-
 def o3_28_merged_snapshot(spark, sf_dir):
     """A batch's analytical fields over live lifecycle fields; sources that only one side has stay (O3.28)."""
     rows = profiles(spark, sf_dir)
@@ -173,5 +158,5 @@ S11_11 = f"""WITH {SCORES_SQL}, r AS (SELECT raw_id, ts, (SELECT max(ts) FROM sc
 x AS (SELECT *, state LIKE 'claim:%' AND now - TRY_CAST(regexp_extract(state, '^claim:([0-9]+)$', 1) AS BIGINT) > 3600 AS stale FROM r), d AS (SELECT *, (state = 'open' OR stale) AND ts <= now - 14400 AS due FROM x)
 SELECT raw_id, CASE WHEN due THEN 'claim:' || now WHEN stale THEN 'open' ELSE state END AS state, due AS claimed FROM d"""
 
-QUERIES = {f.__name__: f for f in (o3_6_pruned_mirror, o3_7_case_duplicates, o3_8_ghosts, o9_20_merged_beliefs, o3_23_parent_update, o3_26_patch_conflicts, o12_2_patch_manifest, o3_28_merged_snapshot, o12_7_repaired_times, o5_30_aligned_metrics, o11_11_claims)}
-ORACLE_SQL = {"o3_6_pruned_mirror": S3_6, "o3_7_case_duplicates": S3_7, "o3_8_ghosts": S3_8, "o9_20_merged_beliefs": S9_20, "o3_23_parent_update": S3_23, "o3_26_patch_conflicts": S3_26, "o12_2_patch_manifest": S12_2, "o3_28_merged_snapshot": S3_28, "o12_7_repaired_times": S12_7, "o5_30_aligned_metrics": S5_30, "o11_11_claims": S11_11}
+QUERIES = {f.__name__: f for f in (o3_6_pruned_mirror, o3_7_case_duplicates, o3_8_ghosts, o9_20_merged_beliefs, o3_23_parent_update, o3_26_patch_conflicts, o3_28_merged_snapshot, o12_7_repaired_times, o5_30_aligned_metrics, o11_11_claims)}
+ORACLE_SQL = {"o3_6_pruned_mirror": S3_6, "o3_7_case_duplicates": S3_7, "o3_8_ghosts": S3_8, "o9_20_merged_beliefs": S9_20, "o3_23_parent_update": S3_23, "o3_26_patch_conflicts": S3_26, "o3_28_merged_snapshot": S3_28, "o12_7_repaired_times": S12_7, "o5_30_aligned_metrics": S5_30, "o11_11_claims": S11_11}

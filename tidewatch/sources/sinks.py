@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+import json
+import uuid
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+
+from . import commits
 
 #: Fields of an access-log line in the common combined format.
 LOG_LINE = r'^(\S+) \S+ \S+ \[([^\]]+)\] "(\S+) (\S+)[^"]*" (\d{3}) (\d+|-)(?: "([^"]*)")?'
@@ -38,38 +44,31 @@ def merge_latest(old: DataFrame, new: DataFrame, keys: list[str], order: str, ke
 
 
 def publish(weights: DataFrame, root: str, version: int) -> bool:
-    """Write a snapshot below belief_version=v, check its row count, then append the pointer; False for a version that
-    is not newer than the published one (O9.6). A retry of the same version rewrites the same folder."""
+    """Write a snapshot, compare what is stored with what was written, and commit it as ``version`` (O9.6). False for a version
+    that is not newer than the published one, and for the writer that comes second of two; nothing of its data is seen."""
     spark = weights.sparkSession
-    last = published_version(spark, root)
-    if last is not None and version <= last:
+    last = commits.newest(spark, root)
+    if last is not None and version <= last[0]:
         return False
-    folder = f"{root}/snapshots/belief_version={version}"
-    weights.write.mode("overwrite").parquet(folder)
-    if spark.read.parquet(folder).count() != weights.count():
-        raise RuntimeError(f"snapshot {version} is incomplete")
-    spark.createDataFrame([(version,)], "version long").coalesce(1).write.mode("append").parquet(f"{root}/pointer")
-    return True
+    folder = f"{root}/snapshots/{version}-{uuid.uuid4().hex}"
+    wrote = commits.written(weights, folder)
+    if commits.digest(spark.read.schema(weights.schema).parquet(folder)) != wrote:
+        raise RuntimeError(f"snapshot {version} is not what was written")
+    return commits.commit(spark, root, version, {"folder": folder, "schema": weights.schema.json(), **wrote})
 
 
 def published_version(spark: SparkSession, root: str) -> int | None:
-    """The newest version that the pointer names; None where nothing is published."""
-    try:
-        return spark.read.schema("version long").parquet(f"{root}/pointer").agg(F.max("version")).first()[0]
-    except AnalysisException as problem:
-        if problem.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return None
-
-
-def load_published(spark: SparkSession, root: str, tries: int = 3) -> DataFrame:
-    """The snapshot that the pointer names (O9.7); staged ones are not seen. The pointer is read again afterwards: if it has
-    moved, the newer snapshot is read, so that weights and version belong together."""
-    for _ in range(tries):
-        version = published_version(spark, root)
-        if version is None:
-            raise LookupError("nothing is published")
-        rows = spark.read.parquet(f"{root}/snapshots/belief_version={version}").withColumn("belief_version", F.lit(version))
-        if published_version(spark, root) == version:
-            return rows
-    raise RuntimeError("the pointer moved during every read")
+    """The newest committed version; None where nothing is published."""
+    last = commits.newest(spark, root)
+    return None if last is None else last[0]
+
+
+def load_published(spark: SparkSession, root: str) -> DataFrame:
+    """The newest snapshot (O9.7), with its version. One commit names version and files, so they belong together whatever is published
+    meanwhile; staged files no commit names."""
+    last = commits.newest(spark, root)
+    if last is None:
+        raise LookupError("nothing is published")
+    version, entry = last
+    schema = StructType.fromJson(json.loads(entry["schema"]))
+    return spark.read.schema(schema).parquet(entry["folder"]).withColumn("belief_version", F.lit(version))

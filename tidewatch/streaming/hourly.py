@@ -7,19 +7,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.shared import shared_root
 from ..sources.tables import SCORES_SQL
 
 
-def shared_root(spark: SparkSession) -> str:
-    """The shared folder of spark.checkpoint.dir; a local one only where none is set and the master is local."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        root = "file:///tmp/tidewatch-checkpoints"
-    return root.rstrip("/")
-
-
 def hourly_windows(posts: DataFrame, lateness: str = "2 hours") -> DataFrame:
     """Streaming posts (at, source, score) to one row for each hour and source. Windows that end ``lateness`` before the newest
     post seen leave the state; later rows for them are dropped. Posts without a score or with NaN do not count."""
