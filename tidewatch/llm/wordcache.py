@@ -12,11 +12,12 @@ import itertools
 import os
 import re
 from array import array
+from unicodedata import is_normalized
 
 import numpy as np
 
 #: Entries kept between batches in one Python worker; later words are encoded batch by batch.
-CACHE_WORDS = 600_000
+CACHE_WORDS = 400_000
 _MARK = "\x01"
 #: Signs that can form a pre-token of their own after a word of letters.
 _TAIL = ".,;:!?|&$%#*"
@@ -38,6 +39,7 @@ class ChunkEncoder:
         self.type = "H" if self.vocab <= 0x10000 else "I"
         self.dtype = np.dtype("<u2" if self.type == "H" else "<u4")
         self.spaced = self._ids(" a") != self._ids("a")  # does a leading space change ids?
+        self.lowers = not self.spaced and self._ids("A") == self._ids("a")
         self.tails: dict[str, bytes] = {}
         self.closing: dict[str, bool] = {}
         self.cache: dict[str, bytes | None] = {"": None, " ": None}
@@ -58,6 +60,14 @@ class ChunkEncoder:
             self.closing[sign] = got.ids[-len(alone) :] == alone and got.word_ids.count(got.word_ids[-1]) == len(alone) < len(got.ids)
         return self.closing[sign]
 
+    def _lower(self, text: str) -> str:
+        """A text in lower case where the library would make the same of it, so that words in capitals are no words of their own: it
+        composes first and then lowers sign by sign, which a final sigma or a composition in lower case alone would show."""
+        low = text.lower()
+        if text.isascii() or ("Σ" not in text and is_normalized("NFC", text) and is_normalized("NFC", low)):
+            return low
+        return text
+
     def _chunks(self, text: str) -> list[str]:
         if _MARK in text or self.special.search(text):
             return [""]
@@ -101,7 +111,7 @@ class ChunkEncoder:
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of every text, as unsigned little-endian arrays."""
-        parts = [self._chunks(t) for t in texts]
+        parts = [self._chunks(self._lower(t) if self.lowers else t) for t in texts]
         new = set().union(*parts).difference(self.cache)
         before = len(self.cache)
         if new:
