@@ -17,7 +17,7 @@ from unicodedata import is_normalized
 import numpy as np
 
 #: Entries kept between batches in one Python worker; later words are encoded batch by batch.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 1_000_000
 _MARK = "\x01"
 #: Signs that can form a pre-token of their own after a word of letters.
 _TAIL = ".,;:!?|&$%#*"
