@@ -193,3 +193,21 @@ def test_long_text_is_scored_as_one(spark, make, folder, monkeypatch):
         small.learn(set(words[k : k + 4]))
         total += small.text(words[k : k + 4])
     assert np.allclose(total, scorer.text(words)) and len(small.at) <= 8
+
+
+def test_mix_agrees_however_rows_are_dealt(spark, make, folder):
+    """Repeated, missing and tied ids: the same uses for 1, 5 and 9 partitions, in any order of the rows."""
+    from tidewatch.llm import op6_mix
+    from tidewatch.llm.common import stored
+
+    rng = random.Random(4)
+    rows = [(rng.choice((i % 7, None, i)), " ".join(rng.choices("abcdef", k=rng.randrange(1, 9))), rng.choice(("s0", "s1", "s2", None))) for i in range(1500)]
+    seen = []
+    for n in (1, 5, 9):
+        rng.shuffle(rows)
+        sized = stored(op6_mix.sized(make(rows).repartition(n)), f"{folder}-{n}")
+        uses, sources = op6_mix.mix(sized, keys=op6_mix.ORDER)
+        seen.append(sorted((r["_use_key"], r["n"]) for r in uses.groupBy("_use_key").agg(F.count("*").alias("n")).collect()))
+        taken = {r["source"]: r["taken"] for r in uses.groupBy("source").agg(F.sum("size").alias("taken")).collect()}
+        assert all(abs(taken[r["source"]] - r["target"]) < 30 for r in sources.collect())
+    assert seen[0] == seen[1] == seen[2]

@@ -169,20 +169,19 @@ def trie_nodes(turns: DataFrame, folder: str, head: Callable[[int | None], int]
     parts = stored(family_nodes(turns, head, most), f"{folder}/parts")
     combined = parts.groupBy("node").agg(F.max("depth").alias("depth"), F.first("up").alias("up"), F.max("chars").alias("chars"), F.min("conv_id").alias("conv_id"), F.sum("n_convs").alias("n_convs"))
     nodes = stored(combined, f"{folder}/nodes")
-    deepest = nodes.agg(F.max("depth")).first()[0] or 0
+    deepest, smallest = nodes.agg(F.coalesce(F.max("depth"), F.lit(0)), F.min("conv_id")).first()
     # children first: a node without any is a leaf of its own subtree
     children = nodes.where("depth > 0").groupBy(F.expr("up[0]").alias("node")).agg(F.count("*").alias("n_children"))
     known = stored(nodes.join(children, "node", "left").fillna(0, ["n_children"]), f"{folder}/children")
     state = known.select("node", "up", F.expr("bigint(n_children = 0)").alias("n_leaves"), ((F.col("n_convs") - 1) * F.col("chars")).alias("saved_tokens"))
     for k in range(deepest.bit_length()):
         state = _pushed(state, f"get(up, {k})", "up", "n_leaves", "saved_tokens")
-    # all nodes of depth 1 have one parent: its name goes to every task as the one row it is
-    root = F.broadcast(known.where("depth = 0").select(F.lit(1).cast("long").alias("depth"), F.col("conv_id").alias("root_conv_id")))
+    # all nodes of depth 1 have one parent, the root, whose smallest member is the smallest of all: no join for it
     parents = known.where("n_children > 0 and depth > 0").select(F.col("node").alias("parent"), F.col("conv_id").alias("named"))
-    named = known.withColumn("parent", F.expr("if(depth > 1, up[0], null)")).join(root, "depth", "left").join(parents, "parent", "left")
+    named = known.withColumn("parent", F.expr("if(depth > 1, up[0], null)")).join(parents, "parent", "left")
     whole = named.join(state.drop("up"), "node").join(ends_digest(parts), "node", "left")
     return whole.select(
-        "conv_id", "depth", F.coalesce("root_conv_id", "named").alias("parent_conv_id"), "n_convs", "n_children", "n_leaves", "saved_tokens",
+        "conv_id", "depth", F.when(F.col("depth") == 1, F.lit(smallest).cast("long")).otherwise(F.col("named")).alias("parent_conv_id"), "n_convs", "n_children", "n_leaves", "saved_tokens",
         F.coalesce("ends_sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("ends_sha256"),
     )
 
