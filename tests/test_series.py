@@ -174,3 +174,24 @@ def test_novelty_blocks(spark, sf_dir, monkeypatch):
     monkeypatch.setattr(choosing, "BLOCK", 3)
     monkeypatch.setattr(choosing, "RECENT", 100)
     assert {r["id"]: r["novelty"] for r in choosing.o9_23_novelty(spark, sf_dir).collect()} == whole
+
+
+def test_asof_over_slots(spark):
+    """The last value at or before each time, whatever lies in the slots between; null keys are a key, null values none."""
+    import random
+
+    from tidewatch.operators.timeops import asof
+
+    rng = random.Random(3)
+    left = [(i, rng.choice(("a", "b", None)), rng.randrange(400)) for i in range(300)]
+    right = [(rng.choice(("a", "b", None)), rng.randrange(400), rng.choice((None, float(rng.randrange(9))))) for _ in range(60)]
+    a, b = spark.createDataFrame(left, "id int, k string, t long"), spark.createDataFrame(right, "k string, at long, v double")
+    want = {}
+    for i, k, t in left:
+        seen = sorted((at, v) for key, at, v in right if key == k and at <= t and v is not None)
+        want[i] = seen[-1][1] if seen else None
+    for width in (1, 7, 50, 1000):
+        got = {r["id"]: r["v"] for r in asof(a, b, "t", "at", "v", ["k"], width).collect()}
+        assert got == want
+    assert asof(a.limit(0), b, "t", "at", "v").count() == 0
+    assert asof(a, b.limit(0), "t", "at", "v", ["k"]).where("v is null").count() == 300

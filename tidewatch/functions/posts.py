@@ -51,9 +51,9 @@ def clamped(c: Column) -> Column:
 
 def boost(c: Column, weights: list[tuple[str, float]] = lexicon.WEIGHTS) -> Column:
     """Mean weight of the terms that occur, halved, in [-1, 1]; 0 without any."""
-    table = F.array(*(F.struct(F.lit(t).alias("term"), F.lit(w).alias("weight")) for t, w in weights))
-    hits = F.filter(table, lambda e: F.contains(F.lower(c), e["term"]))
-    total = F.aggregate(hits, F.lit(0.0), lambda a, e: a + e["weight"])
+    low = F.lower(c)
+    hits = F.array_compact(F.array(*(F.when(F.contains(low, F.lit(t)), w) for t, w in weights)))
+    total = F.aggregate(hits, F.lit(0.0), lambda a, x: a + x)
     return F.when(F.size(hits) > 0, clamped(total / (2 * F.size(hits)))).otherwise(0.0)
 
 

@@ -8,13 +8,22 @@ from pyspark.sql import functions as F
 from ..sources.tables import bucket
 
 
-def asof(left: DataFrame, right: DataFrame, left_ts: str, right_ts: str, value: str, by: list[str] | None = None) -> DataFrame:
-    """left with the last right value at or before left_ts: one union and one running last(), no range join."""
+def asof(left: DataFrame, right: DataFrame, left_ts: str, right_ts: str, value: str, by: list[str] | None = None, width: int = 86400) -> DataFrame:
+    """left with the last right value at or before left_ts, without a range join: one union, a running last() inside slots of ``width``
+    seconds, and the last value of the slots before. No key is one task's: only one row a slot and key is ordered over all time."""
     by = by or []
     a = left.select(F.struct(*left.columns).alias("l"), F.col(left_ts).alias("_t"), F.lit(1).alias("_side"), F.lit(None).cast(right.schema[value].dataType).alias("_v"), *by)
     b = right.select(F.lit(None).cast(a.schema["l"].dataType).alias("l"), F.col(right_ts).alias("_t"), F.lit(0).alias("_side"), F.col(value).alias("_v"), *by)
-    w = Window.partitionBy(*by).orderBy("_t", "_side", "_v").rowsBetween(Window.unboundedPreceding, 0)
-    return a.unionByName(b).withColumn(value, F.last("_v", ignorenulls=True).over(w)).where("_side = 1").select("l.*", value)
+    rows = a.unionByName(b).withColumn("_slot", F.floor(F.col("_t") / width))
+    inside = Window.partitionBy("_slot", *by).orderBy("_t", "_side", "_v").rowsBetween(Window.unboundedPreceding, 0)
+    local = rows.withColumn("_own", F.last("_v", ignorenulls=True).over(inside)).where("_side = 1")
+    ends = rows.groupBy("_slot", *by).agg(F.max(F.when(F.col("_v").isNotNull(), F.struct("_t", "_v")))["_v"].alias("_last"))
+    before = Window.partitionBy(*by).orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
+    carried = ends.select("_slot", *by, F.last("_last", ignorenulls=True).over(before).alias("_carried"))
+    same = F.col("x._slot").eqNullSafe(F.col("y._slot"))
+    for c in by:
+        same = same & F.col(f"x.{c}").eqNullSafe(F.col(f"y.{c}"))
+    return local.alias("x").join(carried.alias("y"), same, "left").select("x.l.*", F.coalesce("x._own", "y._carried").alias(value))
 
 
 def within(left: DataFrame, right: DataFrame, left_ts: str, right_ts: str, before: int, after: int, width: int) -> DataFrame:

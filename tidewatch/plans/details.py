@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from ..functions.html import page_parts
 from ..operators.timeops import correlation, ratio
 from ..sources.tables import COINS_SQL, DAY, HOUR, PRICES_SQL, SCORES_SQL, bucket, coin_prices, newest, prices, read, scores, since
 from .causal import hour_prices, hour_scores
 from .dashboard import r6, source_averages, weighted
-from .weights import WEIGHTS_SQL, weights
+from .decisions import _residuals_sql
 from .learning import _FEATURES, _HOURS_SQL, _SIGNAL_SQL, S3_24, hourly_market, signals, source_features, source_hours
-from .decisions import _residuals_sql, residuals
 from .postings import _POSTS_SQL, MIN_COMMENTS, post_texts, raw_posts, scored_posts
+from .weights import WEIGHTS_SQL, weights
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -304,6 +307,24 @@ def _adjusted_sql():
     return out
 
 
+@F.pandas_udf(DoubleType())
+def _partial_slope(moments: pd.Series) -> pd.Series:
+    """Slope of r on x beside all covariates, from the centred moments of x, r and the covariates (upper triangle, row by row)."""
+    size = 2 + len(_COVARIATES)
+
+    def one(upper) -> float:
+        full = np.zeros((size, size))
+        full[np.triu_indices(size)] = upper
+        full = full + np.triu(full, 1).T
+        scale = np.sqrt(np.diag(full))
+        scale[scale == 0] = 1.0
+        full = full / np.outer(scale, scale)
+        keep = [0, *range(2, size)]
+        return float(np.linalg.lstsq(full[np.ix_(keep, keep)], full[keep, 1], rcond=1e-12)[0][0] * scale[1] / scale[0])
+
+    return moments.map(one)
+
+
 @query(f"""WITH {_HOURS_SQL}, hp AS (SELECT ts // 3600 * 3600 AS hour, avg(price) AS p FROM prices GROUP BY 1), hr AS (SELECT hour, (p - lag(p) OVER (ORDER BY hour)) / lag(p) OVER (ORDER BY hour) AS g FROM hp), hv AS (SELECT hour, stddev_pop(g) OVER (ORDER BY hour RANGE BETWEEN 86400 PRECEDING AND 3600 PRECEDING) AS z2 FROM hr),
 hs AS (SELECT ts // 3600 * 3600 + 3600 AS hour, avg(final_score) AS z1, avg(activity_level) AS z3 FROM scores GROUP BY 1),
 m AS (SELECT source, hour, x, r, x AS x0, r AS r0, z1, z2, z3, (hour // 3600 % 24)::DOUBLE AS z4 FROM sh JOIN hs USING (hour) JOIN hv USING (hour) WHERE z2 IS NOT NULL){_adjusted_sql()},
@@ -317,9 +338,10 @@ def o8_6_four_covariates(spark, sf_dir):
     hv = g.select("hour", F.stddev_pop("g").over(w.rangeBetween(-DAY, -HOUR)).alias("z2")).where("z2 is not null")
     hs = scores(spark, sf_dir).groupBy((bucket("ts", HOUR) + HOUR).alias("hour")).agg(F.avg("final_score").alias("z1"), F.avg("activity_level").alias("z3"))
     m = source_hours(spark, sf_dir).join(hs, "hour").join(hv, "hour").select("source", F.col("x").alias("x0"), F.col("r").alias("r0"), "x", "r", "z1", "z2", "z3", (F.floor(F.col("hour") / HOUR) % 24).cast("double").alias("z4"))
-    for i, z in enumerate(_COVARIATES):
-        m = residuals(m, "source", ["x", "r", *_COVARIATES[i + 1 :]], z).drop(z)
-    k = m.groupBy("source").agg(F.count("*").alias("n"), F.regr_slope("r0", "x0").alias("naive"), F.regr_slope("r", "x").alias("adjusted")).where("n >= 30")
+    names = ["x", "r", *_COVARIATES]
+    pairs = [(a, b) for i, a in enumerate(names) for b in names[i:]]
+    sums = m.groupBy("source").agg(F.count("*").alias("n"), F.regr_slope("r0", "x0").alias("naive"), F.array(*(F.covar_pop(a, b) for a, b in pairs)).alias("moments")).where("n >= 30")
+    k = sums.withColumn("adjusted", _partial_slope("moments"))  # one row a source
     return k.select("source", "n", F.round("naive", 6).alias("naive"), F.round("adjusted", 6).alias("adjusted"), F.round(F.try_divide(F.col("naive") - F.col("adjusted"), F.col("naive")), 3).alias("removed"))
 
 

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
+import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
 from ..sources import ingest
@@ -48,37 +49,43 @@ SELECT i AS "at", x.metric AS metric, round(x.value, 9) AS value, x.unit AS unit
 CLASSES = {"bullish": (0, 5), "bearish": (1, 5), "neutral": (2, 3)}
 
 
-def anchor_similarities(spark, sf_dir):
-    """vec_id, class, anchor, cosine of every vector with every anchor; and vec_id, class, cosine with the class centroids.
-    Anchors are 500 vectors at most, as phrase lists are: of the first three labels, numbers below 2,000 that divide by four."""
-    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    unit = lambda a: F.transform(a, lambda x: x / F.coalesce(F.nullif(F.sqrt(dot(a, a)), F.lit(0.0)), F.lit(1.0)))
-    rows = read(spark, sf_dir, "embeddings").select("vec_id", "label", unit(F.transform("embedding", lambda x: x.cast("double"))).alias("v"))
-    names = F.create_map(*(F.lit(x) for name, (label, _) in CLASSES.items() for x in (label, name)))
-    anchors = rows.where("label < 3 and vec_id < 2000 and vec_id % 4 = 0").select(names[F.col("label")].alias("class"), F.col("vec_id").alias("anchor"), F.col("v").alias("a"))
-    width = 64
-    mean = anchors.groupBy("class").agg(F.array(*(F.avg(F.get("a", F.lit(i))) for i in range(width))).alias("c")).select("class", unit(F.col("c")).alias("c"))
-    texts = rows.select("vec_id", "v")
-    near = texts.crossJoin(F.broadcast(anchors)).select("vec_id", "class", "anchor", dot(F.col("v"), F.col("a")).alias("s"))
-    centre = texts.crossJoin(F.broadcast(mean)).select("vec_id", "class", dot(F.col("v"), F.col("c")).alias("s"))
-    return near, centre
+#: Anchors are a phrase list's size: of the first three labels, numbers below this that divide by four, 500 at most.
+ANCHOR_IDS = 2000
 
 
-def top_means(near):
-    """vec_id, class, mean of the top 5, 5 or 3 similarities: arrays of one vector's anchors, cut at once."""
-    k = F.element_at(F.create_map(*(F.lit(x) for name, (_, n) in CLASSES.items() for x in (name, n))), F.col("class"))
-    g = near.groupBy("vec_id", "class").agg(F.sort_array(F.collect_list("s"), asc=False).alias("x"))
-    top = F.slice("x", F.lit(1), k)
-    return g.select("vec_id", "class", (F.aggregate(top, F.lit(0.0), lambda a, v: a + v) / F.size(top)).alias("t"))
+def against_anchors(spark, sf_dir, rate, ddl):
+    """Every vector beside all anchors, as one matrix product a batch in the task that holds it: ``rate`` takes (ids, cosines by class,
+    cosines with the class centroids) and gives columns. The anchors, ANCHOR_IDS / 4 vectors at most, go with the function."""
+    rows = read(spark, sf_dir, "embeddings").where("embedding is not null").select("vec_id", "label", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
+    held = rows.where(F.col("label").isin(*(label for label, _ in CLASSES.values())) & (F.col("vec_id") < ANCHOR_IDS) & (F.col("vec_id") % 4 == 0)).orderBy("vec_id").collect()
+    unit = lambda m: m / np.maximum(1e-300, np.sqrt((m * m).sum(axis=1, keepdims=True)))
+    anchors = {name: (np.array([r["vec_id"] for r in held if r["label"] == label]), unit(np.array([r["v"] for r in held if r["label"] == label]).reshape(-1, 64))) for name, (label, _) in CLASSES.items()}
+    centres = {name: unit(a.mean(axis=0, keepdims=True))[0] if len(a) else np.full(64, np.nan) for name, (_, a) in anchors.items()}
+
+    def run(frames):
+        for f in frames:
+            if len(f):
+                v = unit(np.stack(f["v"].to_list()))
+                near = {name: (ids, v @ a.T) for name, (ids, a) in anchors.items()}
+                yield pd.DataFrame(rate(f["vec_id"].to_numpy(), near, {name: v @ c for name, c in centres.items()}))
+
+    return rows.select("vec_id", "v").mapInPandas(run, ddl)
 
 
 def o10_6_anchor_scores(spark, sf_dir):
     """Score and confidence of every vector: centroids, the bearish side 0.4 to 0.6 with its nearest anchors where those are
     nearer, tanh of three times the difference (O10.4 to O10.6). Vectors come from a provider before; none is called here
     (O10.7)."""
-    near, centre = anchor_similarities(spark, sf_dir)
-    wide = lambda rows, c: rows.groupBy("vec_id").agg(*(F.max(F.when(F.col("class") == n, F.col(c))).alias(f"{n}_{c}") for n in CLASSES))
-    both = wide(centre, "s").join(wide(top_means(near), "t"), "vec_id")
+
+    def rate(ids, near, centre):
+        out = {"vec_id": ids}
+        for name, (_, k) in CLASSES.items():
+            cosines = near[name][1]
+            out[f"{name}_s"] = centre[name]
+            out[f"{name}_t"] = -np.sort(-cosines, axis=1)[:, :k].mean(axis=1) if cosines.shape[1] else np.full(len(ids), np.nan)
+        return out
+
+    both = against_anchors(spark, sf_dir, rate, "vec_id long, " + ", ".join(f"{n}_s double, {n}_t double" for n in CLASSES))
     bear = F.when(F.col("bearish_t") > F.col("bearish_s"), 0.4 * F.col("bearish_s") + 0.6 * F.col("bearish_t")).otherwise(F.col("bearish_s"))
     bull, neutral = F.col("bullish_s"), F.col("neutral_s")
     sure = F.greatest(F.lit(0.0), F.least(F.lit(1.0), 2 * (F.greatest(bull, bear) - neutral) + 0.5))
@@ -97,9 +104,17 @@ SELECT vec_id, round(bu, 6) AS bullish, round(br, 6) AS bearish, round(ne, 6) AS
 
 def o7_7_nearest_anchors(spark, sf_dir, k=3):
     """The three nearest anchors of each class for every hundredth vector (O7.7)."""
-    near, _ = anchor_similarities(spark, sf_dir)
-    place = F.row_number().over(Window.partitionBy("vec_id", "class").orderBy(F.desc("s"), "anchor"))
-    return near.where("vec_id % 100 = 0").withColumn("place", place).where(F.col("place") <= k).select("vec_id", "class", "anchor", "place", F.round("s", 6).alias("similarity"))
+
+    def rate(ids, near, _):
+        some = np.flatnonzero(ids % 100 == 0)
+        rows = []
+        for name, (anchor, cosines) in near.items():
+            for i in some:
+                best = np.lexsort((anchor, -cosines[i]))[:k]
+                rows += [(int(ids[i]), name, int(anchor[j]), place + 1, float(cosines[i, j])) for place, j in enumerate(best)]
+        return dict(zip(("vec_id", "class", "anchor", "place", "s"), zip(*rows, strict=True), strict=True)) if rows else {c: [] for c in ("vec_id", "class", "anchor", "place", "s")}
+
+    return against_anchors(spark, sf_dir, rate, "vec_id long, class string, anchor long, place int, s double").select("vec_id", "class", "anchor", "place", F.round("s", 6).alias("similarity"))
 
 
 S7_7 = f"WITH {_ANCHOR_SQL} SELECT vec_id, class, anchor, i::INTEGER AS place, round(s, 6) AS similarity FROM rk WHERE i <= 3 AND vec_id % 100 = 0"

@@ -1,13 +1,12 @@
 """Post scoring: raw posts to texts, segments, lexicon scores, one score a post.
 
-Raw posts are JSON of several shapes. Here they come from ``conversations`` (first turn: title and content, the other
-turns: comments) and from a few fixed samples that hold every shape, category and pattern, so that no rule stays idle on the
-invented prose. A model's scores are an input; without one the lexicon scores alone.
+Raw posts are structs of several shapes. Here they come from ``conversations``: the first turn is title and content, the other
+turns are comments. The tests run the same queries over posts of every shape, category and pattern. A model's scores are an
+input; without one the lexicon scores alone.
 """
 
 from __future__ import annotations
 
-import json
 
 from pyspark.sql import functions as F
 
@@ -17,32 +16,19 @@ from ..sources.tables import SCORES_SQL, read, scores
 from .dashboard import r6
 
 MIN_COMMENTS = P.MIN_COMMENTS
-_C = lambda *bodies: [{"author": a, "body": b} for a, b in bodies]
-_TALK = _C(("ann", "I lost $400 and should have sold earlier, this is down"), ("bob", "Stay safe, never share your wallet keys"), ("tipbot", "I am a bot"), ("cyd", "Bitcoin to the moon, guaranteed 100x incoming"), (None, "What a great project, just bought more ETH"), ("dee", ""))
-#: Fixed samples: every shape of a raw post.
-SAMPLES = [
-    {"author": "eve", "title": "Is Bitcoin down 12% a warning sign?", "content": "The market is down and I regret buying solana.\n\nGot rekt twice this week, done with crypto for now.\n\nshort one", "metadata": {"comments": _TALK}},
-    {"username": "fay", "body": "ETH staking yield is great news, love this team a lot.\n\nETH staking yield is great news, love this team a lot.\n\nTrust me, easy money for every millionaire here", "metadata": {"comments": _TALK[:5]}},
-    {"post_id": "77", "thread_subject": "rug pull suspicious", "text": "Contact the moderators of this place please.\n\nThis is huge, congrats to all holders of DOGE coin", "metadata": {"comments": _TALK + _TALK[:2]}},
-    {"author": "gus", "title": "tiny", "content": "", "body": "", "text": "", "metadata": {"comments": _TALK}},
-    {"title": "Nobody wrote this one, really", "content": "A text without an author is left out of all.", "metadata": {"comments": _TALK}},
-    {"author": "hal", "title": "Too few comments here", "content": "Waste of money and not worth it, cannot find any use.", "metadata": {"comments": _TALK[:2]}},
-]
 _COMMENTS = "array<struct<author:string,body:string>>"
 _RAW = f"author string, username string, post_id string, title string, thread_subject string, content string, body string, text string, metadata struct<comments:{_COMMENTS}>"
 
 
 def raw_posts(spark, sf_dir):
     """raw_id, post: a struct of one row's raw fields."""
-    samples = spark.createDataFrame([(-1 - i, json.dumps(s)) for i, s in enumerate(SAMPLES)], "raw_id long, data string").select("raw_id", F.from_json("data", _RAW).alias("post"))
     turns = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     talk = turns.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("t"))
     comments = F.transform(F.slice("t", 2, F.size("t")), lambda x: F.struct(x["role"].alias("author"), x["text"].alias("body")))
     none = F.lit(None).cast("string")
     opening = F.element_at("t", 1)["text"]
     fields = {"author": F.concat(F.lit("user"), F.col("conv_id") % 50), "username": none, "post_id": none, "title": F.substring(opening, 1, 60), "thread_subject": none, "content": opening, "body": none, "text": none, "metadata": F.struct(comments.alias("comments"))}
-    built = talk.select(F.col("conv_id").alias("raw_id"), F.struct(*(c.alias(k) for k, c in fields.items())).cast(f"struct<{_RAW.replace(' string', ':string').replace(' struct', ':struct')}>").alias("post"))
-    return samples.unionByName(built)
+    return talk.select(F.col("conv_id").alias("raw_id"), F.struct(*(c.alias(k) for k, c in fields.items())).cast(f"struct<{_RAW.replace(' string', ':string').replace(' struct', ':struct')}>").alias("post"))
 
 
 def post_texts(raw):
@@ -58,11 +44,15 @@ def post_texts(raw):
 
 
 def post_segments(spark, sf_dir):
-    """One row a post that counts: title score and segments (text, category, score)."""
+    """One row a post that counts: title score and segments (text, category, score). Segments are scored as rows, whose expressions are
+    compiled, and come back in order: at most MOST_SEGMENTS a post."""
     rows = post_texts(raw_posts(spark, sf_dir)).where(F.col("username").isNotNull() & (F.col("comments") >= P.MIN_COMMENTS))
     title = F.when(F.length(P.stripped(F.col("title"))) >= P.TITLE_CHARS, P.scored(F.col("title")))
-    parts = F.transform(P.segments(F.col("content")), lambda s: F.struct(s.alias("text"), P.category(s).alias("category"), P.scored(s).alias("score")))
-    return rows.select("raw_id", "username", "comments", title.alias("title_score"), parts.alias("parts"))
+    spread = rows.select("raw_id", "username", "comments", "title", F.posexplode_outer(P.segments(F.col("content"))).alias("place", "text"))
+    scored = spread.select("raw_id", "username", "comments", "title", "place", "text", P.category(F.col("text")).alias("category"), P.scored(F.col("text")).alias("score"))
+    part = F.when(F.col("place").isNotNull(), F.struct("place", "text", "category", "score"))
+    posts = scored.groupBy("raw_id").agg(F.first("username").alias("username"), F.first("comments").alias("comments"), F.first("title").alias("title"), F.array_sort(F.collect_list(part)).alias("parts"))
+    return posts.select("raw_id", "username", "comments", title.alias("title_score"), "parts")
 
 
 def scored_posts(spark, sf_dir):
@@ -111,12 +101,8 @@ def _category(x: str) -> str:
 
 _TERMS = "[" + ", ".join(f"{{'term': {_quoted(t)}, 'weight': {w}::DOUBLE}}" for t, w in lexicon.WEIGHTS) + "]"
 _BOTS = ", ".join(map(_quoted, lexicon.BOTS))
-_FIELDS = ["author", "username", "post_id", "title", "thread_subject", "content", "body", "text"]
-_SAMPLE_ROWS = ", ".join(f"({-1 - i}, {_quoted(json.dumps(s))})" for i, s in enumerate(SAMPLES))
-_POSTS_SQL = rf"""sample(raw_id, data) AS (VALUES {_SAMPLE_ROWS}),
-talk AS (SELECT conv_id, list(struct_pack(author := role, body := text) ORDER BY turn, role, text) AS t FROM conversations GROUP BY 1),
-raw AS (SELECT raw_id::BIGINT AS raw_id, {', '.join(f"json_extract_string(data, '$.{c}') AS {c}" for c in _FIELDS)}, list_transform(json_extract(data, '$.metadata.comments[*]'), lambda c: struct_pack(author := json_extract_string(c, '$.author'), body := json_extract_string(c, '$.body'))) AS comments FROM sample
-    UNION ALL SELECT conv_id, 'user' || (conv_id % 50), NULL, NULL, left(t[1].body, 60), NULL, t[1].body, NULL, NULL, t[2:] FROM talk),
+_POSTS_SQL = rf"""talk AS (SELECT conv_id, list(struct_pack(author := role, body := text) ORDER BY turn, role, text) AS t FROM conversations GROUP BY 1),
+raw AS (SELECT conv_id AS raw_id, 'user' || (conv_id % 50) AS author, NULL::VARCHAR AS username, NULL::VARCHAR AS post_id, left(t[1].body, 60) AS title, NULL::VARCHAR AS thread_subject, t[1].body AS content, NULL::VARCHAR AS body, NULL::VARCHAR AS text, t[2:] AS comments FROM talk),
 fields AS (SELECT raw_id, coalesce(nullif(author, ''), nullif(username, ''), 'anon_' || nullif(post_id, '')) AS username, coalesce(nullif(title, ''), nullif(thread_subject, ''), '') AS title, coalesce(nullif(content, ''), nullif(body, ''), nullif(text, '')) AS content,
     list_filter(comments, lambda c: coalesce(c.body, '') <> '' AND coalesce(c.author, '') NOT IN ({_BOTS}) AND NOT ends_with(lower(coalesce(c.author, '')), 'bot')) AS kept FROM raw),
 joined AS (SELECT raw_id, username, title, len(kept)::INTEGER AS comments, string_split(array_to_string(list_concat(list_filter([content], lambda x: x IS NOT NULL), list_transform(kept, lambda c: c.body)), chr(10) || chr(10)), chr(10) || chr(10)) AS parts FROM fields),
@@ -160,27 +146,25 @@ SELECT raw_id, array_to_string(list_filter([{', '.join(f"CASE WHEN regexp_matche
 
 
 def o5_8_board_text(spark, sf_dir):
-    """Board markup cleaned: of every page, and of fixed posts (O5.8)."""
-    fixed = spark.createDataFrame([(-1, "&gt;be me<br>&gt;&gt;12345 buys &quot;ETH&quot; &amp;  <b>waits</b>"), (-2, ">>77 ok\n>green text\n  two   spaces"), (-3, "")], "page_id long, html string")
-    rows = read(spark, sf_dir, "pages").select("page_id", "html").unionByName(fixed)
+    """Board markup of every page cleaned (O5.8)."""
+    rows = read(spark, sf_dir, "pages").select("page_id", "html")
     text = P.cleaned(F.col("html"))
     return rows.select("page_id", F.length(text).cast("long").alias("n_chars"), F.sha2(text, 256).alias("digest"))
 
 
-S5_8 = r"""WITH p AS (SELECT page_id, html FROM pages UNION ALL VALUES (-1, '&gt;be me<br>&gt;&gt;12345 buys &quot;ETH&quot; &amp;  <b>waits</b>'), (-2, '>>77 ok' || chr(10) || '>green text' || chr(10) || '  two   spaces'), (-3, '')),
+S5_8 = r"""WITH p AS (SELECT page_id, html FROM pages),
 e AS (SELECT page_id, replace(replace(replace(replace(replace(replace(replace(html, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#039;', chr(39)), '&#39;', chr(39)), '&nbsp;', chr(160)), '&amp;', '&') AS t FROM p),
 c AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(t, '<[^>]+>', ' ', 'g'), '(?m)^>+', '', 'g'), '>>(\d+)', '', 'g') AS t FROM e),
 w AS (SELECT page_id, regexp_replace(regexp_replace(t, '[\s\x{A0}]+', ' ', 'g'), '^\s+|\s+$', '', 'g') AS t FROM c) SELECT page_id, length(t) AS n_chars, sha256(t) AS digest FROM w"""
 
 
 def o5_17_stat_numbers(spark, sf_dir):
-    """Counts written as 1.2K, 3m or 1,500 (O5.17): of fixed texts and of order totals written that way."""
-    fixed = spark.createDataFrame([(-1, "1.2K likes"), (-2, "3m"), (-3, "1,500"), (-4, "none"), (-5, " 12 k "), (-6, "0.5M")], "id long, t string")
-    totals = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.concat(F.floor(F.col("o_totalprice") / 1000).cast("string"), F.lit("K")).alias("t"))
-    return totals.unionByName(fixed).select("id", P.stat_number(F.col("t")).alias("n"))
+    """Counts written as 1.2K, 3m or 1,500 (O5.17): order totals written that way."""
+    rows = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.concat(F.floor(F.col("o_totalprice") / 1000).cast("string"), F.lit("K")).alias("t"))
+    return rows.select("id", P.stat_number(F.col("t")).alias("n"))
 
 
-S5_17 = r"""WITH t AS (SELECT o_orderkey AS id, floor(o_totalprice / 1000)::BIGINT || 'K' AS t FROM orders UNION ALL VALUES (-1, '1.2K likes'), (-2, '3m'), (-3, '1,500'), (-4, 'none'), (-5, ' 12 k '), (-6, '0.5M')),
+S5_17 = r"""WITH t AS (SELECT o_orderkey AS id, floor(o_totalprice / 1000)::BIGINT || 'K' AS t FROM orders),
 x AS (SELECT id, lower(replace(t, ',', '')) AS t FROM t) SELECT id, coalesce(trunc(TRY_CAST(regexp_extract(t, '([\d.]+)\s*([km])?', 1) AS DOUBLE) * CASE regexp_extract(t, '([\d.]+)\s*([km])?', 2) WHEN 'k' THEN 1000 WHEN 'm' THEN 1000000 ELSE 1 END)::BIGINT, 0) AS n FROM x"""
 
 

@@ -79,5 +79,48 @@ def o9_7_weights_in_order(spark, sf_dir):
     return rows.select("source", "contrarian", F.round(F.col("weight") + 1e-9, 6).alias("weight"), place.alias("place"))
 
 
-QUERIES = {"o9_7_weights_in_order": o9_7_weights_in_order}
-ORACLE_SQL = {"o9_7_weights_in_order": f"WITH {WEIGHTS_SQL} SELECT source, contrarian, round(weight + 1e-9, 6) AS weight, row_number() OVER (ORDER BY weight DESC, source) AS place FROM weights"}
+def o6_25_top_sources(spark, sf_dir):
+    """The hourly series of the five sources with the most points (O6.25): a source's points are the hours that have posts; sources are
+    event types by residue of user number."""
+    rows = scores(spark, sf_dir).withColumn("source", F.concat_ws("_", "source", F.col("user_id") % 4))
+    hours = rows.groupBy("source", bucket("ts", HOUR).alias("hour")).agg(F.avg("final_score").alias("score"))
+    best = hours.groupBy("source").agg(F.count("*").alias("points")).orderBy(F.desc("points"), "source").limit(5)
+    return hours.join(best, "source").select("source", "points", "hour", F.round(F.col("score") + 1e-9, 6).alias("score"))
+
+
+S6_25 = f"""WITH {SCORES_SQL}, h AS (SELECT source || '_' || (user_id % 4) AS source, ts // 3600 * 3600 AS hour, avg(final_score) AS score FROM scores GROUP BY 1, 2),
+b AS (SELECT source, count(*) AS points FROM h GROUP BY 1 ORDER BY points DESC, source LIMIT 5) SELECT source, points, hour, round(score + 1e-9, 6) AS score FROM h JOIN b USING (source)"""
+
+LAGS = (1, 4, 24)
+
+
+def o4_16_source_performance(spark, sf_dir):
+    """What every post's score said of the price four hours on, by source with ten such posts or more (O4.16): how often it was right,
+    mean score, correlation with the change at three lags (0 below five posts), utility 0.7 accuracy and 0.3 of one half, and the belief that
+    follows."""
+    hourly = prices(spark, sf_dir).groupBy(bucket("ts", HOUR).alias("hour")).agg(F.avg("price").alias("p"))
+    changes = hourly
+    for lag in LAGS:
+        later = hourly.select((F.col("hour") - lag * HOUR).alias("hour"), F.col("p").alias("later"))
+        changes = changes.join(later, "hour", "left").withColumn(f"r{lag}", F.try_divide(F.col("later") - F.col("p"), F.col("p"))).drop("later")
+    rows = scores(spark, sf_dir).select("source", "final_score", bucket("ts", HOUR).alias("hour")).join(changes, "hour")
+    judged, right = F.col("r4").isNotNull(), F.col("final_score") * F.col("r4") > 0
+    paired = lambda lag: F.when(F.count(f"r{lag}") >= 5, correlation("final_score", f"r{lag}")).otherwise(0.0)
+    sums = rows.groupBy("source").agg(F.count_if(judged).alias("n"), F.count_if(judged & right).alias("correct"), F.avg(F.when(judged, F.col("final_score"))).alias("mean_score"), *(paired(lag).alias(f"corr_{lag}h") for lag in LAGS)).where("n >= 10")
+    accuracy_ = F.col("correct") / F.col("n")
+    r6 = lambda c: F.round(c + 1e-9, 6)
+    return sums.select("source", "n", "correct", r6(accuracy_).alias("accuracy"), r6(F.col("mean_score")).alias("mean_score"), *(F.round(f"corr_{lag}h", 5).alias(f"corr_{lag}h") for lag in LAGS), r6(0.7 * accuracy_ + 0.15).alias("utility"), (1 + F.col("correct")).alias("alpha"), (1 + F.col("n") - F.col("correct")).alias("beta"), r6((1 + F.col("correct")) / (2 + F.col("n"))).alias("belief"))
+
+
+S4_16 = f"""WITH {SCORES_SQL}, {PRICES_SQL}, h AS (SELECT ts // 3600 * 3600 AS hour, avg(price) AS p FROM prices GROUP BY 1),
+c AS (SELECT h.hour, {', '.join(f'(l{k}.p - h.p) / h.p AS r{k}' for k in LAGS)} FROM h {' '.join(f'LEFT JOIN h l{k} ON l{k}.hour = h.hour + {k} * 3600' for k in LAGS)}),
+x AS (SELECT source, final_score AS s, r1, r4, r24 FROM scores JOIN c ON c.hour = ts // 3600 * 3600),
+g AS (SELECT source, count(r4) AS n, count(*) FILTER (s * r4 > 0) AS correct, avg(s) FILTER (r4 IS NOT NULL) AS m, {', '.join(f'CASE WHEN count(r{k}) >= 5 THEN coalesce(corr(s, r{k}), 0.0) ELSE 0.0 END AS c{k}' for k in LAGS)} FROM x GROUP BY 1)
+SELECT source, n, correct, round(correct / n + 1e-9, 6) AS accuracy, round(m + 1e-9, 6) AS mean_score, {', '.join(f'round(c{k}, 5) AS corr_{k}h' for k in LAGS)}, round(0.7 * (correct / n) + 0.15 + 1e-9, 6) AS utility, 1 + correct AS alpha, 1 + n - correct AS beta, round((1 + correct) / (2 + n) + 1e-9, 6) AS belief FROM g WHERE n >= 10"""
+
+QUERIES = {f.__name__: f for f in (o9_7_weights_in_order, o6_25_top_sources, o4_16_source_performance)}
+ORACLE_SQL = {
+    "o9_7_weights_in_order": f"WITH {WEIGHTS_SQL} SELECT source, contrarian, round(weight + 1e-9, 6) AS weight, row_number() OVER (ORDER BY weight DESC, source) AS place FROM weights",
+    "o6_25_top_sources": S6_25,
+    "o4_16_source_performance": S4_16,
+}
