@@ -206,7 +206,7 @@ def test_mix_agrees_however_rows_are_dealt(spark, make, folder):
     for n in (1, 5, 9):
         rng.shuffle(rows)
         sized = stored(op6_mix.sized(make(rows).repartition(n)), f"{folder}-{n}")
-        uses, sources = op6_mix.mix(sized, keys=op6_mix.ORDER)
+        uses, sources = op6_mix.mix(sized)
         seen.append(sorted((r["_use_key"], r["n"]) for r in uses.groupBy("_use_key").agg(F.count("*").alias("n")).collect()))
         taken = {r["source"]: r["taken"] for r in uses.groupBy("source").agg(F.sum("size").alias("taken")).collect()}
         assert all(abs(taken[r["source"]] - r["target"]) < 30 for r in sources.collect())

@@ -28,6 +28,8 @@ MOST = 3
 SEED = 20240607
 BINS = 4096
 MAX_PATTERNS = 200_000
+#: What orders rows of one place: the content beside the id, since ids can be missing or repeated.
+ORDER = ("doc_id", "_use_key", "size")
 #: Characters in the pattern tables up to which they are broadcast; larger ones are joined by shuffle.
 BROADCAST_CHARS = 4_000_000
 
@@ -89,12 +91,13 @@ def route(patterns: list[tuple[int, list[int]]], quotas: list[int], most: int =
     return flow
 
 
-def mix(docs: DataFrame, weight_of=None, most: int = MOST, seed: int = SEED, keys: tuple[str, ...] = ("doc_id",)) -> tuple[DataFrame, DataFrame]:
+def mix(docs: DataFrame, weight_of=None, most: int = MOST, seed: int = SEED) -> tuple[DataFrame, DataFrame]:
     """docs: a stored table of doc_id, size and members (array of source names, each document's sources).
 
     Returns (uses, sources). uses: docs' columns with ``pass`` (from 0) and ``for_source``, a row for each use;
-    sources: source, source_size, target. The seeded order is that of ``keys``, which should tell rows apart (rows that agree in them and
-    in size may stand for each other): then reruns agree, however the rows are dealt out. weight_of(rank) gives the weight of the rank-th source.
+    sources: source, source_size, target. The seeded order is by doc_id; rows of one id are told apart by the
+    columns of ORDER that docs have, so reruns agree however the rows are dealt out (rows that agree in these may stand for each
+    other). weight_of(rank) gives the weight of the rank-th source.
     """
     spark = docs.sparkSession
     weight_of = weight_of or (lambda rank: WEIGHTS[rank % len(WEIGHTS)])
@@ -127,12 +130,12 @@ def mix(docs: DataFrame, weight_of=None, most: int = MOST, seed: int = SEED, key
         plan_df, edge_df = F.broadcast(plan_df), F.broadcast(edge_df)
     sources = spark.createDataFrame(list(zip(names, sizes, wanted, strict=True)), "source string, source_size long, target double")
 
-    place = F.xxhash64(F.lit(seed), *keys).alias("place")
+    place = F.xxhash64(F.lit(seed), "doc_id").alias("place")
     seeded = rows.select("*", place).withColumn("bin", F.shiftrightunsigned("place", 64 - BINS.bit_length() + 1))
     bins = seeded.groupBy("pattern", "bin").agg(F.sum("size").alias("words"))
     before = Window.partitionBy("pattern").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
     bins = bins.select("pattern", "bin", F.coalesce(F.sum("words").over(before), F.lit(0)).alias("base"))
-    inside = Window.partitionBy("pattern", "bin").orderBy("place", *keys, "size").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("pattern", "bin").orderBy("place", *(c for c in ORDER if c in docs.columns)).rowsBetween(Window.unboundedPreceding, -1)
     local = seeded.withColumn("inside", F.coalesce(F.sum("size").over(inside), F.lit(0)))
     middle = (F.col("base") + F.col("inside") + F.col("size") / 2) / F.nullif("pattern_size", F.lit(0))
     placed = local.join(bins, ["pattern", "bin"]).join(plan_df, "pattern").withColumn("middle", middle)
@@ -142,10 +145,6 @@ def mix(docs: DataFrame, weight_of=None, most: int = MOST, seed: int = SEED, key
     return chosen.select(*(f"u.{c}" for c in docs.columns), "u.pass", "e.for_source"), sources
 
 
-#: What orders the rows of ``sized``: the content beside the id, since ids can be missing or repeated.
-ORDER = ("doc_id", "_use_key")
-
-
 def sized(docs: DataFrame) -> DataFrame:
     """doc_id, source, size and members of a documents table, with a number for each row: to be stored before use, since the
     numbers are given out anew whenever the rows are computed."""
@@ -164,7 +163,7 @@ def mix_documents(docs: DataFrame, folder: str) -> DataFrame:
     by content, not by row numbers, which another computation of ``docs`` could give to other rows; the uses of equal rows
     are shared out among them."""
     rows = stored(sized(docs), folder)
-    uses, _ = mix(rows, keys=ORDER)
+    uses, _ = mix(rows)
     used = uses.groupBy("_use_key").agg(F.count("*").alias("_use_total"))
     times = rows.groupBy("_use_key").agg(F.count("*").alias("_use_rows")).join(used, "_use_key")
     whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_use_doc")
@@ -177,7 +176,7 @@ def mix_documents(docs: DataFrame, folder: str) -> DataFrame:
 
 def op6_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = stored(sized(table(spark, sf_dir, "documents")), new_folder(spark, "mix"))
-    uses, sources = mix(rows, keys=ORDER)
+    uses, sources = mix(rows)
     taken = uses.groupBy("row").agg(F.sum("size").alias("taken"))
     out = rows.join(taken, "row", "left").join(sources, rows["source"].eqNullSafe(sources["source"]))
     return out.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken"))
