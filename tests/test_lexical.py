@@ -67,3 +67,19 @@ def test_novelty_against_all_earlier(spark, sf_dir, tmp_path, monkeypatch, rare,
     want = brute(docs, set(lexicon.STOP_WORDS))
     assert got.keys() == want.keys() and all(abs(got[i] - want[i]) < 1e-9 for i in got)
     assert got[5005] < 1e-9 and got[5006] < 1e-9 and got[5001] == got[5003] == 1.0
+
+
+@pytest.mark.parametrize("queries", [4000, 7])
+def test_novelty_stores_lengths_and_queries_only(spark, tmp_path, monkeypatch, queries):
+    """Disk holds a length a document, the grams of the queries and one row a query, whatever the documents share."""
+    monkeypatch.setattr(novelty, "BLOCK_QUERIES", queries)
+    docs = [(i, " ".join(f"w{(i * k * k + k) % 37}" for k in range(1, 60))) for i in range(300)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+    asked = df.where("doc_id % 20 = 0").select(F.col("doc_id").alias("q"))
+    folder = f"file://{tmp_path}/n"
+    got = {r["q"]: r["novelty"] for r in novelty.against_earlier(df, asked, folder).collect()}
+    want = brute(docs, set(lexicon.STOP_WORDS))
+    assert len(got) == 15 and all(abs(x - want[i]) < 1e-9 for i, x in got.items())
+    index = spark.read.parquet(f"{folder}/index")
+    assert index.where("gram is null").select("doc").distinct().count() == 300
+    assert index.where("gram is not null and doc % 20 > 0").isEmpty() and spark.read.parquet(f"{folder}/near").count() <= 15
