@@ -128,20 +128,27 @@ def apply_patch(df: DataFrame, root: str, run: str) -> tuple[int, DataFrame]:
     version, entry = commits.newest(spark, root)
     names, keys = _schema(entry).names, entry["keys"]
     taken = _rows(spark, root, entry).select(*keys)
-    free = df.select(*names).join(taken, keys, "left_anti")
-    one = F.max(F.struct(commits.row_digest(names).alias("digest"), *names)).alias("r")  # one row a key, as the upsert takes it
-    rows = free.groupBy(*keys).agg(one).select(*keys, "r.digest")
-    attempt = f"{_manifest(root, run)}/{uuid.uuid4().hex}"
-    sealed = json.dumps({"folder": attempt, "seal": commits.written(rows, attempt)})
-    commits.put_if_absent(spark, f"{_manifest(root, run)}/seal/manifest.json", sealed)  # a retry keeps the first attempt's seal
     conflicts = df.join(taken, keys, "left_semi")
-    return upsert(free, root, run, "ignore"), conflicts
+    name = uuid.uuid4().hex
+    attempt, kept = f"{_manifest(root, run)}/{name}", f"{root}/patches/{run}/{name}"
+    one = F.max(F.struct(commits.row_digest(names).alias("digest"), *names)).alias("r")  # one row a key, as the upsert takes it
+    free = df.select(*names).join(taken, keys, "left_anti").groupBy(*keys).agg(one).select(*(F.col(f"r.`{c}`").alias(c) for c in names))
+    commits.written(free, kept)  # computed once: sums in another order may differ in their last bits
+    rows = spark.read.schema(_schema(entry)).parquet(kept).select(*keys, commits.row_digest(names).alias("digest"))
+    sealed = json.dumps({"folder": attempt, "rows": kept, "seal": commits.written(rows, attempt)})
+    commits.put_if_absent(spark, f"{_manifest(root, run)}/seal/manifest.json", sealed)  # a retry keeps the first attempt's seal and rows
+    inserted = spark.read.schema(_schema(entry)).parquet(_sealed(spark, root, run)["rows"])
+    return upsert(inserted, root, run, "ignore"), conflicts
+
+
+def _sealed(spark: SparkSession, root: str, run: str) -> dict:
+    return json.loads(spark.read.text(f"{_manifest(root, run)}/seal", wholetext=True).first()[0])
 
 
 def verify(spark: SparkSession, root: str, run: str, version: int | None = None) -> DataFrame:
     """Rows of a run's manifest that the table does not hold as they were written: keys and ``found``, ``changed`` or ``missing``.
     Raises where the manifest itself is not what was sealed."""
-    sealed = json.loads(spark.read.text(f"{_manifest(root, run)}/seal", wholetext=True).first()[0])
+    sealed = _sealed(spark, root, run)
     manifest = spark.read.parquet(sealed["folder"])
     if commits.digest(manifest) != sealed["seal"]:
         raise ValueError(f"the manifest of {run} was changed")
