@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tests.oracle import difference
 from tidewatch.functions import posts as P
-from tidewatch.plans import catalog, postings
+from tidewatch.plans import catalog, details, postings
 
 _C = lambda *bodies: [{"author": a, "body": b} for a, b in bodies]
 _TALK = _C(("ann", "I lost $400 and should have sold earlier, this is down"), ("bob", "Stay safe, never share your wallet keys"), ("tipbot", "I am a bot"), ("cyd", "Bitcoin to the moon, guaranteed 100x incoming"), (None, "What a great project, just bought more ETH"), ("dee", ""))
@@ -61,3 +61,20 @@ def test_board_text_and_numbers(spark):
     numbers = [("1.2K likes", 1200), ("3m", 3_000_000), ("1,500", 1500), ("none", 0), (" 12 k ", 12_000), ("0.5M", 500_000)]
     df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(numbers)], "i int, t string").select("i", P.stat_number(F.col("t")).alias("n"))
     assert {r["i"]: r["n"] for r in df.collect()} == {i: n for i, (_, n) in enumerate(numbers)}
+
+
+@pytest.mark.parametrize("name, ids", [("o5_4_post_scores", {-1, -2, -3, -4}), ("o5_5_aggregations", {-1, -2, -3, -4}), ("o5_6_coins", {-1, -2, -3, -4, -5, -6}), ("o5_22_blend", {-1, -2, -3, -4, -5, -6})])
+def test_fixed_posts_are_scored(spark, folder, name, ids):
+    """The posts of JSON that hold every shape are read, beside all conversations, by query and twin."""
+    df = catalog.QUERIES[name](spark, folder)
+    assert {r[0] for r in df.where("raw_id < 0").select("raw_id").collect()} == ids and difference(df, catalog.ORACLE_SQL[name], folder) == ""
+
+
+@pytest.mark.parametrize("name", ["o2_16_post_audits", "o12_6_low_engagement"])
+def test_fixed_posts_are_audited(spark, folder, name, monkeypatch):
+    """These name no posts: with the fixed ones left out, the results differ."""
+    whole = sorted(map(str, catalog.QUERIES[name](spark, folder).collect()))
+    every = postings.raw_posts
+    monkeypatch.setattr(details, "raw_posts", lambda *a: every(*a).where("raw_id >= 0"))
+    monkeypatch.setattr(postings, "raw_posts", lambda *a: every(*a).where("raw_id >= 0"))
+    assert whole != sorted(map(str, catalog.QUERIES[name](spark, folder).collect()))
