@@ -78,3 +78,8 @@ def test_fixed_posts_are_audited(spark, folder, name, monkeypatch):
     monkeypatch.setattr(details, "raw_posts", lambda *a: every(*a).where("raw_id >= 0"))
     monkeypatch.setattr(postings, "raw_posts", lambda *a: every(*a).where("raw_id >= 0"))
     assert whole != sorted(map(str, catalog.QUERIES[name](spark, folder).collect()))
+
+
+def test_fixed_board_posts_are_cleaned(spark, sf_dir):
+    df = catalog.QUERIES["o5_8_board_text"](spark, sf_dir)
+    assert {r["page_id"]: r["n_chars"] for r in df.where("page_id < 0").collect()} == {-1: 24, -2: 27, -3: 0} and difference(df, catalog.ORACLE_SQL["o5_8_board_text"], sf_dir) == ""
