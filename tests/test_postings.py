@@ -83,3 +83,8 @@ def test_fixed_posts_are_audited(spark, folder, name, monkeypatch):
 def test_fixed_board_posts_are_cleaned(spark, sf_dir):
     df = catalog.QUERIES["o5_8_board_text"](spark, sf_dir)
     assert {r["page_id"]: r["n_chars"] for r in df.where("page_id < 0").collect()} == {-1: 24, -2: 27, -3: 0} and difference(df, catalog.ORACLE_SQL["o5_8_board_text"], sf_dir) == ""
+
+
+def test_fixed_numbers_are_read(spark, sf_dir):
+    df = catalog.QUERIES["o5_17_stat_numbers"](spark, sf_dir)
+    assert {r["id"]: r["n"] for r in df.where("id < 0").collect()} == {-1: 1200, -2: 3_000_000, -3: 1500, -4: 0, -5: 12_000, -6: 500_000} and difference(df, catalog.ORACLE_SQL["o5_17_stat_numbers"], sf_dir) == ""
