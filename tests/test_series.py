@@ -176,6 +176,30 @@ def test_novelty_blocks(spark, sf_dir, monkeypatch):
     assert {r["id"]: r["novelty"] for r in choosing.o9_23_novelty(spark, sf_dir).collect()} == whole
 
 
+@pytest.mark.parametrize("words, recent", [(5000, 100), (30, 7), (5, 3)])
+def test_block_novelty_is_novelty(monkeypatch, words, recent):
+    monkeypatch.setattr(choosing, "WORDS", words)
+    monkeypatch.setattr(choosing, "RECENT", recent)
+    rng = np.random.default_rng(3)
+    texts = [" ".join(f"{'aBc_é½9'[k % 7]}{k}" for k in rng.integers(0, 40, n)) for n in rng.integers(0, 25, 60)] + ["", "!? a", None, "x"]
+    counted = [choosing.grams(t) for t in texts]
+    want = [choosing.novelty(counted[max(0, i - recent) : i], c) for i, c in enumerate(counted)]
+    for first in (0, 10, len(texts)):
+        got = choosing.block_novelty(texts, first)
+        assert len(got) == len(texts) - first and all(math.isclose(a, b, abs_tol=1e-9) for a, b in zip(got, want[first:], strict=True))
+
+
+def test_novelty_time_of_a_block():
+    """A block of 400 posts takes seconds, not a minute."""
+    import time
+
+    rng = np.random.default_rng(4)
+    texts = [" ".join(f"w{k}" for k in rng.integers(0, 3000, 120)) for _ in range(500)]
+    began = time.process_time()
+    choosing.block_novelty(texts, 100)
+    assert time.process_time() - began < 8
+
+
 def test_asof_over_slots(spark):
     """The last value at or before each time, whatever lies in the slots between; null keys are a key, null values none."""
     import random

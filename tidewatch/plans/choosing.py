@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import re
 from collections import Counter
 
 import numpy as np
@@ -137,6 +138,49 @@ def novelty(recent, new):
     return max(0.0, min(1.0, 1 - best))
 
 
+def block_novelty(texts, first):
+    """``novelty`` of every text from place ``first`` on against the RECENT ones before it, in numbers of grams: the counts of a window
+    move on by one text at a time, and a text's products with all recent ones are one pass over their grams."""
+    words = [re.findall(r"\w{2,}", (t or "").lower()) for t in texts]
+    flat = [w + [" ".join(p) for p in zip(w, w[1:], strict=False)] for w in words]
+    number = {g: i for i, g in enumerate(sorted({g for f in flat for g in f}))}  # in the order of the grams, which breaks ties
+    each = [np.unique(np.fromiter((number[g] for g in f), np.int64, len(f)), return_counts=True) for f in flat]
+    starts = np.concatenate([[0], np.cumsum([len(g) for g, _ in each])]).astype(np.int64)
+    gram, count = (np.concatenate([e[k] for e in each]) if each else np.zeros(0, np.int64) for k in (0, 1))
+    totals, df, mine = np.zeros(len(number), np.int64), np.zeros(len(number), np.int64), np.zeros(len(number))
+    out, low = [], 0
+    for i in range(len(texts)):
+        own, times = each[i]
+        totals[own] += times
+        df[own] += 1
+        for k in range(low, max(0, i - RECENT)):
+            totals[each[k][0]] -= each[k][1]
+            df[each[k][0]] -= 1
+        low = max(0, i - RECENT)
+        if i < first:
+            continue
+        if not len(own) or i == low:
+            out.append(1.0 if len(own) else 0.0)
+            continue
+        idf = np.log((2 + i - low) / (1 + np.arange(2 + i - low))) + 1  # by df
+        used = np.flatnonzero(df)
+        kept = np.ones(len(number), bool)
+        if len(used) > WORDS:
+            kept[used[np.argsort(-totals[used], kind="stable")[WORDS:]]] = False
+        weight = times * idf[df[own]] * kept[own]
+        mine[own] = weight
+        part = slice(starts[low], starts[i])
+        g = gram[part]
+        other = count[part] * idf[df[g]] * kept[g]
+        of = np.repeat(np.arange(i - low), np.diff(starts[low : i + 1]))
+        sizes, products = np.bincount(of, other * other, i - low), np.bincount(of, other * mine[g], i - low)
+        mine[own] = 0.0
+        size, near = np.sqrt((weight * weight).sum()), products > 0
+        best = (products[near] / (size * np.sqrt(sizes[near]))).max() if near.any() else 0.0
+        out.append(float(max(0.0, min(1.0, 1 - best))))
+    return out
+
+
 def o9_23_novelty(spark, sf_dir):
     """How new every post is against the 100 posts of its source before it (O9.23), in the order of ids; empty ones are passed
     over. Posts are the second turns of conversations. Blocks of BLOCK posts carry the RECENT ones before them, so a source of
@@ -152,9 +196,8 @@ def o9_23_novelty(spark, sf_dir):
 
     def rate(key, frame):
         f = frame.sort_values("at", ignore_index=True)
-        counted = [grams(t) for t in f["text"]]
-        own = f.index[f["at"] >= key[1] * BLOCK]
-        return pd.DataFrame({"id": f["id"][own], "source": int(key[0]), "novelty": [novelty(counted[max(0, i - RECENT) : i], counted[i]) for i in own]})
+        own = f["at"] >= key[1] * BLOCK
+        return pd.DataFrame({"id": f["id"][own], "source": int(key[0]), "novelty": block_novelty(f["text"].to_list(), int((~own).sum()))})
 
     return dealt.groupBy("source", "block").applyInPandas(rate, "id long, source long, novelty double")
 
