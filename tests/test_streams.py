@@ -60,3 +60,15 @@ def test_duplicates_after_the_time_come_again(spark, tmp_path):
     posts = batches(spark, str(tmp_path / "p"), rows, "at timestamp, body string")
     out, _ = run(joined.distinct_posts(posts, "1 hour").select("at", F.col("body")), str(tmp_path / "run"))
     assert sorted(r["body"] for r in out.collect()) == ["x", "x", "y", "z"]
+
+
+def test_state_lies_on_disk(spark, tmp_path, monkeypatch):
+    """A batch of any size: state in RocksDB, in partitions by the number of rows; the session's settings are as before."""
+    monkeypatch.setattr(joined, "ROWS", 10)
+    rows = [[(BASE + datetime.timedelta(minutes=k), f"p{k % 60}") for k in range(150)]]
+    posts = batches(spark, str(tmp_path / "p"), rows, "at timestamp, body string")
+    before = dict(spark.conf.getAll)
+    out = joined.append_available(joined.distinct_posts(posts, "1 day"), f"{tmp_path}/run", 150)
+    assert out.count() == 60 and dict(spark.conf.getAll) == before
+    parts = [p for p in (tmp_path / "run" / "state" / "state" / "0").iterdir() if p.name.isdigit()]
+    assert len(parts) == 16 and any(p.suffix == ".zip" or p.suffix == ".changelog" for p in parts[0].rglob("*"))
