@@ -4,13 +4,18 @@ import hashlib
 import itertools
 import math
 import re
+import tracemalloc
+import weakref
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pandas as pd
+import public_tokenizers
+import pyarrow as pa
 import pytest
 
-from tidewatch.llm import op4_repeats, op5_ppm, op6_mix, op7_pii, op8_quality, op10_near
+from tidewatch.llm import op4_repeats, op5_ppm, op6_mix, op7_pii, op8_quality, op10_near, wordcache
 
 WORD = re.compile("[^\x20\x09-\x0d]+")
 
@@ -406,6 +411,42 @@ def test_near_with_repeated_passage(make, folder):
     assert {r["doc_id"]: r["class_id"] for r in found} == {d: d - d % 2 for d, _ in rows}
 
 
+def test_workers_let_go_of_words(spark):
+    """A worker that has packed holds an encoder's words; the first batch of any Python step of near and quality frees them."""
+
+    class Rows:
+        """Gives back the function that its rows would go through."""
+
+        select = join = lambda self, *columns: self
+        mapInArrow = lambda self, f, schema: f  # noqa: E731, N815
+
+    one = {"doc_id": [1], "text": ["some words to read again"], "node": [1], "a": [1], "b": [2], "ta": ["a b c d e f"], "tb": ["a b c d e f"]}
+    batch = lambda *names: iter([pa.RecordBatch.from_pydict({n: one[n] for n in names})])
+    block = pa.RecordBatch.from_pylist([{"bucket": 1, "i": 0, "j": 0, "is_left": True, "node": 1, "label": 1, "minor": True, "keys": [1, 2], "counts": None}])
+    steps = [
+        lambda: list(op10_near.signed(Rows())(batch("doc_id", "text"))),
+        lambda: list(op10_near.verified(Rows(), Rows())(batch("a", "b", "ta", "tb"))),
+        lambda: list(op10_near.shingle_sets(Rows())(batch("node", "text"))),
+        lambda: list(op10_near.linked_blocks(iter([block]))),
+        lambda: op8_quality.rules.func(pd.Series(["some words"])),
+    ]
+    for step in steps:
+        held = weakref.ref(wordcache.encoder(public_tokenizers.path("word_bpe_49k.json")))
+        assert held() is not None
+        step()
+        assert held() is None
+
+
+def test_shingles_of_a_long_text_hold_few_arrays():
+    """Two arrays of 8 bytes a byte of text at once, beside what grows with the words."""
+    text = "x" * 4_000_000 + " two three four five six"
+    tracemalloc.start()
+    _, keys, _ = op10_near.shingles([text])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(keys) == 2 and peak < 22 * len(text)
+
+
 def test_prob_minhash_estimates():
     rng = np.random.default_rng(5)
     a = {int(k): int(w) for k, w in zip(range(60), rng.integers(1, 6, 60), strict=True)}

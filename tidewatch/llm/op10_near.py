@@ -37,6 +37,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import WORD, new_folder, slices, stored, table
+from .wordcache import forget
 
 SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 24, 6
@@ -63,11 +64,19 @@ def shingles(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarra
     space = _SPACE[data]
     begin = np.flatnonzero(~space & np.r_[True, space[:-1]])
     stop = np.flatnonzero(space & np.r_[False, ~space[:-1]])
+    # two arrays of 8 bytes a byte of text, reused: they are most of what a task holds
     powers = np.full(len(data), _BASE, _U)
     powers[0] = 1
-    sums = np.r_[_U(0), np.cumsum((data.astype(_U) + _U(1)) * np.cumprod(powers))]
+    np.cumprod(powers, out=powers)
+    sums = data.astype(_U)
+    sums += _U(1)
+    sums *= powers
+    np.cumsum(sums, out=sums)
+    hashes = sums[stop - 1] - np.where(begin > 0, sums[begin - 1], _U(0))
     powers[1:] = _U(_INVERSE)
-    words = mixed((sums[stop] - sums[begin]) * np.cumprod(powers)[begin] + (stop - begin).astype(_U))
+    np.cumprod(powers, out=powers)
+    words = mixed(hashes * powers[begin] + (stop - begin).astype(_U))
+    del sums, powers
     of = np.searchsorted(ends, begin, side="right")
     n = np.bincount(of, minlength=len(raw))
     h = np.zeros(max(0, len(words) - SHINGLE + 1), _U)
@@ -165,6 +174,7 @@ def signed(docs: DataFrame) -> DataFrame:
     schema = pa.schema([("doc_id", pa.int64()), ("digest", pa.binary()), ("buckets", pa.list_(pa.int64())), ("first_bits", pa.int64())])
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in slices(batches, 1024, "text"):
             digests = [hashlib.sha256((t or "").encode()).digest() for t in batch.column("text").to_pylist()]
             texts = dict(zip(digests, batch.column("text").to_pylist(), strict=True))
@@ -182,6 +192,7 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """Pairs (a, b) of nodes that are similar enough."""
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         last, known = None, {}
         for batch in slices(batches, 256):
             keep = []
@@ -206,6 +217,7 @@ def shingle_sets(texts: DataFrame) -> DataFrame:
     """node, its distinct shingles in order, their counts (null where all are 1) and their number."""
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in slices(batches, 128, "text"):
             of, keys, counts = shingles(batch.column("text").to_pylist())
             at = np.searchsorted(of, np.arange(batch.num_rows + 1))
@@ -254,6 +266,7 @@ def linked(left: list[dict], right: list[dict]) -> list[tuple[int, int]]:
 
 def linked_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Links of every block (bucket, i, j), whose rows come one after the other."""
+    forget()
     last, left, right = None, [], []
 
     def links() -> pa.RecordBatch:

@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from .common import new_folder, stored, table
+from .wordcache import forget
 
 TREES, SAMPLE, SUBSPACE, SEED = 100, 256, 2, 11
 LABELLED, SHARPNESS = 10_000, 3
@@ -78,6 +79,7 @@ RULES = StructType([*(StructField(c, LongType()) for c in COUNTS), *(StructField
 @F.pandas_udf(RULES)
 def rules(texts: pd.Series) -> pd.DataFrame:
     """COUNTS and FEATURES of texts, one row each."""
+    forget()
     rows = []
     for text in texts:
         counts = rule_counts(text)
@@ -187,6 +189,7 @@ def with_anomaly(stats: DataFrame, forest: np.ndarray, weights: np.ndarray) -> D
 
     @F.pandas_udf("double")
     def rate(*columns: pd.Series) -> pd.Series:
+        forget()
         return pd.Series(anomaly(*shared.value, np.column_stack([c.to_numpy(float) for c in columns])))
 
     return stats.withColumn("anomaly", rate(*FEATURES))

@@ -15,6 +15,7 @@ from array import array
 from unicodedata import is_normalized
 
 import numpy as np
+import pyarrow as pa
 
 #: Entries kept between batches in one Python worker; later words are encoded batch by batch.
 CACHE_WORDS = 1_000_000
@@ -135,6 +136,14 @@ def encoder(path: str, plain: bool = False) -> ChunkEncoder:
     return _LOADED[path, plain]
 
 
+def forget() -> None:
+    """Let go of encoders and decoders: Spark hands a worker on to the next steps, where a million words would stay beside theirs."""
+    if _LOADED or _DECODERS:
+        _LOADED.clear()
+        _DECODERS.clear()
+        pa.default_memory_pool().release_unused()
+
+
 class ByteDecoder:
     """Texts of ids of a byte-level vocabulary: every id stands for the same bytes wherever it is."""
 
