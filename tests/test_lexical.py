@@ -83,3 +83,22 @@ def test_novelty_stores_lengths_and_queries_only(spark, tmp_path, monkeypatch, q
     index = spark.read.parquet(f"{folder}/index")
     assert index.where("gram is null").select("doc").distinct().count() == 300
     assert index.where("gram is not null and doc % 20 > 0").isEmpty() and spark.read.parquet(f"{folder}/near").count() <= 15
+
+
+def test_novelty_searches_words_once_and_copies_never(spark, tmp_path, monkeypatch):
+    """Texts are read once, as hashes of words; a copy of an earlier text, also in other capitals or stop words, is not searched; a block
+    meets only the documents before its last query."""
+    monkeypatch.setattr(novelty, "BLOCK_QUERIES", 4)
+    docs = [(i, " ".join(f"w{(i * k * k + k) % 61}" for k in range(1, 40 + i % 7))) for i in range(120)]
+    docs += [(200 + i, f"The {docs[i][1].upper()}!") for i in range(0, 120, 10)] + [(400, ""), (401, "the"), (402, "one"), (403, "one"), (404, "ONE the"), (405, "one one")]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(6)
+    asked = df.where("doc_id % 10 = 0 or doc_id >= 400").select(F.col("doc_id").alias("q"))
+    folder = f"file://{tmp_path}/n"
+    got = {r["q"]: r["novelty"] for r in novelty.against_earlier(df, asked, folder).collect()}
+    want = brute(docs, set(lexicon.STOP_WORDS))
+    assert len(got) == 30 and all(abs(x - want[i]) < 1e-9 for i, x in got.items())
+    assert got[400] == got[401] == got[402] == 1.0 and all(got[i] < 1e-9 for i in (200, 310, 403, 404)) and 0.1 < got[405] < 0.9
+    near = spark.read.parquet(f"{folder}/near")
+    assert {r["q"] for r in near.select("q").collect()} <= {*range(10, 120, 10), 405} and spark.read.parquet(f"{folder}/measured").columns == ["doc", "words", "length"]
+    ranges = [(r["a"], r["b"]) for r in near.groupBy("block").agg(F.min("q").alias("a"), F.max("q").alias("b")).orderBy("block").collect()]
+    assert len(ranges) > 2 and all(x[1] < y[0] for x, y in zip(ranges, ranges[1:], strict=False))
